@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenkeel.llm import media, packing
+from evenkeel.llm import media, neardup, packing
 from evenkeel.llm.common import documents
 
 
@@ -18,8 +18,13 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir))
 
 
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.near_duplicates(documents(spark, sf_dir), num=85, den=100)
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
+
+
 def queries():
-    return {f.__name__: f for f in (op1_media_columns, op2_best_fit_packing)}
+    return {f.__name__: f for f in (op1_media_columns, op2_best_fit_packing, op10_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
