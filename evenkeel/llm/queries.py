@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenkeel.llm import media, neardup, packing
+from evenkeel.llm import forest, media, neardup, packing
 from evenkeel.llm.common import documents
 
 
@@ -23,8 +23,13 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
+def op3_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = forest.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), threshold=0.95)
+    return found.withColumnRenamed("id", "vec_id")
+
+
 def queries():
-    return {f.__name__: f for f in (op1_media_columns, op2_best_fit_packing, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_media_columns, op2_best_fit_packing, op3_projection_forest, op10_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
