@@ -2,10 +2,10 @@
 
 Equal shingle sets collapse into one class first. In every bucket one member
 is the centre and the others are compared with it alone, on full sets. While a
-bucket still holds members of different components, its old centre leaves (it
-has been compared with all of them) and the member with most confirmed links
-becomes the next one, so no linked pair that shares a bucket is lost and a
-bucket never emits all its pairs.
+bucket still holds members of different components, its old centres leave (they
+have been compared with all of them) and the members with most confirmed links,
+four times as many as before, become the next ones. So no linked pair that
+shares a bucket is lost, and what links to a centre is never paired again.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evenkeel.llm.common import components, cut
@@ -130,31 +130,32 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     texts = cut(with_text_key(docs, "_text").join(wanted, ["k1", "k2"]).where(F.col("_id").eqNullSafe(F.col("wid")))
                 .select("node", F.coalesce("_text", F.lit("")).alias("text")).dropDuplicates(["node"]), "texts")
 
-    def edges_of(m: DataFrame) -> DataFrame:
-        if "comp" in m.columns:
-            m = m.where(F.col("comp") != F.col("centre.comp"))
-        return m.where((F.col("node") != F.col("centre.node")) & (F.least("n", "centre.n") * den >= F.greatest("n", "centre.n") * num)).select(
-            F.least("node", "centre.node").alias("a"), F.greatest("node", "centre.node").alias("b")).distinct()
+    def pairs(m: DataFrame) -> DataFrame:
+        fits = F.least("n", "cn") * den >= F.greatest("n", "cn") * num  # else the sizes alone rule it out
+        return m.where((F.col("node") != F.col("centre")) & fits).select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
 
-    links = tested = root = None
+    new = cut(pairs(members.select("node", "n", F.col("centre.node").alias("centre"), F.col("centre.n").alias("cn"))), "edges")
+    members = members.where(F.col("node") != F.col("centre.node")).select("bucket", "node", "n")
+    links, tested, centres = cut(confirm(new, texts, num, den, k), "links"), new, 4
+    root = components(links)
     while True:
-        new = edges_of(members)
-        if tested is not None:
-            new = new.join(tested, ["a", "b"], "left_anti")
-        new = cut(new, "edges")
-        good = cut(confirm(new, texts, num, den, k), "links")
-        links = good if links is None else links.unionByName(good)
-        tested = new if tested is None else tested.unionByName(new)
-        root = components(links)
         degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("deg"))
-        rest = (members.where(F.col("node") != F.col("centre.node")).drop("centre", "comp").join(root, "node", "left").join(degree, "node", "left")
-                .select("bucket", "node", "n", F.coalesce("root", "node").alias("comp"), F.coalesce("deg", F.lit(0)).alias("deg")))
-        rest = cut(rest, "rest")
-        still = rest.groupBy("bucket").agg(
-            F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.max(F.struct("deg", "node", "n", "comp")).alias("centre")).where("c1 <> c2").drop("c1", "c2")
-        members = cut(rest.drop("deg").join(still, "bucket"), "members")
+        members = cut(members.join(root, "node", "left").join(degree, "node", "left").select(
+            "bucket", "node", "n", F.coalesce("root", "node").alias("comp"), F.coalesce("deg", F.lit(0)).alias("deg")), "members")
+        still = members.groupBy("bucket").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("bucket")
+        members = cut(members.join(still, "bucket", "left_semi"), "members")
         if members.isEmpty():
             break
+        top = Window.partitionBy("bucket").orderBy(F.desc("deg"), "node")
+        chosen = cut(members.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= centres).select("bucket", F.col("node").alias("centre"), F.col("n").alias("cn"), F.col("comp").alias("cc")), "centres")
+        new = cut(pairs(members.join(chosen, "bucket").where("comp <> cc")).join(tested, ["a", "b"], "left_anti"), "edges")
+        good = cut(confirm(new, texts, num, den, k), "links")
+        tested = tested.unionByName(new)
+        members = members.join(chosen.select("bucket", F.col("centre").alias("node")), ["bucket", "node"], "left_anti").select("bucket", "node", "n")
+        centres *= 4
+        if not good.isEmpty():
+            links = links.unionByName(good)
+            root = components(links)
 
     of_class = rep.join(root, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
     least = of_class.groupBy("root").agg(F.min("id").alias("component_id"))
