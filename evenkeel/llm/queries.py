@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenkeel.llm import forest, media, neardup, packing
-from evenkeel.llm.common import documents
+from evenkeel.llm import forest, media, neardup, packing, quality, toxicity
+from evenkeel.llm.common import crc_mod, documents
 
 
 def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,8 +28,25 @@ def op3_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "vec_id")
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def _scored(df: DataFrame, m: int, held: int) -> DataFrame:
+    return df.select("doc_id", (crc_mod(F.col("doc_id"), m) == held).alias("held_out"), "score", "predicted")
+
+
+def op4_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(quality.score_quality(documents(spark, sf_dir), _labels(spark, sf_dir), crc_mod(F.col("doc_id"), 4) != 2), 4, 2)
+
+
+def op7_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return _scored(toxicity.score_toxicity(docs, docs, _labels(spark, sf_dir), crc_mod(F.col("doc_id"), 5) != 0), 5, 0)
+
+
 def queries():
-    return {f.__name__: f for f in (op1_media_columns, op2_best_fit_packing, op3_projection_forest, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_media_columns, op2_best_fit_packing, op3_projection_forest, op4_quality_discriminant, op7_toxicity_ftrl, op10_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
