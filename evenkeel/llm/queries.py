@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenkeel.llm import forest, media, neardup, packing, quality, toxicity
+from evenkeel.llm import forest, licences, media, mixing, neardup, packing, quality, toxicity
 from evenkeel.llm.common import crc_mod, documents
 
 
@@ -45,9 +45,18 @@ def op7_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(toxicity.score_toxicity(docs, docs, _labels(spark, sf_dir), crc_mod(F.col("doc_id"), 5) != 0), 5, 0)
 
 
+def op5_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix_sources(documents(spark, sf_dir))
+    return mixed.select("doc_id", "source", "start", "block", "release", "deadline", "slot")
+
+
+def op6_licence_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan_licences(documents(spark, sf_dir))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_media_columns, op2_best_fit_packing, op3_projection_forest, op4_quality_discriminant, op7_toxicity_ftrl, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_media_columns, op2_best_fit_packing, op3_projection_forest, op4_quality_discriminant, op5_pfair_mixing, op6_licence_digests, op7_toxicity_ftrl, op10_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_licence_digests": licences.oracle()}
