@@ -68,7 +68,7 @@ def train(docs: DataFrame, bits: int = BITS, epochs: int = EPOCHS) -> tuple[np.n
         at = np.flatnonzero(w)
         return pd.DataFrame({"k": [at.astype("<i4").tobytes()], "w": [w[at].astype("<f4").tobytes()]})
 
-    got = docs.groupBy(F.lit(0)).applyInPandas(one, "k binary, w binary").collect()  # one row of bounded size
+    got = docs.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(one, "k binary, w binary").collect()  # one row of bounded size
     if not got:
         return np.zeros(0, np.int32), np.zeros(0, np.float32)
     return np.frombuffer(got[0]["k"], "<i4"), np.frombuffer(got[0]["w"], "<f4")
