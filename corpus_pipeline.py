@@ -1,11 +1,69 @@
-"""Corpus preparation as stages over ``documents``; written and reread between stages."""
+"""Corpus preparation in five stages over ``documents``; each is written and reread as the next one's input.
 
-STAGES = []
+toxicity        drops the documents that the toxicity model rejects;
+near_duplicates keeps one document of each group of near-duplicates (five words, similarity 0.8);
+repeats         cuts byte strings that repeat within or across documents out of the texts;
+mixture         puts the documents in the order of a mixture of the sources;
+packing         packs their tokens into sequences (one row per piece).
+
+The first four return the columns they get. All keep clean documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from evenkeel.llm import bwt, mixing, neardup, packing, toxicity
+from evenkeel.llm.common import crc_mod, cut, documents
+
+#: Shortest byte string that counts as a repeat: some 50 words have 240 bytes.
+REPEAT_BYTES = 240
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a toxicity score below 0.5. The model learns from ``labels`` and the texts in ``docs``."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scored = toxicity.score_toxicity(docs, docs, labels, crc_mod(F.col("doc_id"), 5) != 0, keep=docs.columns)
+    return scored.where("predicted = 0").select(docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the least id of each group; of repeated rows one stays."""
+    found = neardup.near_duplicates(docs, num=4, den=5).where("kept").select(F.col("id").alias("_id"), "k1", "k2").distinct()
+    keyed = neardup.with_text_key(docs)
+    kept = keyed.join(found, (keyed.k1 == found.k1) & (keyed.k2 == found.k2) & keyed.doc_id.eqNullSafe(found["_id"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", "k1", "k2"]).select(docs.columns)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without their repeated strings; characters cut in two go. Other texts stay as they are; n_chars follows."""
+    found = bwt.remove_repeats(docs, length=REPEAT_BYTES, as_text=True)
+    cut_out = F.col("n_removed") > 0
+    out = found.withColumn("text", F.when(cut_out, F.col("kept")).otherwise(F.col("text")))
+    return out.withColumn("n_chars", F.when(cut_out, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents in the order of the mixture: files in order of their slots, and each file within."""
+    mixed = mixing.mix_sources(docs)
+    return mixed.repartitionByRange("slot", "start").sortWithinPartitions("slot", "start").select(docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of 2048 tokens; a task packs neighbours of the mixture together."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [("toxicity", drop_toxic), ("near_duplicates", drop_near_duplicates), ("repeats", cut_repeats), ("mixture", mix), ("packing", pack)]
+
+#: No SQL: a trained model decides in the first stage; tests compare each stage with a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; what stands between them is written to the shared folder."""
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -295,8 +295,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, shard: int = SHARD, ho
     return spans.groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("spans"))
 
 
-def remove_repeats(df: DataFrame, text_col: str = "text", length: int = LENGTH, shard: int = SHARD, hot: int = HOT) -> DataFrame:
-    """All rows and columns of ``df`` with ``n_bytes, n_removed, n_spans`` and ``kept`` (binary, the bytes that stay).
+def remove_repeats(df: DataFrame, text_col: str = "text", length: int = LENGTH, as_text: bool = False, shard: int = SHARD, hot: int = HOT) -> DataFrame:
+    """All rows and columns of ``df`` with ``n_bytes, n_removed, n_spans`` and ``kept`` (the bytes that stay; with
+    ``as_text`` a string without the characters that were cut in two).
 
     A byte goes if a string of ``length`` bytes that covers it also starts at
     another place of any text, the same text included; texts are UTF-8 and
@@ -328,9 +329,10 @@ def remove_repeats(df: DataFrame, text_col: str = "text", length: int = LENGTH,
                     elif e > end:
                         gone, end = gone + e - end, e
                 kept.append(raw[end:])
-                rows.append((len(raw), gone, count, b"".join(kept)))
+                kept = b"".join(kept)
+                rows.append((len(raw), gone, count, kept.decode("utf-8", "ignore") if as_text else kept))
             c = list(zip(*rows)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([*b.columns[:width], *(pa.array(list(x), k) for x, k in zip(c, (pa.int64(), pa.int64(), pa.int64(), pa.binary())))], [*columns, *names])
+            yield pa.RecordBatch.from_arrays([*b.columns[:width], *(pa.array(list(x), k) for x, k in zip(c, (pa.int64(), pa.int64(), pa.int64(), pa.string() if as_text else pa.binary())))], [*columns, *names])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return joined.mapInArrow(run, f"{fields}, n_bytes long, n_removed long, n_spans long, kept binary")
+    return joined.mapInArrow(run, f"{fields}, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenkeel.llm import bwt, forest, licences, media, mixing, neardup, packing, quality, toxicity
+from evenkeel.llm import bwt, forest, licences, media, mixing, neardup, packing, ppm, quality, toxicity
 from evenkeel.llm.common import crc_mod, documents
 
 
@@ -18,6 +18,11 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir))
 
 
+def op8_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ppm.score_texts(documents(spark, sf_dir), crc_mod(F.col("doc_id"), 7) != 2)
+    return found.select(F.col("id").alias("doc_id"), (crc_mod(F.col("id"), 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = bwt.remove_repeats(documents(spark, sf_dir).select("doc_id", "text"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -60,7 +65,7 @@ def op6_licence_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op1_media_columns, op2_best_fit_packing, op3_projection_forest, op4_quality_discriminant, op5_pfair_mixing, op6_licence_digests, op7_toxicity_ftrl, op9_bwt_dedup, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_media_columns, op2_best_fit_packing, op3_projection_forest, op4_quality_discriminant, op5_pfair_mixing, op6_licence_digests, op7_toxicity_ftrl, op8_ppm_scores, op9_bwt_dedup, op10_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
