@@ -55,24 +55,21 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     appear. A hub with very many links is one key of a plain equi-join, which
     adaptive execution splits.
     """
-    def sig(df):
+    def sign(df):
         r = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         return (r["n"], r["h"])
 
-    e = cut(edges.select("a", "b").where("a <> b and a is not null and b is not null")
-            .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
-    last = sig(e)
+    e = cut(edges.where("a <> b and a is not null and b is not null").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), name)
+    last = sign(e)
     while last[0]:
+        # every node's larger neighbours go to its least neighbour (or itself) ...
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        e1 = (both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-              .where("a <> b").distinct())
-        e1 = cut(e1, name)
-        low = e1.groupBy("a").agg(F.min("b").alias("m"))
-        e2 = (e1.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-              .unionByName(low.select("a", F.col("m").alias("b"))).distinct())
-        e = cut(e2, name)
-        now = sig(e)
+        far = cut(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b"), name)
+        # ... and every node's smaller neighbours, with the node, to the least of them
+        low = far.groupBy("a").agg(F.min("b").alias("m"))
+        e = cut(far.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).distinct(), name)
+        now = sign(e)
         if now == last:
             break
         last = now

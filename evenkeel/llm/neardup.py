@@ -1,11 +1,11 @@
 """MinHash near-duplicates: one-permutation hashing, optimal densification, banded buckets, stars.
 
 Equal shingle sets collapse into one class first. In every bucket one member
-is the centre and the others are compared with it alone, on full sets. While a
-bucket still holds members of different components, its old centres leave (they
-have been compared with all of them) and the members with most confirmed links,
-four times as many as before, become the next ones. So no linked pair that
-shares a bucket is lost, and what links to a centre is never paired again.
+is the centre and the others are candidates with it alone, confirmed on full
+sets. Only buckets whose members then belong to several components go on: they
+are compared block by block inside tasks, which emit a link only where it joins
+two components. So no linked pair that shares a bucket is left apart, and no
+bucket emits its pairs.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evenkeel.llm.common import components, cut
@@ -107,6 +107,73 @@ def confirm(edges: DataFrame, texts: DataFrame, num: int, den: int, k: int) -> D
     return full.select("a", "b", "ta", "tb").mapInArrow(run, f"a {node}, b {node}")
 
 
+def _joined(rows: list[tuple], num: int, den: int, k: int, hashes: WordHashes) -> list[tuple]:
+    """Links ``(node, node)`` that join the components of ``rows (mine, node, comp, text)``, across the two halves if there are two."""
+    sets = [shingles(hashes.of(words_of(r[3])), k) for r in rows]
+    size = np.array([len(u) for u in sets])
+    _, code, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = np.cumsum(times > 1) - 1  # columns for hashes of two sets at least
+    owner = np.repeat(np.arange(len(rows)), size)
+    some = times[code] > 1
+    owner, column = owner[some], shared[code[some]]
+    both = np.zeros((len(rows), len(rows)), np.float32)
+    for a in range(0, int(shared[-1]) + 1, 4096):
+        here = (column >= a) & (column < a + 4096)
+        m = np.zeros((len(rows), 4096), np.float32)
+        m[owner[here], column[here] - a] = 1
+        both += m @ m.T
+    i, j = np.nonzero(np.triu(den * both.astype(np.int64) >= num * (size[:, None] + size[None, :] - both.astype(np.int64)), 1))
+    up = {r[2]: r[2] for r in rows}
+
+    def top(x):
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    halves, out = len({r[0] for r in rows}) > 1, []
+    for x, y in zip(i.tolist(), j.tolist()):
+        a, b = top(rows[x][2]), top(rows[y][2])
+        if a != b and not (halves and rows[x][0] == rows[y][0]):
+            up[a] = b
+            out.append((rows[x][1], rows[y][1]))
+    return out
+
+
+def inside(members: DataFrame, texts: DataFrame, num: int, den: int, k: int, block: int = 256) -> DataFrame:
+    """Links ``(a, b)`` between components within buckets, from ``members(bucket, size, node, comp)``.
+
+    Members are dealt to blocks by hash, and every two blocks of a bucket are
+    compared by one task, sets against sets as a matrix product; only links
+    that join two components leave it, so what is emitted is linear.
+    """
+    n = F.ceil(F.col("size") / block).cast("int")
+    m = members.withColumn("mine", F.pmod(F.xxhash64("node"), n).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
+    m = m.select("bucket", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "node", "comp").join(texts, "node")
+    key = ["bucket", "lo", "hi"]
+    m = m.select(*key, "mine", "node.f1", "node.f2", F.col("comp.f1").alias("c1"), F.col("comp.f2").alias("c2"), "text").repartition(*key).sortWithinPartitions(*key)
+    node = pa.struct([("f1", pa.int64()), ("f2", pa.int64())])
+
+    def run(batches):
+        hashes, last, rows = WordHashes(), None, []
+
+        def links():
+            found = _joined(rows, num, den, k, hashes) if len({r[2] for r in rows}) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([dict(zip(("f1", "f2"), p[s])) for p in found], node) for s in (0, 1)], ["a", "b"])
+
+        for b in batches:
+            for bucket, lo, hi, mine, f1, f2, c1, c2, text in zip(*(c.to_pylist() for c in b.columns)):
+                if last != (bucket, lo, hi):
+                    if rows:
+                        yield links()
+                    last, rows = (bucket, lo, hi), []
+                rows.append((mine, (f1, f2), (c1, c2), text))
+        if rows:
+            yield links()
+
+    out = "struct<f1:bigint,f2:bigint>"
+    return m.mapInArrow(run, f"a {out}, b {out}")
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 4, den: int = 5, bands: int = BANDS, rows: int = ROWS, k: int = 5) -> DataFrame:
     """Per row: ``id, k1, k2, n_shingles, component_id, kept``.
 
@@ -130,32 +197,15 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     texts = cut(with_text_key(docs, "_text").join(wanted, ["k1", "k2"]).where(F.col("_id").eqNullSafe(F.col("wid")))
                 .select("node", F.coalesce("_text", F.lit("")).alias("text")).dropDuplicates(["node"]), "texts")
 
-    def pairs(m: DataFrame) -> DataFrame:
-        fits = F.least("n", "cn") * den >= F.greatest("n", "cn") * num  # else the sizes alone rule it out
-        return m.where((F.col("node") != F.col("centre")) & fits).select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-
-    new = cut(pairs(members.select("node", "n", F.col("centre.node").alias("centre"), F.col("centre.n").alias("cn"))), "edges")
-    members = members.where(F.col("node") != F.col("centre.node")).select("bucket", "node", "n")
-    links, tested, centres = cut(confirm(new, texts, num, den, k), "links"), new, 4
+    star = members.select("node", "n", F.col("centre.node").alias("centre"), F.col("centre.n").alias("cn")).where(
+        (F.col("node") != F.col("centre")) & (F.least("n", "cn") * den >= F.greatest("n", "cn") * num))  # else the sizes alone rule it out
+    links = cut(confirm(star.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct(), texts, num, den, k), "links")
     root = components(links)
-    while True:
-        degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("deg"))
-        members = cut(members.join(root, "node", "left").join(degree, "node", "left").select(
-            "bucket", "node", "n", F.coalesce("root", "node").alias("comp"), F.coalesce("deg", F.lit(0)).alias("deg")), "members")
-        still = members.groupBy("bucket").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("bucket")
-        members = cut(members.join(still, "bucket", "left_semi"), "members")
-        if members.isEmpty():
-            break
-        top = Window.partitionBy("bucket").orderBy(F.desc("deg"), "node")
-        chosen = cut(members.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= centres).select("bucket", F.col("node").alias("centre"), F.col("n").alias("cn"), F.col("comp").alias("cc")), "centres")
-        new = cut(pairs(members.join(chosen, "bucket").where("comp <> cc")).join(tested, ["a", "b"], "left_anti"), "edges")
-        good = cut(confirm(new, texts, num, den, k), "links")
-        tested = tested.unionByName(new)
-        members = members.join(chosen.select("bucket", F.col("centre").alias("node")), ["bucket", "node"], "left_anti").select("bucket", "node", "n")
-        centres *= 4
-        if not good.isEmpty():
-            links = links.unionByName(good)
-            root = components(links)
+    members = cut(members.where(F.col("node") != F.col("centre.node")).select("bucket", "node").join(root, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("comp")), "members")
+    parted = members.groupBy("bucket").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count(F.lit(1)).alias("size")).where("c1 <> c2").select("bucket", "size")
+    rest = cut(inside(members.join(parted, "bucket"), texts, num, den, k), "links")
+    if not rest.isEmpty():
+        root = components(links.unionByName(rest))
 
     of_class = rep.join(root, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
     least = of_class.groupBy("root").agg(F.min("id").alias("component_id"))
