@@ -31,7 +31,7 @@ from evenkeel.llm.common import cut
 from evenkeel.llm.neardup import with_text_key
 from evenkeel.llm.words import M1, mix, utf8
 
-LENGTH, GRAM, STEP, SHARD, HOT = 400, 32, 16, 131_072, 4000  # STEP: most bytes a refinement round takes
+LENGTH, GRAM, STEP, SHARD, HOT = 400, 32, 16, 65_536, 4000  # STEP: most bytes a refinement round takes
 CHUNK = 1 << 19
 
 
@@ -78,117 +78,135 @@ def _sorted(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 def suffix_order(text: np.ndarray, group: np.ndarray) -> np.ndarray:
     """Order of all rotations of the strings in ``text`` (their numbers in ``group``, each string ends in a sentinel of its own).
 
-    ``text`` has a code for every position: bytes plus the number of strings,
-    sentinels 0, 1, ... Prefix doubling with rotation inside each string.
+    ``text`` holds small codes, sentinels below all bytes. Prefix doubling with
+    rotation inside each string; a rank is the place of the first rotation that
+    is equal so far, and only rotations that share one are sorted again.
     """
-    n = len(text)
+    n, bits = len(text), int(len(text)).bit_length()
     first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
     size = np.diff(np.append(first, n))
     start, long = first[group], size[group]
     place = np.arange(n) - start
-    rank, k, bits = text.astype(np.int64), 1, int(n).bit_length()
+    width = max(1, int(text.max(initial=0)).bit_length())
+    k = max(1, (63 - bits) // width)
+    key, at = text.astype(np.int64), place.copy()
+    for _ in range(k - 1):  # k symbols at once
+        at += 1
+        at[at == long] = 0
+        key = (key << width) | text[start + at]
+    order, s = _sorted(key, bits)
+    rank, some, old = np.empty(n, np.int64), order, np.zeros(n, np.int64)
     while True:
-        after = rank[start + (place + k) % long]
-        order, s = _sorted((rank << bits) | after, bits)
-        new = np.empty(n, np.int64)
-        new[order] = np.cumsum(np.concatenate([[0], s[1:] != s[:-1]]))
-        rank, k = new, 2 * k
-        if rank[order[-1]] == n - 1:
-            return order
+        head = np.concatenate([[True], s[1:] != s[:-1]])
+        i = np.arange(len(s))
+        top = np.maximum.accumulate(np.where(np.concatenate([[True], old[1:] != old[:-1]]), i, 0))  # where the group shared so far began
+        rank[some] = old + np.maximum.accumulate(np.where(head, i, 0)) - top
+        alone = head & np.append(head[1:], True)
+        if alone.all():
+            break
+        some = some[~alone]
+        r = rank[some]
+        order, s = _sorted((r << bits) | rank[start[some] + (place[some] + k) % long[some]], bits)
+        some = some[order]
+        old, k = s >> bits, 2 * k
+    out = np.empty(n, np.int64)
+    out[rank] = np.arange(n)
+    return out
+
+
+def _ranks(x: np.ndarray) -> np.ndarray:
+    """Dense ranks of 64-bit words."""
+    order = np.argsort(x)
+    out = np.empty(len(x), np.int64)
+    s = x[order]
+    out[order] = np.cumsum(np.concatenate([[0], s[1:] != s[:-1]]))
+    return out
 
 
 class Transform:
-    """One shard: its rotations in order, with the code of the ``step`` bytes before each."""
-
-    def __init__(self, strings: list[bytes], first: int, total: int, step: int):
-        self.string = np.repeat(np.arange(first, first + len(strings)), [len(s) + 1 for s in strings])
-        text = np.empty(len(self.string), np.int64)
-        self.place = np.empty(len(self.string), np.int64)
-        at = 0
-        for i, s in enumerate(strings):
-            text[at : at + len(s)] = np.frombuffer(s, np.uint8)  # 255 is no byte of UTF-8
-            text[at : at + len(s)] += total
-            text[at + len(s)] = first + i
-            self.place[at : at + len(s) + 1] = np.arange(len(s) + 1)
-            at += len(s) + 1
-        order = suffix_order(np.unique(text, return_inverse=True)[1], self.string - first)
+    """One shard: its rotations in order (``string``, ``place``), the words of ``step`` symbols before each and the row that begins there."""
+
+    def __init__(self, strings: list[bytes], first: int, step: int):
+        m = len(strings)
         size = np.array([len(s) + 1 for s in strings])
         begin = np.concatenate([[0], np.cumsum(size)[:-1]])
-        g = self.string - first
-        # two 64-bit words with the symbols before each rotation; a sentinel among them is marked by its string
-        sym = np.where(text >= total, text - total + 1, 0).astype(np.uint64)  # 0 is a sentinel, below all bytes
-        high, low = np.zeros(len(text), np.uint64), np.zeros(len(text), np.uint64)
-        mark = np.zeros(len(text), np.int64)
-        for j in range(step, 0, -1):
-            c = begin[g] + (self.place - j) % size[g]
-            word = high if j > 8 else low
-            word <<= np.uint64(8)
-            word |= sym[c]
-            mark = np.where(sym[c] == 0, (self.string + 1) * (STEP + 1) + j, mark)
-        self.before = np.stack([mark[order].astype(np.uint64), high[order], low[order]], 1)
-        self.string, self.place = self.string[order], self.place[order]
-
-
-def _codes(parts: list[np.ndarray]) -> list[np.ndarray]:
-    """The rows of symbols as ranks, over all shards together; order as that of the symbols for rows without a sentinel."""
-    every = np.concatenate(parts)
-    order = np.lexsort((every[:, 0], every[:, 2], every[:, 1]))
-    s = every[order]
-    rank = np.empty(len(every), np.int64)
-    rank[order] = np.cumsum(np.concatenate([[0], (s[1:] != s[:-1]).any(1)]))
-    return np.split(rank, np.cumsum([len(p) for p in parts])[:-1])
-
-
-def merge(shards: list[Transform], rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Interleave the shards: string, place and block of every rotation in merged order.
+        g = np.repeat(np.arange(m), size)
+        start, long = begin[g], size[g]
+        place = np.arange(len(g)) - start
+        text = np.frombuffer(b"\xff".join(strings) + b"\xff", np.uint8).astype(np.int64)  # 255 is no byte of UTF-8
+        end = place == long - 1
+        order = suffix_order(np.where(end, g, text + m), g)
+        word, k = np.where(end, 0, text + 1).astype(np.uint64), 1  # a sentinel is 0, below all bytes
+        while k < 8:
+            at = place + k
+            word = (word << np.uint64(8 * k)) | word[start + np.where(at >= long, at - long, at)]
+            k *= 2
+        at = place - step
+        source = start + np.where(at < 0, at + long, at)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        self.back = rank[source[order]]
+        self.high = (word[source] >> np.uint64(8 * max(0, 8 - step)))[order]
+        at = place - min(8, step)
+        self.low = (word[start + np.where(at < 0, at + long, at)] >> np.uint64(8 * max(0, 8 - step)))[order]
+        self.string, self.place = g[order] + first, place[order]
+        self.mark = np.where(self.place < step, self.string + 1, 0)  # the sentinel is among the symbols: they tell its string
+
+
+def _codes(shards: list[Transform], strings: int) -> np.ndarray:
+    """The symbols before each rotation as one number, over all shards; ordered as the symbols are."""
+    bits = int(sum(len(t.string) for t in shards)).bit_length()
+    high, low, mark = (np.concatenate([getattr(t, x) for t in shards]) for x in ("high", "low", "mark"))
+    pair = _ranks((_ranks(high) << bits) | _ranks(low))
+    return (pair << int(strings + 1).bit_length()) | mark
+
+
+def merge(shards: list[Transform], strings: int, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Interleave the shards: string, place and block of the rotations that share their first symbols with others, in merged order.
 
     Each round puts every entry behind the ``step`` symbols before it, keeping
     the order so far: the interleave of the shards after h rounds is right for
-    h * step symbols, and entries of one block share them.
+    h * step symbols, and entries of one block share them. An entry alone in
+    its block can't come to share more, so it leaves.
     """
-    codes = _codes([t.before for t in shards])
-    n = sum(map(len, codes))
-    source = np.repeat(np.arange(len(shards)), [len(c) for c in codes])
-    base = np.cumsum([0, *[len(c) for c in codes]])
-    flat = np.concatenate(codes)
-    block = np.zeros(n, np.int64)
-    bits = int(n).bit_length()
+    n = sum(len(t.string) for t in shards)
+    flat, bits = _codes(shards, strings), int(n).bit_length()
+    base = np.cumsum([0, *[len(t.string) for t in shards]])
+    back = np.concatenate([t.back + b for t, b in zip(shards, base)])
+    row, block = np.arange(n), np.zeros(n, np.int64)  # shard after shard: an interleave for no symbols
     for _ in range(rounds):
-        row = np.empty(n, np.int64)
-        for k in range(len(shards)):
-            row[source == k] = np.arange(base[k], base[k + 1])
         order, c = _sorted(flat[row], bits)
-        source = source[order]
-        key = c * n + block[order]
-        block = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
-        if block[-1] == n - 1:
+        row, b = back[row[order]], block[order]
+        head = np.concatenate([[True], (c[1:] != c[:-1]) | (b[1:] != b[:-1])])
+        shared = ~(head & np.append(head[1:], True))
+        row, block = row[shared], np.cumsum(head)[shared]
+        if not len(row):
             break
-    row = np.empty(n, np.int64)
-    for k in range(len(shards)):
-        row[source == k] = np.arange(base[k], base[k + 1])
-    string = np.concatenate([t.string for t in shards])[row]
-    place = np.concatenate([t.place for t in shards])[row]
-    return string, place, block
+    return np.concatenate([t.string for t in shards])[row], np.concatenate([t.place for t in shards])[row], block
 
 
 def repeated_windows(strings: list[bytes], length: int, shard: int = SHARD) -> list[np.ndarray]:
     """For each string the flags of its windows of ``length`` bytes that start elsewhere too, in any of the strings."""
-    out = [np.zeros(max(0, len(s) - length + 1), bool) for s in strings]
-    parts, at, room, step = [], 0, 0, max(d for d in range(1, STEP + 1) if length % d == 0)
-    for i, s in enumerate(strings):
-        room += len(s)
-        if room >= shard:
-            parts.append(Transform(strings[at : i + 1], at, len(strings), step))
-            at, room = i + 1, 0
-    if at < len(strings):
-        parts.append(Transform(strings[at:], at, len(strings), step))
+    step = max(d for d in range(1, STEP + 1) if length % d == 0)
+    long = [i for i, s in enumerate(strings) if len(s) >= length]
+    parts, at, room = [], 0, 0
+    for k, i in enumerate(long):
+        room += len(strings[i])
+        if room >= shard or k == len(long) - 1:
+            parts.append(Transform([strings[j] for j in long[at : k + 1]], at, step))
+            at, room = k + 1, 0
+    out = [np.zeros(0, bool)] * len(strings)
     if not parts:
         return out
-    string, place, block = merge(parts, length // step)
-    fits = place <= np.array([len(s) - length for s in strings])[string]
-    many = np.bincount(block[fits], minlength=block[-1] + 1)[block] > 1
-    for s, p in zip(string[fits & many], place[fits & many]):
-        out[s][p] = True
+    string, place, block = merge(parts, len(long), length // step)
+    last = np.array([len(strings[i]) - length for i in long])
+    fits = place <= last[string]
+    many = fits & (np.bincount(block[fits], minlength=int(block.max(initial=0)) + 1)[block] > 1)
+    begin = np.concatenate([[0], np.cumsum(last + 1)])
+    every = np.zeros(begin[-1], bool)
+    every[begin[string[many]] + place[many]] = True
+    for k, i in enumerate(long):
+        out[i] = every[begin[k] : begin[k + 1]]
     return out
 
 
