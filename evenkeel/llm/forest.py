@@ -134,8 +134,10 @@ def forest_pairs(reps: DataFrame, threshold: float, trees: int = TREES, leaf: in
     rows = rows if done is None else rows.unionByName(done)
     rows = cut(rows, "leaves")
 
+    here = F.xxhash64(*leaf_key)
+    leaves = rows.groupBy("h1", "h2").agg(F.collect_set(here).alias("leaves"))  # a few for each tree
     size = rows.groupBy(leaf_key).agg(F.count(F.lit(1)).alias("size")).withColumn("nb", F.ceil(F.col("size") / leaf).cast("int"))
-    placed = rows.join(size, leaf_key).withColumn("mine", F.pmod(F.xxhash64("h2", "h1"), F.col("nb")).cast("int"))
+    placed = rows.withColumn("here", here).join(leaves, ["h1", "h2"]).join(size, leaf_key).withColumn("mine", F.pmod(F.xxhash64("h2", "h1"), F.col("nb")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).withColumn("lo", F.least("mine", "other")).withColumn("hi", F.greatest("mine", "other"))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -146,15 +148,21 @@ def forest_pairs(reps: DataFrame, threshold: float, trees: int = TREES, leaf: in
         i, j = left[i], right[j]
         if lo == hi:
             i, j = i[i < j], j[i < j]
-        same = np.einsum("ij,ij->i", v[i], v[j]) >= threshold
+        # a pair leaves the first of the leaves that it shares, so no pair comes twice
+        at = int(pdf["here"].iloc[0])
+        before = [np.array([x for x in k if x < at], np.int64) for k in pdf["leaves"]]
+        code = np.unique(np.concatenate(before), return_inverse=True)[1]
+        member = np.zeros((len(v), int(code.max(initial=-1)) + 1), np.float32)
+        member[np.repeat(np.arange(len(v)), [len(k) for k in before]), code] = 1
+        same = (np.einsum("ij,ij->i", v[i], v[j]) >= threshold) & ((member @ member.T)[i, j] == 0)
         a, b = h[i[same]], h[j[same]]
         swap = (a[:, 0] > b[:, 0]) | ((a[:, 0] == b[:, 0]) & (a[:, 1] > b[:, 1]))
         a, b = np.where(swap[:, None], b, a), np.where(swap[:, None], a, b)
         return pd.DataFrame({"a1": a[:, 0], "a2": a[:, 1], "b1": b[:, 0], "b2": b[:, 1]})
 
-    found = placed.select("tree", "dim", "path", "lo", "hi", "mine", "h1", "h2", "v").groupBy("tree", "dim", "path", "lo", "hi").applyInPandas(
+    found = placed.select("tree", "dim", "path", "lo", "hi", "mine", "here", "leaves", "h1", "h2", "v").groupBy("tree", "dim", "path", "lo", "hi").applyInPandas(
         compare, "a1 long, a2 long, b1 long, b2 long")
-    return found.where("a1 <> b1 or a2 <> b2").distinct()
+    return found
 
 
 def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.95, trees: int = TREES, leaf: int = LEAF) -> DataFrame:
