@@ -127,6 +127,7 @@ def code_lengths(corpus: DataFrame, order: int) -> DataFrame:
         value = F.when(hit, F.col("acc") + F.log10((F.col("c") - 0.5) / n)).otherwise(F.col("value"))
         acc = F.col("acc") + F.when(F.col("value").isNull() & F.col("n").isNotNull() & (distinct > 0), F.log10(distinct / (2 * n))).otherwise(0.0)
         d = d.select("item", "seen", acc.alias("acc"), value.alias("value"), F.coalesce("x", "x0").alias("x0"), F.coalesce("d", "d0").alias("d0"))
+        d = cut(d, "level")  # one plan of all orders would be large
     rest = F.col("acc") - F.log10(F.greatest(F.lit(1), F.lit(SYMBOLS) - F.col("d0")))
     return d.select("item", F.coalesce("value", rest).alias("value"), F.col("seen").alias("c"))
 
@@ -172,8 +173,8 @@ def _frequent(table: DataFrame, most: int):
         if held + r["n"] > most:
             break
         held, floor = held + r["n"], (1 << r["b"]) - 1
-    pdf = table.where(F.col("c") >= floor).select("item", "value").toPandas()
-    return table.sparkSession.sparkContext.broadcast((pdf["item"].to_numpy(np.int64), pdf["value"].to_numpy(np.float64))), floor
+    got = table.where(F.col("c") >= floor).select("item", "value").toArrow()
+    return table.sparkSession.sparkContext.broadcast((got.column("item").to_numpy().astype(np.int64), got.column("value").to_numpy().astype(np.float64))), floor
 
 
 def score_texts(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, most: tuple[int, int] = (MOST_WORDS, MOST_GRAMS)) -> DataFrame:
