@@ -145,3 +145,64 @@ def joint_permutation(df: DataFrame, i: str, j: str, value: str, seed: int = 1)
     mixed = names.select(F.col("n").alias("m")).withColumn("k", F.row_number().over(Window.orderBy(F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col("m").cast("string")), 256), "m")))
     perm = place.join(mixed, "k").select("n", "m")
     return df.join(perm.select(F.col("n").alias(i), F.col("m").alias("_i")), i).join(perm.select(F.col("n").alias(j), F.col("m").alias("_j")), j).select(F.col("_i").alias(i), F.col("_j").alias(j), value)
+
+
+def scored_dynamics(df: DataFrame, keys: list[str], state: str, params: dict[str, np.ndarray], rate: float = 0.1) -> DataFrame:
+    """Next state and its derivative under given residual dynamics: x + rate (A x + U tanh(V x + b)). No training."""
+    a, u, v, b = (np.asarray(params[k], float) for k in ("A", "U", "V", "b"))
+
+    def run(batches):
+        for pdf in batches:
+            x = np.array(pdf[state].to_list(), float).reshape(-1, len(a))
+            h = np.tanh(x @ v.T + b)
+            step = x + rate * (x @ a.T + h @ u.T)
+            slope = np.eye(len(a)) + rate * (a + (u[None] * (1 - h * h)[:, None, :]) @ v)
+            yield pdf[keys].assign(next_state=list(step), jacobian=[list(map(list, j)) for j in slope])
+
+    kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in keys)
+    return df.select(*keys, state).mapInPandas(run, f"{kinds}, next_state array<double>, jacobian array<array<double>>")
+
+
+def output_maps(df: DataFrame, trial: list[str], t: str, matrix: str, blocks: dict[str, np.ndarray], sds: dict[str, np.ndarray], horizons: list[int]) -> DataFrame:
+    """Standardised output maps times the propagators of every horizon, on the starts that the longest horizon has.
+
+    ``map`` stacks the rows block by block, in a block horizon by horizon; a
+    block's rows are divided by their residual sd and the root of their number.
+    """
+    parts = {k: np.asarray(m, float) / np.asarray(sds[k], float)[:, None] / np.sqrt(len(m)) for k, m in blocks.items()}
+    order, longest = sorted(horizons), max(horizons)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(t)
+        m, rows = [np.array([list(r) for r in x], float) for x in pdf[matrix]], []
+        for s in range(len(m) - longest + 1):
+            p, at = np.eye(len(m[s])), {}
+            for j in range(longest):
+                p = m[s + j] @ p
+                at[j + 1] = p
+            rows.append((*[pdf[c].iloc[0] for c in trial], pdf[t].iloc[s], np.concatenate([o @ at[h] for o in parts.values() for h in order]).tolist()))
+        return pd.DataFrame(rows, columns=[*trial, t, "map"])
+
+    kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in [*trial, t])
+    return df.groupBy(*trial).applyInPandas(run, f"{kinds}, map array<array<double>>")
+
+
+def subspace_metrics(df: DataFrame, trial: list[str], t: str, matrix: str, block_rows: list[int], k: int = 2, lag: int = 5) -> DataFrame:
+    """Per (trial, t): entropy of the block energies in the top ``k`` directions, and the mean squared canonical correlation with those ``lag`` later (null at the tail)."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(t)
+        m = np.stack([np.array([list(r) for r in x], float) for x in pdf[matrix]])
+        top = np.linalg.svd(m, full_matrices=False)[2][:, :k]
+        energy = np.add.reduceat(((m @ top.transpose(0, 2, 1)) ** 2).sum(2), [0, *np.cumsum(block_rows)[:-1]], axis=1)
+        total = energy.sum(1)
+        p = energy / np.where(total > 0, total, 1)[:, None]
+        spread = -(p * np.log(np.where(p > 0, p, 1))).sum(1) / np.log(len(block_rows)) if len(block_rows) > 1 else np.ones(len(m))
+        lasting = [None] * len(m)
+        if len(m) > lag:
+            cc = np.linalg.svd(top[:-lag] @ top[lag:].transpose(0, 2, 1), compute_uv=False)
+            lasting[: len(m) - lag] = (cc**2).mean(1).tolist()
+        return pdf[[*trial, t]].assign(broadcast=[float(x) if e > 0 else None for x, e in zip(spread, total)], persistence=lasting)
+
+    kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in [*trial, t])
+    return df.groupBy(*trial).applyInPandas(run, f"{kinds}, broadcast double, persistence double")

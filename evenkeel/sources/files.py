@@ -76,3 +76,13 @@ def links(pages: DataFrame, html: str = "html", keep: str = ".*") -> DataFrame:
     d = pages.withColumn("_a", F.explode(anchors))
     d = d.withColumn("href", F.regexp_extract("_a", r'(?is)href="([^"]*)"', 1)).withColumn("label", F.trim(F.regexp_replace(F.regexp_extract("_a", r"(?is)>(.*)</a>$", 1), r"<[^>]*>", "")))
     return d.where(F.col("href").rlike(keep)).drop("_a", html)
+
+
+def roster(listing: DataFrame, unit: str, required: dict[str, str], excluded: DataFrame | None = None) -> DataFrame:
+    """``unit, include, reason`` from a file listing with ``path``: a unit needs a file for every pattern of ``required``; excluded units go."""
+    found = [F.max(F.col("path").rlike(p).cast("int")).alias(n) for n, p in required.items()]
+    out = listing.groupBy(unit).agg(*found)
+    if excluded is not None:
+        out = out.join(excluded.select(unit).distinct(), unit, "left_anti")
+    missing = F.array_join(F.filter(F.array(*[F.when(F.col(n) == 0, F.lit(n)) for n in required]), lambda x: x.isNotNull()), ",")
+    return out.select(unit, (missing == "").alias("include"), F.when(missing != "", F.concat(F.lit("missing "), missing)).alias("reason"))
