@@ -24,30 +24,31 @@ REPEAT_BYTES = 240
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score below 0.5. The model learns from ``labels`` and the texts in ``docs``."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = toxicity.score_toxicity(docs, docs, labels, crc_mod(F.col("doc_id"), 5) != 0, keep=docs.columns)
-    return scored.where("predicted = 0").select(docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), "text")  # whole rows, so that no column of docs can clash
+    scored = toxicity.score_toxicity(rows, docs, labels, crc_mod(F.col("doc_id"), 5) != 0, keep=["row"])
+    return scored.where("predicted = 0").select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of each group; of repeated rows one stays."""
     found = neardup.near_duplicates(docs, num=4, den=5).where("kept").select(F.col("id").alias("_id"), "k1", "k2").distinct()
-    keyed = neardup.with_text_key(docs)
-    kept = keyed.join(found, (keyed.k1 == found.k1) & (keyed.k2 == found.k2) & keyed.doc_id.eqNullSafe(found["_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "k1", "k2"]).select(docs.columns)
+    keyed = neardup.with_text_key(docs.select(F.struct("*").alias("row"), "text", F.col("doc_id").alias("_key"))).drop("text")
+    kept = keyed.join(found, (keyed.k1 == found.k1) & (keyed.k2 == found.k2) & keyed["_key"].eqNullSafe(found["_id"]), "left_semi")
+    return kept.dropDuplicates(["_key", "k1", "k2"]).select("row.*")
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without their repeated strings; characters cut in two go. Other texts stay as they are; n_chars follows."""
-    found = bwt.remove_repeats(docs, length=REPEAT_BYTES, as_text=True)
-    cut_out = F.col("n_removed") > 0
-    out = found.withColumn("text", F.when(cut_out, F.col("kept")).otherwise(F.col("text")))
-    return out.withColumn("n_chars", F.when(cut_out, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    found = bwt.remove_repeats(docs, length=REPEAT_BYTES, as_text=True, nested=True)
+    length = F.length("kept").cast(docs.schema["n_chars"].dataType)
+    row = F.when(F.col("n_removed") > 0, F.col("row").withField("text", F.col("kept")).withField("n_chars", length)).otherwise(F.col("row"))
+    return found.select(row.alias("row")).select("row.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents in the order of the mixture: files in order of their slots, and each file within."""
-    mixed = mixing.mix_sources(docs)
-    return mixed.repartitionByRange("slot", "start").sortWithinPartitions("slot", "start").select(docs.columns)
+    mixed = mixing.mix_sources(docs, nested=True)
+    return mixed.repartitionByRange("slot", "start").sortWithinPartitions("slot", "start").select("row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,6 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evenkeel.llm.common import cut
 from evenkeel.llm.neardup import with_text_key
@@ -313,7 +314,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, shard: int = SHARD, ho
     return spans.groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("spans"))
 
 
-def remove_repeats(df: DataFrame, text_col: str = "text", length: int = LENGTH, as_text: bool = False, shard: int = SHARD, hot: int = HOT) -> DataFrame:
+def remove_repeats(df: DataFrame, text_col: str = "text", length: int = LENGTH, as_text: bool = False, nested: bool = False, shard: int = SHARD, hot: int = HOT) -> DataFrame:
     """All rows and columns of ``df`` with ``n_bytes, n_removed, n_spans`` and ``kept`` (the bytes that stay; with
     ``as_text`` a string without the characters that were cut in two).
 
@@ -321,23 +322,18 @@ def remove_repeats(df: DataFrame, text_col: str = "text", length: int = LENGTH,
     another place of any text, the same text included; texts are UTF-8 and
     matches never cross them. Null, empty and short texts stay as they are
     (null: empty bytes). Repeated rows are places of their own, so their texts
-    repeat. ``df`` must not have columns of the names added here.
+    repeat. Columns of ``df`` with the names added here give way to them; with
+    ``nested`` the row of ``df`` comes whole, as a struct ``row``.
     """
     names = ["n_bytes", "n_removed", "n_spans", "kept"]
-    clash = {*names, "k1", "k2", "spans"} & set(df.columns)
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} are in use")
-    keyed = with_text_key(df, text_col)
-    spans = cut(repeated_spans(keyed.select("k1", "k2", F.col(text_col).alias("text")), length, shard, hot), "spans")
-    joined = keyed.join(spans, ["k1", "k2"], "left").drop("k1", "k2")
-    width = len(df.columns)
-    columns = df.columns
-    at = columns.index(text_col)
+    keyed = with_text_key(df.select(F.struct("*").alias("row"), F.col(text_col).alias("text")))
+    spans = cut(repeated_spans(keyed.select("k1", "k2", "text"), length, shard, hot), "spans")
+    joined = keyed.join(spans, ["k1", "k2"], "left").select("row", "text", "spans")
 
     def run(batches):
         for b in batches:
             rows = []
-            for t, spans in zip(b.column(at), b.column(width)):
+            for t, spans in zip(b.column(1), b.column(2)):
                 raw, kept, end, gone, count = utf8(t.as_py()), [], 0, 0, 0
                 for x in spans.as_py() or []:
                     s, e = x["s"], x["e"]
@@ -350,7 +346,9 @@ def remove_repeats(df: DataFrame, text_col: str = "text", length: int = LENGTH,
                 kept = b"".join(kept)
                 rows.append((len(raw), gone, count, kept.decode("utf-8", "ignore") if as_text else kept))
             c = list(zip(*rows)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([*b.columns[:width], *(pa.array(list(x), k) for x, k in zip(c, (pa.int64(), pa.int64(), pa.int64(), pa.string() if as_text else pa.binary())))], [*columns, *names])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string() if as_text else pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(list(x), k) for x, k in zip(c, kinds))], ["row", *names])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return joined.mapInArrow(run, f"{fields}, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}")
+    shape = T.StructType([keyed.schema["row"], *(T.StructField(n, T.LongType()) for n in names[:3]), T.StructField("kept", T.StringType() if as_text else T.BinaryType())])
+    out = joined.mapInArrow(run, shape)
+    return out if nested else out.select(*[F.col("row")[c].alias(c) for c in df.columns if c not in names], *names)

@@ -68,7 +68,7 @@ def phases(blocks: dict[str, int], weights: dict[str, float], period: int) -> li
     return rows
 
 
-def mix_sources(df: DataFrame, weights: dict[str, float] | None = None, block_bytes: int = 65_536, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0, power: float = 0.5) -> DataFrame:
+def mix_sources(df: DataFrame, weights: dict[str, float] | None = None, block_bytes: int = 65_536, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0, power: float = 0.5, nested: bool = False) -> DataFrame:
     """All rows of ``df`` with ``mix_source, start, block, release, deadline, slot``.
 
     ``weights`` are targets by source; sources without one, and all if there
@@ -79,14 +79,12 @@ def mix_sources(df: DataFrame, weights: dict[str, float] | None = None, block_by
     source's stream is ordered by a hash of id and text, in ranges that are
     summed first, so a source with most rows is no single task. Only one row
     per source (``MAX_SOURCES`` at most, else an error) comes to the driver.
+    Columns of ``df`` with the names added here give way to them; with
+    ``nested`` the row of ``df`` comes whole, as a struct ``row``.
     """
     spark = df.sparkSession
-    own = {"mix_source", "mix_key", "mix_size", "mix_range"}
-    if own & set(df.columns):
-        raise ValueError(f"columns {sorted(own & set(df.columns))} are in use")
-    d = (df.withColumn("mix_source", F.coalesce(F.col(source_col).cast("string"), F.lit("<null>")))
-         .withColumn("mix_size", F.greatest(F.lit(1), F.octet_length(F.coalesce(F.col(text_col), F.lit("")))).cast("long"))
-         .withColumn("mix_key", F.xxhash64(F.lit(seed), id_col, text_col)))
+    d = df.select(F.struct("*").alias("row"), F.coalesce(F.col(source_col).cast("string"), F.lit("<null>")).alias("mix_source"),
+                  F.greatest(F.lit(1), F.octet_length(F.coalesce(F.col(text_col), F.lit("")))).cast("long").alias("mix_size"), F.xxhash64(F.lit(seed), id_col, text_col).alias("mix_key"))
     total = d.groupBy("mix_source").agg(F.count(F.lit(1)).alias("n"), F.sum("mix_size").alias("bytes")).limit(MAX_SOURCES + 1).collect()
     if len(total) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
@@ -117,4 +115,5 @@ def mix_sources(df: DataFrame, weights: dict[str, float] | None = None, block_by
     whole = F.floor(i / q).cast("long")
     d = (d.withColumn("release", base + F.floor(i * p / q).cast("long")).withColumn("deadline", base + F.ceil((i + 1) * p / q).cast("long"))
          .withColumn("slot", base + whole * p + F.element_at("mix_now.slots", (i - whole * q + 1).cast("int"))))
-    return d.select(*df.columns, "mix_source", "start", "block", "release", "deadline", "slot")
+    made = ["mix_source", "start", "block", "release", "deadline", "slot"]
+    return d.select("row", *made) if nested else d.select(*[F.col("row")[c].alias(c) for c in df.columns if c not in made], *made)

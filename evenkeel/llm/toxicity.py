@@ -14,6 +14,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evenkeel.llm.words import M1, M2, M3, WordHashes, mix, utf8
 
@@ -89,7 +90,7 @@ def score_toxicity(df: DataFrame, source: DataFrame, labels: DataFrame, train_wh
          .withColumnRenamed("key", id_col).where(train_where).withColumnRenamed(id_col, "key").orderBy(F.xxhash64("key"), "key", "y").limit(sample))
     chosen = source.select(F.col(id_col).alias("key"), F.col(text_col).alias("text")).join(F.broadcast(y), "key")  # at most ``sample`` rows of two numbers
     sent = spark.sparkContext.broadcast(train(chosen, bits))  # 2 ** bits weights at most
-    fields = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keep)
+    shape = T.StructType([*(df.schema[k] for k in keep), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def run(batches):
         full = np.zeros(1 << bits, np.float32)
@@ -100,4 +101,4 @@ def score_toxicity(df: DataFrame, source: DataFrame, labels: DataFrame, train_wh
             p = 1 / (1 + np.exp(-np.clip(s, -700, 700)))
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(p), pa.array((p >= threshold).astype(np.int32))], [*keep, "score", "predicted"])
 
-    return df.select(*keep, F.col(text_col).alias("_text")).mapInArrow(run, f"{fields}, score double, predicted int")
+    return df.select(*keep, F.col(text_col).alias("_text")).mapInArrow(run, shape)

@@ -1,7 +1,7 @@
 import random
 from collections import Counter
 
-import pytest
+from pyspark.sql import functions as F
 
 from evenkeel.llm import mixing
 
@@ -46,5 +46,6 @@ def test_given_weights_and_empty(spark):
     first = Counter(r.source for r in got if r.slot < 200)
     assert abs(first["a"] - 150) <= 1
     assert mixing.mix_sources(df.limit(0)).count() == 0
-    with pytest.raises(ValueError):
-        mixing.mix_sources(df.withColumnRenamed("text", "mix_size"), text_col="mix_size")
+    clash = df.withColumn("slot", F.lit(-1)).withColumn("mix_size", F.lit(0)).withColumn("row", F.lit("r"))
+    got = mixing.mix_sources(clash, block_bytes=1000).collect()
+    assert len(got) == 400 and min(r.slot for r in got) == 0 and {r.mix_size for r in got} == {0}

@@ -1,5 +1,7 @@
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from evenkeel.llm.common import cut
 from tests.llm.brute import near, repeats
@@ -42,5 +44,20 @@ def test_stages_one_by_one(spark):
         assert at <= 2048
 
 
+def test_clashing_columns_nulls_and_repeats(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    odd = spark.createDataFrame([(None, None, None, None, None), (7_000_000, "", "en", None, 0), (7_000_001, "w " * 3000, "en", "x", 1), (7_000_001, "w " * 3000, "en", "x", 1)], docs.schema)
+    names = ["row", "k1", "k2", "score", "predicted", "kept", "spans", "n_bytes", "slot", "start", "block", "mix_source", "text_", "_id"]
+    for some in (docs.unionByName(odd), docs.limit(0)):
+        d = some.select("*", *[F.lit(i).alias(n) for i, n in enumerate(names)])
+        for name, stage in corpus_pipeline.STAGES:
+            out = cut(stage(spark, d, SF), name)
+            if name != "packing":
+                assert out.columns == d.columns
+                assert out.where(" or ".join(f"{n} <> {i}" for i, n in enumerate(names))).isEmpty()
+            d = out
+        assert (d.count() > 60) == (some.count() > 0)
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
