@@ -212,29 +212,36 @@ def repeated_windows(strings: list[bytes], length: int, shard: int = SHARD) -> l
 
 
 def _pieces_of(docs: DataFrame, length: int) -> DataFrame:
-    """``k1, k2, start, n, key, d1, d2`` for each piece of each row's text (``k1, k2, text``)."""
+    """``k1, k2, starts, n, key, d1, d2`` for each different piece of each row's text (``k1, k2, text``).
+
+    Texts that repeat a word over and over have the same piece at very many places: these come in one row.
+    """
 
     def run(batches):
-        names = ["k1", "k2", "start", "n", "key", "d1", "d2"]
+        names = ["k1", "k2", "starts", "n", "key", "d1", "d2"]
         for b in batches:
-            rows, starts, counts, keys, digests = [], [], [], [], []
+            rows, starts, ends, counts, keys, digests = [], [], [], [], [], []
             for i, t in enumerate(b.column(2)):
                 raw = utf8(t.as_py())
                 if len(raw) < length:
                     continue
-                s, n, k = pieces(raw, length)
-                rows.append(np.full(len(s), i))
-                starts.append(s)
-                counts.append(n)
-                keys.append(k)
-                digests += [xxhash.xxh3_128_digest(raw[a : a + c + length - 1]) for a, c in zip(s.tolist(), n.tolist())]
+                same: dict = {}
+                for a, c, k in zip(*(x.tolist() for x in pieces(raw, length))):
+                    same.setdefault((k, xxhash.xxh3_128_digest(raw[a : a + c + length - 1])), [c]).append(a)
+                for (k, d), (c, *at) in same.items():
+                    rows.append(i)
+                    starts += at
+                    ends.append(len(starts))
+                    counts.append(c)
+                    keys.append(k)
+                    digests.append(d)
             if rows:
-                r, d = np.concatenate(rows), np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+                d, r = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2), pa.array(rows)
+                lists = pa.ListArray.from_arrays(pa.array([0, *ends], pa.int32()), pa.array(starts, pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(pa.array(r)), b.column(1).take(pa.array(r)), pa.array(np.concatenate(starts).astype(np.int64)), pa.array(np.concatenate(counts).astype(np.int64)),
-                     pa.array(np.concatenate(keys).view(np.int64)), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy())], names)
+                    [b.column(0).take(r), b.column(1).take(r), lists, pa.array(counts, pa.int64()), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy())], names)
 
-    return docs.select("k1", "k2", "text").mapInArrow(run, "k1 long, k2 long, start long, n long, key long, d1 long, d2 long")
+    return docs.select("k1", "k2", "text").mapInArrow(run, "k1 long, k2 long, starts array<long>, n long, key long, d1 long, d2 long")
 
 
 def _with_bytes(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
@@ -299,9 +306,9 @@ def _by_digest(piece_rows: DataFrame, length: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, length: int = LENGTH, shard: int = SHARD, hot: int = HOT) -> DataFrame:
     """``k1, k2, spans``: byte ranges of each text (as ``array<struct<s, e>>``, may overlap) covered by repeated windows."""
     found = cut(_pieces_of(docs, length), "pieces")
-    keys = found.groupBy("key").agg(F.count(F.lit(1)).alias("c"), (F.min("d1") != F.max("d1")).alias("mixed")).where("c > 1").drop("c")
+    keys = found.groupBy("key").agg(F.sum(F.size("starts")).alias("c"), (F.min("d1") != F.max("d1")).alias("mixed")).where("c > 1").drop("c")
     again = cut(found.join(keys, "key"), "again")
-    one = cut(again.groupBy("key", "d1", "d2").agg(F.count(F.lit(1)).alias("c"), F.first("mixed").alias("mixed"), F.min(F.struct("k1", "k2", "start", "n")).alias("at")), "one")
+    one = cut(again.groupBy("key", "d1", "d2").agg(F.sum(F.size("starts")).alias("c"), F.first("mixed").alias("mixed"), F.min(F.struct("k1", "k2", F.col("starts")[0].alias("start"), "n")).alias("at")), "one")
     mixed = one.where("mixed").select("key", "d1", "d2", "at.*")
     big = cut(mixed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > hot).select("key"), "big")
     rows = cut(_with_bytes(docs, mixed, length), "bytes")
@@ -310,7 +317,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, shard: int = SHARD, ho
         runs = runs.unionByName(_by_digest(rows.join(big, "key", "left_semi"), length))
     whole = one.where("c > 1").select("key", "d1", "d2", F.lit(0).cast("long").alias("a"), (F.col("at.n") - 1).alias("b"))
     runs = cut(runs.unionByName(whole), "runs")
-    spans = again.join(runs, ["key", "d1", "d2"]).select("k1", "k2", (F.col("start") + F.col("a")).alias("s"), (F.col("start") + F.col("b") + length).alias("e")).distinct()
+    spans = again.join(runs, ["key", "d1", "d2"]).select("k1", "k2", F.explode("starts").alias("start"), "a", "b")
+    spans = spans.select("k1", "k2", (F.col("start") + F.col("a")).alias("s"), (F.col("start") + F.col("b") + length).alias("e")).distinct()
     return spans.groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("spans"))
 
 
