@@ -1,25 +1,30 @@
 """Mixing sources to target weights by Pfair scheduling.
 
 Each source's documents, in a hashed order, form one stream that is cut into
-blocks of equal size. The i-th block (from 0) of a source with weight k/D may
-run from slot floor(i D / k) and must have run by slot ceil((i + 1) D / k); in
-every slot the released block with the earliest deadline runs. So a source
-never is a whole block away from its share. The schedule repeats after D
-slots, so one period is worked out and every block finds its slot by
-arithmetic. When a source ends, a new phase starts with the weights of
-those that are left, so every document gets its place.
+blocks of equal size. The i-th block (from 0) of a source with weight w (its
+share of all weights) may run from slot floor(i / w) and must have run by slot
+ceil((i + 1) / w); in every slot the released block with the earliest deadline
+runs. So a source never is a whole block away from its share. The weights are
+taken as they are, as ratios of whole numbers, so nothing is rounded and no
+period is repeated: one task goes through the slots and writes down each
+block's. When a source ends, a new phase starts with the weights of those that
+are left, so every document gets its place.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Iterator
+from fractions import Fraction
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-PERIOD, MAX_SOURCES = 1024, 4096
+MAX_SOURCES = 4096
+#: Blocks in a row of the table of places, and the most blocks for which that table is broadcast (24 bytes each).
+RUN, SMALL_BLOCKS = 256, 2_000_000
 
 
 def quotas(weights: dict[str, float], period: int) -> dict[str, int]:
@@ -32,40 +37,84 @@ def quotas(weights: dict[str, float], period: int) -> dict[str, int]:
     return out
 
 
-def period_slots(quota: dict[str, int]) -> dict[str, list[int]]:
-    """Slots of each source's blocks in one period, earliest deadline first among released blocks."""
-    period = sum(quota.values())
-    waiting = [(0, s, 0) for s in quota]
+def whole(weights: dict[str, float]) -> dict[str, int]:
+    """Whole numbers in exactly the ratios of ``weights``."""
+    if not all(0 < w < math.inf for w in weights.values()):
+        raise ValueError("weights must be positive and finite")
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    unit = math.lcm(*(x.denominator for x in exact.values()))
+    return {s: int(x * unit) for s, x in exact.items()}
+
+
+def schedule(weight: dict[str, int]) -> Iterator[tuple[str, int, int, int]]:
+    """``(source, block, release, deadline)`` of each slot in turn, without end; earliest deadline first among released blocks."""
+    total = sum(weight.values())
+    waiting = [(0, s, 0) for s in weight]
     heapq.heapify(waiting)
     ready: list = []
-    slots: dict[str, list[int]] = {s: [] for s in quota}
-    for t in range(period):
+    t = 0
+    while True:
         while waiting and waiting[0][0] <= t:
-            _, s, i = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(i + 1) * period // quota[s]), s, i))
-        _, s, i = heapq.heappop(ready)
+            release, s, i = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(i + 1) * total // weight[s]), s, i, release))
+        deadline, s, i, release = heapq.heappop(ready)
+        yield s, i, release, deadline
+        heapq.heappush(waiting, ((i + 1) * total // weight[s], s, i + 1))
+        t += 1
+
+
+def period_slots(quota: dict[str, int]) -> dict[str, list[int]]:
+    """Slots of each source's blocks in the first ``sum(quota)`` slots."""
+    slots: dict[str, list[int]] = {s: [] for s in quota}
+    for t, (s, *_) in zip(range(sum(quota.values())), schedule(quota)):
         slots[s].append(t)
-        if i + 1 < quota[s]:
-            heapq.heappush(waiting, ((i + 1) * period // quota[s], s, i + 1))
     return slots
 
 
-def phases(blocks: dict[str, int], weights: dict[str, float], period: int) -> list[tuple]:
-    """Rows ``(source, first block, first slot, quota, period, slots)`` until all blocks have run."""
-    left, base, rows = {s: n for s, n in blocks.items() if n > 0}, 0, []
+def phases(blocks: dict[str, int], weights: dict[str, float]) -> Iterator[tuple[str, int, int, int, int]]:
+    """``(source, block, release, deadline, slot)`` slot after slot until all blocks have run."""
+    left, slot = {s: n for s, n in blocks.items() if n > 0}, 0
     while left:
-        q = quotas({s: weights[s] for s in left}, period)
-        slots = period_slots(q)
-        last = {s: (n - 1) // q[s] * period + slots[s][(n - 1) % q[s]] for s, n in left.items()}
-        length = min(last.values()) + 1
-        for s, n in list(left.items()):
-            rows.append((s, blocks[s] - n, base, q[s], period, slots[s]))
-            ran = length // period * q[s] + sum(t < length % period for t in slots[s])
-            left[s] = n - ran
-            if left[s] <= 0:
+        base, first = slot, {s: blocks[s] - n for s, n in left.items()}
+        for s, i, release, deadline in schedule(whole({s: weights[s] for s in left})):
+            yield s, first[s] + i, base + release, base + deadline, slot
+            slot += 1
+            left[s] -= 1
+            if not left[s]:
                 del left[s]
-        base += length
-    return rows
+                break
+
+
+def places(spark: SparkSession, blocks: dict[str, int], weights: dict[str, float]) -> DataFrame:
+    """The schedule as rows ``mix_source, mix_run, releases, deadlines, slots``, each of ``RUN`` blocks of a source.
+
+    One task works it out and hands it on as it goes; it holds the unfinished
+    rows (one per source) and some finished ones.
+    """
+    fields = ["mix_source", "mix_run", "releases", "deadlines", "slots"]
+
+    def batch(rows):
+        longs = pa.list_(pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.string(), pa.int64(), longs, longs, longs])], fields)
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            part, full = {}, []
+            for s, block, *times in phases(blocks, weights):
+                mine = part.setdefault(s, ([], [], []))
+                for x, t in zip(mine, times):
+                    x.append(t)
+                if (block + 1) % RUN == 0 or block + 1 == blocks[s]:
+                    full.append((s, block // RUN, *part.pop(s)))
+                if len(full) == 256:
+                    yield batch(full)
+                    full = []
+            if full:
+                yield batch(full)
+
+    return spark.range(0, 1, 1, 1).mapInArrow(run, "mix_source string, mix_run long, releases array<long>, deadlines array<long>, slots array<long>")
 
 
 def mix_sources(df: DataFrame, weights: dict[str, float] | None = None, block_bytes: int = 65_536, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0, power: float = 0.5, nested: bool = False) -> DataFrame:
@@ -73,7 +122,8 @@ def mix_sources(df: DataFrame, weights: dict[str, float] | None = None, block_by
 
     ``weights`` are targets by source; sources without one, and all if there
     are none, get the power ``power`` of their bytes, so that small sources come
-    up more often than they would by size. A null source is a source named
+    up more often than they would by size. Within a phase each source has, after
+    any number of slots, run its share of them to less than one block. A null source is a source named
     "<null>". A text counts its bytes, an empty or null one 1. Order the rows by
     ``slot, start`` to get the mixture. Repeated rows have equal places. A
     source's stream is ordered by a hash of id and text, in ranges that are
@@ -91,13 +141,8 @@ def mix_sources(df: DataFrame, weights: dict[str, float] | None = None, block_by
     size = {r["mix_source"]: r["bytes"] for r in total}
     given = weights or {}
     w = {s: float(given.get(s, b**power if not given else 0.0)) or min([x for x in given.values() if x > 0], default=1.0) for s, b in size.items()}
-    period = max(PERIOD, 1 << max(0, math.ceil(math.log2(4 * max(1, len(w))))))
-    plan: dict[str, list] = {}
-    for s, first, base, q, p, slots in phases({s: -(-b // block_bytes) for s, b in size.items()}, w, period):
-        plan.setdefault(s, []).append((first, base, q, p, slots))
-    shape = T.StructType([T.StructField("mix_source", T.StringType()), T.StructField("mix_plan", T.ArrayType(T.StructType([
-        T.StructField("first", T.LongType()), T.StructField("base", T.LongType()), T.StructField("q", T.LongType()), T.StructField("p", T.LongType()), T.StructField("slots", T.ArrayType(T.IntegerType()))])))])
-    plans = spark.createDataFrame(sorted(plan.items()), shape)
+    blocks = {s: -(-b // block_bytes) for s, b in size.items()}
+    plans = places(spark, blocks, w)
 
     bits = max(0, math.ceil(math.log2(max(1, sum(r["n"] for r in total)) / 4096)))
     d = d.withColumn("mix_range", F.shiftrightunsigned("mix_key", 64 - bits) if bits else F.lit(0).cast("long"))
@@ -107,13 +152,9 @@ def mix_sources(df: DataFrame, weights: dict[str, float] | None = None, block_by
     inside = Window.partitionBy("mix_source", "mix_range").orderBy("mix_key").rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("mix_inside", F.coalesce(F.sum("mix_size").over(inside), F.lit(0)))
     d = d.join(ranges, ["mix_source", "mix_range"]).withColumn("start", F.col("mix_before") + F.col("mix_inside"))
-    small = len(plan) * period <= 5_000_000
-    d = d.join(F.broadcast(plans) if small else plans, "mix_source")
-    d = d.withColumn("block", F.floor(F.col("start") / block_bytes).cast("long"))
-    d = d.withColumn("mix_now", F.element_at(F.filter("mix_plan", lambda x: x["first"] <= F.col("block")), -1))
-    i, q, p, base = F.col("block") - F.col("mix_now.first"), F.col("mix_now.q"), F.col("mix_now.p"), F.col("mix_now.base")
-    whole = F.floor(i / q).cast("long")
-    d = (d.withColumn("release", base + F.floor(i * p / q).cast("long")).withColumn("deadline", base + F.ceil((i + 1) * p / q).cast("long"))
-         .withColumn("slot", base + whole * p + F.element_at("mix_now.slots", (i - whole * q + 1).cast("int"))))
+    d = d.withColumn("block", F.floor(F.col("start") / block_bytes).cast("long")).withColumn("mix_run", F.floor(F.col("block") / RUN).cast("long"))
+    d = d.join(F.broadcast(plans) if sum(blocks.values()) <= SMALL_BLOCKS else plans.hint("merge"), ["mix_source", "mix_run"])
+    at = (F.col("block") % RUN + 1).cast("int")
+    d = d.select("row", "mix_source", "start", "block", F.element_at("releases", at).alias("release"), F.element_at("deadlines", at).alias("deadline"), F.element_at("slots", at).alias("slot"))
     made = ["mix_source", "start", "block", "release", "deadline", "slot"]
     return d.select("row", *made) if nested else d.select(*[F.col("row")[c].alias(c) for c in df.columns if c not in made], *made)

@@ -1,5 +1,7 @@
+import math
 import random
 from collections import Counter
+from fractions import Fraction
 
 from pyspark.sql import functions as F
 
@@ -49,3 +51,40 @@ def test_given_weights_and_empty(spark):
     clash = df.withColumn("slot", F.lit(-1)).withColumn("mix_size", F.lit(0)).withColumn("row", F.lit("r"))
     got = mixing.mix_sources(clash, block_bytes=1000).collect()
     assert len(got) == 400 and min(r.slot for r in got) == 0 and {r.mix_size for r in got} == {0}
+
+
+def lags(slots, weights):
+    """Greatest distance from ``weights``' share after any slot, in blocks."""
+    share, ran, worst = mixing.whole(weights), Counter(), 0
+    total = sum(share.values())
+    for t, s in enumerate(slots, 1):
+        ran[s] += 1
+        worst = max(worst, *(abs(ran[x] * total - k * t) for x, k in share.items()))
+    return worst / total
+
+
+def test_less_than_one_block_from_the_given_weights_over_a_phase(spark):
+    weights = {"a": 99.0, "b": 1.0}
+    df = spark.createDataFrame([(i, f"{i:010d}", "b" if i < 200 else "a") for i in range(6200)], "doc_id long, text string, source string")
+    got = sorted((r.slot, r.source, r.release, r.deadline, r.block) for r in mixing.mix_sources(df, weights, block_bytes=10).collect())
+    assert [r[0] for r in got] == list(range(6200))
+    end = 1 + max(r[0] for r in got if r[1] == "a")  # then a new phase starts
+    assert end > 6000 and lags([r[1] for r in got[:end]], weights) < 1
+    for slot, s, release, deadline, i in got[:end]:
+        w = Fraction(weights[s]) / 100
+        assert (release, deadline) == (math.floor(i / w), math.ceil((i + 1) / w)) and release <= slot < deadline
+
+
+def test_default_weights_of_a_hot_source_and_a_tiny_one():
+    size = {"hot": 10_000_000_000, "tiny": 1000} | {f"s{i}": 1_000_000_000 for i in range(20)}
+    weights, blocks = {s: b**0.5 for s, b in size.items()}, {s: -(-b // 1_000_000) for s, b in size.items()}
+    order = [(s, i) for s, i, *_ in mixing.phases(blocks, weights)]
+    assert len(order) == len(set(order)) == sum(blocks.values())
+    left, start, longest = dict(weights), 0, 0
+    for end, (s, i) in enumerate(order, 1):
+        if i + 1 == blocks[s]:  # the phase ends
+            assert lags([x for x, _ in order[start:end]], left) < 1
+            longest, start = max(longest, end - start), end
+            del left[s]
+    assert longest > 20_000 and not left
+    assert mixing.whole({"a": 0.75, "b": 1.5}) == {"a": 3, "b": 6}
