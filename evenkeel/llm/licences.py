@@ -1,17 +1,21 @@
 """Licence scans by canonical digests, with DataFrame functions alone.
 
-A text is canonical after lower-casing, dropping copyright lines, making
-equivalent spellings one and turning every run of other signs into one space.
-The digest of the whole text is joined to the digests of known licence
-texts; lines are looked up among known one-line notices.
+A text is canonical after lower-casing, dropping copyright lines ("copyright (c)",
+or a year after it, so that no wrapped line of a text goes) and the headings that
+it begins with, making equivalent spellings one and turning every run of other
+signs into one space. The digest of the whole text is joined to the digests of
+known licence texts; lines that are or begin with a known notice are looked up.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Public licence texts and notices.
+# Public licence texts and notices. TEXTS, NOTICES and COPYRIGHT are those of the SQL, which stays as it is;
+# MORE_TEXTS, DIGESTS and MORE_NOTICES come on top, and COPYRIGHT_LINE takes the place of COPYRIGHT.
 TEXTS = {
     "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
@@ -41,41 +45,76 @@ NOTICES = [
     ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-only"),
     ("MPL-2.0", "SPDX-License-Identifier: MPL-2.0"),
 ]
+_BSD3 = TEXTS["BSD-2-Clause"].replace("THIS SOFTWARE IS PROVIDED BY", "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\nTHIS SOFTWARE IS PROVIDED BY")
+MORE_TEXTS = [("BSD-3-Clause", _BSD3), ("BSD-3-Clause", re.sub(r"(?m)^[0-9]\. ", "", _BSD3)), ("BSD-2-Clause", re.sub(r"(?m)^[0-9]\. ", "", TEXTS["BSD-2-Clause"]))]
+#: Digests of long texts as published, with and without their appendix or end mark, with links by http and https.
+DIGESTS = {
+    "Apache-2.0": ["b006954ca49c595831e44592054eb7df00763beda6df38e52e9d36a02a916ef5", "5798ac8eb1382cf0a7e6f4107e13e06cb0117b5965f904a099074b1fa2514c29", "b7901703ca7de49fb934ca388db46676217c8b5502d35203ff525c15b226b8e1", "7b0bb1d8dbcbea1c802d3a288b3fd4d1c82b219c4c4282bea036884ebf036aea"],
+    "GPL-3.0": ["04a10e711844fe517f9ffba9481db6a825f2f268002c49184ecb8c942911bff3", "c50bb15c5f5e96b27d60ee792a7db1637c2e416eb98869999aab5af68506cd64", "ce818a0d5cb7a9a9261f63641713dbb4ca4750284738a6c3f546d86d81a541d2", "4868f466a3292b095d887ce2ca00548d3969efb48c33f6aced9a20c59f578c19"],
+    "MPL-2.0": ["c0f855aacb6ac1c86bcdd1334db61014d14898798ae14888fea5446cbb9d32e3", "ca15f9cdd3f2fd06a41df42402a3886e1de25f02b077725084c5d8d535cfcec4"],
+}
+MORE_NOTICES = [
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-or-later"),
+    ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0"),
+    ("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"),
+    ("ISC", "SPDX-License-Identifier: ISC"),
+    ("0BSD", "SPDX-License-Identifier: 0BSD"),
+    ("Zlib", "SPDX-License-Identifier: Zlib"),
+    ("CC-BY-NC-4.0", "SPDX-License-Identifier: CC-BY-NC-4.0"),
+]
 SPELLINGS = [("licence", "license"), ("licencing", "licensing"), ("licenced", "licensed"), ("organisation", "organization"), ("authoris", "authoriz"), ("acknowledgement", "acknowledgment"), ("favour", "favor"), ("merchantibility", "merchantability"), ("non-infringement", "noninfringement"), ("sub-license", "sublicense"), ("per cent", "percent")]
 COPYRIGHT = "^(c )?copyright( c)? |^(c )?copyright( c)?$|^c [0-9]{4}|^all rights reserved$"
+COPYRIGHT_LINE = r"^(portions )?(c )?copyright( c)?( by)? ([0-9]{4}|yyyy|year)( |$)|^(portions )?copyright c( |$)|^c copyright( |$)|^c ([0-9]{4}|year)( |$)|^all rights reserved$"
+_NAMES = "(?:mit|expat|isc|0bsd|bsd|zlib|apache|gnu general public|mozilla public|(?:bsd )?zero clause(?: bsd)?|bsd [023] clause(?: new or revised| new| revised| modified| simplified)?|(?:new|modified|simplified|revised) bsd|[023] clause bsd)"
+HEADING = rf"(?:the )?{_NAMES} license(?: (?:agreement|mit|expat|isc|bsd|0bsd|zlib))*(?: v?(?:version )?[0-9](?: [0-9])?)?(?: january 2004| 29 june 2007)?|license|licensing|mit|isc|version 2 0 january 2004|version 3 29 june 2007|https? www apache org licenses"
 
 
-def canonical_lines(text: Column) -> Column:
-    """The lines in canonical form, without empty and copyright lines."""
+def normal(text: Column) -> Column:
+    """Lower case, one spelling, one space for every run of other signs; line ends stay."""
     t = F.lower(F.coalesce(text, F.lit("")))
     for a, b in SPELLINGS:
         t = F.replace(t, F.lit(a), F.lit(b))
-    t = F.regexp_replace(t, r"[^\p{L}\p{N}\n]+", " ")
-    return F.filter(F.transform(F.split(t, "\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.rlike(COPYRIGHT))
+    return F.regexp_replace(t, r"[^\p{L}\p{N}\n]+", " ")
+
+
+def canonical_lines(text: Column) -> Column:
+    """The lines in canonical form, without empty and copyright lines."""
+    return F.filter(F.transform(F.split(normal(text), "\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.rlike(COPYRIGHT_LINE))
+
+
+def canonical_text(lines: Column) -> Column:
+    """The canonical lines as one, without the headings that they begin with; headings alone stay."""
+    return F.translate(F.regexp_replace(F.array_join(lines, "\n"), rf"^(?:(?:{HEADING})\n)+", ""), "\n", " ")
 
 
 def _known(spark: SparkSession, rows: list[tuple[str, str]]) -> DataFrame:
     d = spark.createDataFrame(rows, "licence string, text string")
-    return d.select("licence", F.array_join(canonical_lines(F.col("text")), " ").alias("canon")).select("licence", "canon", F.sha2("canon", 256).alias("digest")).dropDuplicates(["digest"])
+    return d.select("licence", canonical_text(canonical_lines(F.col("text"))).alias("canon")).select("licence", "canon", F.sha2("canon", 256).alias("digest")).dropDuplicates(["digest"])
 
 
 def scan_licences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: dict[str, str] | None = None, notices: list[tuple[str, str]] | None = None) -> DataFrame:
     """Per row: id, ``digest`` (SHA-256 of the canonical text), ``licence`` (null if unknown),
-    ``n_notices`` (lines that are a known notice) and ``notices`` (their licences, sorted, comma-separated).
+    ``n_notices`` (lines that are or begin with a known notice), ``notices`` (their licences, sorted,
+    comma-separated) and ``reserved`` (a line ends in "all rights reserved").
 
+    An SPDX identifier must be the whole line, as more signs make another identifier of it.
     A null text is empty, and an empty text has the digest of no bytes and no licence.
     Repeated rows each get a row; other columns are ignored.
     """
     spark = df.sparkSession
-    known = _known(spark, list((texts or TEXTS).items())).select("licence", "digest")
-    notice = {r["canon"]: r["licence"] for r in _known(spark, NOTICES if notices is None else notices).collect()}  # the given list, no rows of df
-    lines = canonical_lines(F.col(text_col))
-    d = df.select(F.col(id_col).alias(id_col), lines.alias("lines"))
-    table = F.create_map(*[F.lit(x) for kv in notice.items() for x in kv]) if notice else F.lit(None).cast("map<string,string>")
-    hits = F.filter(F.transform(F.filter("lines", lambda x: x.isin(list(notice))), lambda x: table[x]), lambda x: x.isNotNull())
-    d = d.select(id_col, F.sha2(F.array_join("lines", " "), 256).alias("digest"), hits.alias("hits"))
+    known = _known(spark, list(texts.items()) if texts else list(TEXTS.items()) + MORE_TEXTS).select("licence", "digest")
+    if not texts:
+        known = known.unionByName(spark.createDataFrame([(k, d) for k, v in DIGESTS.items() for d in v], "licence string, digest string"))
+    notice = {r["canon"]: r["licence"] for r in _known(spark, NOTICES + MORE_NOTICES if notices is None else notices).collect()}  # the given list, no rows of df
+    d = df.select(F.col(id_col).alias(id_col), canonical_lines(F.col(text_col)).alias("lines"), normal(F.col(text_col)).rlike(r"(^|[ \n])all rights reserved *(\n|$)").alias("reserved"))
+    first = sorted(notice, key=len, reverse=True)  # the longest that fits counts
+    pattern = "^(" + "|".join(x + ("$" if x.startswith("spdx ") else "(?= |$)") for x in first) + ")"
+    table = F.create_map(*[F.lit(x) for kv in notice.items() for x in kv]) if notice else None
+    hits = F.transform(F.filter("lines", lambda x: x.rlike(pattern)), lambda x: table[F.regexp_extract(x, pattern, 1)]) if notice else F.array().cast("array<string>")
+    d = d.select(id_col, F.sha2(canonical_text(F.col("lines")), 256).alias("digest"), hits.alias("hits"), "reserved")
     d = d.join(F.broadcast(known), "digest", "left")  # a fixed list
-    return d.select(id_col, "digest", "licence", F.size("hits").cast("long").alias("n_notices"), F.array_join(F.array_sort(F.array_distinct("hits")), ",").alias("notices"))
+    return d.select(id_col, "digest", "licence", F.size("hits").cast("long").alias("n_notices"), F.array_join(F.array_sort(F.array_distinct("hits")), ",").alias("notices"), "reserved")
 
 
 def oracle(table: str = "documents") -> str:

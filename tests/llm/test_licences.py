@@ -1,3 +1,10 @@
+import hashlib
+import os
+import textwrap
+from collections import Counter
+
+import duckdb
+
 from evenkeel.llm import licences
 
 
@@ -13,3 +20,47 @@ def test_equal_after_normalising(spark):
     assert (four.n_notices, four.notices) == (2, "Apache-2.0,MIT")
     assert len({r.digest for r in got if r.doc_id in (5, 6)}) == 1
     assert licences.scan_licences(df.limit(0)).count() == 0
+
+
+PUBLISHED = {"Apache-2.0": "Apache-2.0", "GPL-3.0": "GPL-3", "MPL-2.0": "MPL-2.0"}
+HEADS = {"MIT": ["MIT License", "The MIT License (MIT)"], "ISC": ["ISC License"], "0BSD": ["BSD Zero Clause License"], "Zlib": ["zlib License"], "BSD-2-Clause": ["BSD 2-Clause License", "The 2-Clause BSD License"], "BSD-3-Clause": ["BSD 3-Clause License"]}
+
+
+def wrapped(text, width):
+    return "\n\n".join(textwrap.fill(x, width) for x in text.split("\n"))
+
+
+def test_files_in_published_form_and_at_wrap_widths(spark):
+    rows = [(f"{name} {head} {width}", f"{head}\n\nCopyright (c) 2020, Some Holder\n{mark}\n\n{wrapped(text, width)}\n")
+            for name, text in list(licences.TEXTS.items()) + licences.MORE_TEXTS for head in ["", *HEADS[name]] for width in (30, 50, 65, 72, 79, 100, 10_000) for mark in ("", "All rights reserved.")]
+    assert any(line.lower().startswith("copyright holders be liable") for _, t in rows for line in t.split("\n"))
+    for name, path in PUBLISHED.items():
+        if os.path.exists(f"/usr/share/common-licenses/{path}"):
+            text = open(f"/usr/share/common-licenses/{path}").read()
+            rows += [(f"{name} file", text), (f"{name} http", text.replace("https:", "http:")), (f"{name} filled", text.replace("Copyright [yyyy] [name of copyright owner]", "Copyright 2020 A. Holder"))]
+            rows += [(f"{name} without heading", text[text.index(x) :]) for x in ("TERMS AND CONDITIONS FOR USE", "Everyone is permitted to copy", "\n1. Definitions") if text.count(x) == 1]
+    rows += [("None all the same", "MIT License\n\nPermission is not granted."), ("None heading alone", "MIT License")]
+    got = licences.scan_licences(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert len(got) == len(rows) and [r.doc_id for r in got if r.doc_id.split()[0] != str(r.licence)] == []
+    assert {r.reserved for r in got if r.licence == "ISC"} == {True, False}
+
+
+def test_notices_that_go_on_and_rights_reserved(spark):
+    rows = [(1, ' * Licensed under the Apache License, Version 2.0 (the "License");\n * you may not use this file'), (2, "# SPDX-License-Identifier: MIT-0"), (3, "// SPDX-License-Identifier: GPL-3.0-or-later"),
+            (4, "Copyright 2020 Somebody. All rights reserved.\nText"), (5, "all rights reserved by law"), (6, "Copyright holders be liable")]
+    got = {r.doc_id: r for r in licences.scan_licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [(got[i].n_notices, got[i].notices, got[i].reserved) for i in range(1, 6)] == [(1, "Apache-2.0", False), (0, "", False), (1, "GPL-3.0", False), (0, "", True), (0, "", False)]
+    assert got[6].digest == hashlib.sha256(b"copyright holders be liable").hexdigest()
+
+
+def test_given_documents_give_the_rows_of_the_sql(spark):
+    from evenkeel.llm import queries
+
+    sf = "/root/testdata/sf0.01"
+    duck = duckdb.connect()
+    duck.sql(f"create view documents as select * from '{sf}/documents.parquet'")
+    want = duck.execute(licences.oracle())
+    cols = [c[0] for c in want.description]
+    got = queries.op6_licence_digests(spark, sf)
+    assert sorted(got.columns) == sorted(cols)
+    assert Counter(tuple(r) for r in got.select(cols).collect()) == Counter(want.fetchall())
