@@ -7,6 +7,7 @@ exploded next to the rows and summed per draw with partial aggregation.
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -24,7 +25,7 @@ def draws(df: DataFrame, n: int) -> DataFrame:
     return df.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n))))
 
 
-def sign_flip(df: DataFrame, by: list[str], value: str = "contrast", unit: str = "unit", n: int = 500, seed: int = 7, two_sided: bool = False) -> DataFrame:
+def sign_flip(df: DataFrame, by: list[str], value: str = "contrast", unit: str = "unit", n: int = 5000, seed: int = 7, two_sided: bool = False) -> DataFrame:
     """Mean and p = (1 + draws at least as large) / (n + 1); ties to 9 decimals count."""
     stat = (lambda c: F.round(F.abs(c), 9)) if two_sided else (lambda c: F.round(c, 9))
     seen = df.groupBy(*by).agg(F.avg(value).alias("mean"), F.count(value).alias("n_units"))
@@ -32,7 +33,7 @@ def sign_flip(df: DataFrame, by: list[str], value: str = "contrast", unit: str =
     return null.join(seen, by).groupBy(*by, "mean", "n_units").agg(((1 + F.sum(F.when(stat(F.col("null")) >= stat(F.col("mean")), 1).otherwise(0))) / (n + 1)).alias("p_value"))
 
 
-def bootstrap_ci(df: DataFrame, by: list[str], value: str = "contrast", unit: str = "unit", n: int = 200, seed: int = 3) -> DataFrame:
+def bootstrap_ci(df: DataFrame, by: list[str], value: str = "contrast", unit: str = "unit", n: int = 10_000, seed: int = 3) -> DataFrame:
     """Percentile interval (2.5, 97.5) of resampled means: slot i of a draw takes the row that a hash of (seed, draw, i) names."""
     w = Window.partitionBy(*by)
     numbered = df.withColumn("i", F.row_number().over(w.orderBy(unit)) - 1).withColumn("size", F.count(F.lit(1)).over(w))
@@ -57,19 +58,51 @@ def holm(df: DataFrame, family: list[str], p: str = "p_value", key: str = "id")
     return d.withColumn("p_holm", F.when(fine, F.least(F.lit(1.0), run))).drop("_step")
 
 
-def runs_above(df: DataFrame, by: list[str], order: str, value: str, threshold: float) -> DataFrame:
-    """Maximal runs of rows above ``threshold``: start, stop, length and mass."""
+def runs_above(df: DataFrame, by: list[str], order: str, value: str, threshold: float | Column, inclusive: bool = False) -> DataFrame:
+    """Maximal runs of rows above (``inclusive``: or at) ``threshold``: start, stop, length and mass."""
     w = Window.partitionBy(*by).orderBy(order)
-    d = df.withColumn("_on", (F.col(value) > threshold).cast("int"))
+    d = df.withColumn("_on", (F.col(value) >= threshold if inclusive else F.col(value) > threshold).cast("int"))
     d = d.withColumn("_new", F.when((F.col("_on") == 1) & (F.coalesce(F.lag("_on").over(w), F.lit(0)) == 0), 1).otherwise(0)).withColumn("run", F.sum("_new").over(w))
     return d.where("_on = 1").groupBy(*by, "run").agg(F.min(order).alias("start"), F.max(order).alias("stop"), F.count(F.lit(1)).alias("length"), F.sum(value).alias("mass"))
 
 
-def cluster_sign_flip(df: DataFrame, by: list[str], time: str, threshold: float, value: str = "contrast", unit: str = "unit", n: int = 100, seed: int = 5) -> DataFrame:
-    """Clusters of times with t above ``threshold`` and their family-wise p against the largest mass of each draw."""
-    seen = runs_above(t_statistic(df, [*by, time], value).where("t_stat is not null"), by, time, "t_stat", threshold)
-    flipped = draws(df, n).withColumn("_x", F.col(value) * hash_sign(seed, F.col("draw"), F.col(unit)))
-    null = runs_above(t_statistic(flipped, [*by, "draw", time], "_x").where("t_stat is not null"), [*by, "draw"], time, "t_stat", threshold)
+def signed_sums(df: DataFrame, by: list[str], cell: str, value: str, unit: str, n: int, seed: int, block: int = 512) -> DataFrame:
+    """``total`` of value times ``hash_sign`` by group, cell and draw; tasks multiply the signs of some ``block`` units with their rows."""
+    d = df.where(F.col(value).isNotNull()).select(*by, cell, F.col(unit).cast("string").alias("_u"), F.col(value).cast("double").alias("_x"))
+    blocks = max(1, math.ceil((d.agg(F.approx_count_distinct("_u")).first()[0] or 0) / block))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        u, units = pd.factorize(pdf["_u"])
+        c, cells = pd.factorize(pdf[cell])
+        x = np.zeros((len(units), len(cells)))
+        np.add.at(x, (u, c), pdf["_x"])
+        sign = np.array([[1.0 if hashlib.sha256(f"{seed}|{k}|{name}".encode()).digest()[0] < 128 else -1.0 for name in units] for k in range(1, n + 1)])
+        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in by}, cell: np.repeat(np.asarray(cells), n), "draw": np.tile(np.arange(1, n + 1), len(cells)), "total": (sign @ x).T.ravel()})
+
+    kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in [*by, cell])
+    parts = d.withColumn("_b", F.pmod(F.xxhash64("_u"), F.lit(blocks))).groupBy(*by, "_b").applyInPandas(run, f"{kinds}, draw int, total double")
+    return parts.groupBy(*by, cell, "draw").agg(F.sum("total").alias("total"))
+
+
+def cluster_sign_flip(df: DataFrame, by: list[str], time: str, threshold: float | None = None, value: str = "contrast", unit: str = "unit", n: int = 5000, seed: int = 5, p: float = 0.01) -> DataFrame:
+    """Clusters of times with t at or above a threshold and their family-wise p against the largest mass of each draw.
+
+    The threshold is the 1 - ``p`` quantile of t with the group's units less 1
+    as degrees of freedom, unless one is given. A group of one unit has no
+    clusters. Flips leave the squares as they are, so a draw needs sums alone.
+    """
+
+    @F.pandas_udf("double")
+    def quantile(units: pd.Series) -> pd.Series:
+        return units.map({k: t_quantile(1 - p, k - 1) for k in units.unique()})
+
+    limits = df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.countDistinct(unit).alias("_units")).where("_units > 1").withColumn("_limit", quantile("_units") if threshold is None else F.lit(float(threshold))).drop("_units")
+    seen = runs_above(t_statistic(df, [*by, time], value).where("t_stat is not null").join(limits, by), by, time, "t_stat", F.col("_limit"), True)
+    squares = df.groupBy(*by, time).agg(F.count(value).alias("_n"), F.sum(F.col(value) * F.col(value)).alias("_q")).where("_n > 1")
+    flipped = signed_sums(df, by, time, value, unit, n, seed).join(squares, [*by, time]).join(limits, by)
+    mean, size = F.col("total") / F.col("_n"), F.col("_n")
+    flipped = flipped.withColumn("_v", (F.col("_q") - size * mean * mean) / (size - 1)).where("_v > 0").withColumn("t_stat", mean / F.sqrt(F.col("_v") / size))
+    null = runs_above(flipped, [*by, "draw"], time, "t_stat", F.col("_limit"), True)
     top = null.groupBy(*by, "draw").agg(F.max("mass").alias("null"))
     hits = seen.join(top, by, "left").groupBy(*by, "run", "start", "stop", "length", "mass").agg(F.sum(F.when(F.round("null", 9) >= F.round("mass", 9), 1).otherwise(0)).alias("k"))
     return hits.withColumn("p_value", (1 + F.col("k")) / (n + 1)).drop("k")

@@ -49,13 +49,13 @@ FLIPS = "SELECT pc.*, d.draw, CASE WHEN substr(sha256(concat_ws('|', '7', d.draw
 @query(f"""WITH {PRIMARY}, f AS ({FLIPS}), n AS (SELECT dataset, draw, avg(contrast * sgn) AS nul FROM f GROUP BY ALL), o AS (SELECT dataset, avg(contrast) mean, count(*) n_units FROM pc GROUP BY ALL)
 SELECT dataset, round(mean, 6) mean, n_units, round((1 + sum((round(nul, 9) >= round(mean, 9))::INT)) / 501, 6) p_value FROM n JOIN o USING (dataset) GROUP BY dataset, mean, n_units""")
 def sign_flip(spark, sf_dir):
-    return rounded(resample.sign_flip(contrasts(spark, sf_dir), ["dataset"]), "mean", "p_value")
+    return rounded(resample.sign_flip(contrasts(spark, sf_dir), ["dataset"], n=500), "mean", "p_value")
 
 
 @query(f"""WITH {PRIMARY}, f AS ({FLIPS}), n AS (SELECT dataset, draw, avg(contrast * sgn) AS nul FROM f GROUP BY ALL), o AS (SELECT dataset, avg(contrast) mean, count(*) n_units FROM pc GROUP BY ALL)
 SELECT dataset, round(mean, 6) mean, n_units, round((1 + sum((round(abs(nul), 9) >= round(abs(mean), 9))::INT)) / 501, 6) p_value FROM n JOIN o USING (dataset) GROUP BY dataset, mean, n_units""")
 def sign_flip_two_sided(spark, sf_dir):
-    return rounded(resample.sign_flip(contrasts(spark, sf_dir), ["dataset"], two_sided=True), "mean", "p_value")
+    return rounded(resample.sign_flip(contrasts(spark, sf_dir), ["dataset"], n=500, two_sided=True), "mean", "p_value")
 
 
 @query(f"""WITH {PRIMARY}, r AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY unit) - 1 AS i, count(*) OVER (PARTITION BY dataset) AS size FROM pc),
@@ -63,6 +63,21 @@ s AS (SELECT dataset, draw, ('0x' || substr(sha256(concat_ws('|', '3', draw::VAR
 m AS (SELECT s.dataset, draw, avg(contrast) m FROM s JOIN r ON r.dataset = s.dataset AND r.i = s.pick GROUP BY ALL)
 SELECT dataset, round(quantile_cont(m, 0.025), 6) ci_low, round(quantile_cont(m, 0.975), 6) ci_high FROM m GROUP BY dataset""")
 def bootstrap_ci(spark, sf_dir):
+    return rounded(resample.bootstrap_ci(contrasts(spark, sf_dir), ["dataset"], n=200), "ci_low", "ci_high")
+
+
+@query()
+def sign_flip_full(spark, sf_dir):
+    return rounded(resample.sign_flip(contrasts(spark, sf_dir), ["dataset"]), "mean", "p_value")
+
+
+@query()
+def sign_flip_two_sided_full(spark, sf_dir):
+    return rounded(resample.sign_flip(contrasts(spark, sf_dir), ["dataset"], two_sided=True), "mean", "p_value")
+
+
+@query()
+def bootstrap_ci_full(spark, sf_dir):
     return rounded(resample.bootstrap_ci(contrasts(spark, sf_dir), ["dataset"]), "ci_low", "ci_high")
 
 
@@ -100,7 +115,11 @@ def runs_above_threshold(spark, sf_dir):
 
 @query()
 def cluster_sign_flip(spark, sf_dir):
-    return rounded(resample.cluster_sign_flip(hourly(spark, sf_dir), ["dataset"], "bin", 0.5), "mass", "p_value")
+    """The statistic of every bin, as in the reference, and the cluster that it lies in, if any."""
+    d = hourly(spark, sf_dir)
+    c = resample.cluster_sign_flip(d, ["dataset"], "bin").withColumnRenamed("dataset", "_d")
+    t = resample.t_statistic(d, ["dataset", "bin"]).where("t_stat is not null")
+    return rounded(t.join(c, F.col("dataset").eqNullSafe(F.col("_d")) & F.col("bin").between(F.col("start"), F.col("stop")), "left").drop("_d"), "t_stat", "mass", "p_value")
 
 
 @query(f"""WITH {HOURS}, p AS (SELECT dataset, bin, 1 / (1 + exp(avg(contrast) / 10)) AS p_value FROM tc GROUP BY ALL),
@@ -264,10 +283,19 @@ f AS (SELECT e.*, draw, CASE WHEN substr(sha256(concat_ws('|', '7', draw::VARCHA
 n AS (SELECT scenario, model, draw, avg(contrast * sgn) nul FROM f GROUP BY ALL)
 SELECT scenario, model, n, round(mean, 5) mean, round((1 + sum((round(nul, 9) >= round(mean, 9))::INT)) / 101, 6) p_value FROM n JOIN k USING (scenario, model) GROUP BY scenario, model, n, mean""")
 def retention_sensitivity(spark, sf_dir):
+    return _retention(spark, sf_dir, 100)
+
+
+@query()
+def retention_sensitivity_full(spark, sf_dir):
+    return _retention(spark, sf_dir, 10_000)
+
+
+def _retention(spark, sf_dir, n):
     cases = spark.createDataFrame([("all", -1e9), ("positive", 0.0), ("large", 1.0)], "scenario string, least_gain double")
     d = stages(spark, sf_dir).withColumn("contrast", F.col("total_gain")).join(F.broadcast(cases), F.col("total_gain") >= F.col("least_gain"))  # three rows
     full = d.groupBy("scenario", "model").agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
-    p = resample.sign_flip(d.join(full.select("scenario", "model"), ["scenario", "model"], "left_semi"), ["scenario", "model"], unit="replicate", n=100)
+    p = resample.sign_flip(d.join(full.select("scenario", "model"), ["scenario", "model"], "left_semi"), ["scenario", "model"], unit="replicate", n=n)
     return rounded(rounded(p.withColumnRenamed("n_units", "n"), "p_value"), "mean", digits=5)
 
 

@@ -379,8 +379,17 @@ def clock_alignment(spark, sf_dir):
 
 @query(f"WITH {STAGE}, f AS (SELECT model, replicate, adapted - baseline AS contrast, draw, CASE WHEN substr(sha256(concat_ws('|', '7', draw::VARCHAR, replicate::VARCHAR)), 1, 1) < '8' THEN 1.0 ELSE -1.0 END sgn FROM sw, (SELECT unnest(range(1, 201)) AS draw) d), n AS (SELECT model, draw, avg(contrast * sgn) nul FROM f GROUP BY ALL), o AS (SELECT model, avg(adapted - baseline) mean, count(*) n_units FROM sw GROUP BY ALL), p AS (SELECT model, mean, n_units, (1 + sum((round(nul, 9) >= round(mean, 9))::INT)) / 201 AS p_value FROM n JOIN o USING (model) GROUP BY model, mean, n_units), h AS (SELECT *, (count(*) OVER () - row_number() OVER (ORDER BY p_value, model) + 1) * p_value st FROM p) SELECT model, round(mean, 5) mean, n_units, round(p_value, 6) p_value, round(least(1.0, max(st) OVER (ORDER BY p_value, model ROWS UNBOUNDED PRECEDING)), 6) p_holm FROM h")
 def stage_tests(spark, sf_dir):
+    return _stage_tests(spark, sf_dir, 200)
+
+
+@query()
+def stage_tests_full(spark, sf_dir):
+    return _stage_tests(spark, sf_dir, 10_000)
+
+
+def _stage_tests(spark, sf_dir, n):
     d = stages(spark, sf_dir).withColumn("contrast", F.col("total_gain"))
-    p = resample.sign_flip(d, ["model"], unit="replicate", n=200).withColumn("family", F.lit("gain"))
+    p = resample.sign_flip(d, ["model"], unit="replicate", n=n).withColumn("family", F.lit("gain"))
     return rounded(rounded(resample.holm(p, ["family"], key="model").drop("family"), "p_value", "p_holm"), "mean", digits=5)
 
 

@@ -1,5 +1,7 @@
 """Small literals with known answers, invariants, files, contracts and streams."""
 
+import hashlib
+import inspect
 import json
 import math
 
@@ -208,3 +210,31 @@ def test_trigger_windows_as_stream(spark, tmp_path):
     for u, w in want:
         last[u] = max(last.get(u, 0), w)
     assert {k for k in want if k[1] < last[k[0]]} <= set(got)
+
+
+def test_clusters_form_at_the_t_quantile_and_take_5000_draws(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(9, 14)) + np.where((np.arange(14) > 3) & (np.arange(14) < 8), 1.1, 0.1)
+    rows = [(g, f"u{u}", t, float(v)) for g, k in (("a", 9), ("b", 5)) for u in range(k) for t, v in enumerate(x[u]) if (u, t) != (2, 9)] + [("one", "u0", 0, 9.0)]
+    got = resample.cluster_sign_flip(spark.createDataFrame(rows, "g string, unit string, t int, contrast double"), ["g"], "t").collect()
+
+    def runs(v, limit):
+        stat = [np.sqrt(len(c)) * c.mean() / c.std(ddof=1) for c in (c[~np.isnan(c)] for c in v.T)]
+        out, start = [], None
+        for i, y in enumerate([*stat, -np.inf]):
+            if y >= limit and start is None:
+                start = i
+            elif y < limit and start is not None:
+                out, start = [*out, (start, i - 1, sum(stat[start:i]))], None
+        return out
+
+    want = []
+    for g, k, limit in (("a", 9, 2.896459448), ("b", 5, 3.746947388)):  # t(0.99) with 8 and 4 degrees of freedom
+        v = x[:k].copy()
+        v[2, 9] = np.nan
+        sign = lambda d, u: 1.0 if hashlib.sha256(f"5|{d}|u{u}".encode()).hexdigest()[0] < "8" else -1.0
+        top = [max((m for *_, m in runs(v * np.array([[sign(d, u)] for u in range(k)]), limit)), default=0.0) for d in range(1, 5001)]
+        want += [(g, a, b, round(m, 6), round((1 + sum(round(y, 9) >= round(m, 9) for y in top)) / 5001, 9)) for a, b, m in runs(v, limit)]
+    assert want and sorted((r.g, r.start, r.stop, round(r.mass, 6), round(r.p_value, 9)) for r in got) == sorted(want)
+    assert {inspect.signature(f).parameters["n"].default for f in (resample.sign_flip, resample.cluster_sign_flip)} == {5000}
+    assert inspect.signature(resample.bootstrap_ci).parameters["n"].default == 10_000
