@@ -312,21 +312,29 @@ def masked_accuracy(spark, sf_dir):
 
 @query("WITH v AS (SELECT label, embedding::DOUBLE[] x FROM embeddings) SELECT label, i, j, round(sum(x[i] * x[j]), 4) + 0.0 AS s FROM v, (SELECT unnest(range(1, 9)) i), (SELECT unnest(range(1, 9)) j) WHERE j <= i GROUP BY ALL")
 def gram_moments(spark, sf_dir):
-    d = table(spark, sf_dir, "embeddings").select("label", F.slice("embedding", 1, 8).alias("x"))
+    return _gram_moments(table(spark, sf_dir, "embeddings").select("label", F.slice("embedding", 1, 8).alias("x")))
+
+
+@query()
+def gram_moments_full(spark, sf_dir):
+    return _gram_moments(table(spark, sf_dir, "embeddings").select("label", F.col("embedding").alias("x")))
+
+
+def _gram_moments(d):
     m = linear.moments(d, ["label"], "x").where("i > 0 and j > 0")
     return m.select("label", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), (F.round("s", 4) + F.lit(0.0)).alias("s"))
 
 
 @query()
 def pca_whitening(spark, sf_dir):
-    d = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.slice("embedding", 1, 12).alias("x"))
+    d = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").alias("x"))
     w = linear.whitened(d, linear.whitening(d, ["label"], "x", 4), ["label"], "x")
     return w.select("vec_id", *[F.round(F.col("white")[i], 4).alias(f"w{i}") for i in range(4)])
 
 
 @query()
 def ridge_readout(spark, sf_dir):
-    d = table(spark, sf_dir, "embeddings").select("label", F.slice("embedding", 1, 6).alias("x"), F.col("embedding")[10].cast("double").alias("y"))
+    d = table(spark, sf_dir, "embeddings").select("label", F.filter("embedding", lambda _, i: i != 10).alias("x"), F.col("embedding")[10].cast("double").alias("y"))  # all others predict it
     return rounded(linear.ridge(d, ["label"], "x", "y"), "intercept", "residual_sd", "r2")
 
 
