@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evenkeel.functions import levels as lv
-from evenkeel.operators import compare, contracts, contrast, features, folds, linear, matching, prep, resample
+from evenkeel.operators import compare, contracts, contrast, features, folds, linear, matching, predict, prep, resample
 from evenkeel.sources import files
 from evenkeel.streaming import ingest
 
@@ -238,3 +238,12 @@ def test_clusters_form_at_the_t_quantile_and_take_5000_draws(spark):
     assert want and sorted((r.g, r.start, r.stop, round(r.mass, 6), round(r.p_value, 9)) for r in got) == sorted(want)
     assert {inspect.signature(f).parameters["n"].default for f in (resample.sign_flip, resample.cluster_sign_flip)} == {5000}
     assert inspect.signature(resample.bootstrap_ci).parameters["n"].default == 10_000
+
+
+def test_incremental_auc_has_the_sign_flip_p_of_its_gains(spark):
+    gains = [0.02, 0.03, -0.01, 0.04, 0.01]
+    rows = [(i, f, 0.6 + (g if f == "more" else 0.0)) for i, g in enumerate(gains) for f in ("less", "more")]
+    got = predict.incremental_auc(spark.createDataFrame(rows, "fold int, family string, auc double"), "less", "more").collect()
+    null = [sum(g if hashlib.sha256(f"7|{d}|{i}".encode()).hexdigest()[0] < "8" else -g for i, g in enumerate(gains)) / 5 for d in range(1, 10_001)]
+    p = (1 + sum(round(x, 9) >= round(sum(gains) / 5, 9) for x in null)) / 10_001
+    assert len(got) == 5 and all(abs(r.p_value - p) < 1e-9 for r in got) and abs(p - 3 / 32) < 0.02  # three of 32 flips reach the mean
