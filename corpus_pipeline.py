@@ -24,8 +24,7 @@ REPEAT_BYTES = 240
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score below 0.5. The model learns from ``labels`` and the texts in ``docs``."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    rows = docs.select(F.struct("*").alias("row"), "text")  # whole rows, so that no column of docs can clash
-    scored = toxicity.score_toxicity(rows, docs, labels, crc_mod(F.col("doc_id"), 5) != 0, keep=["row"])
+    scored = toxicity.score_toxicity(docs, docs, labels, crc_mod(F.col("doc_id"), 5) != 0, nested=True)  # whole rows, so that no column can clash
     return scored.where("predicted = 0").select("row.*")
 
 
