@@ -1,11 +1,12 @@
 """Embedding near-dedup with a forest of random-projection trees.
 
-Each tree splits its rows again and again at the median of a random
-projection; rows near a split go to both sides (spill). Rows are compared
-inside leaves, by cosine in double precision, and the pairs of all trees are
-united. Splits are fitted on a bounded sample of every large leaf, all trees
-at once, and every row is routed; leaves that stay large are compared in pairs
-of blocks, so no group exceeds two blocks and nothing is left out.
+Each tree splits its rows again and again at the median of a random projection;
+rows near a split go to both sides (spill). Splits are fitted on bounded samples,
+round by round: the whole forest is a table of path and median, sent to all tasks,
+and one pass routes every vector through all trees. Vectors then meet in leaves,
+once, where cosines in double precision are compared. A pair counts in the first
+leaf that it shares, so a leaf emits no pairs: only each vector's number of links
+and a spanning forest of them leave it.
 """
 
 from __future__ import annotations
@@ -13,27 +14,41 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evenkeel.llm.common import components, cut
 
-TREES, LEAF, SAMPLE, LEVELS = 12, 384, 4096, 6
+#: Trees; rows wanted in a leaf; rows compared at once; rows of a fitting sample; levels fitted in a round.
+TREES, LEAF, BLOCK, SAMPLE, LEVELS = 12, 384, 2048, 8192, 8
+#: Splits of the whole forest (12 bytes each), which bounds what is sent. Beyond them leaves grow and are compared in blocks.
+MAX_SPLITS = 1 << 22
+_TREE = 48  # bits of a path: a leaf's number is its tree and its path
 
 
 def unit_vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """``id``, ``h1, h2`` (hashes of the vector) and ``v`` (unit, double); ``v`` is null if it can't link.
+    """``id``, ``h1, h2`` (hashes of the vector) and ``v`` (scaled by a power of two to a greatest component of 1 to 2, in the precision
+    of the column); ``v`` is null if it can't link.
 
     That holds for null, empty and zero vectors and for null or non-finite components.
     """
+    kind = "float" if df.schema[vec_col].dataType.elementType == T.FloatType() else "double"
     d = df.select(F.col(id_col).alias("id"), F.transform(F.col(vec_col), lambda c: c.cast("double") + F.lit(0.0)).alias("x"))
     d = d.withColumn("top", F.array_max(F.transform("x", lambda c: F.abs(c))))
     fine = F.col("x").isNotNull() & F.forall("x", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & (F.col("top") > 0)
-    d = d.withColumn("s", F.when(fine, F.transform("x", lambda c: c / F.col("top"))))
-    d = d.withColumn("norm", F.sqrt(F.aggregate("s", F.lit(0.0), lambda a, c: a + c * c)))
-    return d.select("id", F.xxhash64("x").alias("h1"), F.xxhash64(F.lit("second"), "x").alias("h2"), F.transform("s", lambda c: c / F.col("norm")).alias("v"))
+    return d.select("id", F.xxhash64("x").alias("h1"), F.xxhash64(F.lit("second"), "x").alias("h2"), F.when(fine, F.transform("x", lambda c: (c / F.pow(2.0, F.floor(F.log2("top")))).cast(kind))).alias("v"))
+
+
+def _matrices(lists: pa.Array):
+    """Row numbers and unit vectors of each length that occurs in an Arrow list column."""
+    size = lists.value_lengths().to_numpy(zero_copy_only=False)
+    flat, begin = lists.flatten().to_numpy(), np.cumsum(size) - size
+    for d in np.unique(size):
+        rows = np.flatnonzero(size == d)
+        v = flat[begin[rows][:, None] + np.arange(d)].astype(float)
+        yield rows, v / np.sqrt((v * v).sum(1))[:, None]
 
 
 def _plane(tree: int, path: int, dim: int) -> np.ndarray:
@@ -41,131 +56,209 @@ def _plane(tree: int, path: int, dim: int) -> np.ndarray:
     return r / np.linalg.norm(r)
 
 
-def fit_splits(v: np.ndarray, tree: int, path: int, depth: int, margin: float) -> list[float]:
-    """Medians of a complete subtree of ``depth`` levels (heap order).
+class Forest:
+    """Medians by dimension, tree and path (1 is the root, 2 p and 2 p + 1 lie below p), as sorted arrays."""
+
+    def __init__(self, spill: float):
+        self.spill, self.parts = spill, {}  # (dim, tree) -> paths, medians
+
+    def __len__(self):
+        return sum(len(p) for p, _ in self.parts.values())
+
+    def add(self, rows) -> None:
+        new: dict = {}
+        for r in rows:
+            paths, mids = new.setdefault((r["dim"], r["tree"]), ([], []))
+            paths += r["paths"]
+            mids += r["mids"]
+        for key, (paths, mids) in new.items():
+            old = self.parts.get(key, (np.zeros(0, np.int64), np.zeros(0)))
+            paths, mids = np.append(old[0], np.array(paths, np.int64)), np.append(old[1], np.array(mids, float))
+            order = np.argsort(paths)
+            self.parts[key] = paths[order], mids[order]
+
+    def leaves(self, v: np.ndarray, trees: int) -> tuple[np.ndarray, np.ndarray]:
+        """Row numbers and leaf numbers of the unit vectors ``v``; rows within the margin of a split go both ways."""
+        dim, rows_out, leaf_out = v.shape[1], [], []
+        margin = self.spill / math.sqrt(dim)
+        for tree in range(trees):
+            paths, mids = self.parts.get((dim, tree), (np.zeros(0, np.int64), np.zeros(0)))
+            todo = [(1, np.arange(len(v)))]
+            while todo:
+                p, rows = todo.pop()
+                if not len(rows):
+                    continue
+                k = int(np.searchsorted(paths, p))
+                if k == len(paths) or paths[k] != p:
+                    rows_out.append(rows)
+                    leaf_out.append(np.full(len(rows), (tree << _TREE) | p))
+                    continue
+                at = v[rows] @ _plane(tree, p, dim) - mids[k]
+                todo += [(2 * p, rows[at <= margin]), (2 * p + 1, rows[at > -margin])]
+        return np.concatenate(rows_out), np.concatenate(leaf_out)
+
+
+def fit_splits(v: np.ndarray, tree: int, path: int, share: float, leaf: int, margin: float) -> tuple[list[int], list[float]]:
+    """Paths and medians below ``path`` from a sample that is ``share`` of its rows, until leaves hold ``leaf`` rows.
 
-    NaN, no split, where few rows are left or most of them are within the
-    margin, so that both sides would get nearly all.
+    Sample rows spill as all rows will. No split where the sample is short or
+    where most rows are within the margin, so that both sides would get nearly all.
     """
-    cuts = [math.nan] * (2**depth - 1)
-    todo = [(0, path, np.arange(len(v)))]
+    paths, mids = [], []
+    todo = [(path, np.arange(len(v)))]
     while todo:
-        k, p, rows = todo.pop()
-        if k >= len(cuts) or len(rows) < 8:
+        p, rows = todo.pop()
+        if len(rows) < 8 or len(rows) <= leaf * share or p.bit_length() >= path.bit_length() + LEVELS:
             continue
         at = v[rows] @ _plane(tree, p, v.shape[1])
         mid = float(np.median(at))
-        if (np.abs(at - mid) <= margin).mean() > 0.5:
+        low, high = rows[at <= mid + margin], rows[at > mid - margin]
+        if len(low) + len(high) > 1.5 * len(rows):
             continue
-        cuts[k] = mid
-        todo += [(2 * k + 1, 2 * p, rows[at <= cuts[k]]), (2 * k + 2, 2 * p + 1, rows[at > cuts[k]])]
-    return cuts
+        paths.append(p)
+        mids.append(mid)
+        todo += [(2 * p, low), (2 * p + 1, high)]
+    return paths, mids
 
 
-def route(v: np.ndarray, tree: int, path: int, cuts: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers and leaf paths below one fitted subtree; rows within ``margin`` of a split go both ways."""
-    out_r, out_p = [], []
-    todo = [(0, path, np.arange(len(v)))]
-    while todo:
-        k, p, rows = todo.pop()
-        if not len(rows):
-            continue
-        if k >= len(cuts) or math.isnan(cuts[k]):
-            out_r.append(rows)
-            out_p.append(np.full(len(rows), p))
-            continue
-        at = v[rows] @ _plane(tree, p, v.shape[1]) - cuts[k]
-        todo += [(2 * k + 1, 2 * p, rows[at <= margin]), (2 * k + 2, 2 * p + 1, rows[at > -margin])]
-    if not out_r:
-        return np.zeros(0, int), np.zeros(0, np.int64)
-    return np.concatenate(out_r), np.concatenate(out_p).astype(np.int64)
+def grow(classes: DataFrame, threshold: float, trees: int, leaf: int, spill: float) -> tuple[Forest, DataFrame]:
+    """Fit the forest round by round: count leaves, then split those with too many rows on a sample of each.
+
+    Returns it with the counts of its leaves that still hold more than ``2 * leaf`` rows.
+    """
+    spark, forest = classes.sparkSession, Forest(spill * math.sqrt(max(0.0, 2 - 2 * threshold)))
+    stuck: set = set()
+    kind = classes.schema["v"].dataType.simpleString()
 
+    def routed(pick=None):
+        sent, wanted = spark.sparkContext.broadcast(forest), spark.sparkContext.broadcast(pick)
 
-def _matrix(col) -> np.ndarray:
-    return np.array(col.to_list() if hasattr(col, "to_list") else col.to_pylist(), float)
+        def run(batches):
+            for b in batches:
+                for rows, v in _matrices(b.column(1)):
+                    r, at = sent.value.leaves(v, trees)
+                    dim = v.shape[1]
+                    if pick is None:
+                        k, n = np.unique(at, return_counts=True)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), dim, np.int32)), pa.array(k), pa.array(n)], ["dim", "leaf", "n"])
+                        continue
+                    size = np.array([wanted.value.get((dim, x), 0) for x in at.tolist()], np.int64)
+                    h = b.column(0).to_numpy()[rows][r].view(np.uint64) ^ (at.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                    h = ((h >> np.uint64(29)) ^ h) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(11)
+                    some = np.flatnonzero(h.astype(float) * size < float(1 << 53) * SAMPLE * (size > 0))
+                    for a in range(0, len(some), 4096):
+                        i = some[a : a + 4096]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), dim, np.int32)), pa.array(at[i]), pa.array(size[i]), b.column(1).take(pa.array(rows[r[i]]))], ["dim", "leaf", "size", "v"])
 
+        return classes.select("h1", "v").mapInArrow(run, "dim int, leaf long, n long" if pick is None else f"dim int, leaf long, size long, v {kind}")
 
-def forest_pairs(reps: DataFrame, threshold: float, trees: int = TREES, leaf: int = LEAF, spill: float = 0.5) -> DataFrame:
-    """Pairs ``(a1, a2, b1, b2)`` of distinct rows ``h1, h2, v`` with cosine >= threshold that share a leaf.
+    def fit(table: pa.Table) -> pa.Table:
+        dim, at, size = (table.column(c)[0].as_py() for c in ("dim", "leaf", "size"))
+        v = next(_matrices(table.column("v").combine_chunks()))[1]
+        tree, path = at >> _TREE, at & ((1 << _TREE) - 1)
+        paths, mids = fit_splits(v, tree, path, min(1.0, len(v) / size), leaf, forest.spill / math.sqrt(dim))
+        return pa.table({"dim": pa.array([dim], pa.int32()), "tree": pa.array([tree], pa.int32()), "leaf": pa.array([at], pa.int64()), "paths": pa.array([paths], pa.list_(pa.int64())), "mids": pa.array([mids], pa.list_(pa.float64()))})
 
-    ``spill`` is the half-width of the overlap in units of the typical
-    projected distance of a pair at the threshold.
-    """
-    gap = math.sqrt(max(0.0, 2 - 2 * threshold))
-    rows = reps.select(F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), F.size("v").alias("dim"), F.lit(1).cast("long").alias("path"), "h1", "h2", "v")
-    leaf_key, done = ["tree", "dim", "path"], None
-    for step in range(8):
-        rows = cut(rows, "forest")
-        size = rows.groupBy(leaf_key).agg(F.count(F.lit(1)).alias("size"))
-        big = cut(size.where(F.col("size") > leaf), "big")
-        if big.isEmpty():
-            break
-        some = (rows.join(big, leaf_key)
-                .where(F.pmod(F.xxhash64("tree", "h1", "h2"), F.col("size")) < SAMPLE))
-
-        def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-            t, d, p, n = (int(pdf[c].iloc[0]) for c in ("tree", "dim", "path", "size"))
-            depth = min(LEVELS, max(1, math.ceil(math.log2(n / leaf))))
-            return pd.DataFrame({"tree": [t], "dim": [d], "path": [p], "cuts": [fit_splits(_matrix(pdf["v"]), t, p, depth, spill * gap / math.sqrt(d))]})
-
-        fits = some.groupBy(leaf_key).applyInPandas(fit, "tree int, dim int, path long, cuts array<double>")
-
-        def send(batches):
-            for b in batches:
-                t, d, p = (b.column(i).to_numpy() for i in range(3))
-                key = np.char.add(np.char.add(t.astype(str), "/"), np.char.add(np.char.add(d.astype(str), "/"), p.astype(str)))
-                for u in np.unique(key):
-                    i = np.flatnonzero(key == u)
-                    sub = b.take(pa.array(i))
-                    r, q = route(_matrix(sub.column(5)), int(t[i[0]]), int(p[i[0]]), np.array(sub.column(6)[0].as_py(), float), spill * gap / math.sqrt(int(d[i[0]])))
-                    got = sub.take(pa.array(r))
-                    # the leading bits of a path count its steps: pad short ones
-                    width = np.array([int(x).bit_length() for x in q])
-                    full = int(p[i[0]]).bit_length() + LEVELS
-                    yield pa.RecordBatch.from_arrays([got.column(0), got.column(1), pa.array(q << (full - width)), got.column(3), got.column(4), got.column(5)],
-                                                     ["tree", "dim", "path", "h1", "h2", "v"])
-
-        fitted = cut(fits, "cuts").where(~F.isnan(F.col("cuts")[0]))  # leaves of rows too alike to split stay as they are
-        moved = rows.join(fitted, leaf_key).select("tree", "dim", "path", "h1", "h2", "v", "cuts").mapInArrow(
-            send, "tree int, dim int, path long, h1 long, h2 long, v array<double>")
-        rest = rows.join(fitted, leaf_key, "left_anti")
-        done = rest if done is None else done.unionByName(rest)
-        rows = moved
-    rows = rows if done is None else rows.unionByName(done)
-    rows = cut(rows, "leaves")
-
-    here = F.xxhash64(*leaf_key)
-    leaves = rows.groupBy("h1", "h2").agg(F.collect_set(here).alias("leaves"))  # a few for each tree
-    size = rows.groupBy(leaf_key).agg(F.count(F.lit(1)).alias("size")).withColumn("nb", F.ceil(F.col("size") / leaf).cast("int"))
-    placed = rows.withColumn("here", here).join(leaves, ["h1", "h2"]).join(size, leaf_key).withColumn("mine", F.pmod(F.xxhash64("h2", "h1"), F.col("nb")).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).withColumn("lo", F.least("mine", "other")).withColumn("hi", F.greatest("mine", "other"))
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        v, mine, h = _matrix(pdf["v"]), pdf["mine"].to_numpy(), pdf[["h1", "h2"]].to_numpy()
-        lo, hi = int(pdf["lo"].iloc[0]), int(pdf["hi"].iloc[0])
-        left, right = (np.flatnonzero(mine == lo), np.flatnonzero(mine == hi)) if lo != hi else (np.arange(len(v)),) * 2
+    while True:
+        sizes = cut(routed().groupBy("dim", "leaf").agg(F.sum("n").alias("n")).where(F.col("n") > 2 * leaf), "sizes")
+        if len(forest) >= MAX_SPLITS:
+            return forest, sizes
+        big = sizes.orderBy(F.desc("n"), "dim", "leaf").limit(MAX_SPLITS >> LEVELS).collect()  # so that a round's splits stay bounded
+        pick = {(r["dim"], r["leaf"]): r["n"] for r in big if (r["dim"], r["leaf"]) not in stuck}
+        if not pick:
+            return forest, sizes
+        rows = routed(pick).groupBy("dim", "leaf").applyInArrow(fit, "dim int, tree int, leaf long, paths array<long>, mids array<double>").collect()  # bounded splits
+        stuck |= {(r["dim"], r["leaf"]) for r in rows if not r["paths"]}
+        forest.add([r for r in rows if r["paths"]])
+
+
+def _placed(classes: DataFrame, forest: Forest, trees: int) -> DataFrame:
+    """One row for each vector and leaf: ``dim, leaf, h1, h2, copies, v`` and ``before``, the vector's leaves of lower number."""
+    sent = classes.sparkSession.sparkContext.broadcast(forest)
+    names = ["dim", "leaf", "h1", "h2", "copies", "before", "v"]
+
+    def run(batches):
+        for b in batches:
+            for rows, v in _matrices(b.column(3)):
+                for a in range(0, len(rows), 512):
+                    r, at = sent.value.leaves(v[a : a + 512], trees)
+                    order = np.lexsort((at, r))
+                    r, at = r[order], at[order]
+                    nth = np.arange(len(r)) - np.searchsorted(r, r)  # leaves before this one
+                    ends = np.append(0, np.cumsum(nth))
+                    first = np.repeat(np.arange(len(r)) - nth, nth)
+                    before = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(at[first + np.arange(len(first)) - np.repeat(ends[:-1], nth)]))
+                    mine = rows[a + r]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(r), v.shape[1], np.int32)), pa.array(at), *(b.column(i).take(pa.array(mine)) for i in range(3)), before, b.column(3).take(pa.array(mine))], names)
+
+    return classes.select("h1", "h2", "copies", "v").mapInArrow(run, f"dim int, leaf long, h1 long, h2 long, copies long, before array<long>, v {classes.schema['v'].dataType.simpleString()}")
+
+
+def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Least row number reachable over the links ``(i, j)`` among ``n`` rows."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[i], root[j])
+        new = root.copy()
+        np.minimum.at(new, i, low)
+        np.minimum.at(new, j, low)
+        np.minimum.at(new, root[i], low)
+        np.minimum.at(new, root[j], low)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
+def compare(threshold: float):
+    """Links within one leaf, or between two blocks of it, as counts and a spanning forest."""
+
+    def run(table: pa.Table) -> pa.Table:
+        (rows, v), = _matrices(table.column("v").combine_chunks())
+        mine, lo, hi = table.column("mine").to_numpy(), table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
+        left, right = (np.flatnonzero(mine == lo), np.flatnonzero(mine == hi)) if lo != hi else (rows, rows)
         i, j = np.nonzero(v[left] @ v[right].T >= threshold - 1e-9)
         i, j = left[i], right[j]
         if lo == hi:
             i, j = i[i < j], j[i < j]
-        # a pair leaves the first of the leaves that it shares, so no pair comes twice
-        at = int(pdf["here"].iloc[0])
-        before = [np.array([x for x in k if x < at], np.int64) for k in pdf["leaves"]]
-        code = np.unique(np.concatenate(before), return_inverse=True)[1]
-        member = np.zeros((len(v), int(code.max(initial=-1)) + 1), np.float32)
-        member[np.repeat(np.arange(len(v)), [len(k) for k in before]), code] = 1
-        same = (np.einsum("ij,ij->i", v[i], v[j]) >= threshold) & ((member @ member.T)[i, j] == 0)
-        a, b = h[i[same]], h[j[same]]
-        swap = (a[:, 0] > b[:, 0]) | ((a[:, 0] == b[:, 0]) & (a[:, 1] > b[:, 1]))
-        a, b = np.where(swap[:, None], b, a), np.where(swap[:, None], a, b)
-        return pd.DataFrame({"a1": a[:, 0], "a2": a[:, 1], "b1": b[:, 0], "b2": b[:, 1]})
-
-    found = placed.select("tree", "dim", "path", "lo", "hi", "mine", "here", "leaves", "h1", "h2", "v").groupBy("tree", "dim", "path", "lo", "hi").applyInPandas(
-        compare, "a1 long, a2 long, b1 long, b2 long")
-    return found
-
-
-def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.95, trees: int = TREES, leaf: int = LEAF) -> DataFrame:
+        same = np.concatenate([np.einsum("ij,ij->i", v[i[a : a + 65_536]], v[j[a : a + 65_536]]) >= threshold for a in range(0, len(i), 65_536)]) if len(i) else np.zeros(0, bool)
+        i, j = i[same], j[same]
+        if len(i):  # a pair counts in the first of the leaves that it shares
+            some, code = np.unique(np.concatenate([i, j]), return_inverse=True)
+            before = table.column("before").combine_chunks().take(pa.array(some))
+            size = before.value_lengths().to_numpy(zero_copy_only=False)
+            known, column = np.unique(before.flatten().to_numpy(), return_inverse=True)
+            member = np.zeros((len(some), len(known)), np.float32)
+            member[np.repeat(np.arange(len(some)), size), column] = 1
+            shared = member @ member.T
+            first = shared[code[: len(i)], code[len(i) :]] == 0
+            i, j = i[first], j[first]
+        h1, h2, copies = (table.column(c).to_numpy() for c in ("h1", "h2", "copies"))
+        far = np.bincount(i, copies[j], len(rows)) + np.bincount(j, copies[i], len(rows))
+        linked, root = np.flatnonzero(far), _roots(len(rows), i, j)
+        top = root[linked]
+        return pa.table({"h1": h1[linked], "h2": h2[linked], "far": far[linked].astype(np.int64), "r1": h1[top], "r2": h2[top]})
+
+    return run
+
+
+def leaf_links(classes: DataFrame, threshold: float, trees: int = TREES, leaf: int = LEAF, spill: float = 0.5, block: int = BLOCK) -> DataFrame:
+    """``h1, h2, far, r1, r2``: links of each vector found in a leaf (copies counted) and the vector that it hangs on there.
+
+    ``classes(h1, h2, copies, v)`` holds different vectors. ``spill`` is the
+    half-width of the overlap in units of the typical projected distance of a
+    pair at the threshold. A leaf that could not be split, as its rows are too
+    alike, is compared in pairs of blocks.
+    """
+    forest, sizes = grow(classes, threshold, trees, leaf, spill)
+    large = sizes.select("dim", "leaf", F.ceil(F.col("n") / block).cast("int").alias("nb")).where("nb > 1")  # few; Spark broadcasts it if it is small
+    every = _placed(classes, forest, trees).join(large, ["dim", "leaf"], "left").withColumn("nb", F.coalesce("nb", F.lit(1)))
+    every = every.withColumn("mine", F.pmod(F.xxhash64("h2", "h1"), "nb").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    every = every.withColumn("lo", F.least("mine", "other")).withColumn("hi", F.greatest("mine", "other")).drop("nb", "other")
+    return every.groupBy("dim", "leaf", "lo", "hi").applyInArrow(compare(threshold), "h1 long, h2 long, far long, r1 long, r2 long")
+
+
+def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.95, trees: int = TREES, leaf: int = LEAF, block: int = BLOCK) -> DataFrame:
     """Per row ``id, n_links, component_id, kept``.
 
     Vectors link when their cosine is at least ``threshold``; equal vectors
@@ -176,11 +269,11 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     every = cut(unit_vectors(df, id_col, vec_col), "vectors")
     valid = every.where("v is not null")
     classes = cut(valid.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("rep"), F.first("v").alias("v")), "classes")
-    pairs = cut(forest_pairs(classes, threshold, trees, leaf), "pairs").select(F.struct(F.col("a1").alias("h1"), F.col("a2").alias("h2")).alias("a"), F.struct(F.col("b1").alias("h1"), F.col("b2").alias("h2")).alias("b"))
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    node = classes.select(F.struct("h1", "h2").alias("node"), "copies", "rep")
-    linked = both.join(node.select(F.col("node").alias("b"), "copies"), "b").groupBy("a").agg(F.sum("copies").alias("far")).withColumnRenamed("a", "node")
-    of = node.join(components(pairs), "node", "left").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    found = cut(leaf_links(classes, threshold, trees, leaf, block=block), "links")
+    node, link = F.struct("h1", "h2"), F.struct(F.col("r1").alias("h1"), F.col("r2").alias("h2"))
+    roots = components(found.select(node.alias("a"), link.alias("b")))
+    linked = found.groupBy(node.alias("node")).agg(F.sum("far").alias("far"))
+    of = classes.select(node.alias("node"), "copies", "rep").join(roots, "node", "left").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = of.groupBy("root").agg(F.min("rep").alias("component_id"))
     of = of.join(least, "root").select("node.h1", "node.h2", (F.col("copies") - 1 + F.coalesce("far", F.lit(0))).alias("n_links"), "component_id")
     return (every.join(of, (every.h1 == of.h1) & (every.h2 == of.h2) & every.v.isNotNull(), "left")

@@ -36,3 +36,38 @@ def test_against_brute_force(spark):
 
 def test_empty(spark):
     assert forest.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_clusters_blocks_and_linear_output(spark):
+    """A corpus with clusters, one of them a third of all rows: recall, exact counts, and no pairs leave a leaf."""
+    rng = np.random.default_rng(9)
+    base = rng.standard_normal((1500, 24))
+    centre = rng.standard_normal((60, 24))
+    small = np.repeat(centre, 20, 0) + 0.12 * rng.standard_normal((1200, 24))
+    hot = rng.standard_normal(24) + 0.03 * rng.standard_normal((1300, 24))
+    vecs = np.concatenate([base, small, hot]).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)], "vec_id long, embedding array<float>")
+    unit = vecs.astype(float) / np.linalg.norm(vecs.astype(float), axis=1)[:, None]
+    links = (unit @ unit.T >= 0.95).sum(1) - 1
+    got = {r.id: r for r in forest.near_vectors(df, leaf=100, block=256).collect()}
+    counts = np.array([got[i].n_links for i in range(len(vecs))])
+    assert (counts <= links).all() and counts.sum() >= 0.99 * links.sum()
+    assert (counts[-1300:] == links[-1300:]).all()  # all share every leaf
+    assert len({got[i].component_id for i in range(2700, 4000)}) == 1
+    classes = forest.unit_vectors(df, "vec_id", "embedding").withColumn("copies", forest.F.lit(1).cast("long"))
+    assert forest.leaf_links(classes, 0.95, leaf=100, block=256).count() < 40 * len(vecs) < counts.sum()
+
+
+def test_recall_on_given_vectors_with_planted_neighbours(spark):
+    """All given vectors, with a near one for every tenth."""
+    given = np.array([r.embedding for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("embedding").collect()], float)
+    rng = np.random.default_rng(4)
+    step = rng.standard_normal(given[::10].shape)
+    near = given[::10] / np.linalg.norm(given[::10], axis=1)[:, None] + 0.25 * step / np.linalg.norm(step, axis=1)[:, None]
+    vecs = np.concatenate([given, near])
+    unit = vecs / np.linalg.norm(vecs, axis=1)[:, None]
+    links = (unit @ unit.T >= 0.95).sum(1) - 1
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)], "vec_id long, embedding array<double>")
+    got = {r.id: r.n_links for r in forest.near_vectors(df).collect()}
+    counts = np.array([got[i] for i in range(len(vecs))])
+    assert links.sum() > 200 and (counts <= links).all() and counts.sum() >= 0.99 * links.sum()
