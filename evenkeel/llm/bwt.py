@@ -15,8 +15,16 @@ windows of one minimizer, and pieces meet by that hash:
    is sorted again;
 4. windows found in both ways become spans of their texts.
 
-A minimizer with more than ``hot`` distinct pieces is no single task: its
-windows go on, dealt by a digest of the window.
+In step 3 a piece goes on only if another piece of its minimizer has the same
+bytes on one side of it, half of what a window holds besides: without that no
+window can repeat. Within a piece none does, as its windows have the minimizer
+at different places.
+
+A minimizer with more than ``hot`` distinct pieces is no single task: its pieces
+are cut again, now at the rarest substring of each window instead of the one
+with the least hash, so that texts that differ somewhere part there; what they
+have in common is one piece. Only what shares its rarest substring with more
+than ``hot`` pieces once more is dealt by a digest of the window.
 """
 
 from __future__ import annotations
@@ -33,6 +41,7 @@ from evenkeel.llm.neardup import with_text_key
 from evenkeel.llm.words import M1, mix, utf8
 
 LENGTH, GRAM, STEP, SHARD, HOT = 400, 32, 16, 65_536, 4000  # STEP: most bytes a refinement round takes
+SLOTS = 20  # bits of the table that counts substrings of hot pieces, 8 MB
 CHUNK = 1 << 19
 
 
@@ -46,12 +55,18 @@ def _gram_hashes(a: np.ndarray) -> np.ndarray:
     return mix(h)
 
 
-def pieces(raw: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First window, number of windows and minimizer hash of each piece, in order; together all windows."""
-    starts, counts, keys = [], [], []
+def pieces(raw: bytes, length: int, often: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First window, number of windows, minimizer hash and its place (from the first window) of each piece, in order; together all windows.
+
+    With ``often``, counts by the leading bits of a hash, the least is the rarest, and the least hash among these.
+    """
+    starts, counts, keys, places = [], [], [], []
     for at in range(0, len(raw) - length + 1, CHUNK):  # positions fit in 20 bits
         h = _gram_hashes(np.frombuffer(raw, np.uint8, min(len(raw) - at, CHUNK + length - 1), at))
-        m = ((h >> np.uint64(20)) << np.uint64(20)) | np.arange(len(h), dtype=np.uint64)
+        m = (h >> np.uint64(20)) << np.uint64(20)
+        if often is not None:
+            m = (often[(h >> np.uint64(64 - SLOTS)).astype(np.int64)] << np.uint64(48)) | ((h >> np.uint64(36)) << np.uint64(20))
+        m |= np.arange(len(h), dtype=np.uint64)
         span, width = length - GRAM + 1, 1
         while 2 * width <= span:
             m = np.minimum(m[:-width], m[width:])
@@ -61,10 +76,12 @@ def pieces(raw: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]
         first = np.flatnonzero(np.concatenate([[True], m[1:] != m[:-1]]))
         starts.append(first + at)
         counts.append(np.diff(np.append(first, len(m))))
-        keys.append(h[(m[first] & np.uint64((1 << 20) - 1)).astype(np.int64)])
+        at = (m[first] & np.uint64((1 << 20) - 1)).astype(np.int64)
+        keys.append(h[at])
+        places.append(at - first)
     if not starts:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return np.concatenate(starts), np.concatenate(counts), np.concatenate(keys)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return np.concatenate(starts), np.concatenate(counts), np.concatenate(keys), np.concatenate(places)
 
 
 def _sorted(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -212,41 +229,42 @@ def repeated_windows(strings: list[bytes], length: int, shard: int = SHARD) -> l
 
 
 def _pieces_of(docs: DataFrame, length: int) -> DataFrame:
-    """``k1, k2, starts, n, key, d1, d2`` for each different piece of each row's text (``k1, k2, text``).
+    """``k1, k2, starts, n, p, key, d1, d2`` for each different piece of each row's text (``k1, k2, text``).
 
     Texts that repeat a word over and over have the same piece at very many places: these come in one row.
     """
 
     def run(batches):
-        names = ["k1", "k2", "starts", "n", "key", "d1", "d2"]
+        names = ["k1", "k2", "starts", "n", "p", "key", "d1", "d2"]
         for b in batches:
-            rows, starts, ends, counts, keys, digests = [], [], [], [], [], []
+            rows, starts, ends, counts, places, keys, digests = [], [], [], [], [], [], []
             for i, t in enumerate(b.column(2)):
                 raw = utf8(t.as_py())
                 if len(raw) < length:
                     continue
                 same: dict = {}
-                for a, c, k in zip(*(x.tolist() for x in pieces(raw, length))):
-                    same.setdefault((k, xxhash.xxh3_128_digest(raw[a : a + c + length - 1])), [c]).append(a)
-                for (k, d), (c, *at) in same.items():
+                for a, c, k, p in zip(*(x.tolist() for x in pieces(raw, length))):
+                    same.setdefault((k, xxhash.xxh3_128_digest(raw[a : a + c + length - 1])), [c, p]).append(a)
+                for (k, d), (c, p, *at) in same.items():
                     rows.append(i)
                     starts += at
                     ends.append(len(starts))
                     counts.append(c)
+                    places.append(p)
                     keys.append(k)
                     digests.append(d)
             if rows:
                 d, r = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2), pa.array(rows)
                 lists = pa.ListArray.from_arrays(pa.array([0, *ends], pa.int32()), pa.array(starts, pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(r), b.column(1).take(r), lists, pa.array(counts, pa.int64()), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy())], names)
+                    [b.column(0).take(r), b.column(1).take(r), lists, pa.array(counts, pa.int64()), pa.array(places, pa.int64()), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy())], names)
 
-    return docs.select("k1", "k2", "text").mapInArrow(run, "k1 long, k2 long, starts array<long>, n long, key long, d1 long, d2 long")
+    return docs.select("k1", "k2", "text").mapInArrow(run, "k1 long, k2 long, starts array<long>, n long, p long, key long, d1 long, d2 long")
 
 
 def _with_bytes(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """The bytes of the pieces ``wanted(k1, k2, start, n, key, d1, d2)``; copies of a text are read once."""
-    lists = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "n", "key", "d1", "d2")).alias("p"))
+    """The bytes of the pieces ``wanted(k1, k2, start, n, p, key, d1, d2)``; copies of a text are read once."""
+    lists = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "n", "p", "key", "d1", "d2")).alias("p"))
     once = docs.groupBy("k1", "k2").agg(F.first("text").alias("text"))
 
     def run(batches):
@@ -254,11 +272,29 @@ def _with_bytes(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
             rows = []
             for t, p in zip(b.column(0), b.column(1)):
                 raw = utf8(t.as_py())
-                rows += [(x["key"], x["d1"], x["d2"], raw[x["start"] : x["start"] + x["n"] + length - 1]) for x in p.as_py()]
-            c = list(zip(*rows)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([*(pa.array(list(x), pa.int64()) for x in c[:3]), pa.array(list(c[3]), pa.binary())], ["key", "d1", "d2", "piece"])
+                rows += [(x["key"], x["d1"], x["d2"], x["p"], raw[x["start"] : x["start"] + x["n"] + length - 1]) for x in p.as_py()]
+            c = list(zip(*rows)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([*(pa.array(list(x), pa.int64()) for x in c[:4]), pa.array(list(c[4]), pa.binary())], ["key", "d1", "d2", "p", "piece"])
+
+    return once.join(lists, ["k1", "k2"]).select("text", "p").mapInArrow(run, "key long, d1 long, d2 long, p long, piece binary")
+
 
-    return once.join(lists, ["k1", "k2"]).select("text", "p").mapInArrow(run, "key long, d1 long, d2 long, piece binary")
+def _may_repeat(rows: list[tuple], length: int) -> list[tuple]:
+    """The rows ``(key, d1, d2, p, piece)`` that share their key and the bytes on one side of it with another row.
+
+    A window holds ``length - GRAM`` bytes besides the minimizer, so half of them, rounded down, on one side at least.
+    """
+    half, sides, seen = (length - GRAM) // 2, [], {}
+    for key, _, _, p, piece in rows:
+        mine = []
+        if p >= half:
+            mine.append((key, 0, piece[p - half : p]))
+        if len(piece) >= p + GRAM + half:
+            mine.append((key, 1, piece[p + GRAM : p + GRAM + half]))
+        for x in mine:
+            seen[x] = seen.get(x, 0) + 1
+        sides.append(mine)
+    return [r for r, mine in zip(rows, sides) if any(seen[x] > 1 for x in mine)]
 
 
 def _merged(piece_rows: DataFrame, length: int, shard: int) -> DataFrame:
@@ -268,20 +304,20 @@ def _merged(piece_rows: DataFrame, length: int, shard: int) -> DataFrame:
         held, size = [], 0
 
         def flush(rows):
-            out = []
-            for (k, d1, d2, _), f in zip(rows, repeated_windows([r[3] for r in rows], length, shard)):
+            out, rows = [], _may_repeat(rows, length)
+            for (k, d1, d2, *_), f in zip(rows, repeated_windows([r[4] for r in rows], length, shard)):
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], f.view(np.int8), [0]])))
                 out += [(k, d1, d2, int(a), int(b) - 1) for a, b in zip(edge[::2], edge[1::2])]
             c = list(zip(*out)) or [[]] * 5
             return pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in c], ["key", "d1", "d2", "a", "b"])
 
         for b in batches:
-            for row in zip(*(b.column(i).to_pylist() for i in range(4))):
+            for row in zip(*(b.column(i).to_pylist() for i in range(5))):
                 if size >= 4 * shard and held[-1][0] != row[0]:
                     yield flush(held)
                     held, size = [], 0
                 held.append(row)
-                size += len(row[3])
+                size += len(row[4])
         if held:
             yield flush(held)
 
@@ -289,11 +325,11 @@ def _merged(piece_rows: DataFrame, length: int, shard: int) -> DataFrame:
 
 
 def _by_digest(piece_rows: DataFrame, length: int) -> DataFrame:
-    """The same for minimizers with very many pieces: windows meet by their own digest."""
+    """The same for what stays hot: windows meet by their own digest, a row for each."""
 
     def run(batches):
         for b in batches:
-            for k, d1, d2, p in zip(*(b.column(i).to_pylist() for i in range(4))):
+            for k, d1, d2, _, p in zip(*(b.column(i).to_pylist() for i in range(5))):
                 n = len(p) - length + 1
                 w = np.frombuffer(b"".join(xxhash.xxh3_128_digest(p[i : i + length]) for i in range(n)), np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, x)) for x in (k, d1, d2)] + [pa.array(np.arange(n)), pa.array(w[:, 0].copy()), pa.array(w[:, 1].copy())], ["key", "d1", "d2", "a", "w1", "w2"])
@@ -303,18 +339,72 @@ def _by_digest(piece_rows: DataFrame, length: int) -> DataFrame:
     return w.join(many, ["w1", "w2"]).select("key", "d1", "d2", "a", F.col("a").alias("b"))
 
 
+def _often(piece_rows: DataFrame) -> np.ndarray:
+    """How often the 32-byte substrings occur in the pieces, by the leading bits of their hash; ``2 ** SLOTS`` numbers."""
+    cells = 1 << (SLOTS - 8)
+
+    def count(batches):
+        total = np.zeros(1 << SLOTS, np.int64)
+        for b in batches:
+            h = np.concatenate([_gram_hashes(np.frombuffer(p.as_py(), np.uint8)) for p in b.column(0)] or [np.zeros(0, np.uint64)])
+            total += np.bincount((h >> np.uint64(64 - SLOTS)).astype(np.int64), minlength=1 << SLOTS)
+        for i in np.flatnonzero(total.reshape(256, cells).any(1)).tolist():
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([total[i * cells : (i + 1) * cells].tobytes()])], ["part", "n"])
+
+    def add(table: pa.Table) -> pa.Table:
+        n = sum(np.frombuffer(x.as_py(), np.int64) for x in table.column("n"))
+        return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int32()), "n": pa.array([n.tobytes()])})
+
+    out = np.zeros((256, cells), np.int64)
+    for r in piece_rows.select("piece").mapInArrow(count, "part int, n binary").groupBy("part").applyInArrow(add, "part int, n binary").collect():  # 256 rows
+        out[r["part"]] = np.frombuffer(r["n"], np.int64)
+    return np.minimum(out.ravel(), 65_535).astype(np.uint64)
+
+
+def _cut_again(piece_rows: DataFrame, length: int) -> DataFrame:
+    """The pieces cut at their windows' rarest substrings: ``key, d1, d2, off`` (where in the piece), ``n, q, key2, e1, e2, part``."""
+    sent = piece_rows.sparkSession.sparkContext.broadcast(_often(piece_rows))
+    names = ["key", "d1", "d2", "off", "n", "q", "key2", "e1", "e2", "part"]
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for k, d1, d2, _, piece in zip(*(b.column(i).to_pylist() for i in range(5))):
+                for a, c, h, q in zip(*(x.tolist() for x in pieces(piece, length, sent.value))):
+                    part = piece[a : a + c + length - 1]
+                    rows.append((k, d1, d2, a, c, q, np.uint64(h).astype(np.int64), *np.frombuffer(xxhash.xxh3_128_digest(part), np.int64), part))
+            c = list(zip(*rows)) or [[]] * 10
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.array(x, np.int64)) for x in c[:9]), pa.array(list(c[9]), pa.binary())], names)
+
+    return piece_rows.mapInArrow(run, ", ".join(f"{n} long" for n in names[:-1]) + ", part binary")
+
+
+def _runs(piece_rows: DataFrame, length: int, shard: int, hot: int, again: bool = True) -> DataFrame:
+    """Runs ``key, d1, d2, a, b`` of repeated windows in the different pieces ``key, d1, d2, p, piece``."""
+    big = cut(piece_rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > hot).select("key"), "big")
+    if big.isEmpty():
+        return _merged(piece_rows, length, shard)
+    runs, rest = _merged(piece_rows.join(big, "key", "left_anti"), length, shard), piece_rows.join(big, "key", "left_semi")
+    if not again:
+        return runs.unionByName(_by_digest(rest, length))
+    parts = cut(_cut_again(cut(rest, "hot"), length), "parts")
+    same = ["key2", "e1", "e2"]
+    some = cut(parts.groupBy(same).agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"), F.first("q").alias("p"), F.first("part").alias("piece")), "some")
+    deeper = _runs(some.select(F.col("key2").alias("key"), F.col("e1").alias("d1"), F.col("e2").alias("d2"), "p", "piece"), length, shard, hot, again=False)
+    whole = some.where("c > 1").select(*same, F.lit(0).cast("long").alias("a"), (F.col("n") - 1).alias("b"))
+    found = cut(deeper.toDF(*same, "a", "b").unionByName(whole), "found")
+    back = parts.drop("part").join(found, same).select("key", "d1", "d2", (F.col("off") + F.col("a")).alias("a"), (F.col("off") + F.col("b")).alias("b"))
+    return runs.unionByName(back)
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH, shard: int = SHARD, hot: int = HOT) -> DataFrame:
     """``k1, k2, spans``: byte ranges of each text (as ``array<struct<s, e>>``, may overlap) covered by repeated windows."""
     found = cut(_pieces_of(docs, length), "pieces")
     keys = found.groupBy("key").agg(F.sum(F.size("starts")).alias("c"), (F.min("d1") != F.max("d1")).alias("mixed")).where("c > 1").drop("c")
     again = cut(found.join(keys, "key"), "again")
-    one = cut(again.groupBy("key", "d1", "d2").agg(F.sum(F.size("starts")).alias("c"), F.first("mixed").alias("mixed"), F.min(F.struct("k1", "k2", F.col("starts")[0].alias("start"), "n")).alias("at")), "one")
+    one = cut(again.groupBy("key", "d1", "d2").agg(F.sum(F.size("starts")).alias("c"), F.first("mixed").alias("mixed"), F.min(F.struct("k1", "k2", F.col("starts")[0].alias("start"), "n", "p")).alias("at")), "one")
     mixed = one.where("mixed").select("key", "d1", "d2", "at.*")
-    big = cut(mixed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > hot).select("key"), "big")
-    rows = cut(_with_bytes(docs, mixed, length), "bytes")
-    runs = _merged(rows.join(big, "key", "left_anti"), length, shard)
-    if not big.isEmpty():
-        runs = runs.unionByName(_by_digest(rows.join(big, "key", "left_semi"), length))
+    runs = _runs(cut(_with_bytes(docs, mixed, length), "bytes"), length, shard, hot)
     whole = one.where("c > 1").select("key", "d1", "d2", F.lit(0).cast("long").alias("a"), (F.col("at.n") - 1).alias("b"))
     runs = cut(runs.unionByName(whole), "runs")
     spans = again.join(runs, ["key", "d1", "d2"]).select("k1", "k2", F.explode("starts").alias("start"), "a", "b")

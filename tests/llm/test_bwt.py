@@ -22,7 +22,8 @@ def test_merge_against_counting():
 
 def test_pieces_hold_every_window_once():
     raw = bytes(np.random.default_rng(0).integers(97, 100, 3000, dtype=np.uint8)) + b"z" * 900
-    s, n, k = bwt.pieces(raw, 400)
+    s, n, k, p = bwt.pieces(raw, 400)
+    assert all(bwt._gram_hashes(np.frombuffer(raw[a + x : a + x + bwt.GRAM], np.uint8))[0] == h for a, x, h in zip(s, p, k))
     assert s[0] == 0 and (s[1:] == s[:-1] + n[:-1]).all() and s[-1] + n[-1] == len(raw) - 399
 
 
@@ -44,6 +45,7 @@ def test_against_brute_force(spark):
     texts = [None, "", "short", doc, doc, doc[:300] + "x" + doc[301:], word(50) + passage + word(50), passage, word(10) + passage[5:], word(30) + passage[:-40] + word(30), "tick " * 300, word(300) + "tick " * 90, "q" * 700, word(400)]
     check(spark, texts, 200)
     check(spark, texts, 200, hot=1, shard=500)
+    check(spark, texts, 200, hot=4, shard=500)
     assert bwt.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
@@ -53,3 +55,34 @@ def test_real_documents(spark):
     raw, flags = repeats([r.text for r in rows], 400)
     got = {r.doc_id: hashlib.sha256(bytes(r.kept)).hexdigest() for r in bwt.remove_repeats(df).collect()}
     assert got == {r.doc_id: hashlib.sha256(bytes(b for b, x in zip(t, f) if not x)).hexdigest() for r, t, f in zip(rows, raw, flags)}
+
+
+def test_planted_passages_and_hot_near_copies(spark):
+    """Passages of 300 to 600 bytes in other texts, and near copies that share a minimizer with very many others."""
+    rng = random.Random(8)
+    letters = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passages = [letters(n) for n in (300, 390, 399, 400, 401, 450, 600)]
+    texts = [letters(rng.randrange(500)) + p + letters(rng.randrange(500)) for p in passages for _ in range(4)]
+    base = letters(900)
+    for i in range(60):
+        a = rng.randrange(850)
+        texts.append(base[:a] + f"<{i:04d}>" + base[a + 6 :])
+    check(spark, texts, 400, hot=10)
+    check(spark, texts, 400, hot=10_000)
+
+
+def test_hot_pieces_make_few_rows(spark):
+    """Near copies cut again part where they differ: rows grow with the pieces, not with their windows."""
+    rng = random.Random(9)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(700))
+    rows = []
+    for i in range(1600):
+        a = rng.randrange(650)
+        t = (base[:a] + f"<{i:04d}>" + base[a + 6 :]).encode()
+        rows += [(int(np.uint64(k).astype(np.int64)), i, j, int(q), t[s : s + n + 399]) for j, (s, n, k, q) in enumerate(zip(*bwt.pieces(t, 400)))]
+    df = spark.createDataFrame(rows, "key long, d1 long, d2 long, p long, piece binary")
+    parts = bwt._cut_again(df, 400)
+    assert parts.count() < 4 * len(rows)
+    # what is left of the common text starts or ends at the difference: as many pieces as places, however many copies
+    hottest = lambda d, k, *x: d.groupBy(k).agg(bwt.F.countDistinct(*x).alias("c")).agg(bwt.F.max("c")).first()[0]
+    assert hottest(parts, "key2", "e1", "e2") < 2 * 369 < hottest(df, "key", "d1", "d2")
