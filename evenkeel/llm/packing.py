@@ -1,48 +1,65 @@
 """Best-fit packing of token sequences by the sum-of-squares rule.
 
-Documents become token pieces of at most ``size``; each task packs the pieces
-of its own partition. A piece goes where the sum over gaps of the squared
-number of open bins with that gap becomes least. Longer pieces go first. Only
-lengths are held for a partition, never its token ids.
+Texts become token pieces of at most ``size`` where they lie. The pieces, without
+their ids some 40 bytes each, are dealt evenly to groups; a task packs a group. A
+piece goes where the sum over gaps of the squared number of open bins with that
+gap becomes least. Longer pieces go first. So neither the layout of the input nor
+the number of its partitions costs sequences: a group leaves one part-filled bin
+or a few.
 """
 
 from __future__ import annotations
 
-import base64
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from evenkeel.llm.common import cut
 
 SIZE = 2048
+GROUP = 500_000  # pieces of a group: the packer holds one number for each open bin
+_KNOWN, _LONGEST = 400_000, 64  # words remembered by a worker, and their greatest length
+_TOKENIZERS: dict[str, object] = {}
 
 
-def load_tokenizer(path: str | None = None, ranks_path: str | None = None):
-    """A function from text to a uint32 array of ids, as the tokenizer file in ``path`` gives them.
+def load_tokenizer(path: str | None = None):
+    """A function from a list of texts to their uint32 ids (as bytes) by the tokenizer file in ``path``.
 
-    The same vocabulary as ranks (``ranks_path``) is used for speed; a text
-    that spells a special token goes through the tokenizer file itself, which
-    maps it to that token.
+    A byte-level tokenizer encodes the words of its splitting pattern one by
+    one, so the words that a worker has seen are remembered. Texts that spell a
+    special token, and those with letters outside the scripts for which all
+    versions of Unicode agree (U+052F and below), go through the tokenizer whole.
     """
     import public_tokenizers
-    import tiktoken
+    import regex
     from tokenizers import Tokenizer
 
     path = path or public_tokenizers.path("byte_bpe_50k.json")
-    ranks_path = ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken")
-    full = Tokenizer.from_file(path)
-    special = [t.content for t in full.get_added_tokens_decoder().values()]
-    with open(ranks_path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    fast = tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-    def ids(text: str) -> np.ndarray:
-        if any(s in text for s in special):
-            return np.array(full.encode(text, add_special_tokens=False).ids, "<u4")
-        return np.array(fast.encode_ordinary(text), "<u4")
+    if path not in _TOKENIZERS:
+        full = Tokenizer.from_file(path)
+        _TOKENIZERS[path] = full, [t.content for t in full.get_added_tokens_decoder().values()], regex.compile(public_tokenizers.PATTERN), {}
+    full, special, pattern, known = _TOKENIZERS[path]
+
+    def encoded(texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in full.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
+    def ids(texts: list[str]) -> list[bytes]:
+        whole = [any(s in t for s in special) or not (t.isascii() or max(t) <= "\u052f") for t in texts]
+        rare = iter(encoded([t for t, w in zip(texts, whole) if w]))
+        words = [None if w else pattern.findall(t) for t, w in zip(texts, whole)]
+        if len(known) > _KNOWN:
+            known.clear()
+        new = list({w for ws in words if ws for w in ws if w not in known})
+        now = dict(zip(new, encoded(new)))
+        known.update((w, x) for w, x in now.items() if len(w) <= _LONGEST)
+        long = {w: x for w, x in now.items() if len(w) > _LONGEST}
+        find = (lambda w: known[w] if w in known else long[w]) if long else known.__getitem__
+        return [next(rare) if ws is None else b"".join(map(find, ws)) for ws in words]
 
     return ids
 
@@ -94,50 +111,55 @@ def pack_lengths(lengths: np.ndarray, size: int = SIZE) -> tuple[np.ndarray, np.
     return where, offset
 
 
-def pack_documents(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", size: int = SIZE, end_id: int = 0, tokenizer=load_tokenizer, group_docs: int = 200_000) -> DataFrame:
-    """One row per piece: doc, piece, start, length, ids_crc32, sequence_id, offset.
+def token_pieces(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", size: int = SIZE, end_id: int = 0, tokenizer=load_tokenizer, order: list[Column] | None = None, batch: int = 256) -> DataFrame:
+    """``doc_id, piece, start, length, ids_crc32`` for each piece, and the values of ``order`` as ``o0, o1, ...``."""
+    order = [c.alias(f"o{i}") for i, c in enumerate(order or [])]
+    rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *order)
+    extra = [f.name for f in rows.schema[2:]]
+
+    def run(batches):
+        ids_of = tokenizer()
+        for whole in batches:
+            for a in range(0, whole.num_rows, batch):
+                b, at, made = whole.slice(a, batch), [], []
+                for i, raw in enumerate(ids_of([t or "" for t in b.column(1).to_pylist()])):
+                    ids = np.append(np.frombuffer(raw, "<u4"), np.uint32(end_id)).astype("<u4")
+                    start, end, k = 0, (len(ids) - 1) % size + 1, 0  # the first piece takes the remainder
+                    while start < len(ids):
+                        at.append(i)
+                        made.append((k, start, end - start, zlib.crc32(ids[start:end].tobytes())))
+                        start, end, k = end, end + size, k + 1
+                i, c = pa.array(at, pa.int64()), list(zip(*made)) or [[]] * 4
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(i), *(pa.array(x, t) for x, t in zip(c, (pa.int32(), pa.int64(), pa.int64(), pa.int64()))), *(b.column(2 + j).take(i) for j in range(len(extra)))],
+                    ["doc_id", "piece", "start", "length", "ids_crc32", *extra])
+
+    tail = "".join(f", {f.name} {f.dataType.simpleString()}" for f in rows.schema[2:])
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long" + tail)
+
+
+def pack_documents(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", size: int = SIZE, end_id: int = 0, tokenizer=load_tokenizer, group: int = GROUP, order: list[Column] | None = None) -> DataFrame:
+    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Each text's ids are followed by ``end_id``; longer ones are cut into
     ``size`` tokens, the first piece taking the remainder. A null text is empty
-    and gives one piece with the end id alone. Tasks pack at most
-    ``group_docs`` documents at a time, which bounds their memory; rows of
-    one id are packed separately. Ties keep the order of the input.
+    and gives one piece with the end id alone. Groups hold about ``group``
+    pieces. With ``order`` they are stretches of the rows in that order, and
+    sequence ids ascend with the stretches; otherwise pieces are dealt evenly.
+    Repeated rows are packed separately. Within a group equal lengths go by id,
+    piece and digest. Other columns are ignored.
     """
-    kind = df.schema[id_col].dataType.simpleString()
+    pieces = cut(token_pieces(df, text_col, id_col, size, end_id, tokenizer, order), "tokens")
+    groups, by = max(1, -(-pieces.count() // group)), [c for c in pieces.columns[5:]]
+    dealt = pieces.repartitionByRange(groups, *by, "piece") if by else pieces.repartition(groups)
+    names = pieces.columns[:5]
+    dealt = dealt.select(*names).sortWithinPartitions(F.desc("length"), "doc_id", "piece", "start", "ids_crc32")
 
     def run(batches):
-        ids_of, part, made, docs, pieces = tokenizer(), TaskContext.get().partitionId(), 0, [], []
-
-        def flush():
-            nonlocal made
-            length = np.array([p[3] for p in pieces], np.int64)
-            where, offset = pack_lengths(length, size)
-            seq = (np.int64(part) << 40) + made + where
-            made += int(where.max(initial=-1)) + 1
-            for a in range(0, len(pieces), 20_000):
-                some = pieces[a : a + 20_000]
-                c = list(zip(*some))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c[0], doc_type), pa.array(c[1], pa.int32()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.int64()), pa.array(c[4], pa.int64()),
-                     pa.array(seq[a : a + len(some)], pa.int64()), pa.array(offset[a : a + len(some)], pa.int64())],
-                    ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
-            pieces.clear()
-
-        seen = 0
+        packer, part = SquaresPacker(size), TaskContext.get().partitionId()
         for b in batches:
-            doc_type = b.column(0).type
-            for key, text in zip(b.column(0).to_pylist(), b.column(1)):
-                ids = np.append(ids_of(text.as_py() or ""), np.uint32(end_id)).astype("<u4")
-                at, first = 0, (len(ids) - 1) % size + 1
-                for k in range((len(ids) - first) // size + 1):
-                    end = first + k * size
-                    pieces.append((key, k, at, end - at, zlib.crc32(ids[at:end].tobytes())))
-                    at = end
-                seen += 1
-                if seen % group_docs == 0:
-                    yield from flush()
-        if pieces:
-            yield from flush()
-
-    return df.select(id_col, text_col).mapInArrow(
-        run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+            places = [packer.place(n, may_open=False) for n in b.column(3).to_pylist()]
+            seq, offset = np.array(places, np.int64).reshape(-1, 2).T
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array((np.int64(part) << 40) + seq), pa.array(offset.copy())], [*names, "sequence_id", "offset"])
+
+    return dealt.mapInArrow(run, f"doc_id {pieces.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -55,3 +55,26 @@ def test_against_the_tokenizer(spark):
             at += n
         assert at <= 2048
     assert packing.pack_documents(df.limit(0)).count() == 0
+
+
+def test_tokenizer_on_all_given_texts_and_odd_ones(spark):
+    tok, ids = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), packing.load_tokenizer()
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    rng = random.Random(3)
+    texts += ["".join(chr(rng.choice([rng.randrange(32, 127), rng.randrange(0x530), rng.randrange(0xD800), rng.randrange(0x10000, 0x20000), 32, 10])) for _ in range(40)) for _ in range(3000)]
+    texts += ["x" * 5000, "it's IT'S they'll  \t\r\n \u00a0 \u2003x", "<|endoftext|>"]
+    for a in range(0, len(texts), 500):
+        some = texts[a : a + 500]
+        assert [np.frombuffer(x, "<u4").tolist() for x in ids(some)] == [e.ids for e in tok.encode_batch(some, add_special_tokens=False)]
+
+
+def test_layout_costs_no_sequences(spark):
+    """Long documents together in one partition, short ones in others: as few sequences as if they were mixed."""
+    rows = [(i, "one two " * 550) for i in range(200)] + [(1000 + i, "one two " * 230) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(8, "doc_id")
+    got = packing.pack_documents(df).collect()
+    total = sum(r.length for r in got)
+    assert len({r.sequence_id for r in got}) <= -(-total // 2048) * 1.03 + 1
+    stretch = packing.pack_documents(df, group=100, order=[packing.F.col("doc_id")]).collect()
+    part = {r.doc_id: r.sequence_id >> 40 for r in stretch}
+    assert len(set(part.values())) > 3 and all(part[a] <= part[b] for a, b in zip(sorted(part), sorted(part)[1:]))
