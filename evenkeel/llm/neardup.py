@@ -139,17 +139,33 @@ def _joined(rows: list[tuple], num: int, den: int, k: int, hashes: WordHashes) -
     return out
 
 
+def dealt(members: DataFrame, block: int = 256) -> DataFrame:
+    """``bucket, lo, hi, mine, node, comp``: members of the buckets that hold several components, once for each task that needs them.
+
+    A bucket's largest component is joined already, so only the members outside
+    it are compared, with each other and with those inside. Both kinds are
+    dealt to blocks by hash. With r members outside and l inside that makes
+    ``r (r + 2 l) / block + r + l`` rows at most: in proportion to the bucket
+    where what the stars left apart fits a block.
+    """
+    comps = members.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("c"))
+    parted = comps.groupBy("bucket").agg(F.sum("c").alias("size"), F.max(F.struct("c", "comp")).alias("top"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    parted = parted.select("bucket", F.col("top.comp").alias("top"), F.ceil((F.col("size") - F.col("top.c")) / block).cast("int").alias("nr"), F.ceil(F.col("top.c") / block).cast("int").alias("nl"))
+    m = members.join(parted, "bucket").withColumn("out", F.col("comp") != F.col("top"))
+    deal = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    m = m.withColumn("mine", F.when(F.col("out"), deal("nr")).otherwise(F.col("nr") + deal("nl")))
+    m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("out"), F.col("nr") + F.col("nl") - 1).otherwise(F.col("nr") - 1))))
+    return m.select("bucket", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "node", "comp")
+
+
 def inside(members: DataFrame, texts: DataFrame, num: int, den: int, k: int, block: int = 256) -> DataFrame:
-    """Links ``(a, b)`` between components within buckets, from ``members(bucket, size, node, comp)``.
+    """Links ``(a, b)`` between components within buckets, from ``members(bucket, node, comp)``.
 
-    Members are dealt to blocks by hash, and every two blocks of a bucket are
-    compared by one task, sets against sets as a matrix product; only links
-    that join two components leave it, so what is emitted is linear.
+    A task compares two blocks of a bucket, sets against sets as a matrix
+    product; only links that join two components leave it.
     """
-    n = F.ceil(F.col("size") / block).cast("int")
-    m = members.withColumn("mine", F.pmod(F.xxhash64("node"), n).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
-    m = m.select("bucket", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "node", "comp").join(texts, "node")
     key = ["bucket", "lo", "hi"]
+    m = dealt(members, block).join(texts, "node")
     m = m.select(*key, "mine", "node.f1", "node.f2", F.col("comp.f1").alias("c1"), F.col("comp.f2").alias("c2"), "text").repartition(*key).sortWithinPartitions(*key)
     node = pa.struct([("f1", pa.int64()), ("f2", pa.int64())])
 
@@ -175,11 +191,11 @@ def inside(members: DataFrame, texts: DataFrame, num: int, den: int, k: int, blo
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 4, den: int = 5, bands: int = BANDS, rows: int = ROWS, k: int = 5) -> DataFrame:
-    """Per row: ``id, k1, k2, n_shingles, component_id, kept``.
+    """Per row: ``id, k1, k2, n_shingles, root, component_id, kept``.
 
     Rows link when the Jaccard similarity of their sets of ``k``-word shingles
     is at least num/den. component_id is the least id reachable by links, the
-    row's own id included. Null and blank texts have no shingles and link with
+    row's own id included; root stands for the group, null without shingles. Null and blank texts have no shingles and link with
     nothing; a null id never is a component id unless all are null there.
     Repeated rows each get a row; other columns are ignored. The chance to
     miss a pair of similarity s is ``(1 - s**rows) ** bands``.
@@ -202,13 +218,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     links = cut(confirm(star.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct(), texts, num, den, k), "links")
     root = components(links)
     members = cut(members.where(F.col("node") != F.col("centre.node")).select("bucket", "node").join(root, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("comp")), "members")
-    parted = members.groupBy("bucket").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count(F.lit(1)).alias("size")).where("c1 <> c2").select("bucket", "size")
-    rest = cut(inside(members.join(parted, "bucket"), texts, num, den, k), "links")
+    rest = cut(inside(members, texts, num, den, k), "links")
     if not rest.isEmpty():
         root = components(links.unionByName(rest))
 
     of_class = rep.join(root, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
     least = of_class.groupBy("root").agg(F.min("id").alias("component_id"))
-    of_node = of_class.join(least, "root").select("node", "component_id")
+    of_node = of_class.join(least, "root").select("node", "root", "component_id")
     return seen.join(of_node, "node", "left").select(
-        "id", "k1", "k2", "n_shingles", F.coalesce("component_id", "id").alias("component_id")).withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
+        "id", "k1", "k2", "n_shingles", "root", F.coalesce("component_id", "id").alias("component_id")).withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))

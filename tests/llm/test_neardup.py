@@ -43,3 +43,20 @@ def test_real_documents(spark):
     rows = [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
     got = {r["id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(df, num=85, den=100).collect()}
     assert got == near(rows, 85, 100)
+
+
+def test_hot_bucket_deals_rows_in_proportion(spark):
+    """5,000 near copies in one bucket, 100 of them left apart by the stars: each is dealt once or a few times, not once for each block."""
+    rows = [(1, (0, i), (0, 0 if i >= 100 else i + 1)) for i in range(5000)] + [(2, (0, i), (0, 0)) for i in range(300, 900)]
+    kind = "struct<f1:bigint,f2:bigint>"
+    got = neardup.dealt(spark.createDataFrame(rows, f"bucket long, node {kind}, comp {kind}")).collect()
+    assert {r.bucket for r in got} == {1}
+    assert len(got) <= 4900 + 100 * (1 + 20)
+    blocks = {}
+    for r in got:
+        blocks.setdefault((r.lo, r.hi), []).append((r.mine, r.node.f2))
+    met = set()
+    for (lo, hi), m in blocks.items():
+        a, b = [n for x, n in m if x == lo], [n for x, n in m if x == hi]
+        met |= {(min(x, y), max(x, y)) for x in a for y in b}
+    assert all((min(x, y), max(x, y)) in met for x in range(100) for y in range(5000) if x != y)
