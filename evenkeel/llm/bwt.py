@@ -412,14 +412,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, shard: int = SHARD, ho
     return spans.groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("spans"))
 
 
-def remove_repeats(df: DataFrame, text_col: str = "text", length: int = LENGTH, as_text: bool = False, nested: bool = False, shard: int = SHARD, hot: int = HOT) -> DataFrame:
+def remove_repeats(df: DataFrame, text_col: str = "text", length: int = LENGTH, as_text: bool = False, nested: bool = False, shard: int = SHARD, hot: int = HOT, words: int = 0) -> DataFrame:
     """All rows and columns of ``df`` with ``n_bytes, n_removed, n_spans`` and ``kept`` (the bytes that stay; with
     ``as_text`` a string without the characters that were cut in two).
 
     A byte goes if a string of ``length`` bytes that covers it also starts at
     another place of any text, the same text included; texts are UTF-8 and
     matches never cross them. Null, empty and short texts stay as they are
-    (null: empty bytes). Repeated rows are places of their own, so their texts
+    (null: empty bytes). Spans of fewer than ``words`` words stay. Repeated rows are places of their own, so their texts
     repeat. Columns of ``df`` with the names added here give way to them; with
     ``nested`` the row of ``df`` comes whole, as a struct ``row``.
     """
@@ -432,16 +432,16 @@ def remove_repeats(df: DataFrame, text_col: str = "text", length: int = LENGTH,
         for b in batches:
             rows = []
             for t, spans in zip(b.column(1), b.column(2)):
-                raw, kept, end, gone, count = utf8(t.as_py()), [], 0, 0, 0
+                raw, runs = utf8(t.as_py()), []
                 for x in spans.as_py() or []:
-                    s, e = x["s"], x["e"]
-                    if s > end or not count:
-                        kept.append(raw[end:s])
-                        gone, count, end = gone + e - s, count + 1, e
-                    elif e > end:
-                        gone, end = gone + e - end, e
-                kept.append(raw[end:])
-                kept = b"".join(kept)
+                    if runs and x["s"] <= runs[-1][1]:
+                        runs[-1][1] = max(runs[-1][1], x["e"])
+                    else:
+                        runs.append([x["s"], x["e"]])
+                if words:
+                    runs = [(s, e) for s, e in runs if len(raw[s:e].split()) >= words]
+                gone, count = sum(e - s for s, e in runs), len(runs)
+                kept = b"".join(raw[a:b] for a, b in zip([0, *(e for _, e in runs)], [*(s for s, _ in runs), len(raw)]))
                 rows.append((len(raw), gone, count, kept.decode("utf-8", "ignore") if as_text else kept))
             c = list(zip(*rows)) or [[]] * 4
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string() if as_text else pa.binary())
