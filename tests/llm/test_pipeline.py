@@ -9,6 +9,19 @@ from tests.llm.brute import near, repeats
 SF = "/root/testdata/sf0.001"
 
 
+def long_runs(raw, flags, words):
+    """The flags without runs that hold fewer than so many words."""
+    out, at = list(flags), 0
+    while at < len(out):
+        end = at + 1
+        while end < len(out) and out[end] == out[at]:
+            end += 1
+        if out[at] and len(raw[at:end].split()) < words:
+            out[at:end] = [False] * (end - at)
+        at = end
+    return out
+
+
 def test_stages_one_by_one(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     seen = {"documents": docs}
@@ -26,7 +39,9 @@ def test_stages_one_by_one(spark):
     assert {r["doc_id"] for r in rows["near_duplicates"]} == {i for i, (_, c) in want.items() if i == c}
     # repeats: the bytes that stay
     raw, flags = repeats([r["text"] for r in rows["near_duplicates"]], corpus_pipeline.REPEAT_BYTES)
+    flags = [long_runs(t, f, corpus_pipeline.REPEAT_WORDS) for t, f in zip(raw, flags)]
     kept = {r["doc_id"]: bytes(b for b, x in zip(t, f) if not x).decode("utf-8", "ignore") for r, t, f in zip(rows["near_duplicates"], raw, flags)}
+    assert any(map(any, flags))
     assert {r["doc_id"]: r["text"] for r in rows["repeats"]} == kept
     assert all(r["n_chars"] == len(r["text"]) for r in rows["repeats"])
     # mixture: all rows, in another order
@@ -36,6 +51,7 @@ def test_stages_one_by_one(spark):
     seqs = defaultdict(list)
     for r in rows["packing"]:
         seqs[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert len(seqs) <= -(-sum(r["length"] for r in rows["packing"]) // 2048) * 1.02 + 1
     for x in seqs.values():
         at = 0
         for o, n in sorted(x):
@@ -61,3 +77,23 @@ def test_clashing_columns_nulls_and_repeats(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_same_id_and_repeated_rows(spark):
+    base = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, base, "en", "a", 1), (1, base + " end", "en", "b", 2), (1, base, "en", "c", 3), (2, base, "en", "d", 4), (3, "", "en", "e", 0), (3, None, "en", "f", 0), (3, base[::-1], "en", "g", 0)]
+    kind = spark.read.parquet(f"{SF}/documents.parquet").schema
+    for n in (1, 7):
+        got = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, kind).repartition(n), SF).collect()
+        assert sum(r.doc_id == 1 for r in got) == 1 and not [r for r in got if r.doc_id == 2]
+        first = first if n > 1 else sorted(map(str, got))
+        assert sorted(map(str, got)) == first and len([r for r in got if r.doc_id == 3]) == 2  # one blank row, one text
+
+
+def test_packing_follows_the_mixture(spark):
+    docs = spark.createDataFrame([(i, f"text {i}", "en", "s", 6) for i in range(900, 0, -1)], spark.read.parquet(f"{SF}/documents.parquet").schema)
+    mixed = cut(docs.repartitionByRange(6, "doc_id").sortWithinPartitions("doc_id"), "mixed")
+    from evenkeel.llm import packing
+
+    got = {r.doc_id: r.sequence_id >> 40 for r in packing.pack_documents(mixed, group=100, order=corpus_pipeline._places(mixed)).collect()}
+    assert len(set(got.values())) > 4 and all(got[i] <= got[i + 1] for i in range(1, 900))
