@@ -10,6 +10,7 @@ or a few.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import defaultdict
 
@@ -23,10 +24,26 @@ from evenkeel.llm.common import cut
 
 SIZE = 2048
 GROUP = 500_000  # pieces of a group: the packer holds one number for each open bin
-_KNOWN, _LONGEST = 400_000, 64  # words remembered by a worker, and their greatest length
+_KNOWN, _LONGEST = 1_000_000, 64  # words remembered by a worker, some 200 bytes each, and their greatest length
+_LAST = 0x52F  # up to here the word pattern is spelled out
 _TOKENIZERS: dict[str, object] = {}
 
 
+def _spelled_out(pattern: str) -> re.Pattern:
+    """``pattern`` with its classes of letters, numbers and spaces as ranges up to ``_LAST``: half the time of the class names."""
+    import regex
+
+    def ranges(name: str) -> str:
+        found = [c for c in range(_LAST + 1) if regex.match(name, chr(c))]
+        first = [c for c in found if c - 1 not in found]
+        last = [c for c in found if c + 1 not in found]
+        return "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in zip(first, last))
+
+    letters, numbers, spaces = (ranges(n) for n in (r"\p{L}", r"\p{N}", r"\s"))
+    out = pattern.replace(r"[^\s\p{L}\p{N}]", f"[^{spaces}{letters}{numbers}]").replace(r"\p{L}", f"[{letters}]").replace(r"\p{N}", f"[{numbers}]")
+    return re.compile(out.replace(r"\S", f"[^{spaces}]").replace(r"\s", f"[{spaces}]"))
+
+
 def load_tokenizer(path: str | None = None):
     """A function from a list of texts to their uint32 ids (as bytes) by the tokenizer file in ``path``.
 
@@ -36,25 +53,24 @@ def load_tokenizer(path: str | None = None):
     versions of Unicode agree (U+052F and below), go through the tokenizer whole.
     """
     import public_tokenizers
-    import regex
     from tokenizers import Tokenizer
 
     path = path or public_tokenizers.path("byte_bpe_50k.json")
     if path not in _TOKENIZERS:
         full = Tokenizer.from_file(path)
-        _TOKENIZERS[path] = full, [t.content for t in full.get_added_tokens_decoder().values()], regex.compile(public_tokenizers.PATTERN), {}
+        _TOKENIZERS[path] = full, [t.content for t in full.get_added_tokens_decoder().values()], _spelled_out(public_tokenizers.PATTERN), {}
     full, special, pattern, known = _TOKENIZERS[path]
 
     def encoded(texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in full.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
     def ids(texts: list[str]) -> list[bytes]:
-        whole = [any(s in t for s in special) or not (t.isascii() or max(t) <= "\u052f") for t in texts]
+        whole = [any(s in t for s in special) or not (t.isascii() or max(t) <= chr(_LAST)) for t in texts]
         rare = iter(encoded([t for t, w in zip(texts, whole) if w]))
         words = [None if w else pattern.findall(t) for t, w in zip(texts, whole)]
         if len(known) > _KNOWN:
             known.clear()
-        new = list({w for ws in words if ws for w in ws if w not in known})
+        new = list(set().union(*filter(None, words)) - known.keys())
         now = dict(zip(new, encoded(new)))
         known.update((w, x) for w, x in now.items() if len(w) <= _LONGEST)
         long = {w: x for w, x in now.items() if len(w) > _LONGEST}
