@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections import defaultdict
 
 import numpy as np
@@ -53,29 +54,33 @@ def load_tokenizer(path: str | None = None):
     versions of Unicode agree (U+052F and below), go through the tokenizer whole.
     """
     import public_tokenizers
-    from tokenizers import Tokenizer
+    from tokenizers import Tokenizer, pre_tokenizers
 
     path = path or public_tokenizers.path("byte_bpe_50k.json")
     if path not in _TOKENIZERS:
-        full = Tokenizer.from_file(path)
-        _TOKENIZERS[path] = full, [t.content for t in full.get_added_tokens_decoder().values()], _spelled_out(public_tokenizers.PATTERN), {}
-    full, special, pattern, known = _TOKENIZERS[path]
-
-    def encoded(texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in full.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+        full, signs = Tokenizer.from_file(path), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        table = {b: x for c in range(_LAST + 1) for b, x in zip(chr(c).encode(), signs.pre_tokenize_str(chr(c))[0][0])}  # the tokenizer's sign for each byte
+        special = [t.content for t in full.get_added_tokens_decoder().values()]
+        _TOKENIZERS[path] = full, table, special, _spelled_out(public_tokenizers.PATTERN), re.compile(f"[^\\x00-{chr(_LAST)}]"), {}
+    full, table, special, pattern, other, known = _TOKENIZERS[path]
+    encode = full.model.tokenize
 
     def ids(texts: list[str]) -> list[bytes]:
-        whole = [any(s in t for s in special) or not (t.isascii() or max(t) <= chr(_LAST)) for t in texts]
-        rare = iter(encoded([t for t, w in zip(texts, whole) if w]))
+        whole = [any(s in t for s in special) or not t.isascii() and other.search(t) is not None for t in texts]
+        rare = full.encode_batch_fast([t for t, w in zip(texts, whole) if w], add_special_tokens=False) if any(whole) else []
+        rare = iter([array("I", e.ids).tobytes() for e in rare])
         words = [None if w else pattern.findall(t) for t, w in zip(texts, whole)]
         if len(known) > _KNOWN:
             known.clear()
-        new = list(set().union(*filter(None, words)) - known.keys())
-        now = dict(zip(new, encoded(new)))
-        known.update((w, x) for w, x in now.items() if len(w) <= _LONGEST)
-        long = {w: x for w, x in now.items() if len(w) > _LONGEST}
-        find = (lambda w: known[w] if w in known else long[w]) if long else known.__getitem__
-        return [next(rare) if ws is None else b"".join(map(find, ws)) for ws in words]
+        long = []
+        for w in set().union(*filter(None, words)) - known.keys():
+            known[w] = array("I", [k.id for k in encode(w.encode().decode("latin-1").translate(table))]).tobytes()
+            if len(w) > _LONGEST:
+                long.append(w)
+        out = [next(rare) if ws is None else b"".join(map(known.__getitem__, ws)) for ws in words]
+        for w in long:
+            del known[w]
+        return out
 
     return ids
 
