@@ -30,36 +30,41 @@ def trigger_windows_stream(events: DataFrame, key: str, at: str, opening: Column
     """Windows of ``operators.prep.trigger_windows`` on a stream whose batches arrive in time order per key.
 
     The state of a key is its open window; a window goes out when the next one
-    opens or, with no more rows, when the watermark passes it by ``delay``.
+    opens or, with no more rows of the key, when the watermark passes its last
+    row by ``delay``. Its number stays in the state, so the next window goes on
+    from it; rows that still come before the next opening belong to no window.
     """
+    wait = int(pd.Timedelta(delay).total_seconds() * 1000)
     kind = events.schema[key].dataType.simpleString()
     d = events.select(F.col(key), F.col(at).alias("at"), opening.alias("opens"), F.when(outcome, code).alias("code")).withWatermark("at", delay)
 
     def step(k, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        number, start, n, out_at, first = state.get if state.exists else (0, None, 0, None, None)
+        number, start, n, out_at, first = state.get[:5] if state.exists else (0, None, 0, None, None)
+        last = state.get[5] if state.exists else 0
         done = []
 
         def close():
-            if number and first is not None:
+            if start is not None and first is not None:
                 done.append((k[0], number, start, n, out_at, first))
 
         if state.hasTimedOut:
             close()
-            state.remove()
+            state.update((number, None, 0, None, None, last))
         else:
             for r in pd.concat(list(batches)).sort_values("at").itertuples(index=False):
                 if r.opens:
                     close()
                     number, start, n, out_at, first = number + 1, r.at, 0, None, None
                 n += 1
-                if first is None and r.code is not None and number:
+                last = max(last, int(pd.Timestamp(r.at).timestamp() * 1000))
+                if first is None and r.code is not None and start is not None:
                     out_at, first = r.at, r.code
-            state.update((number, start, n, out_at, first))
-            if state.getCurrentWatermarkMs() > 0:
-                state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + 1)
+            state.update((number, start, n, out_at, first, last))
+            if start is not None:
+                state.setTimeoutTimestamp(max(last + wait, state.getCurrentWatermarkMs() + 1))
         if done:
             yield pd.DataFrame(done, columns=[key, "window", "start", "n_rows", "outcome_at", "first_code"])
 
     return d.groupBy(key).applyInPandasWithState(
         step, f"{key} {kind}, window long, start timestamp, n_rows long, outcome_at timestamp, first_code string",
-        "number long, start timestamp, n long, out_at timestamp, first string", "append", GroupStateTimeout.EventTimeTimeout)
+        "number long, start timestamp, n long, out_at timestamp, first string, last long", "append", GroupStateTimeout.EventTimeTimeout)
