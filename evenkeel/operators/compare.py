@@ -26,11 +26,14 @@ def leave_one_out(df: DataFrame, reference: DataFrame, held: str, by: list[str],
     return j.groupBy("held_out", *by).agg(F.sqrt(F.avg((F.col(value) - F.col("r")) ** 2)).alias("rms"), (F.sum(F.col(value) * F.col("r")) / F.sqrt(F.sum(F.col(value) ** 2) * F.sum(F.col("r") ** 2))).alias("cosine"))
 
 
-def equivalence(df: DataFrame, by: list[str], metric: str, value: str, margin: float = 0.2) -> DataFrame:
-    """Whether the 90 % t interval of each metric lies within +- ``margin`` sd; ``all_equivalent`` per group."""
-    sd = df.groupBy(*by, metric).agg(F.stddev_samp(value).alias("sd"))
-    out = t_interval(df, [*by, metric], value).join(sd, [*by, metric])
-    out = out.withColumn("equivalent", F.coalesce((F.col("low") > -margin * F.col("sd")) & (F.col("high") < margin * F.col("sd")), F.lit(False)))
+def equivalence(df: DataFrame, by: list[str], metric: str, value: str, scale: DataFrame, margin: float = 0.2) -> DataFrame:
+    """Whether the 90 % t interval of each metric, in units of ``scale(metric, scale)``, lies within +- ``margin``; ``all_equivalent`` per group.
+
+    The scale is that of the reference group, so that a noisy difference does not widen its own margin.
+    """
+    z = df.join(scale.select(F.col("metric").alias(metric), "scale"), metric).withColumn("_z", F.col(value) / F.col("scale"))
+    out = t_interval(z, [*by, metric], "_z")
+    out = out.withColumn("equivalent", F.coalesce((F.col("low") > -margin) & (F.col("high") < margin), F.lit(False)))
     return out.withColumn("all_equivalent", F.min(F.col("equivalent").cast("int")).over(Window.partitionBy(*by)) == 1)
 
 

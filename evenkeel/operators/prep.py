@@ -40,7 +40,8 @@ def nearest(left: DataFrame, right: DataFrame, by: list[str], time: str, other:
 
 
 def align_clocks(behaviour: DataFrame, triggers: DataFrame, by: str, time: str = "t", slope: tuple[float, float] = (0.999, 1.001), residual: float = 0.01) -> DataFrame:
-    """Order-preserving match of two clocks per recording: best offset, nearest triggers, affine refit, limits on slope and residual.
+    """Order-preserving match of two clocks per recording: best offset, nearest triggers, affine fit, a second match along the
+    fitted line and its fit, limits on slope and residual. Of offsets with one greatest residual that with the least mean one counts.
 
     Columns: the key, ``t`` (behaviour), ``trigger``, ``slope``, ``intercept``, ``max_residual``, ``ok``. A recording without a match has no row.
     """
@@ -54,13 +55,19 @@ def align_clocks(behaviour: DataFrame, triggers: DataFrame, by: str, time: str =
                 lo, hi = np.clip(at - 1, 0, len(y) - 1), np.clip(at, 0, len(y) - 1)
                 pick = np.where(np.abs(y[lo] - x - shift) <= np.abs(y[hi] - x - shift), lo, hi)
                 if (np.diff(pick) > 0).all():
-                    cost = float(np.abs(y[pick] - x - shift).max())
+                    gap = np.abs(y[pick] - x - shift)
+                    cost = (float(gap.max()), float(gap.mean()))
                     if best is None or cost < best[0]:
                         best = (cost, pick)
         if best is None:
             return pd.DataFrame({by: [], "t": [], "trigger": [], "slope": [], "intercept": [], "max_residual": [], "ok": []})
-        z = y[best[1]]
-        a, c = np.polyfit(x, z, 1) if len(x) > 1 else (1.0, z[0] - x[0])
+        line = lambda z: np.polyfit(x, z, 1) if len(x) > 1 else (1.0, z[0] - x[0])
+        a, c = line(y[best[1]])
+        at = np.searchsorted(y, a * x + c)
+        lo, hi = np.clip(at - 1, 0, len(y) - 1), np.clip(at, 0, len(y) - 1)
+        again = np.where(np.abs(y[lo] - a * x - c) <= np.abs(y[hi] - a * x - c), lo, hi)
+        z = y[again if (np.diff(again) > 0).all() else best[1]]
+        a, c = line(z)
         worst = float(np.abs(a * x + c - z).max())
         return pd.DataFrame({by: key[0], "t": x, "trigger": z, "slope": a, "intercept": c, "max_residual": worst, "ok": bool(slope[0] <= a <= slope[1] and worst <= residual)})
 

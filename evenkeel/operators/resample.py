@@ -153,7 +153,7 @@ def t_interval(df: DataFrame, by: list[str], value: str = "contrast", level: flo
     return out.withColumn("low", F.col("mean") - half).withColumn("high", F.col("mean") + half)
 
 
-def jzs_bayes_factor(n: int, mean: float, sd: float, scale: float = math.sqrt(0.5), points: int = 4000) -> float:
+def jzs_bayes_factor(n: int, mean: float, sd: float, scale: float = 0.5, points: int = 4000) -> float:
     """Directional Bayes factor of effect > 0 (half-Cauchy prior on the effect size) against no effect.
 
     The likelihood of t given effect d is the noncentral t density up to the

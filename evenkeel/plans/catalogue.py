@@ -249,7 +249,8 @@ def equivalence(spark, sf_dir):
     p = profiles(spark, sf_dir)
     base = p.where("model = 'A'").select("replicate", "metric", F.col("value").alias("base"))
     d = p.where("model <> 'A'").join(base, ["replicate", "metric"]).withColumn("difference", F.col("value") - F.col("base"))
-    return rounded(compare.equivalence(d, ["model"], "metric", "difference"), "mean", "sem", "low", "high", "sd")
+    scale = p.where("model = 'A'").groupBy("metric").agg(F.stddev_samp("value").alias("scale"))
+    return rounded(compare.equivalence(d, ["model"], "metric", "difference", scale), "mean", "sem", "low", "high")
 
 
 @query(f"""WITH {PROFILE}, g AS (SELECT model, replicate, avg(value) value FROM prof GROUP BY ALL)
