@@ -6,6 +6,7 @@ import json
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -149,8 +150,11 @@ def test_nearest_prefers_the_earlier(spark):
 
 def test_equivalence(spark):
     df = spark.createDataFrame([("m", "a", x) for x in (-0.1, 0.1) * 200] + [("m", "b", 1.0 + x) for x in (-0.1, 0.1) * 5], "model string, metric string, v double")
-    got = {r.metric: (r.equivalent, r.all_equivalent) for r in compare.equivalence(df, ["model"], "metric", "v").collect()}
+    got = {r.metric: (r.equivalent, r.all_equivalent) for r in compare.equivalence(df, ["model"], "metric", "v", spark.createDataFrame([("a", 1.0), ("b", 1.0)], "metric string, scale double")).collect()}
     assert got == {"a": (True, False), "b": (False, False)}
+    noisy = spark.createDataFrame([("m", "a", x) for x in (-3.0, 3.1) * 10], "model string, metric string, v double")  # its own noise gives it no margin
+    assert not compare.equivalence(noisy, ["model"], "metric", "v", spark.createDataFrame([("a", 1.0)], "metric string, scale double")).first().equivalent
+    assert compare.equivalence(noisy, ["model"], "metric", "v", spark.createDataFrame([("a", 100.0)], "metric string, scale double")).first().equivalent
 
 
 def test_files(spark, tmp_path):
@@ -212,6 +216,25 @@ def test_trigger_windows_as_stream(spark, tmp_path):
     assert {k for k in want if k[1] < last[k[0]]} <= set(got)
 
 
+def test_trigger_windows_over_several_batches(spark, tmp_path):
+    """Rows of another key between a key's rows must not close its window; numbers go on after a window that timed out."""
+    at = lambda m: (pd.Timestamp("2024-01-01") + pd.Timedelta(minutes=m)).to_pydatetime()
+    batches = [[(1, at(2), "signup"), (2, at(3), "view")], [(2, at(10), "view")], [(2, at(20), "view")], [(1, at(30), "purchase")], [(2, at(300), "view")], [(2, at(301), "view")], [(2, at(302), "view")],
+               [(1, at(400), "signup")], [(1, at(401), "error")], [(1, at(402), "signup")], [(2, at(900), "view")], [(2, at(901), "view")]]
+    shape = "user_id int, ts timestamp, event_type string"
+    src, out = str(tmp_path / "log"), str(tmp_path / "out")
+    opens, hit = F.col("event_type") == "signup", F.col("event_type").isin("purchase", "error")
+    for rows in batches:
+        spark.createDataFrame(rows, shape).coalesce(1).write.mode("append").parquet(src)
+        s = spark.readStream.schema(shape).parquet(src)
+        q = ingest.trigger_windows_stream(s, "user_id", "ts", opens, F.col("event_type"), hit).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(out)
+        q.awaitTermination()
+    got = {(r.user_id, r.window): (r.n_rows, r.first_code) for r in spark.read.parquet(out).collect()}
+    e = spark.read.parquet(src)
+    want = {(r.user_id, r.window): (r.n_rows, r.first_code) for r in prep.trigger_windows(e, ["user_id"], "ts", opens, hit, F.col("event_type")).collect()}
+    assert got == want == {(1, 1): (2, "purchase"), (1, 2): (2, "error")}
+
+
 def test_clusters_form_at_the_t_quantile_and_take_5000_draws(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(9, 14)) + np.where((np.arange(14) > 3) & (np.arange(14) < 8), 1.1, 0.1)
