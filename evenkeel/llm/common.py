@@ -14,11 +14,15 @@ _OWN: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests, local mode) a temporary folder is made.
+    Only where that is unset and the master is local (tests) a temporary folder
+    is made; on a cluster an unset folder is an error, as executors would not
+    see each other's files.
     """
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="evenkeel-")

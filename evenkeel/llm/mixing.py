@@ -76,7 +76,8 @@ def phases(blocks: dict[str, int], weights: dict[str, float]) -> Iterator[tuple[
     left, slot = {s: n for s, n in blocks.items() if n > 0}, 0
     while left:
         base, first = slot, {s: blocks[s] - n for s, n in left.items()}
-        for s, i, release, deadline in schedule(whole({s: weights[s] for s in left})):
+        active = {s: weights[s] for s in left if weights[s] > 0} or dict.fromkeys(left, 1.0)  # weight 0: after all others
+        for s, i, release, deadline in schedule(whole(active)):
             yield s, first[s] + i, base + release, base + deadline, slot
             slot += 1
             left[s] -= 1
@@ -120,12 +121,14 @@ def places(spark: SparkSession, blocks: dict[str, int], weights: dict[str, float
 def mix_sources(df: DataFrame, weights: dict[str, float] | None = None, block_bytes: int = 65_536, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0, power: float = 0.5, nested: bool = False) -> DataFrame:
     """All rows of ``df`` with ``mix_source, start, block, release, deadline, slot``.
 
-    ``weights`` are targets by source; sources without one, and all if there
-    are none, get the power ``power`` of their bytes, so that small sources come
-    up more often than they would by size. Within a phase each source has, after
+    ``weights`` are targets by source; a source without one gets the least
+    positive one, and a source of weight 0 comes after all others. Without any
+    weights sources get the power ``power`` of their bytes, so that small
+    sources come up more often than they would by size. Within a phase each source has, after
     any number of slots, run its share of them to less than one block. A null source is a source named
     "<null>". A text counts its bytes, an empty or null one 1. Order the rows by
-    ``slot, start`` to get the mixture. Repeated rows have equal places. A
+    ``slot, start`` to get the mixture. Repeated rows (of one id and text)
+    lie side by side, in any order. A
     source's stream is ordered by a hash of id and text, in ranges that are
     summed first, so a source with most rows is no single task. Only one row
     per source (``MAX_SOURCES`` at most, else an error) comes to the driver.
@@ -140,7 +143,8 @@ def mix_sources(df: DataFrame, weights: dict[str, float] | None = None, block_by
         raise ValueError(f"more than {MAX_SOURCES} sources")
     size = {r["mix_source"]: r["bytes"] for r in total}
     given = weights or {}
-    w = {s: float(given.get(s, b**power if not given else 0.0)) or min([x for x in given.values() if x > 0], default=1.0) for s, b in size.items()}
+    least = min([x for x in given.values() if x > 0], default=1.0)
+    w = {s: float(given.get(s, least if given else b**power)) for s, b in size.items()}
     blocks = {s: -(-b // block_bytes) for s, b in size.items()}
     plans = places(spark, blocks, w)
 

@@ -88,3 +88,12 @@ def test_default_weights_of_a_hot_source_and_a_tiny_one():
             del left[s]
     assert longest > 20_000 and not left
     assert mixing.whole({"a": 0.75, "b": 1.5}) == {"a": 3, "b": 6}
+
+
+def test_a_source_of_weight_zero_comes_last(spark):
+    df = spark.createDataFrame([(i, "y" * 1000, "abc"[i % 3]) for i in range(300)], "doc_id long, text string, source string")
+    got = mixing.mix_sources(df, {"a": 2.0, "b": 0.0}, block_bytes=1000).collect()  # c has no weight: the least positive one
+    assert len(got) == 300 and min(r.slot for r in got if r.source == "b") == 200
+    first = Counter(r.source for r in got if r.slot < 100)
+    assert first["a"] == first["c"] == 50
+    assert [s for s, *_ in mixing.phases({"a": 2, "b": 2}, {"a": 0.0, "b": 0.0})] == ["a", "b", "a", "b"]
