@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evenkeel.operators.resample import t_interval
+from evenkeel.operators.resample import bootstrap_ci, holm, sign_flip, t_interval
 
 
 def profile_distance(models: DataFrame, reference: DataFrame, by: list[str], metric: str = "metric", value: str = "value") -> DataFrame:
@@ -37,12 +37,32 @@ def equivalence(df: DataFrame, by: list[str], metric: str, value: str, scale: Da
     return out.withColumn("all_equivalent", F.min(F.col("equivalent").cast("int")).over(Window.partitionBy(*by)) == 1)
 
 
-def pairwise(df: DataFrame, model: str, replicate: str, value: str) -> DataFrame:
-    """Each unordered pair of models over shared replicates: mean and count of differences."""
+def pair_differences(df: DataFrame, model: str, replicate: str, value: str) -> DataFrame:
+    """``left_model, right_model, replicate, difference`` of each unordered pair of models over shared replicates."""
     a, b = df.alias("a"), df.alias("b")
     j = a.join(b, (F.col(f"a.{replicate}") == F.col(f"b.{replicate}")) & (F.col(f"a.{model}") < F.col(f"b.{model}")))
-    d = F.col(f"a.{value}") - F.col(f"b.{value}")
-    return j.groupBy(F.col(f"a.{model}").alias("left_model"), F.col(f"b.{model}").alias("right_model")).agg(F.avg(d).alias("difference"), F.count(F.lit(1)).alias("n"))
+    return j.select(F.col(f"a.{model}").alias("left_model"), F.col(f"b.{model}").alias("right_model"), F.col(f"a.{replicate}").alias(replicate), (F.col(f"a.{value}") - F.col(f"b.{value}")).alias("difference"))
+
+
+def pairwise(df: DataFrame, model: str, replicate: str, value: str) -> DataFrame:
+    """Each unordered pair of models over shared replicates: mean and count of differences."""
+    return pair_differences(df, model, replicate, value).groupBy("left_model", "right_model").agg(F.avg("difference").alias("difference"), F.count(F.lit(1)).alias("n"))
+
+
+def paired_tests(df: DataFrame, by: list[str], value: str, unit: str, family: list[str] | None = None, two_sided: bool = False, flips: int = 10_000, resamples: int = 10_000) -> DataFrame:
+    """Per group its ``mean``, ``n_units``, 95 % bootstrap interval and sign-flip ``p_value``; with ``family`` (some of ``by``) Holm's ``p_holm`` over the groups that share it.
+
+    Null values are left out; a group without any other has no row. One row
+    per group and unit is expected, as units are flipped and drawn whole.
+    """
+    d = df.where(F.col(value).isNotNull())
+    out = sign_flip(d, by, value, unit, flips, two_sided=two_sided).join(bootstrap_ci(d, by, value, unit, resamples), by)
+    return out if family is None else holm(out, family, key=F.struct(*by))
+
+
+def paired_change(df: DataFrame, keys: list[str], stage: str, value: str, later: str, earlier: str) -> DataFrame:
+    """``keys, change``: mean of the later stage less mean of the earlier one, for keys that have both."""
+    return stage_gains(df, keys, stage, value, [("change", later, earlier)]).where("change is not null").select(*keys, "change")
 
 
 def pareto_front(df: DataFrame, low: list[str], key: str) -> DataFrame:

@@ -48,7 +48,7 @@ def t_statistic(df: DataFrame, by: list[str], value: str = "contrast") -> DataFr
     return df.groupBy(*by).agg((F.avg(value) / (F.stddev_samp(value) / F.sqrt(F.count(value)))).alias("t_stat"), F.count(value).alias("n"))
 
 
-def holm(df: DataFrame, family: list[str], p: str = "p_value", key: str = "id") -> DataFrame:
+def holm(df: DataFrame, family: list[str], p: str = "p_value", key: str | Column = "id") -> DataFrame:
     """Step-down adjusted p: running maximum of (m - rank + 1) p, at most 1; null and NaN p have none."""
     fine = F.col(p).isNotNull() & ~F.isnan(p)
     w = Window.partitionBy(*family, fine).orderBy(p, key)

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evenkeel.operators import decisions
+from evenkeel.operators import compare, decisions
 from evenkeel.plans.catalogue import PROFILE, STAGE, profiles, query, rounded, stages
-from evenkeel.plans.tables import signatures, table
+from evenkeel.plans.tables import SIGNATURES, signatures, table
 
 
 @query("""SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey)::INTEGER - 1 AS trial, 'orders' AS dataset, o_totalprice AS value FROM orders""")
@@ -100,3 +100,56 @@ def stage_geometry(spark, sf_dir):
     p = profiles(spark, sf_dir).withColumn("fold", F.col("replicate") % 5)
     reference = decisions.held_out_reference(p.where("model = 'A'"), "fold")
     return rounded(decisions.stage_geometry(decisions.stage_residuals(p, reference, "fold"), ["model", "fold"]), "rms", "cosine", "magnitude")
+
+
+def _tests_sql(by: str, two_sided: bool = False, family: str | None = None, draws: int = 10_000) -> str:
+    """Common table expressions and the select of paired tests over ``d(by, unit, value)``."""
+    size = "round(abs(nul), 9) >= round(abs(mean), 9)" if two_sided else "round(nul, 9) >= round(mean, 9)"
+    over = f"PARTITION BY {family}" if family else ""
+    adjusted = f", round(least(1.0, max(step) OVER ({over} ORDER BY p_value, {by} ROWS UNBOUNDED PRECEDING)), 6) p_holm" if family else ""
+    return f"""o AS (SELECT {by}, avg(value) mean, count(value) n_units FROM d GROUP BY ALL),
+dr AS (SELECT unnest(range(1, {draws + 1})) AS draw),
+nu AS (SELECT {by}, draw, avg(value * CASE WHEN substr(sha256(concat_ws('|', '7', draw::VARCHAR, unit::VARCHAR)), 1, 1) < '8' THEN 1.0 ELSE -1.0 END) nul FROM d, dr GROUP BY ALL),
+p AS (SELECT {by}, mean, n_units, (1 + sum(({size})::INT)) / {draws + 1} AS p_value FROM nu JOIN o USING ({by}) GROUP BY {by}, mean, n_units),
+r AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY unit) - 1 AS i, count(*) OVER (PARTITION BY {by}) AS size FROM d),
+s AS (SELECT {by}, draw, ('0x' || substr(sha256(concat_ws('|', '3', draw::VARCHAR, i::VARCHAR)), 1, 8))::BIGINT % size AS i FROM r, dr),
+m AS (SELECT {by}, draw, avg(value) m FROM s JOIN r USING ({by}, i) GROUP BY ALL),
+c AS (SELECT {by}, quantile_cont(m, 0.025) ci_low, quantile_cont(m, 0.975) ci_high FROM m GROUP BY ALL),
+h AS (SELECT *, (count(*) OVER ({over}) - row_number() OVER ({over} ORDER BY p_value, {by}) + 1) * p_value step FROM p JOIN c USING ({by}))
+SELECT {by}, round(mean, 5) mean, n_units, round(ci_low, 5) ci_low, round(ci_high, 5) ci_high, round(p_value, 6) p_value{adjusted} FROM h"""
+
+
+def _tested(df):
+    return rounded(rounded(df, "mean", "ci_low", "ci_high", digits=5), *[c for c in ("p_value", "p_holm") if c in df.columns])
+
+
+@query(f"""WITH {STAGE}, w AS (SELECT model, replicate AS unit, adapted - baseline AS total_gain, sham - baseline AS sham_gain, adapted - sham AS specific_gain FROM sw),
+d AS (UNPIVOT w ON total_gain, sham_gain, specific_gain INTO NAME endpoint VALUE value), {_tests_sql("endpoint, model", family="endpoint")}""")
+def stage_gain_tests(spark, sf_dir):
+    """All three gains of every model, adjusted within each gain."""
+    long = stages(spark, sf_dir).unpivot(["model", "replicate"], ["total_gain", "sham_gain", "specific_gain"], "endpoint", "value")
+    return _tested(compare.paired_tests(long, ["endpoint", "model"], "value", "replicate", ["endpoint"]))
+
+
+@query(f"""WITH {SIGNATURES}, d AS (SELECT model, correct, replicate AS unit, avg(gain) FILTER (WHERE bin > 4) - avg(gain) FILTER (WHERE bin <= 2) AS value FROM sig GROUP BY ALL HAVING value IS NOT NULL), {_tests_sql("model, correct")}""")
+def transfer_tests(spark, sf_dir):
+    """Gain from the first to the last stage of every model in every evaluated contrast."""
+    staged = signatures(spark, sf_dir).withColumn("stage", F.when(F.col("bin") <= 2, "baseline").when(F.col("bin") <= 4, "sham").otherwise("adapted"))
+    change = compare.paired_change(staged, ["model", "correct", "replicate"], "stage", "gain", "adapted", "baseline")
+    return _tested(compare.paired_tests(change, ["model", "correct"], "change", "replicate"))
+
+
+@query(f"""WITH {SIGNATURES}, d AS (SELECT model, replicate AS unit, avg(concentration) FILTER (WHERE bin > 4) - avg(concentration) FILTER (WHERE bin <= 2) AS value FROM sig GROUP BY ALL HAVING value IS NOT NULL), {_tests_sql("model")}""")
+def intervention_tests(spark, sf_dir):
+    """Change of the intervention's specificity from the first to the last stage of every model."""
+    staged = signatures(spark, sf_dir).withColumn("stage", F.when(F.col("bin") <= 2, "baseline").when(F.col("bin") <= 4, "sham").otherwise("adapted"))
+    change = compare.paired_change(staged, ["model", "replicate"], "stage", "concentration", "adapted", "baseline")
+    return _tested(compare.paired_tests(change, ["model"], "change", "replicate"))
+
+
+@query(f"""WITH {PROFILE}, g AS (SELECT model, replicate, avg(value) v FROM prof GROUP BY ALL), d AS (SELECT a.model left_model, b.model right_model, replicate AS unit, a.v - b.v AS value FROM g a JOIN g b USING (replicate) WHERE a.model < b.model), {_tests_sql("left_model, right_model", two_sided=True)}""")
+def pairwise_model_tests(spark, sf_dir):
+    """Every pair of models over shared replicates, two-sided."""
+    g = profiles(spark, sf_dir).groupBy("model", "replicate").agg(F.avg("value").alias("value"))
+    d = compare.pair_differences(g, "model", "replicate", "value")
+    return _tested(compare.paired_tests(d, ["left_model", "right_model"], "difference", "replicate", two_sided=True))
