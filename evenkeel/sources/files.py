@@ -2,10 +2,30 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that executors share (``spark.checkpoint.dir``); a temporary one in local runs without that setting."""
+    given = spark.conf.get("spark.checkpoint.dir", None)
+    if not given:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        given = "file://" + tempfile.mkdtemp(prefix="evenkeel-")
+    return f"{given.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def partitioned_set(spark: SparkSession, root: str, roster: DataFrame | None = None, key: str = "participant_id") -> DataFrame:
     """A Parquet set partitioned by ``key``; with a roster only its partitions are read (a join on the partition column prunes them)."""
     df = spark.read.parquet(root)
@@ -41,6 +61,19 @@ def inventory(spark: SparkSession, root: str) -> DataFrame:
     return df.select("path", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
 
 
+def tree_digest(files: DataFrame, root: str) -> DataFrame:
+    """``n_files, size_bytes, sha256``: one digest over the sorted ``path`` below ``root`` and ``sha256`` of all files.
+
+    Lines are sorted and hashed in 4,096 shares by their own hash, then the
+    shares' digests in order, so that no task holds the lines of all files.
+    """
+    line = F.concat_ws(" ", F.element_at(F.split("path", F.lit(root.split("://")[-1].strip("/")), 2), -1), "sha256")
+    d = files.select("size_bytes", line.alias("line")).withColumn("share", F.substring(F.sha2("line", 256), 1, 3))
+    share = d.groupBy("share").agg(F.count(F.lit(1)).alias("n"), F.sum("size_bytes").alias("bytes"), F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "\n"), 256).alias("digest"))
+    every = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("share", "digest"))), lambda x: x["digest"]), "\n")  # 4,096 at most
+    return share.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_files"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("size_bytes"), F.sha2(every, 256).alias("sha256"))
+
+
 def profile(spark: SparkSession, root: str) -> DataFrame:
     """Files and bytes by suffix; contents are not read."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
@@ -48,16 +81,42 @@ def profile(spark: SparkSession, root: str) -> DataFrame:
     return df.groupBy(suffix.alias("suffix")).agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
 
 
-def write_missing(df: DataFrame, path: str, keys: list[str]) -> DataFrame:
-    """Append the partitions of ``df`` (by ``keys``) that ``path`` does not have; returns the index of all (rows per partition)."""
+def headers(spark: SparkSession, root: str, pattern: str = "*.csv") -> DataFrame:
+    """``path, header``: the first line of every delimited file, read as text."""
+    df = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root)
+    d = df.select("value", F.col("_metadata.file_path").alias("path"), F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at"))
+    return d.groupBy("path").agg(F.min_by("value", "at").alias("header"))
+
+
+def write_missing(df: DataFrame, path: str, keys: list[str], configuration: dict | None = None) -> DataFrame:
+    """Write the partitions of ``df`` (by ``keys``) that ``path`` has not sealed; returns the index of all (rows per partition).
+
+    Finished partitions are those of the index beside the set (``path.index``),
+    which is written after the data. What a broken run has left of a partition
+    is replaced whole by the next one. ``path.meta`` holds the digest of the
+    configuration, and another configuration is an error. Null keys are a
+    partition of their own.
+    """
     spark = df.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    if at.getFileSystem(conf).exists(at):
-        done = spark.read.parquet(path).select(*keys).distinct()
-        df = df.join(done, keys, "left_anti")
-    df.write.mode("append").partitionBy(*keys).option("compression", "zstd").parquet(path)
-    return spark.read.parquet(path).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
+    index, meta = f"{path}.index", f"{path}.meta"
+    digest = hashlib.sha256(json.dumps(configuration or {}, sort_keys=True, default=str).encode()).hexdigest()
+    if exists(spark, meta):
+        before = spark.read.json(meta).first()["configuration_sha256"]
+        if before != digest:
+            raise ValueError(f"{path} was written with another configuration: {before}, not {digest}")
+    else:
+        spark.createDataFrame([(digest,)], "configuration_sha256 string").coalesce(1).write.mode("overwrite").json(meta)
+    unsealed = lambda d, done: d.join(done, [d[k].eqNullSafe(done[f"_{k}"]) for k in keys], "left_anti")
+    sealed = lambda: spark.read.parquet(index).select(*[F.col(k).alias(f"_{k}") for k in keys])
+    rest = unsealed(df, sealed()) if exists(spark, index) else df
+    rest.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).option("compression", "zstd").parquet(path)
+    if not exists(spark, path) or not spark.read.parquet(path).columns:
+        return df.limit(0).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
+    kinds = [F.col(k).cast(df.schema[k].dataType).alias(k) for k in keys]
+    found = spark.read.parquet(path).select(*kinds)
+    new = unsealed(found, sealed()) if exists(spark, index) else found
+    new.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows")).write.mode("append").parquet(index)
+    return spark.read.parquet(index)
 
 
 def report(df: DataFrame, path: str, form: str = "csv") -> int:
@@ -70,6 +129,12 @@ def report(df: DataFrame, path: str, form: str = "csv") -> int:
     return seen.get["n"]
 
 
+def checked_report(df: DataFrame, path: str, form: str = "csv") -> DataFrame:
+    """``report`` and what lies there after it: ``n_rows, n_files, size_bytes, sha256`` (``tree_digest``)."""
+    n = report(df, path, form)
+    return tree_digest(inventory(df.sparkSession, path), path).select(F.lit(n).cast("long").alias("n_rows"), "*")
+
+
 def links(pages: DataFrame, html: str = "html", keep: str = ".*") -> DataFrame:
     """``href`` and ``label`` of every anchor of a page whose target matches ``keep``."""
     anchors = F.regexp_extract_all(html, F.lit(r'(?is)<a\s[^>]*href="([^"]*)"[^>]*>.*?</a>'), F.lit(0))

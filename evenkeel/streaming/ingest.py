@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from evenkeel.sources.files import exists
+
 
 def append_new(spark: SparkSession, source: str, schema, target: str, keys: list[str], checkpoint: str) -> int:
     """Read what is new in ``source``, append rows whose key ``target`` does not have, and stop. Safe to repeat: a batch that ran before adds nothing."""
@@ -16,8 +18,7 @@ def append_new(spark: SparkSession, source: str, schema, target: str, keys: list
     def batch(df: DataFrame, epoch: int) -> None:
         s = df.sparkSession
         df = df.dropDuplicates(keys)
-        at = s._jvm.org.apache.hadoop.fs.Path(target)
-        if at.getFileSystem(s._jsc.hadoopConfiguration()).exists(at):
+        if exists(s, target):
             df = df.join(s.read.parquet(target).select(*keys), keys, "left_anti")
         df.write.mode("append").parquet(target)
 

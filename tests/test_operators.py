@@ -188,6 +188,34 @@ def test_restartable_write(spark, tmp_path):
     assert files.recursive_parquet(spark, path).count() == 3
 
 
+def test_broken_write_is_replaced(spark, tmp_path):
+    """A partition without a row in the index is written anew, null keys are kept, another configuration is an error."""
+    path = str(tmp_path / "set")
+    d = spark.createDataFrame([("a", 1), ("a", 2), (None, 3)], "k string, v int")
+    d.where("v = 1").write.partitionBy("k").parquet(path)  # half a partition, not sealed
+    for _ in range(2):
+        index = files.write_missing(d, path, ["k"], {"x": 1})
+        assert sorted((str(r.k), r.n_rows) for r in index.collect()) == [("None", 1), ("a", 2)]
+        assert sorted(r.v for r in spark.read.parquet(path).collect()) == [1, 2, 3]
+    with pytest.raises(ValueError):
+        files.write_missing(d, path, ["k"], {"x": 2})
+
+
+def test_tree_digest(spark, tmp_path):
+    for name in ("a/x.csv", "b/x.csv"):
+        (tmp_path / "t" / name).parent.mkdir(parents=True)
+        (tmp_path / "t" / name).write_text("h,i\n1,2\n")
+    root = str(tmp_path / "t")
+    got = lambda r: files.tree_digest(files.inventory(spark, r), r).first()
+    one = got(root)
+    assert (one.n_files, one.size_bytes) == (2, 16)
+    (tmp_path / "t").rename(tmp_path / "u")
+    assert got(str(tmp_path / "u")).sha256 == one.sha256  # paths below the root count, not where it lies
+    (tmp_path / "u/b/x.csv").write_text("h,i\n1,3\n")
+    assert got(str(tmp_path / "u")).sha256 != one.sha256
+    assert {r.header for r in files.headers(spark, str(tmp_path / "u")).collect()} == {"h,i"}
+
+
 def test_ingest_twice(spark, tmp_path):
     src, dst = str(tmp_path / "src"), str(tmp_path / "dst")
     df = spark.range(20).withColumn("v", F.col("id") % 3)
