@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,11 +12,33 @@ from evenkeel.functions.levels import cosine
 
 
 def moments(df: DataFrame, by: list[str], vector: str) -> DataFrame:
-    """Long sums ``i, j, s`` of x_i x_j per group with x_0 = 1 (so j, 0 are sums): partial aggregation, no matrix is gathered."""
-    x = df.select(*by, F.concat(F.array(F.lit(1.0)), F.transform(vector, lambda c: c.cast("double"))).alias("x"))
-    left = x.select(*by, "x", F.posexplode("x").alias("i", "a"))
-    both = left.select(*by, "i", "a", F.posexplode("x").alias("j", "b")).where("j <= i")
-    return both.groupBy(*by, "i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("s"))
+    """Long sums ``i, j, s`` of x_i x_j per group with x_0 = 1 (so j, 0 are sums), for j <= i.
+
+    Each task multiplies its vectors batch by batch and emits one triangle of
+    sums per group it has seen; these are added up. Null vectors are left out,
+    a null component is nothing to add to its sums, and all vectors of a table
+    have one length.
+    """
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by)
+
+    def partial(batches):
+        kept: dict[tuple, tuple[pa.RecordBatch, np.ndarray]] = {}
+        for b in batches:
+            pdf = b.to_pandas()
+            for _, g in pdf.reset_index(drop=True).groupby(by, dropna=False, sort=False):
+                x = np.array([np.asarray(v, float) for v in g["_v"]])
+                x = np.hstack([np.ones((len(x), 1)), x])
+                at = int(g.index[0])
+                key = tuple(b.column(c)[at].as_py() for c in by)
+                kept[key] = (b.select(by).slice(at, 1), kept[key][1] + x.T @ x if key in kept else x.T @ x)
+        for row, s in kept.values():
+            i, j = np.tril_indices(len(s))
+            same = row.take(pa.array(np.zeros(len(i), np.int64)))
+            yield pa.RecordBatch.from_arrays([*same.columns, pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(s[i, j])], names=[*by, "i", "j", "s"])  # NaN stays NaN
+
+    v = F.transform(vector, lambda c: F.coalesce(c.cast("double"), F.lit(0.0)))
+    d = df.where(F.col(vector).isNotNull()).select(*by, v.alias("_v"))
+    return d.mapInArrow(partial, f"{kinds}, i int, j int, s double").groupBy(*by, "i", "j").agg(F.sum("s").alias("s"))
 
 
 def _gram(pdf: pd.DataFrame) -> np.ndarray:

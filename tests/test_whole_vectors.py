@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from evenkeel.operators import linear
 from evenkeel.plans import catalogue, catalogue2, catalogue3  # noqa: F401
 
 
@@ -38,3 +39,13 @@ def test_moments_and_whitening(spark, late):
     for k in (0, 1):  # components 10 and 50 go together and lead
         at = np.flatnonzero(label == k)
         assert abs(np.corrcoef(x[at, 50], [w[i] for i in at])[0, 1]) > 0.95
+
+
+def test_moments_of_odd_rows(spark):
+    """Null groups are a group, null vectors are left out, null components add nothing, NaN stays."""
+    rows = [(1, [1.0, 2.0]), (1, None), (1, [3.0, None]), (None, [5.0, 1.0]), (2, [float("nan"), 1.0])]
+    got = {(r.g, r.i, r.j): r.s for r in linear.moments(spark.createDataFrame(rows, "g int, v array<double>"), ["g"], "v").collect()}
+    assert len(got) == 18
+    assert [got[1, i, j] for i, j in ((0, 0), (1, 0), (1, 1), (2, 0), (2, 1), (2, 2))] == [2, 4, 10, 2, 2, 4]
+    assert got[None, 2, 1] == 5 and np.isnan(got[2, 1, 0]) and got[2, 2, 2] == 1
+    assert linear.moments(spark.createDataFrame([], "g int, v array<double>"), ["g"], "v").count() == 0
