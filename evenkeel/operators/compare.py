@@ -65,13 +65,31 @@ def paired_change(df: DataFrame, keys: list[str], stage: str, value: str, later:
     return stage_gains(df, keys, stage, value, [("change", later, earlier)]).where("change is not null").select(*keys, "change")
 
 
-def pareto_front(df: DataFrame, low: list[str], key: str) -> DataFrame:
-    """Rows that no other row beats: at most as large in all of ``low`` and smaller in one. For summary tables."""
-    a, b = df.alias("a"), df.alias("b")
-    worse, some = F.col(f"a.{key}") != F.col(f"b.{key}"), F.lit(False)
-    for c in low:
-        worse, some = worse & (F.col(f"b.{c}") <= F.col(f"a.{c}")), some | (F.col(f"b.{c}") < F.col(f"a.{c}"))
-    return a.join(b, worse & some, "left_anti")
+def pareto_front(df: DataFrame, low: list[str], key: str, ranges: int = 256) -> DataFrame:
+    """Rows that no other row beats: at most as large in all of ``low`` and smaller in one. Equal rows stay together, a row with a null in ``low`` beats none and stays.
+
+    Two columns of any size: the least second value below each first value is
+    a running minimum, over ``ranges`` of the first and then within each.
+    More columns are compared pair by pair and suit summary tables, where
+    ``key`` tells rows apart.
+    """
+    if len(low) != 2:
+        a, b = df.alias("a"), df.alias("b")
+        worse, some = F.col(f"a.{key}") != F.col(f"b.{key}"), F.lit(False)
+        for c in low:
+            worse, some = worse & (F.col(f"b.{c}") <= F.col(f"a.{c}")), some | (F.col(f"b.{c}") < F.col(f"a.{c}"))
+        return a.join(b, worse & some, "left_anti")
+    x, y = low
+    per = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(x).agg(F.min(y).alias("_least"))
+    cuts = per.agg(F.percentile_approx(x, [i / ranges for i in range(1, ranges)], 10_000)).first()[0] or []
+    at = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(x))) if cuts else F.lit(0)
+    per = per.withColumn("_range", at)
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    tops = per.groupBy("_range").agg(F.min("_least").alias("_top")).withColumn("_earlier", F.min("_top").over(before)).drop("_top")  # one row per range
+    within = F.min("_least").over(Window.partitionBy("_range").orderBy(x).rowsBetween(Window.unboundedPreceding, -1))
+    per = per.withColumn("_within", within).join(F.broadcast(tops), "_range").select(x, "_least", F.least("_within", "_earlier").alias("_below"))
+    beaten = (F.col("_below") <= F.col(y)) | (F.col("_least") < F.col(y))
+    return df.join(per, x, "left").where(~F.coalesce(beaten, F.lit(False))).select(*df.columns)
 
 
 def stage_gains(df: DataFrame, keys: list[str], stage: str, value: str, pairs: list[tuple[str, str, str]]) -> DataFrame:

@@ -188,6 +188,18 @@ def test_restartable_write(spark, tmp_path):
     assert files.recursive_parquet(spark, path).count() == 3
 
 
+def test_pareto_front_against_all_pairs(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, int(a), int(b)) for i, (a, b) in enumerate(rng.integers(0, 400, (1500, 2)))]
+    rows += [(9000 + i, a, b) for i, (_, a, b) in enumerate(rows[:300])] + [(9998, None, 1), (9999, 1, None)]
+    beats = lambda p, q: None not in (*p[1:], *q[1:]) and p[1] <= q[1] and p[2] <= q[2] and p[1:] != q[1:]
+    want = {q[0] for q in rows if not any(beats(p, q) for p in rows)}
+    d = spark.createDataFrame(rows, "k int, a int, b int")
+    assert {r.k for r in compare.pareto_front(d, ["a", "b"], "k").collect()} == want
+    assert {r.k for r in compare.pareto_front(d, ["a", "b"], "k", 3).collect()} == want
+    assert compare.pareto_front(d.limit(0), ["a", "b"], "k").count() == 0
+
+
 def test_broken_write_is_replaced(spark, tmp_path):
     """A partition without a row in the index is written anew, null keys are kept, another configuration is an error."""
     path = str(tmp_path / "set")
