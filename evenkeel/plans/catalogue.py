@@ -402,9 +402,6 @@ def one_step_error(spark, sf_dir):
     return out
 
 
-VEC = "v AS (SELECT vec_id, label, vec_id % 50 AS trial, vec_id // 50 AS t, embedding::DOUBLE[] AS x FROM embeddings WHERE vec_id < 100000000)"
-
-
 @query("""WITH v AS (SELECT vec_id % 97 AS trial, vec_id // 97 AS t, embedding::DOUBLE[] AS x FROM embeddings), c AS (SELECT a.t, b.t AS s, list_dot_product(a.x, b.x) / sqrt(list_dot_product(a.x, a.x) * list_dot_product(b.x, b.x)) AS c FROM v a JOIN v b ON a.trial = b.trial)
 SELECT t, s, round(avg(c), 6) mean, round(var_pop(c), 6) variance, count(*) n FROM c GROUP BY ALL""")
 def similarity_matrix(spark, sf_dir):
