@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenkeel.llm import bwt, forest, licences, media, mixing, neardup, packing, ppm, quality, toxicity
+from evenkeel.llm import bwt, forest, licences, media, mixing, neardup, packing, ppm, quality, toxicity, urlfilter
 from evenkeel.llm.common import crc_mod, documents
 
 
@@ -64,9 +64,20 @@ def op6_licence_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_licences(documents(spark, sf_dir)).drop("reserved")  # the SQL has no such column
 
 
+#: Rules of the URL filter's query.
+URL_RULES = [urlfilter.Rule("allow", "com"), urlfilter.Rule("block", "example.com", "/en/"), urlfilter.Rule("allow", "www.example.com", "/en/"), urlfilter.Rule("block", "net", "/es/"), urlfilter.Rule("block", "net", "/fr/")]
+#: What ``urlfilter.GLOBS`` say, as regular expressions for SQL.
+URL_PATTERNS = [(r".*\.(exe|zip|jpg|png|mp4|css|js)|.*/wp-login\.php|.*/cart/.*", "block")]
+
+
+def op11_url_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    return urlfilter.filter_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 def queries():
-    return {f.__name__: f for f in (op1_media_columns, op2_best_fit_packing, op3_projection_forest, op4_quality_discriminant, op5_pfair_mixing, op6_licence_digests, op7_toxicity_ftrl, op8_ppm_scores, op9_bwt_dedup, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_media_columns, op2_best_fit_packing, op3_projection_forest, op4_quality_discriminant, op5_pfair_mixing, op6_licence_digests, op7_toxicity_ftrl, op8_ppm_scores, op9_bwt_dedup, op10_minhash_near_dedup, op11_url_automaton)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_licence_digests": licences.oracle()}
+    return {"op6_licence_digests": licences.oracle(), "op11_url_automaton": urlfilter.oracle(URL_RULES, URL_PATTERNS)}
