@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenkeel.llm import bwt, forest, licences, media, mixing, neardup, packing, ppm, quality, toxicity, urlfilter
+from evenkeel.llm import bwt, forest, licences, media, merkle, mixing, neardup, packing, ppm, quality, toxicity, urlfilter
 from evenkeel.llm.common import crc_mod, documents
 
 
@@ -75,9 +75,20 @@ def op11_url_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.filter_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+MANIFEST_FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bare = merkle.leaf_of(*[F.replace("text", F.lit("\n"), F.lit("")) if c == "text" else F.col(c) for c in MANIFEST_FIELDS])
+    tampered = F.when(crc_mod(F.col("doc_id"), 2) == 0, bare)
+    found = merkle.merkle_manifest(documents(spark, sf_dir), MANIFEST_FIELDS, carry={"tampered": tampered})
+    found = found.withColumn("folded_root", merkle.folded(F.coalesce("tampered", "leaf"), F.col("proof")))
+    return found.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("proof")), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_media_columns, op2_best_fit_packing, op3_projection_forest, op4_quality_discriminant, op5_pfair_mixing, op6_licence_digests, op7_toxicity_ftrl, op8_ppm_scores, op9_bwt_dedup, op10_minhash_near_dedup, op11_url_automaton)}
+    return {f.__name__: f for f in (op1_media_columns, op2_best_fit_packing, op3_projection_forest, op4_quality_discriminant, op5_pfair_mixing, op6_licence_digests, op7_toxicity_ftrl, op8_ppm_scores, op9_bwt_dedup, op10_minhash_near_dedup, op11_url_automaton, op13_merkle_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_licence_digests": licences.oracle(), "op11_url_automaton": urlfilter.oracle(URL_RULES, URL_PATTERNS)}
+    return {"op6_licence_digests": licences.oracle(), "op11_url_automaton": urlfilter.oracle(URL_RULES, URL_PATTERNS), "op13_merkle_manifest": merkle.oracle(MANIFEST_FIELDS)}
