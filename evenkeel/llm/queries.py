@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenkeel.llm import bwt, forest, licences, media, merkle, mixing, neardup, packing, ppm, quality, toxicity, urlfilter
+from evenkeel.llm import bwt, collocations, forest, licences, media, merkle, mixing, neardup, packing, ppm, quality, toxicity, urlfilter
 from evenkeel.llm.common import crc_mod, documents
 
 
@@ -75,6 +75,10 @@ def op11_url_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.filter_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op12_phrase_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir))
+
+
 MANIFEST_FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
 
 
@@ -87,8 +91,8 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op1_media_columns, op2_best_fit_packing, op3_projection_forest, op4_quality_discriminant, op5_pfair_mixing, op6_licence_digests, op7_toxicity_ftrl, op8_ppm_scores, op9_bwt_dedup, op10_minhash_near_dedup, op11_url_automaton, op13_merkle_manifest)}
+    return {f.__name__: f for f in (op1_media_columns, op2_best_fit_packing, op3_projection_forest, op4_quality_discriminant, op5_pfair_mixing, op6_licence_digests, op7_toxicity_ftrl, op8_ppm_scores, op9_bwt_dedup, op10_minhash_near_dedup, op11_url_automaton, op12_phrase_streams, op13_merkle_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_licence_digests": licences.oracle(), "op11_url_automaton": urlfilter.oracle(URL_RULES, URL_PATTERNS), "op13_merkle_manifest": merkle.oracle(MANIFEST_FIELDS)}
+    return {"op6_licence_digests": licences.oracle(), "op11_url_automaton": urlfilter.oracle(URL_RULES, URL_PATTERNS), "op12_phrase_streams": collocations.oracle(), "op13_merkle_manifest": merkle.oracle(MANIFEST_FIELDS)}
