@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-import hashlib
-import json
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evenkeel.sources.sealed import write_missing  # noqa: F401  part of this module's interface
+
+
+_OWN: dict[str, str] = {}
+
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that executors share (``spark.checkpoint.dir``); a temporary one in local runs without that setting."""
@@ -17,15 +20,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     if not given:
         if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        given = "file://" + tempfile.mkdtemp(prefix="evenkeel-")
+        app = spark.sparkContext.applicationId
+        given = _OWN.setdefault(app, "") or "file://" + tempfile.mkdtemp(prefix="evenkeel-")
+        _OWN[app] = given
     return f"{given.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
-
-
 def partitioned_set(spark: SparkSession, root: str, roster: DataFrame | None = None, key: str = "participant_id") -> DataFrame:
     """A Parquet set partitioned by ``key``; with a roster only its partitions are read (a join on the partition column prunes them)."""
     df = spark.read.parquet(root)
@@ -88,37 +88,6 @@ def headers(spark: SparkSession, root: str, pattern: str = "*.csv") -> DataFrame
     return d.groupBy("path").agg(F.min_by("value", "at").alias("header"))
 
 
-def write_missing(df: DataFrame, path: str, keys: list[str], configuration: dict | None = None) -> DataFrame:
-    """Write the partitions of ``df`` (by ``keys``) that ``path`` has not sealed; returns the index of all (rows per partition).
-
-    Finished partitions are those of the index beside the set (``path.index``),
-    which is written after the data. What a broken run has left of a partition
-    is replaced whole by the next one. ``path.meta`` holds the digest of the
-    configuration, and another configuration is an error. Null keys are a
-    partition of their own.
-    """
-    spark = df.sparkSession
-    index, meta = f"{path}.index", f"{path}.meta"
-    digest = hashlib.sha256(json.dumps(configuration or {}, sort_keys=True, default=str).encode()).hexdigest()
-    if exists(spark, meta):
-        before = spark.read.json(meta).first()["configuration_sha256"]
-        if before != digest:
-            raise ValueError(f"{path} was written with another configuration: {before}, not {digest}")
-    else:
-        spark.createDataFrame([(digest,)], "configuration_sha256 string").coalesce(1).write.mode("overwrite").json(meta)
-    unsealed = lambda d, done: d.join(done, [d[k].eqNullSafe(done[f"_{k}"]) for k in keys], "left_anti")
-    sealed = lambda: spark.read.parquet(index).select(*[F.col(k).alias(f"_{k}") for k in keys])
-    rest = unsealed(df, sealed()) if exists(spark, index) else df
-    rest.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).option("compression", "zstd").parquet(path)
-    if not exists(spark, path) or not spark.read.parquet(path).columns:
-        return df.limit(0).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
-    kinds = [F.col(k).cast(df.schema[k].dataType).alias(k) for k in keys]
-    found = spark.read.parquet(path).select(*kinds)
-    new = unsealed(found, sealed()) if exists(spark, index) else found
-    new.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows")).write.mode("append").parquet(index)
-    return spark.read.parquet(index)
-
-
 def report(df: DataFrame, path: str, form: str = "csv") -> int:
     """Write a report as CSV or JSON; returns the rows that lie there. Line ends within values are kept in quotes."""
     out = df.write.mode("overwrite")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,22 +10,44 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from evenkeel.sources.files import exists
+from evenkeel.sources import store
 
 
 def append_new(spark: SparkSession, source: str, schema, target: str, keys: list[str], checkpoint: str) -> int:
-    """Read what is new in ``source``, append rows whose key ``target`` does not have, and stop. Safe to repeat: a batch that ran before adds nothing."""
+    """Read what is new in ``source``, append rows whose key ``target`` does not have, and stop; returns all rows appended so far.
+
+    The stream's state knows the keys of its checkpoint, so ``target`` is not
+    read for them; only keys that streams with other checkpoints appended are,
+    once a call. A batch is written beside ``target``, and its files get names
+    of the checkpoint and the batch when they are moved there; its mark in
+    ``target.batches``, written last, holds its rows. A batch with a mark adds
+    nothing when it comes again, and one that broke before is replaced.
+    """
+    store.write_once(spark, f"{checkpoint}.run", uuid.uuid4().hex)
+    run = store.read_text(spark, f"{checkpoint}.run")
+    rows = spark.readStream.schema(schema).parquet(source).dropDuplicates(keys)
+    if any(not n.startswith(run) for n in store.names(spark, f"{target}.batches")):
+        other = spark.read.parquet(target).where(~F.col("_metadata.file_name").startswith(run)).select(*[F.col(k).alias(f"_{k}") for k in keys])
+        rows = rows.join(other, [rows[k].eqNullSafe(other[f"_{k}"]) for k in keys], "left_anti")
 
     def batch(df: DataFrame, epoch: int) -> None:
-        s = df.sparkSession
-        df = df.dropDuplicates(keys)
-        if exists(s, target):
-            df = df.join(s.read.parquet(target).select(*keys), keys, "left_anti")
-        df.write.mode("append").parquet(target)
+        s, name = df.sparkSession, f"{run}-{epoch}"
+        if store.exists(s, f"{target}.batches/{name}"):
+            df.write.format("noop").mode("overwrite").save()  # the keys still go into the state
+            return
+        for n in store.names(s, target):
+            if n.startswith(f"{name}-"):
+                store.remove(s, f"{target}/{n}")
+        part = f"{target}.attempts/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(part)
+        for n in store.sizes(s, part):
+            store.move(s, f"{part}/{n}", f"{target}/{name}-{n}")
+        moved = [f"{target}/{n}" for n in store.names(s, target) if n.startswith(f"{name}-")]
+        store.write_once(s, f"{target}.batches/{name}", str(s.read.schema(df.schema).parquet(*moved).count() if moved else 0))
 
-    q = spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q = rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.parquet(target).count()
+    return sum(int(store.read_text(spark, f"{target}.batches/{n}")) for n in store.names(spark, f"{target}.batches"))
 
 
 def trigger_windows_stream(events: DataFrame, key: str, at: str, opening: Column, code: Column, outcome: Column, delay: str = "1 hour") -> DataFrame:
