@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from evenkeel.llm.common import cut
 
 #: Words (and bytes) that a task counts at a time, bytes of text for each range, the most ranges, and sampled runs for each range.
-CHUNK_WORDS, CHUNK_BYTES, RANGE_BYTES, MAX_RANGES, PER_RANGE = 2_000_000, 32 << 20, 32 << 20, 1 << 18, 20
+CHUNK_WORDS, CHUNK_BYTES, RANGE_BYTES, MAX_RANGES, PER_RANGE = 1_000_000, 16 << 20, 16 << 20, 1 << 18, 20
 #: Bytes of a word that a border between ranges keeps; any run of words can be a border.
 BORDER_BYTES = 64
 
@@ -81,7 +81,7 @@ def merged(cols: list[np.ndarray], counts: np.ndarray | None = None) -> tuple[li
     key = key[order]
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     rows = order[first]
-    sums = np.diff(np.append(first, n)) if counts is None else np.add.reduceat(counts[order], first)
+    sums = np.diff(np.append(first, n)) if counts is None else np.add.reduceat(counts[order], first, dtype=np.int64)
     return [c[rows] for c in cols], sums.astype(np.int64)
 
 
@@ -148,7 +148,7 @@ def _blocks(borders: list[tuple], m: int):
             for row in _stretches(words, tokens, borders, m):
                 yield pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int32()), pa.array([row[1]], pa.binary()), pa.array([row[2]], pa.binary())], names)
 
-        for b in batches:
+        for b in (big.slice(i, 64) for big in batches for i in range(0, big.num_rows, 64)):
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()):
                 found = words_of(text)
                 tokens.setdefault(lang, []).append(np.fromiter(map(words.__getitem__, found), np.int64, len(found)))
@@ -171,13 +171,19 @@ def _sums(least: int, m: int):
         for lang, block in zip(blocks["lang"].to_pylist(), blocks["block"].to_pylist()):
             by_lang.setdefault(lang, []).append(block)
         for lang, packs in by_lang.items():
-            found = [unpacked(x) for x in packs]
-            known = sorted(set().union(*(x[0] for x in found)))
-            number = {w: i for i, w in enumerate(known)}
-            maps = [np.fromiter(map(number.__getitem__, x[0]), np.uint32, len(x[0])) for x in found]
-            empty = number.get(b"", -1)
-            cols, counts = merged([np.concatenate([to[x[1][j]] for to, x in zip(maps, found)]) for j in range(m)], np.concatenate([x[2] for x in found]))
-            del found, maps
+            number: dict[bytes, int] = {}
+            parts = []
+            for pack in packs:  # numbers by first sight, then by order
+                words, part, n = unpacked(pack)
+                to = np.fromiter((number.setdefault(w, len(number)) for w in words), np.uint32, len(words))
+                parts.append(([to[c] for c in part], n.astype(np.uint32) if n.max() < 1 << 32 else n))
+            known = sorted(number)
+            rank = np.empty(len(known), np.uint32)
+            rank[np.fromiter(map(number.__getitem__, known), np.int64, len(known))] = np.arange(len(known), dtype=np.uint32)
+            empty = 0 if known[0] == b"" else -1
+            del number
+            cols, counts = merged([rank[np.concatenate([p[j] for p, _ in parts])] for j in range(m)], np.concatenate([n for _, n in parts]))
+            del parts
             out.append((lang, 0, b"", int(counts.sum())))
             new = np.zeros(len(counts), bool)
             new[0] = True
@@ -222,7 +228,7 @@ def phrase_counts(df: DataFrame, longest: int = 3, least: int = 10, lang_col: st
     texts = df.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).cast("binary").alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
     size = texts.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranges = min(MAX_RANGES, max(parts, -(-size["bytes"] // RANGE_BYTES)))
+    ranges = min(MAX_RANGES, max(2 * parts, -(-size["bytes"] // RANGE_BYTES)))
     borders = borders_of(texts, ranges, size["bytes"], size["n"], longest)
     blocks = texts.mapInArrow(_blocks(borders, longest), "range int, lang binary, block binary")
     found = blocks.groupBy("range").applyInArrow(_sums(least, longest), "lang binary, k int, phrase binary, f long")
