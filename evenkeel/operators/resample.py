@@ -1,8 +1,9 @@
 """Resampling inference: sign flips, clusters, bootstrap, Holm, t intervals, Bayes factors.
 
 Draws come from SHA-256 of (seed, draw, unit), so a result does not depend on
-partitions, and any SQL engine with that hash gives the same. Draws are
-exploded next to the rows and summed per draw with partial aggregation.
+partitions, and any SQL engine with that hash gives the same. Tasks work out the
+draws of a block of units and hand on their sums; no row for each unit and draw
+is made.
 """
 
 from __future__ import annotations
@@ -15,33 +16,114 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evenkeel.operators.numbering import numbered_rows
+
 
 def hash_sign(seed: int, draw: Column, unit: Column) -> Column:
     """+1 or -1 from the first hex digit of the hash."""
     return F.when(F.substring(F.sha2(F.concat_ws("|", F.lit(str(seed)), draw.cast("string"), unit.cast("string")), 256), 1, 1) < "8", 1.0).otherwise(-1.0)
 
 
-def draws(df: DataFrame, n: int) -> DataFrame:
-    return df.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n))))
-
-
 def sign_flip(df: DataFrame, by: list[str], value: str = "contrast", unit: str = "unit", n: int = 5000, seed: int = 7, two_sided: bool = False) -> DataFrame:
-    """Mean and p = (1 + draws at least as large) / (n + 1); ties to 9 decimals count."""
+    """Mean and p = (1 + draws at least as large) / (n + 1); ties to 9 decimals count. Null values are left out."""
     stat = (lambda c: F.round(F.abs(c), 9)) if two_sided else (lambda c: F.round(c, 9))
     seen = df.groupBy(*by).agg(F.avg(value).alias("mean"), F.count(value).alias("n_units"))
-    null = draws(df, n).groupBy(*by, "draw").agg(F.avg(F.col(value) * hash_sign(seed, F.col("draw"), F.col(unit))).alias("null"))
-    return null.join(seen, by).groupBy(*by, "mean", "n_units").agg(((1 + F.sum(F.when(stat(F.col("null")) >= stat(F.col("mean")), 1).otherwise(0))) / (n + 1)).alias("p_value"))
+    sums = signed_sums(df.withColumn("_cell", F.lit(0)), by, "_cell", value, unit, n, seed)
+    null = sums.join(seen, by).withColumn("null", F.col("total") / F.col("n_units"))
+    return null.groupBy(*by, "mean", "n_units").agg(((1 + F.sum(F.when(stat(F.col("null")) >= stat(F.col("mean")), 1).otherwise(0))) / (n + 1)).alias("p_value"))
+
+
+#: Most units of a group whose sign flips are counted one and all.
+EXACT_UNITS = 40
+
+
+def flips_at_least(x: np.ndarray, two_sided: bool = False) -> int:
+    """How many of the 2^n sign flips of ``x`` have a sum at least as large as its own (``two_sided``: as far from 0).
+
+    Each half's sums are listed and sorted; for every sum of one half the sums
+    of the other that reach the rest are a range. Means that are equal to 9
+    decimals count as ties.
+    """
+    def sums(part):
+        out = np.zeros(1)
+        for v in part:
+            out = np.concatenate([out - v, out + v])
+        return np.sort(out)
+
+    a, b = sums(x[: len(x) // 2]), sums(x[len(x) // 2:])
+    goal, slack = float(x.sum()), 0.5e-9 * len(x)
+    goal = abs(goal) if two_sided else goal
+    found = (len(b) - np.searchsorted(b, goal - slack - a, "left")).sum()
+    if not two_sided:
+        return int(found)
+    if goal <= slack:
+        return 2 ** len(x)
+    return int(found + np.searchsorted(b, slack - goal - a, "right").sum())
+
+
+def exact_sign_flip(df: DataFrame, by: list[str], value: str = "contrast", two_sided: bool = False) -> DataFrame:
+    """Mean, ``n_units`` and the p of all 2^n sign flips: the share with a mean at least as large, its own among them.
+
+    One row per unit is expected, and a group of more than ``EXACT_UNITS`` is
+    an error (``sign_flip`` draws there). A task holds the values of one group
+    and twice 2^(n / 2) sums. Null values are left out; a group without others has no row.
+    """
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf[value].to_numpy(float)
+        if len(x) > EXACT_UNITS:
+            raise ValueError(f"{len(x)} units are too many for all sign flips")
+        return pd.DataFrame({**{k: pdf[k].iloc[:1] for k in by}, "mean": [x.mean()], "n_units": [len(x)], "p_value": [flips_at_least(x, two_sided) / 2 ** len(x)]})
+
+    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in by)
+    d = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias(value))
+    return d.groupBy(*by).applyInPandas(one, f"{kinds}, mean double, n_units long, p_value double")
+
+
+#: Units whose values a row of the bootstrap holds; slots and draws that are worked out together; the most rows for one such set of units.
+HELD, SLOTS, DRAWS, SHARES = 1 << 20, 4096, 128, 256
+
+
+def resampled_sums(df: DataFrame, by: list[str], value: str, unit: str, n: int, seed: int) -> DataFrame:
+    """``by, size, draw, total``: the sums of ``n`` resamples; slot i of a draw takes the row (by order of ``unit``, from 0) that a hash of (seed, draw, i) names.
+
+    The values of up to ``HELD`` units of a group lie in a row as an array. Its
+    copies share the blocks of slots and draws among them: a task works out the
+    picks of a block, looks up those that its units have and adds them up, so
+    that only one number for each block and draw is shuffled.
+    """
+    d = numbered_rows(df.select(*by, unit, F.col(value).cast("double").alias("_x")), by, [unit], "_i", "_size")
+    part = d.groupBy(*by, F.floor(F.col("_i") / HELD).alias("_from"), "_size").agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_x"))), lambda r: r["_x"]).alias("_xs"))
+    blocks = F.ceil(F.col("_size") / SLOTS) * math.ceil(n / DRAWS)
+    part = part.withColumn("_shares", F.least(F.lit(SHARES), blocks).cast("int")).withColumn("_share", F.explode(F.sequence(F.lit(0), F.col("_shares") - 1)))
+    part = part.repartition(*[F.col(k) for k in by], "_from", "_share")
+
+    def run(batches):
+        for pdf in batches:
+            for _, r in pdf.iterrows():
+                x, size, low = np.array([np.nan if v is None else v for v in r["_xs"]], float), int(r["_size"]), int(r["_from"]) * HELD
+                totals, counts = np.zeros(n), np.zeros(n)
+                columns = math.ceil(n / DRAWS)
+                for k in range(int(r["_share"]), math.ceil(size / SLOTS) * columns, int(r["_shares"])):
+                    slots = [b"|%d" % i for i in range(k // columns * SLOTS, min(size, (k // columns + 1) * SLOTS))]
+                    for draw in range(k % columns * DRAWS + 1, min(n, (k % columns + 1) * DRAWS) + 1):
+                        head = b"%d|%d" % (seed, draw)
+                        picks = np.frombuffer(b"".join([hashlib.sha256(head + s).digest()[:4] for s in slots]), ">u4").astype(np.int64) % size - low
+                        taken = x[picks[(picks >= 0) & (picks < len(x))]] if len(x) < size else x[picks]
+                        taken = taken[~np.isnan(taken)]
+                        totals[draw - 1] += taken.sum()
+                        counts[draw - 1] += len(taken)
+                at = np.flatnonzero(counts)
+                yield pd.DataFrame({**{c: np.repeat(np.array([r[c]], dtype=object), len(at)) for c in by}, "draw": at + 1, "total": totals[at], "taken": counts[at].astype(int)})
+
+    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in by)
+    found = part.mapInPandas(run, f"{kinds}, draw int, total double, taken long")
+    return found.groupBy(*by, "draw").agg(F.sum("total").alias("total"), F.sum("taken").alias("taken"))
 
 
 def bootstrap_ci(df: DataFrame, by: list[str], value: str = "contrast", unit: str = "unit", n: int = 10_000, seed: int = 3) -> DataFrame:
-    """Percentile interval (2.5, 97.5) of resampled means: slot i of a draw takes the row that a hash of (seed, draw, i) names."""
-    w = Window.partitionBy(*by)
-    numbered = df.withColumn("i", F.row_number().over(w.orderBy(unit)) - 1).withColumn("size", F.count(F.lit(1)).over(w))
-    digits = F.substring(F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col("draw").cast("string"), F.col("i").cast("string")), 256), 1, 8)
-    slot = draws(numbered.select(*by, "i", "size"), n).withColumn("pick", F.conv(digits, 16, 10).cast("bigint") % F.col("size"))
-    taken = slot.select(*by, "draw", "pick").join(numbered.select(*by, F.col("i").alias("pick"), value), [*by, "pick"])
-    means = taken.groupBy(*by, "draw").agg(F.avg(value).alias("m"))
-    return means.groupBy(*by).agg(F.percentile("m", F.lit(0.025)).alias("ci_low"), F.percentile("m", F.lit(0.975)).alias("ci_high"))
+    """Percentile interval (2.5, 97.5) of the means of ``n`` resamples (``resampled_sums``); null values that are drawn don't count."""
+    means = resampled_sums(df, by, value, unit, n, seed).withColumn("m", F.col("total") / F.col("taken"))
+    return means.groupBy(*by).agg(F.percentile("m", F.lit(0.025)).alias("ci_low"), F.percentile("m", F.lit(0.975)).alias("ci_high"))  # n numbers in each group
 
 
 def t_statistic(df: DataFrame, by: list[str], value: str = "contrast") -> DataFrame:
@@ -67,7 +149,7 @@ def runs_above(df: DataFrame, by: list[str], order: str, value: str, threshold:
 
 
 def signed_sums(df: DataFrame, by: list[str], cell: str, value: str, unit: str, n: int, seed: int, block: int = 512) -> DataFrame:
-    """``total`` of value times ``hash_sign`` by group, cell and draw; tasks multiply the signs of some ``block`` units with their rows."""
+    """``total`` of value times ``hash_sign`` by group, cell and draw; tasks multiply the signs of some ``block`` units in as many draws with their rows."""
     d = df.where(F.col(value).isNotNull()).select(*by, cell, F.col(unit).cast("string").alias("_u"), F.col(value).cast("double").alias("_x"))
     blocks = max(1, math.ceil((d.agg(F.approx_count_distinct("_u")).first()[0] or 0) / block))
 
@@ -76,11 +158,16 @@ def signed_sums(df: DataFrame, by: list[str], cell: str, value: str, unit: str,
         c, cells = pd.factorize(pdf[cell])
         x = np.zeros((len(units), len(cells)))
         np.add.at(x, (u, c), pdf["_x"])
-        sign = np.array([[1.0 if hashlib.sha256(f"{seed}|{k}|{name}".encode()).digest()[0] < 128 else -1.0 for name in units] for k in range(1, n + 1)])
-        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in by}, cell: np.repeat(np.asarray(cells), n), "draw": np.tile(np.arange(1, n + 1), len(cells)), "total": (sign @ x).T.ravel()})
+        first = int(pdf["_d"].iloc[0]) * block + 1
+        some = np.arange(first, min(n, first + block - 1) + 1)
+        names = [b"|" + name.encode() for name in units]
+        heads = [b"%d|%d" % (seed, k) for k in some]
+        first_byte = np.frombuffer(b"".join([hashlib.sha256(h + u).digest()[:1] for h in heads for u in names]), np.uint8).reshape(len(some), len(names))
+        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in by}, cell: np.repeat(np.asarray(cells), len(some)), "draw": np.tile(some, len(cells)), "total": (np.where(first_byte < 128, 1.0, -1.0) @ x).T.ravel()})
 
     kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in [*by, cell])
-    parts = d.withColumn("_b", F.pmod(F.xxhash64("_u"), F.lit(blocks))).groupBy(*by, "_b").applyInPandas(run, f"{kinds}, draw int, total double")
+    d = d.withColumn("_b", F.pmod(F.xxhash64("_u"), F.lit(blocks))).withColumn("_d", F.explode(F.sequence(F.lit(0), F.lit(math.ceil(n / block) - 1))))
+    parts = d.groupBy(*by, "_b", "_d").applyInPandas(run, f"{kinds}, draw int, total double")
     return parts.groupBy(*by, cell, "draw").agg(F.sum("total").alias("total"))
 
 

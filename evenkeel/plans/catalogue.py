@@ -66,17 +66,17 @@ def bootstrap_ci(spark, sf_dir):
     return rounded(resample.bootstrap_ci(contrasts(spark, sf_dir), ["dataset"], n=200), "ci_low", "ci_high")
 
 
-@query()
+@query(SQL["sign_flip"].replace("range(1, 501)", "range(1, 5001)").replace("/ 501", "/ 5001"))
 def sign_flip_full(spark, sf_dir):
     return rounded(resample.sign_flip(contrasts(spark, sf_dir), ["dataset"]), "mean", "p_value")
 
 
-@query()
+@query(SQL["sign_flip_two_sided"].replace("range(1, 501)", "range(1, 5001)").replace("/ 501", "/ 5001"))
 def sign_flip_two_sided_full(spark, sf_dir):
     return rounded(resample.sign_flip(contrasts(spark, sf_dir), ["dataset"], two_sided=True), "mean", "p_value")
 
 
-@query()
+@query(SQL["bootstrap_ci"].replace("range(1, 201)", "range(1, 10001)"))
 def bootstrap_ci_full(spark, sf_dir):
     return rounded(resample.bootstrap_ci(contrasts(spark, sf_dir), ["dataset"]), "ci_low", "ci_high")
 
@@ -287,7 +287,7 @@ def retention_sensitivity(spark, sf_dir):
     return _retention(spark, sf_dir, 100)
 
 
-@query()
+@query(SQL["retention_sensitivity"].replace("range(1, 101)", "range(1, 10001)").replace("/ 101", "/ 10001"))
 def retention_sensitivity_full(spark, sf_dir):
     return _retention(spark, sf_dir, 10_000)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from evenkeel.functions import levels as lv
 from evenkeel.operators import compare, contracts, contrast, features, linear, matching, prep, resample
-from evenkeel.plans.catalogue import PERF, PRIMARY, PROFILE, STAGE, contrasts, facts, performance, profiles, query, rounded, samples, signatures, stages, table
+from evenkeel.plans.catalogue import PERF, PRIMARY, PROFILE, SQL, STAGE, contrasts, facts, performance, profiles, query, rounded, samples, signatures, stages, table
 from evenkeel.plans.tables import FACTS, SIGNATURES
 
 
@@ -315,7 +315,7 @@ def gram_moments(spark, sf_dir):
     return _gram_moments(table(spark, sf_dir, "embeddings").select("label", F.slice("embedding", 1, 8).alias("x")))
 
 
-@query()
+@query(SQL["gram_moments"].replace("range(1, 9)", "range(1, 65)"))
 def gram_moments_full(spark, sf_dir):
     return _gram_moments(table(spark, sf_dir, "embeddings").select("label", F.col("embedding").alias("x")))
 
@@ -390,7 +390,7 @@ def stage_tests(spark, sf_dir):
     return _stage_tests(spark, sf_dir, 200)
 
 
-@query()
+@query(SQL["stage_tests"].replace("range(1, 201)", "range(1, 10001)").replace("/ 201", "/ 10001"))
 def stage_tests_full(spark, sf_dir):
     return _stage_tests(spark, sf_dir, 10_000)
 

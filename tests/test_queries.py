@@ -6,7 +6,7 @@ from collections import Counter
 import duckdb
 import pytest
 
-from evenkeel.plans import catalogue, catalogue2, catalogue3, catalogue4, catalogue5  # noqa: F401
+from evenkeel.plans import catalogue, catalogue2, catalogue3, catalogue4, catalogue5, catalogue6  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
