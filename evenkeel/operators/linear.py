@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evenkeel.functions.levels import cosine
-
 
 def moments(df: DataFrame, by: list[str], vector: str) -> DataFrame:
     """Long sums ``i, j, s`` of x_i x_j per group with x_0 = 1 (so j, 0 are sums), for j <= i.
@@ -77,6 +77,14 @@ def whitened(df: DataFrame, model: DataFrame, by: list[str], vector: str) -> Dat
     return df.join(model, by).withColumn("_c", centred).withColumn("white", project).drop("_c", "mean", "components", "eigenvalues")
 
 
+def unwhitened(df: DataFrame, model: DataFrame, by: list[str], white: str = "white", out: str = "restored") -> DataFrame:
+    """``out``: the vector that ``white`` came from, as far as the kept components hold it: white times the root of the eigenvalue, along each component, plus the mean."""
+    scaled = F.zip_with(white, "eigenvalues", lambda z, v: z * F.sqrt(v))
+    parts = F.zip_with("components", "_s", lambda c, z: F.transform(c, lambda x: x * z))
+    total = F.aggregate(parts, F.col("mean"), lambda acc, p: F.zip_with(acc, p, lambda a, b: a + b))
+    return df.join(model, by).withColumn("_s", scaled).withColumn(out, total).drop("_s", "mean", "components", "eigenvalues")
+
+
 def ridge(df: DataFrame, by: list[str], vector: str, target: str, penalty: float = 1.0) -> DataFrame:
     """Ridge readout with a free intercept: weights, intercept, residual sd (ddof 1), R squared."""
     x = df.withColumn("_x", F.concat(F.transform(vector, lambda c: c.cast("double")), F.array(F.col(target).cast("double"))))
@@ -138,14 +146,121 @@ def without_direction(df: DataFrame, vector: str, basis: str) -> DataFrame:
     return df.withColumn("_k", c).withColumn("removed", F.zip_with(vector, basis, lambda x, y: x.cast("double") - F.col("_k") * y.cast("double"))).drop("_k")
 
 
+def random_basis(dim: int, k: int, seed: str) -> np.ndarray:
+    """``k`` orthonormal rows of ``dim``: the QR factor of a matrix of normal numbers made of SHA-256 of (seed, row, column), the same everywhere.
+
+    Two hashed uniforms make each normal number; columns get the sign that
+    makes the triangular factor's diagonal positive, so the basis is one.
+    """
+    if not 0 < k <= dim:
+        raise ValueError("a basis has between 1 and dim rows")
+    u = np.array([np.frombuffer(hashlib.sha256(f"{seed}|{i}|{j}".encode()).digest()[:16], ">u8").astype(float) for i in range(dim) for j in range(k)]) / 2**64
+    normal = np.sqrt(-2 * np.log(np.maximum(u[:, 0], 2.0**-64))) * np.cos(2 * np.pi * u[:, 1])
+    q, r = np.linalg.qr(normal.reshape(dim, k))
+    return (q * np.where(np.diag(r) < 0, -1, 1)).T
+
+
+def without_subspace(df: DataFrame, vector: str, bases: dict[str, np.ndarray]) -> DataFrame:
+    """``df`` with ``basis`` and ``removed`` for every named basis (orthonormal rows): the vector less its projection.
+
+    A row is made for each basis, as when a targeted basis is set against
+    random ones. Bases are a few small matrices and go to the tasks; rows with
+    a null vector have a null ``removed``.
+    """
+    if not bases:
+        raise ValueError("no basis")
+    names, mats = list(bases), [np.atleast_2d(np.asarray(b, float)) for b in bases.values()]
+    for b in mats:
+        if not np.allclose(b @ b.T, np.eye(len(b)), atol=1e-8):
+            raise ValueError("rows of a basis must be orthonormal")
+
+    @F.pandas_udf("array<array<double>>")
+    def rests(v: pd.Series) -> pd.Series:
+        x = np.array(v.to_list(), float).reshape(len(v), -1)
+        each = [x - x @ b.T @ b for b in mats] if len(v) else []
+        return pd.Series([[list(e[i]) for e in each] for i in range(len(v))], dtype=object)
+
+    there = F.col(vector).isNotNull()
+    zero = F.array_repeat(F.lit(0.0), mats[0].shape[1])
+    d = df.withColumn("_r", rests(F.when(there, F.transform(vector, lambda c: c.cast("double"))).otherwise(zero)))
+    d = d.withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(len(names)))))
+    return d.withColumn("basis", F.element_at(F.array(*map(F.lit, names)), F.col("_k"))).withColumn("removed", F.when(there, F.element_at("_r", F.col("_k")))).drop("_r", "_k")
+
+
+def similarity_moments(df: DataFrame, unit: list[str], trial: list[str], t: str, vector: str, centred: bool = True, eps: float = 1e-8) -> DataFrame:
+    """``unit, t, s, mean, variance, n``: the cosine of each two times of a trial, its mean and population variance over the unit's trials.
+
+    With ``centred`` a vector's own mean is taken off first; lengths below
+    ``eps`` count as ``eps``, so a constant vector is like no other. Rows are
+    dealt by trial; a task multiplies each trial's matrix with itself, carries
+    counts, means and squares of each unit's cells on from trial to trial, and
+    hands on one row for each cell, which are then merged. Null vectors are left
+    out; a time that a trial repeats is an error.
+    """
+    keys = list(dict.fromkeys([*unit, *trial]))
+
+    def run(batches):
+        whole, held = None, []  # the current unit and its sums; the current trial's rows
+        times: dict = {}
+        n = mean = m2 = None
+
+        def add(rows):
+            nonlocal n, mean, m2
+            x = np.array([r[1] for r in rows], float)
+            x = x - x.mean(1, keepdims=True) if centred else x
+            x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), eps)
+            at = [times.setdefault(r[0], len(times)) for r in rows]
+            if len(set(at)) < len(at):
+                raise ValueError("a trial repeats a time")
+            grow = len(times) - len(n)
+            if grow:
+                n, mean, m2 = (np.pad(a, (0, grow)) for a in (n, mean, m2))
+            for low in range(0, len(at), 256):
+                part = np.ix_(at[low:low + 256], at)
+                c = x[low:low + 256] @ x.T
+                n[part] += 1
+                off = c - mean[part]
+                mean[part] += off / n[part]
+                m2[part] += off * (c - mean[part])
+
+        def cells():
+            i, j = np.nonzero(n)
+            names = list(times)
+            yield pd.DataFrame({**{k: [v] * len(i) for k, v in zip(unit, whole)}, "t": [names[k] for k in i], "s": [names[k] for k in j], "n": n[i, j].astype(np.int64), "mean": mean[i, j], "m2": m2[i, j]})
+
+        last = None
+        for pdf in batches:
+            where = [pdf.columns.get_loc(k) for k in keys]
+            for r in pdf.itertuples(index=False, name=None):
+                key = tuple(r[k] for k in where)
+                if key != last and held:
+                    add(held)
+                    held = []
+                if key[:len(unit)] != whole:
+                    if whole is not None:
+                        yield from cells()
+                    whole, times, n, mean, m2 = key[:len(unit)], {}, np.zeros((0, 0)), np.zeros((0, 0)), np.zeros((0, 0))
+                last = key
+                held.append(r[-2:])
+        if held:
+            add(held)
+            yield from cells()
+
+    v = F.transform(vector, lambda c: c.cast("double"))
+    d = df.where(F.col(vector).isNotNull()).select(*keys, F.col(t).alias("_t"), v.alias("_v")).repartition(*keys).sortWithinPartitions(*keys, "_t")
+    kinds = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in unit)
+    kind = df.schema[t].dataType.simpleString()
+    parts = d.mapInPandas(run, f"{kinds}t {kind}, s {kind}, n long, mean double, m2 double")
+    # squares around the common mean, from those around each part's own
+    w = parts.groupBy(*unit, "t", "s").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("mean")).alias("a"), F.collect_list(F.struct("n", "mean", "m2")).alias("parts"))  # one part for each task
+    centre = w.withColumn("mean", F.col("a") / F.col("n"))
+    total = F.aggregate("parts", F.lit(0.0), lambda acc, p: acc + p["m2"] + p["n"] * (p["mean"] - F.col("mean")) * (p["mean"] - F.col("mean")))
+    return centre.select(*unit, "t", "s", "mean", (total / F.col("n")).alias("variance"), "n")
+
+
 def similarity_cells(df: DataFrame, trial: list[str], t: str, vector: str) -> DataFrame:
     """Cosine of each two times of a trial, then its mean and population variance over trials by cell."""
-    a, b = df.alias("a"), df.alias("b")
-    same = F.lit(True)
-    for c in trial:
-        same = same & (F.col(f"a.{c}") == F.col(f"b.{c}"))
-    cells = a.join(b, same).select(F.col(f"a.{t}").alias("t"), F.col(f"b.{t}").alias("s"), cosine(F.col(f"a.{vector}"), F.col(f"b.{vector}")).alias("c"))
-    return cells.groupBy("t", "s").agg(F.avg("c").alias("mean"), F.var_pop("c").alias("variance"), F.count(F.lit(1)).alias("n"))
+    return similarity_moments(df, [], trial, t, vector, centred=False)
 
 
 def pooled_cells(df: DataFrame) -> DataFrame:
@@ -154,7 +269,7 @@ def pooled_cells(df: DataFrame) -> DataFrame:
 
 
 def alignment_distance(a: DataFrame, b: DataFrame, weight: float = 1.0) -> DataFrame:
-    """Off-diagonal mean squared difference of means plus ``weight`` times that of variances."""
+    """Off-diagonal mean squared difference of means plus ``weight`` times that of variances, over the cells of both."""
     j = a.alias("a").join(b.alias("b"), ["t", "s"]).where("t <> s")
     return j.agg((F.avg((F.col("a.mean") - F.col("b.mean")) ** 2) + weight * F.avg((F.col("a.variance") - F.col("b.variance")) ** 2)).alias("distance"))
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evenkeel.operators import resample
-from evenkeel.plans.catalogue import STAGE, query, rounded, stages
+from evenkeel.functions.levels import dot
+from evenkeel.operators import linear, resample
+from evenkeel.plans.catalogue import STAGE, query, rounded, stages, table
 
 
 def _exact_sql(two_sided: bool) -> str:
@@ -25,3 +26,60 @@ def exact_sign_flip(spark, sf_dir):
 @query(_exact_sql(True))
 def exact_sign_flip_two_sided(spark, sf_dir):
     return rounded(rounded(resample.exact_sign_flip(stages(spark, sf_dir), ["model"], "total_gain", two_sided=True), "mean", digits=5), "p_value", digits=9)
+
+
+SIMILAR = """v AS (SELECT vec_id // 16 AS trial, (vec_id // 16) % 5 AS unit, vec_id % 16 AS t, list_transform(embedding::DOUBLE[], lambda x: x - list_avg(embedding::DOUBLE[])) AS x FROM embeddings),
+c AS (SELECT a.unit, a.t, b.t AS s, list_dot_product(a.x, b.x) / (greatest(sqrt(list_dot_product(a.x, a.x)), 1e-8) * greatest(sqrt(list_dot_product(b.x, b.x)), 1e-8)) AS c FROM v a JOIN v b ON a.trial = b.trial),
+m AS (SELECT unit, t, s, avg(c) mean, var_pop(c) variance, count(*) n FROM c GROUP BY ALL)"""
+
+
+def _similar(spark, sf_dir):
+    d = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 16).alias("trial"), (F.floor(F.col("vec_id") / 16) % 5).alias("unit"), (F.col("vec_id") % 16).alias("t"), F.col("embedding").alias("x"))
+    return linear.similarity_moments(d, ["unit"], ["trial"], "t", "x")
+
+
+@query(f"WITH {SIMILAR} SELECT unit, t, s, round(mean, 6) mean, round(variance, 6) variance, n FROM m")
+def unit_similarity(spark, sf_dir):
+    """Similarity of times within trials of 16 vectors, by unit."""
+    return rounded(_similar(spark, sf_dir), "mean", "variance")
+
+
+@query(f"WITH {SIMILAR} SELECT t, s, round(avg(mean), 6) mean, round(avg(variance) + var_pop(mean), 6) variance, sum(n)::BIGINT n FROM m GROUP BY ALL")
+def pooled_similarity(spark, sf_dir):
+    """All units with one weight each."""
+    return rounded(linear.pooled_cells(_similar(spark, sf_dir)), "mean", "variance")
+
+
+@query(f"""WITH {SIMILAR}, p AS (SELECT unit < 2 AS side, t, s, avg(mean) mean, avg(variance) + var_pop(mean) variance FROM m GROUP BY ALL)
+SELECT round(avg((a.mean - b.mean) ** 2) + 0.5 * avg((a.variance - b.variance) ** 2), 9) distance FROM p a JOIN p b ON a.side AND NOT b.side AND a.t = b.t AND a.s = b.s WHERE a.t <> a.s""")
+def similarity_distance(spark, sf_dir):
+    """Two units' pooled similarity against that of the other three."""
+    m = _similar(spark, sf_dir)
+    return rounded(linear.alignment_distance(linear.pooled_cells(m.where("unit < 2")), linear.pooled_cells(m.where("unit >= 2")), 0.5), "distance", digits=9)
+
+
+def _basis_sql(rows) -> str:
+    return "[" + ", ".join("[" + ", ".join(repr(float(x)) for x in r) + "]" for r in rows) + "]::DOUBLE[][]"
+
+
+BASES = {"targeted": linear.random_basis(64, 2, "targeted"), "random": linear.random_basis(64, 2, "random-0")}
+
+
+@query("WITH b AS (" + " UNION ALL ".join(f"SELECT '{n}' AS basis, {_basis_sql(m)} AS rows" for n, m in BASES.items()) + """), v AS (SELECT vec_id, embedding::DOUBLE[] x FROM embeddings),
+p AS (SELECT vec_id, basis, x, rows[1] r1, rows[2] r2, list_dot_product(x, rows[1]) k1, list_dot_product(x, rows[2]) k2 FROM v, b),
+q AS (SELECT vec_id, basis, list_transform(range(1, 65), lambda i: x[i] - k1 * r1[i] - k2 * r2[i]) y FROM p)
+SELECT vec_id, basis, round(sqrt(list_dot_product(y, y)), 6) AS length, round(y[1], 6) + 0.0 AS first, round(y[64], 6) + 0.0 AS last FROM q""")
+def removed_subspace(spark, sf_dir):
+    """Every vector without its part in a plane, a targeted and a random one."""
+    r = linear.without_subspace(table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("x")), "x", BASES)
+    y = F.col("removed")
+    return r.select("vec_id", "basis", F.round(F.sqrt(dot(y, y)), 6).alias("length"), (F.round(y[0], 6) + F.lit(0.0)).alias("first"), (F.round(y[63], 6) + F.lit(0.0)).alias("last"))
+
+
+@query("SELECT label, vec_id, round(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x)), 4) AS power FROM embeddings")
+def restored_vectors(spark, sf_dir):
+    """Whitened by all components that vectors of 8 have, and back: the power of the whole vector, part by part."""
+    d = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice("embedding", i * 8 + 1, 8))).alias("part", "x"))
+    model = linear.whitening(d, ["part"], "x", 8)
+    back = linear.unwhitened(linear.whitened(d, model, ["part"], "x"), model, ["part"])
+    return back.groupBy("label", "vec_id").agg(F.round(F.sum(dot(F.col("restored"), F.col("restored"))), 4).alias("power"))
