@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evenkeel.operators.quantiles import exact_quantiles
+
 
 def trigger_windows(df: DataFrame, by: list[str], order: str, opening: Column, outcome: Column, code: Column) -> DataFrame:
     """Each opening marker starts a window until the next; ``first_code`` is that of the first outcome row inside. Windows without one go."""
@@ -39,48 +41,106 @@ def nearest(left: DataFrame, right: DataFrame, by: list[str], time: str, other:
     return u.where("_side = 1").withColumn("_p", pick).select(*by, F.col("_t").alias(time), *extra, F.col("_p._k").alias(keep), F.abs(F.col("_p._o") - F.col("_t")).alias("gap"))
 
 
+def nearest_in_order(y: np.ndarray, goal: np.ndarray) -> np.ndarray | None:
+    """Places in the sorted ``y`` nearest to the sorted goals (the earlier on ties), each behind the one before; None where one finds no place."""
+    at = np.searchsorted(y, goal)
+    low, high = np.clip(at - 1, 0, len(y) - 1), np.clip(at, 0, len(y) - 1)
+    pick = np.where(np.abs(y[low] - goal) <= np.abs(y[high] - goal), low, high)
+    if (np.diff(pick) > 0).all():
+        return pick
+    last = -1
+    for i, g in enumerate(goal):  # two goals want one place
+        near = [k for k in (at[i] - 1, at[i]) if last < k < len(y)]
+        if not near:
+            return None
+        last = pick[i] = min(near, key=lambda k: abs(y[k] - g))
+    return pick
+
+
+#: Goals whose distances bound a shift's cost from below, and shifts that are bounded at a time.
+ANCHORS, SHIFTS = 24, 4096
+
+
+def best_shift(x: np.ndarray, y: np.ndarray) -> np.ndarray | None:
+    """Of the shifts that put ``x[0]`` on a ``y`` the match with the least (greatest, mean) distance, the first of equal ones.
+
+    No match is nearer than the nearest ``y``, so the distances of a few spread
+    ``x`` bound each shift's cost; shifts are tried in order of that bound, and
+    none whose bound exceeds the best cost so far is tried.
+    """
+    spread = x[np.unique(np.linspace(0, len(x) - 1, ANCHORS).astype(int))]
+    bounds = []
+    for low in range(0, len(y), SHIFTS):
+        goal = (y[low:low + SHIFTS] - x[0])[:, None] + spread[None, :]
+        at = np.searchsorted(y, goal)
+        near = np.minimum(np.abs(y[np.clip(at - 1, 0, len(y) - 1)] - goal), np.abs(y[np.clip(at, 0, len(y) - 1)] - goal))
+        bounds.append(near.max(1))
+    bound = np.concatenate(bounds)
+    best = None
+    for k in np.argsort(bound, kind="stable"):
+        if best is not None and bound[k] > best[0][0]:
+            break
+        goal = x + (y[k] - x[0])
+        pick = nearest_in_order(y, goal)
+        if pick is not None:
+            gap = np.abs(y[pick] - goal)
+            cost = (float(gap.max()), float(gap.mean()), int(k))
+            if best is None or cost < best[0]:
+                best = (cost, pick)
+    return None if best is None else best[1]
+
+
 def align_clocks(behaviour: DataFrame, triggers: DataFrame, by: str, time: str = "t", slope: tuple[float, float] = (0.999, 1.001), residual: float = 0.01) -> DataFrame:
-    """Order-preserving match of two clocks per recording: best offset, nearest triggers, affine fit, a second match along the
-    fitted line and its fit, limits on slope and residual. Of offsets with one greatest residual that with the least mean one counts.
+    """Order-preserving match of two clocks per recording: best offset (``best_shift``), nearest triggers, affine fit, a second match along the
+    fitted line and its fit, limits on slope and residual.
 
-    Columns: the key, ``t`` (behaviour), ``trigger``, ``slope``, ``intercept``, ``max_residual``, ``ok``. A recording without a match has no row.
+    Columns: the key, ``t`` (behaviour), ``trigger``, ``slope``, ``intercept``, ``max_residual``, ``ok``. A recording without a match has no row;
+    one whose second match finds no order keeps the first and is not ok. One task holds one recording.
     """
 
-    def match(key, b: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
-        x, y = np.sort(b[time].dropna().to_numpy()), np.sort(g[time].dropna().to_numpy())
-        best = None
-        if len(x) and len(y) >= len(x):
-            for shift in y[:, None] - x[:1]:
-                at = np.searchsorted(y, x + shift)
-                lo, hi = np.clip(at - 1, 0, len(y) - 1), np.clip(at, 0, len(y) - 1)
-                pick = np.where(np.abs(y[lo] - x - shift) <= np.abs(y[hi] - x - shift), lo, hi)
-                if (np.diff(pick) > 0).all():
-                    gap = np.abs(y[pick] - x - shift)
-                    cost = (float(gap.max()), float(gap.mean()))
-                    if best is None or cost < best[0]:
-                        best = (cost, pick)
-        if best is None:
-            return pd.DataFrame({by: [], "t": [], "trigger": [], "slope": [], "intercept": [], "max_residual": [], "ok": []})
-        line = lambda z: np.polyfit(x, z, 1) if len(x) > 1 else (1.0, z[0] - x[0])
-        a, c = line(y[best[1]])
-        at = np.searchsorted(y, a * x + c)
-        lo, hi = np.clip(at - 1, 0, len(y) - 1), np.clip(at, 0, len(y) - 1)
-        again = np.where(np.abs(y[lo] - a * x - c) <= np.abs(y[hi] - a * x - c), lo, hi)
-        z = y[again if (np.diff(again) > 0).all() else best[1]]
-        a, c = line(z)
-        worst = float(np.abs(a * x + c - z).max())
-        return pd.DataFrame({by: key[0], "t": x, "trigger": z, "slope": a, "intercept": c, "max_residual": worst, "ok": bool(slope[0] <= a <= slope[1] and worst <= residual)})
+    def match(key, b: pa.Table, g: pa.Table) -> pa.Table:
+        x, y = (np.sort(t.column(time).drop_null().to_numpy()).astype(float) for t in (b, g))
+        x, y = x[~np.isnan(x)], y[~np.isnan(y)]
+        first = best_shift(x, y) if len(x) and len(y) >= len(x) else None
+        n = 0 if first is None else len(x)
+        z, a, c, worst, ok = np.zeros(n), 0.0, 0.0, 0.0, False
+        if n:
+            line = lambda z: np.polyfit(x, z, 1) if n > 1 else (1.0, z[0] - x[0])
+            a, c = line(y[first])
+            again = nearest_in_order(y, a * x + c)
+            z = y[first if again is None else again]
+            a, c = line(z)
+            worst = float(np.abs(a * x + c - z).max())
+            ok = again is not None and bool(slope[0] <= a <= slope[1] and worst <= residual)
+        same = lambda v, t: pa.array([v] * n, t)
+        return pa.Table.from_arrays([pa.array([key[0].as_py()] * n, b.schema.field(by).type if b.num_rows else g.schema.field(by).type), pa.array(x[:n]), pa.array(z), same(float(a), pa.float64()), same(float(c), pa.float64()), same(worst, pa.float64()), same(ok, pa.bool_())],
+                                    [by, "t", "trigger", "slope", "intercept", "max_residual", "ok"])
 
     kind = behaviour.schema[by].dataType.simpleString()
-    return behaviour.groupBy(by).cogroup(triggers.groupBy(by)).applyInPandas(match, f"{by} {kind}, t double, trigger double, slope double, intercept double, max_residual double, ok boolean")
+    few = lambda d: d.select(by, F.col(time).cast("double").alias(time)).groupBy(by)
+    return few(behaviour).cogroup(few(triggers)).applyInArrow(match, f"{by} {kind}, t double, trigger double, slope double, intercept double, max_residual double, ok boolean")
+
+
+def robust_z(df: DataFrame, by: list[str], value: str | list[str], out: str | list[str] = "robust_z") -> DataFrame:
+    """0.67449 (x - median) / max(MAD, 1e-12) of one or several columns, with exact medians (``exact_quantiles``) and one join for each pass."""
+    values, outs = ([value], [out]) if isinstance(value, str) else (value, out)
+
+    def middle(d: DataFrame, what: list[Column], name: str) -> DataFrame:
+        long = d.select(*by, F.posexplode(F.array(*[w.cast("double") for w in what])).alias("_c", "_x"))
+        q = exact_quantiles(long, [*by, "_c"], "_x", [0.5], "_q")
+        return q.groupBy(*by).agg(*[F.max(F.when(F.col("_c") == i, F.col("_q")[0])).alias(f"{name}{i}") for i in range(len(what))])
 
+    def beside(d: DataFrame, m: DataFrame) -> DataFrame:
+        m = m.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(by)], *[c for c in m.columns if c not in by])
+        on = F.lit(True)
+        for i, k in enumerate(by):
+            on = on & (d[k] == m[f"_k{i}"])
+        return d.join(m, on).drop(*[f"_k{i}" for i in range(len(by))])
 
-def robust_z(df: DataFrame, by: list[str], value: str, out: str = "robust_z") -> DataFrame:
-    """0.67449 (x - median) / max(MAD, 1e-12), exact medians."""
-    mid = df.groupBy(*by).agg(F.percentile(value, F.lit(0.5)).alias("_m"))
-    d = df.join(mid, by)
-    mad = d.groupBy(*by).agg(F.percentile(F.abs(F.col(value) - F.col("_m")), F.lit(0.5)).alias("_d"))
-    return d.join(mad, by).withColumn(out, 0.67449 * (F.col(value) - F.col("_m")) / F.greatest(F.col("_d"), F.lit(1e-12))).drop("_m", "_d")
+    d = beside(df, middle(df, [F.col(v) for v in values], "_m"))
+    d = beside(d, middle(d, [F.abs(F.col(v) - F.col(f"_m{i}")) for i, v in enumerate(values)], "_d"))
+    made = {o: 0.67449 * (F.col(v) - F.col(f"_m{i}")) / F.greatest(F.col(f"_d{i}"), F.lit(1e-12)) for i, (v, o) in enumerate(zip(values, outs))}
+    return d.withColumns(made).drop(*[f"{x}{i}" for x in ("_m", "_d") for i in range(len(values))])
 
 
 def artefact_scores(df: DataFrame, unit: list[str], trial: str, channel: str, value: str, amplitude: float, z: float = 5.0) -> DataFrame:
@@ -91,7 +151,7 @@ def artefact_scores(df: DataFrame, unit: list[str], trial: str, channel: str, va
     c4 = F.col("m4") - 4 * F.col("m1") * F.col("m3") + 6 * F.col("m1") ** 2 * F.col("m2") - 3 * F.col("m1") ** 4
     mean2, mean4 = F.sum(F.col("n") * c2) / F.sum("n"), F.sum(F.col("n") * c4) / F.sum("n")
     t = ch.groupBy(*unit, trial).agg(F.max("p2p").alias("peak_to_peak"), F.max("top").alias("max_abs"), mean2.alias("variance"), (mean4 / F.greatest(mean2 * mean2, F.lit(1e-300))).alias("kurtosis"))
-    t = robust_z(robust_z(t, unit, "variance", "variance_z"), unit, "kurtosis", "kurtosis_z")
+    t = robust_z(t, unit, ["variance", "kurtosis"], ["variance_z", "kurtosis_z"])
     return t.withColumn("rejected", (F.col("peak_to_peak") > amplitude) | (F.col("variance_z") > z) | (F.col("kurtosis_z") > z))
 
 
