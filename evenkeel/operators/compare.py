@@ -20,10 +20,14 @@ def profile_distance(models: DataFrame, reference: DataFrame, by: list[str], met
 
 def leave_one_out(df: DataFrame, reference: DataFrame, held: str, by: list[str], metric: str = "metric", value: str = "value") -> DataFrame:
     """Distance for each group left out, from the mean of the others, every group with one weight."""
-    groups = reference.select(F.col(held).alias("held_out")).distinct()
-    rest = groups.join(reference, F.col("held_out") != F.col(held)).groupBy("held_out", metric).agg(F.avg(value).alias("r"))
+    part = reference.groupBy(held, metric).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
+    every = part.groupBy(metric).agg(F.collect_list(F.struct(F.col(held).alias("g"), "s", "n")).alias("_parts"))  # one for each group
+    groups = reference.agg(F.collect_set(held).alias("_groups"))  # one row
+    rest = every.join(F.broadcast(groups)).withColumn("held_out", F.explode("_groups"))
+    total = lambda f: F.aggregate(F.filter("_parts", lambda p: p["g"] != F.col("held_out")), F.lit(0.0), lambda acc, p: acc + F.coalesce(f(p).cast("double"), F.lit(0.0)))
+    rest = rest.select("held_out", metric, total(lambda p: p["n"]).alias("_n"), total(lambda p: p["s"]).alias("_s")).where("_n > 0").select("held_out", metric, F.try_divide("_s", "_n").alias("r"))
     j = df.join(rest, metric)
-    return j.groupBy("held_out", *by).agg(F.sqrt(F.avg((F.col(value) - F.col("r")) ** 2)).alias("rms"), (F.sum(F.col(value) * F.col("r")) / F.sqrt(F.sum(F.col(value) ** 2) * F.sum(F.col("r") ** 2))).alias("cosine"))
+    return j.groupBy("held_out", *by).agg(F.sqrt(F.avg((F.col(value) - F.col("r")) ** 2)).alias("rms"), F.try_divide(F.sum(F.col(value) * F.col("r")), F.sqrt(F.sum(F.col(value) ** 2) * F.sum(F.col("r") ** 2))).alias("cosine"))
 
 
 def equivalence(df: DataFrame, by: list[str], metric: str, value: str, scale: DataFrame, margin: float = 0.2) -> DataFrame:
@@ -106,3 +110,33 @@ def summary(df: DataFrame, by: list[str], value: str) -> DataFrame:
     q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     out = df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), q.alias("q"))
     return out.select(*by, "n", "mean", "sd", F.col("q")[1].alias("median"), (F.col("q")[2] - F.col("q")[0]).alias("iqr"), (F.col("mean") / F.col("sd")).alias("effect"))
+
+
+#: Name, whether runs that fail the gate go, and the least folds that a replicate must keep.
+SCENARIOS = [("all_runs", False, 5), ("gated_folds", True, 3), ("complete_replicates", True, 5)]
+
+
+def retention_tests(df: DataFrame, model: str, replicate: str, endpoints: dict[str, str], scenarios: list[tuple[str, bool, int]] = SCENARIOS, flips: int = 10_000, resamples: int = 10_000) -> DataFrame:
+    """Every endpoint under every scenario: ``scenario, endpoint, model, mean, n_units, retained_folds, sd, effect`` with interval, p and Holm's p.
+
+    ``df`` has one row for each run (model, replicate and fold); ``endpoints``
+    names each endpoint's gate column. A replicate is the mean of the folds it
+    keeps, and one with too few goes. Null gates are not passed, null values
+    are no fold. Holm's p is over the models of one scenario and endpoint.
+    """
+    cell = F.explode(F.array(*[F.struct(F.lit(e).alias("endpoint"), F.col(e).cast("double").alias("value"), F.coalesce(F.col(g), F.lit(False)).alias("passed")) for e, g in endpoints.items()]))
+    case = F.explode(F.array(*[F.struct(F.lit(n).alias("scenario"), F.lit(g).alias("gated"), F.lit(k).alias("least")) for n, g, k in scenarios]))
+    d = df.select(model, replicate, cell.alias("c")).select(model, replicate, "c.*").where("value is not null")
+    d = d.withColumn("s", case).select(model, replicate, "endpoint", "value", "passed", "s.*").where("passed or not gated")
+    by = ["scenario", "endpoint", model]
+    seeds = d.groupBy(*by, replicate, "least").agg(F.avg("value").alias("value"), F.count(F.lit(1)).alias("folds")).where("folds >= least")
+    tests = paired_tests(seeds, by, "value", replicate, ["scenario", "endpoint"], flips=flips, resamples=resamples)
+    more = seeds.groupBy(*by).agg(F.sum("folds").alias("retained_folds"), F.stddev_samp("value").alias("sd"), (F.avg("value") / F.stddev_samp("value")).alias("effect"))
+    return tests.join(more, by)
+
+
+def retention_failures(df: DataFrame, model: str, gates: dict[str, str]) -> DataFrame:
+    """``model, condition, failed_runs``: runs whose gate (a column for each condition) is not passed; conditions without any have no row."""
+    cell = F.explode(F.array(*[F.struct(F.lit(c).alias("condition"), F.col(g).alias("passed")) for c, g in gates.items()]))
+    d = df.select(model, cell.alias("c")).select(model, "c.*")
+    return d.where("not coalesce(passed, false)").groupBy(model, "condition").agg(F.count(F.lit(1)).alias("failed_runs"))

@@ -15,10 +15,10 @@ def pooled_rate(perf: DataFrame, by: list[str]) -> DataFrame:
 
 
 def matching_table(perf: DataFrame, model: str, bin_: str, target: float, tol: float) -> DataFrame:
-    """Per bin: mean and spread of the models' pooled rates, distance to the target, whether the spread is within ``tol``."""
+    """Per bin: mean and spread of the models' pooled rates, distance to the target, whether the spread is within ``tol`` (and 1e-12 for rounding)."""
     by_model = pooled_rate(perf, [model, bin_])
     out = by_model.groupBy(bin_).agg(F.avg("rate").alias("grand_mean"), (F.max("rate") - F.min("rate")).alias("spread"), F.count(F.lit(1)).alias("n_models"))
-    return out.withColumn("distance", F.abs(F.col("grand_mean") - target)).withColumn("eligible", F.col("spread") <= tol)
+    return out.withColumn("distance", F.abs(F.col("grand_mean") - target)).withColumn("eligible", F.col("spread") <= tol + 1e-12)
 
 
 def matched_bin(table: DataFrame, bin_: str) -> DataFrame:

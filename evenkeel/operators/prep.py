@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evenkeel.operators.contracts import ContractError
 from evenkeel.operators.quantiles import exact_quantiles
 
 
@@ -18,6 +19,35 @@ def trigger_windows(df: DataFrame, by: list[str], order: str, opening: Column, o
     return out.where("o is not null").select(*by, "window", "start", "n_rows", F.col("o.at").alias("outcome_at"), F.col("o.code").alias("first_code"))
 
 
+def window_decisions(df: DataFrame, by: list[str], order: str, opening: Column, outcome: Column, code: Column, invalid: Column | None = None, interruption: Column | None = None) -> DataFrame:
+    """Every trigger window with its ``decision``, so that trials and exclusions come from one pass.
+
+    ``kept`` has an outcome inside; ``invalid`` has none but an ``invalid``
+    row; ``interrupted`` has neither but an ``interruption`` (the opening row
+    counts too); any other is ``unresolved``. Rows before the first opening
+    belong to no window; null conditions don't hold.
+    """
+    w = Window.partitionBy(*by).orderBy(order)
+    holds = lambda c: F.coalesce(c, F.lit(False)) if c is not None else F.lit(False)
+    d = df.withColumn("window", F.sum(holds(opening).cast("int")).over(w)).where("window > 0")
+    first = F.min(F.when(holds(outcome), F.struct(F.col(order).alias("at"), code.alias("code"))))
+    g = d.groupBy(*by, "window").agg(F.min(order).alias("start"), F.count(F.lit(1)).alias("n_rows"), first.alias("o"), F.max(holds(invalid)).alias("bad"), F.max(holds(interruption)).alias("cut"))
+    decision = F.when(F.col("o").isNotNull(), "kept").when(F.col("bad"), "invalid").when(F.col("cut"), "interrupted").otherwise("unresolved")
+    return g.select(*by, "window", "start", "n_rows", F.col("o.at").alias("outcome_at"), F.col("o.code").alias("first_code"), decision.alias("decision"))
+
+
+def require_resolved(decisions: DataFrame) -> DataFrame:
+    """The windows whose decision is ``kept``; one without any reason to be left out is an error."""
+    if not decisions.where("decision = 'unresolved'").isEmpty():
+        raise ContractError("windows without outcome, invalid code or interruption")
+    return decisions.where("decision = 'kept'").drop("decision")
+
+
+def excluded_windows(decisions: DataFrame) -> DataFrame:
+    """The side table of interrupted windows, with ``reason``."""
+    return decisions.where("decision = 'interrupted'").drop("decision", "outcome_at", "first_code").withColumn("reason", F.lit("recording discontinuity before the outcome"))
+
+
 def epochs(events: DataFrame, samples: DataFrame, by: list[str], onset: str, time: str, before: float, after: float) -> DataFrame:
     """Samples within [onset - before, onset + after] of each event, by buckets of the window's width."""
     width = before + after
@@ -181,6 +211,20 @@ def channel_missingness(df: DataFrame, by: list[str], value: str) -> DataFrame:
     return df.groupBy(*by).agg(F.when(F.bool_and(miss), "all").when(F.bool_or(miss), "some").otherwise("none").alias("missing"))
 
 
+def filled_channels(df: DataFrame, by: list[str], channel: str, value: str) -> DataFrame:
+    """Channels that are missing in all of a group's rows get 0 in ``value``; one that is missing in some is an error when a row of it is read. NaN counts as missing."""
+    miss = F.col(value).isNull() | F.isnan(value)
+    keys = [*by, channel]
+    state = df.groupBy(*keys).agg(F.bool_and(miss).alias("_all"), F.bool_or(miss).alias("_some"))
+    state = state.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_all", "_some")
+    on = F.lit(True)
+    for i, k in enumerate(keys):
+        on = on & df[k].eqNullSafe(state[f"_k{i}"])
+    stop = F.raise_error(F.concat_ws(" ", F.lit("partly missing channel"), *[F.col(k).cast("string") for k in keys])).cast(df.schema[value].dataType)
+    fill = F.when(F.col("_all"), F.lit(0).cast(df.schema[value].dataType)).when(F.col("_some"), stop).otherwise(F.col(value))
+    return df.join(state, on).withColumn(value, fill).select(*df.columns)
+
+
 def region_of(df: DataFrame, y: str, x: str) -> DataFrame:
     """Six regions: thirds of ``y`` (quantiles 1/3 and 2/3), left or right of ``x`` = 0."""
     q = df.agg(F.percentile(y, F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("q"))

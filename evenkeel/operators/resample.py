@@ -122,8 +122,8 @@ def resampled_sums(df: DataFrame, by: list[str], value: str, unit: str, n: int,
 
 def bootstrap_ci(df: DataFrame, by: list[str], value: str = "contrast", unit: str = "unit", n: int = 10_000, seed: int = 3) -> DataFrame:
     """Percentile interval (2.5, 97.5) of the means of ``n`` resamples (``resampled_sums``); null values that are drawn don't count."""
-    means = resampled_sums(df, by, value, unit, n, seed).withColumn("m", F.col("total") / F.col("taken"))
-    return means.groupBy(*by).agg(F.percentile("m", F.lit(0.025)).alias("ci_low"), F.percentile("m", F.lit(0.975)).alias("ci_high"))  # n numbers in each group
+    means = resampled_sums(df, by, value, unit, n, seed).withColumn("_mean", F.col("total") / F.col("taken"))
+    return means.groupBy(*by).agg(F.percentile("_mean", F.lit(0.025)).alias("ci_low"), F.percentile("_mean", F.lit(0.975)).alias("ci_high"))  # n numbers in each group
 
 
 def t_statistic(df: DataFrame, by: list[str], value: str = "contrast") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evenkeel.functions import levels as lv
@@ -395,11 +395,8 @@ def lagged_change(spark, sf_dir):
 SELECT g, round(avg((nx - (0.5 * n + 150)) ** 2), 4) model_mse, round(avg((nx - n) ** 2), 4) persistence_mse, round(1 - avg((nx - (0.5 * n + 150)) ** 2) / var_pop(nx), 6) r2, round(1 - avg((nx - (0.5 * n + 150)) ** 2) / avg((nx - n) ** 2), 6) gain FROM e GROUP BY g""")
 def one_step_error(spark, sf_dir):
     d = table(spark, sf_dir, "conversations").withColumn("n", F.length("text").cast("double")).withColumn("g", F.col("conv_id") % 10)
-    nxt = F.lead("n").over(Window.partitionBy("conv_id").orderBy("turn"))
-    e = d.withColumn("nx", nxt).where("nx is not null").select("g", "n", "nx")
-    out = e.groupBy("g").agg(F.avg((F.col("nx") - (0.5 * F.col("n") + 150)) ** 2).alias("model_mse"), F.avg((F.col("nx") - F.col("n")) ** 2).alias("persistence_mse"), F.var_pop("nx").alias("v"))
-    out = out.select("g", F.round("model_mse", 4).alias("model_mse"), F.round("persistence_mse", 4).alias("persistence_mse"), F.round(1 - F.col("model_mse") / F.col("v"), 6).alias("r2"), F.round(1 - F.col("model_mse") / F.col("persistence_mse"), 6).alias("gain"))
-    return out
+    out = features.one_step_error(d, ["g"], ["turn"], "n", 0.5 * F.col("n") + 150, within=["conv_id"])
+    return rounded(rounded(out, "model_mse", "persistence_mse", digits=4), "r2", "gain")
 
 
 @query("""WITH v AS (SELECT vec_id % 97 AS trial, vec_id // 97 AS t, embedding::DOUBLE[] AS x FROM embeddings), c AS (SELECT a.t, b.t AS s, list_dot_product(a.x, b.x) / sqrt(list_dot_product(a.x, a.x) * list_dot_product(b.x, b.x)) AS c FROM v a JOIN v b ON a.trial = b.trial)

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from evenkeel.functions import levels as lv
-from evenkeel.operators import compare, contracts, contrast, features, linear, matching, prep, resample
+from evenkeel.operators import compare, contracts, contrast, decisions, features, linear, matching, prep, resample
 from evenkeel.plans.catalogue import PERF, PRIMARY, PROFILE, SQL, STAGE, contrasts, facts, performance, profiles, query, rounded, samples, signatures, stages, table
 from evenkeel.plans.tables import FACTS, SIGNATURES
 
@@ -78,8 +78,7 @@ def redacted_ids(spark, sf_dir):
 @query(f"""WITH {FACTS} SELECT dataset, unit, trial, CASE WHEN level = positive THEN 1 ELSE 0 END AS outcome FROM facts JOIN (VALUES (0, 'purchase', 'view'), (1, 'click', 'error'), (2, 'signup', 'view')) s(ds, positive, negative) ON ds = dataset WHERE level IN (positive, negative)""")
 def harmonised_outcomes(spark, sf_dir):
     spec = spark.createDataFrame([(0, "purchase", "view"), (1, "click", "error"), (2, "signup", "view")], "dataset long, positive string, negative string")
-    d = facts(spark, sf_dir).withColumn("key", lv.level_key(F.col("level"))).join(F.broadcast(spec), "dataset")  # the declared pairs
-    return d.where((F.col("key") == F.col("positive")) | (F.col("key") == F.col("negative"))).select("dataset", "unit", "trial", F.when(F.col("key") == F.col("positive"), 1).otherwise(0).alias("outcome"))
+    return decisions.harmonised(facts(spark, sf_dir), spec, "dataset", "level").select("dataset", "unit", "trial", "outcome")
 
 
 @query("SELECT l_orderkey, l_linenumber, o_custkey, o_orderpriority FROM lineitem JOIN orders ON l_orderkey = o_orderkey")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import uuid
 from collections.abc import Iterator
 
@@ -92,3 +93,61 @@ def trigger_windows_stream(events: DataFrame, key: str, at: str, opening: Column
     return d.groupBy(key).applyInPandasWithState(
         step, f"{key} {kind}, window long, start timestamp, n_rows long, outcome_at timestamp, first_code string",
         "number long, start timestamp, n long, out_at timestamp, first string, last long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def window_decisions_stream(events: DataFrame, key: str, at: str, opening: Column, outcome: Column, code: Column, invalid: Column | None = None, interruption: Column | None = None, delay: str = "1 hour") -> DataFrame:
+    """``operators.prep.window_decisions`` on a stream whose rows may come in any order within ``delay``.
+
+    A key's rows wait in its state until the watermark has passed them, so that
+    no earlier one can come, and are then taken in order of time (openings
+    first among rows of one time). A window goes out with its decision when the
+    next opens, or when the watermark passes its last row by another ``delay``:
+    rows that a key sends after that, before its next opening, belong to no
+    window. Rows that come later than ``delay`` are dropped by Spark. The state
+    of a key is its open window and the rows of the last ``delay``.
+    """
+    wait = int(pd.Timedelta(delay).total_seconds() * 1_000_000)
+    kind = events.schema[key].dataType.simpleString()
+    holds = lambda c: F.coalesce(c, F.lit(False)) if c is not None else F.lit(False)
+    d = events.select(F.col(key), F.col(at).alias("at"), F.unix_micros(F.col(at).cast("timestamp")).alias("us"), holds(opening).alias("opens"), F.when(holds(outcome), code).alias("code"), holds(outcome).alias("hit"), holds(invalid).alias("bad"), holds(interruption).alias("cut")).withWatermark("at", delay)
+
+    def step(k, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        number, window, waiting = pickle.loads(state.get[0]) if state.exists else (0, None, [])
+        seen = state.getCurrentWatermarkMs() * 1000
+        if not state.hasTimedOut:
+            for pdf in batches:
+                waiting += pdf[["us", "opens", "code", "hit", "bad", "cut"]].itertuples(index=False, name=None)
+        waiting.sort(key=lambda r: (r[0], not r[1]))
+        ready = [r for r in waiting if r[0] <= seen]
+        waiting = waiting[len(ready):]
+        done = []
+
+        def close():
+            start, n, last, out, bad, cut = window
+            decision = "kept" if out else "invalid" if bad else "interrupted" if cut else "unresolved"
+            done.append((k[0], number, start, n, out[0] if out else None, out[1] if out else None, decision))
+
+        for us, opens, c, hit, bad, cut in ready:
+            if window and window[2] + wait < us and not opens:  # the window was over before
+                close()
+                window = None
+            if opens:
+                if window:
+                    close()
+                number, window = number + 1, (us, 0, us, None, False, False)
+            if window:
+                start, n, _, out, b, x = window
+                window = (start, n + 1, us, out or ((us, c) if hit else None), b or bool(bad), x or bool(cut))
+        if window and not waiting and window[2] + wait <= seen:
+            close()
+            window = None
+        state.update((pickle.dumps((number, window, waiting)),))
+        if waiting or window:
+            wake = waiting[0][0] if waiting else window[2] + wait
+            state.setTimeoutTimestamp(max(wake // 1000 + 1, seen // 1000 + 1))
+        if done:
+            yield pd.DataFrame(done, columns=[key, "window", "start", "n_rows", "outcome_at", "first_code", "decision"]).astype({"outcome_at": "Int64"})
+
+    out = d.groupBy(key).applyInPandasWithState(
+        step, f"{key} {kind}, window long, start long, n_rows long, outcome_at long, first_code string, decision string", "held binary", "append", GroupStateTimeout.EventTimeTimeout)
+    return out.withColumns({"start": F.timestamp_micros("start"), "outcome_at": F.timestamp_micros("outcome_at")})
