@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Public licence texts and notices. TEXTS, NOTICES and COPYRIGHT are those of the SQL, which stays as it is;
-# MORE_TEXTS, DIGESTS and MORE_NOTICES come on top, and COPYRIGHT_LINE takes the place of COPYRIGHT.
+# MORE_TEXTS, OTHER_TEXTS, DIGESTS and MORE_NOTICES come on top, and COPYRIGHT_LINE takes the place of COPYRIGHT.
 TEXTS = {
     "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
@@ -46,11 +46,27 @@ NOTICES = [
     ("MPL-2.0", "SPDX-License-Identifier: MPL-2.0"),
 ]
 _BSD3 = TEXTS["BSD-2-Clause"].replace("THIS SOFTWARE IS PROVIDED BY", "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\nTHIS SOFTWARE IS PROVIDED BY")
+_UNLICENSE = """This is free and unencumbered software released into the public domain.
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_UNLICENSE_END = "\nFor more information, please refer to <{}://unlicense.org{}>"
+_BSL = """Boost Software License - Version 1.0 - August 17th, 2003
+Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:
+The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+OTHER_TEXTS = [("Unlicense", _UNLICENSE), *[("Unlicense", _UNLICENSE + _UNLICENSE_END.format(a, b)) for a in ("http", "https") for b in ("", "/")], ("BSL-1.0", _BSL), ("BSL-1.0", _BSL.split("\n", 1)[1])]
 MORE_TEXTS = [("BSD-3-Clause", _BSD3), ("BSD-3-Clause", re.sub(r"(?m)^[0-9]\. ", "", _BSD3)), ("BSD-2-Clause", re.sub(r"(?m)^[0-9]\. ", "", TEXTS["BSD-2-Clause"]))]
 #: Digests of long texts as published, with and without their appendix or end mark, with links by http and https.
 DIGESTS = {
     "Apache-2.0": ["b006954ca49c595831e44592054eb7df00763beda6df38e52e9d36a02a916ef5", "5798ac8eb1382cf0a7e6f4107e13e06cb0117b5965f904a099074b1fa2514c29", "b7901703ca7de49fb934ca388db46676217c8b5502d35203ff525c15b226b8e1", "7b0bb1d8dbcbea1c802d3a288b3fd4d1c82b219c4c4282bea036884ebf036aea"],
     "GPL-3.0": ["04a10e711844fe517f9ffba9481db6a825f2f268002c49184ecb8c942911bff3", "c50bb15c5f5e96b27d60ee792a7db1637c2e416eb98869999aab5af68506cd64", "ce818a0d5cb7a9a9261f63641713dbb4ca4750284738a6c3f546d86d81a541d2", "4868f466a3292b095d887ce2ca00548d3969efb48c33f6aced9a20c59f578c19"],
+    "GPL-2.0": ["29507662ad31f55a5ac02f26a5d8cca21add440b2dff4a9ce97e458a0ca43f7f", "b519669ce969d79c162f16dca67a0abab53b46986efb528afe3e105936cc0050", "639c69262acf6777ee0c163867caf39bdb5ec90b59bad9412c9e6101fb65e404"],
+    "LGPL-2.1": ["4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891", "48d2010e70a815a564f914b0c7c1e80d7a6843793348fed3684c957112fe0aa4", "bf2f0c6bf1c47b3b1e3cbedeefecddd1e7db21d1919858d45c2f918efaf426df"],
+    "LGPL-3.0": ["aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"],
+    "CC0-1.0": ["96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"],
+    "MPL-1.1": ["204340b226fd810b187f231a87e223ea2dbfae06c8790568e1868cfecf8d4bac", "0660d1922f9d3acf19bf9040a5c9636739265bae8625a5643a955e9e5283dec1"],
+    "GFDL-1.3": ["7e8edd3abe6258bb82bb853d91a0c24fcd9976894fd0592747354cffe1cb18e7", "2d36daeff2ad303badb6dee8149748be25e22974dd468e1e8a55cf40f16fc01d"],
     "MPL-2.0": ["c0f855aacb6ac1c86bcdd1334db61014d14898798ae14888fea5446cbb9d32e3", "ca15f9cdd3f2fd06a41df42402a3886e1de25f02b077725084c5d8d535cfcec4"],
 }
 MORE_NOTICES = [
@@ -103,7 +119,7 @@ def scan_licences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Repeated rows each get a row; other columns are ignored.
     """
     spark = df.sparkSession
-    known = _known(spark, list(texts.items()) if texts else list(TEXTS.items()) + MORE_TEXTS).select("licence", "digest")
+    known = _known(spark, list(texts.items()) if texts else list(TEXTS.items()) + MORE_TEXTS + OTHER_TEXTS).select("licence", "digest")
     if not texts:
         known = known.unionByName(spark.createDataFrame([(k, d) for k, v in DIGESTS.items() for d in v], "licence string, digest string"))
     notice = {r["canon"]: r["licence"] for r in _known(spark, NOTICES + MORE_NOTICES if notices is None else notices).collect()}  # the given list, no rows of df

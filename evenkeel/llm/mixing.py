@@ -22,7 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-MAX_SOURCES = 4096
+MAX_SOURCES = 1 << 20
+#: Most blocks beside the sources' last ones: a larger corpus gets larger blocks, as one task goes through them.
+MOST_BLOCKS = 1 << 20
 #: Blocks in a row of the table of places, and the most blocks for which that table is broadcast (24 bytes each).
 RUN, SMALL_BLOCKS = 256, 2_000_000
 
@@ -132,6 +134,9 @@ def mix_sources(df: DataFrame, weights: dict[str, float] | None = None, block_by
     source's stream is ordered by a hash of id and text, in ranges that are
     summed first, so a source with most rows is no single task. Only one row
     per source (``MAX_SOURCES`` at most, else an error) comes to the driver.
+    Blocks hold ``block_bytes``, and more where the corpus would have over
+    ``MOST_BLOCKS``: the schedule's work is bounded whatever the corpus holds,
+    and the deviation stays below one block (0.1 GB for 100 TB).
     Columns of ``df`` with the names added here give way to them; with
     ``nested`` the row of ``df`` comes whole, as a struct ``row``.
     """
@@ -142,6 +147,7 @@ def mix_sources(df: DataFrame, weights: dict[str, float] | None = None, block_by
     if len(total) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     size = {r["mix_source"]: r["bytes"] for r in total}
+    block_bytes = max(block_bytes, -(-sum(size.values()) // MOST_BLOCKS))
     given = weights or {}
     least = min([x for x in given.values() if x > 0], default=1.0)
     w = {s: float(given.get(s, least if given else b**power)) for s, b in size.items()}

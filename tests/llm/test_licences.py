@@ -4,6 +4,7 @@ import textwrap
 from collections import Counter
 
 import duckdb
+import pytest
 
 from evenkeel.llm import licences
 
@@ -64,3 +65,21 @@ def test_given_documents_give_the_rows_of_the_sql(spark):
     got = queries.op6_licence_digests(spark, sf)
     assert sorted(got.columns) == sorted(cols)
     assert Counter(tuple(r) for r in got.select(cols).collect()) == Counter(want.fetchall())
+
+
+COMMON = "/usr/share/common-licenses"
+
+
+@pytest.mark.skipif(not os.path.isdir(COMMON), reason="no licence texts on this machine")
+def test_published_texts_at_several_widths(spark):
+    files = {"GPL-2.0": "GPL-2", "LGPL-2.1": "LGPL-2.1", "LGPL-3.0": "LGPL-3", "CC0-1.0": "CC0-1.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0", "GFDL-1.3": "GFDL-1.3", "Apache-2.0": "Apache-2.0", "GPL-3.0": "GPL-3"}
+    rows = []
+    for name, f in files.items():
+        text = open(f"{COMMON}/{f}", encoding="utf-8").read()
+        rows += [(name, text), (name, text.upper()), (name, text.replace("\n", "\r\n")), (None, text + "\nOne clause more.")]
+    for name, text in (("Unlicense", licences._UNLICENSE + licences._UNLICENSE_END.format("https", "/")), ("BSL-1.0", licences._BSL)):
+        for width in (40, 76, 5000):
+            rows.append((name, "\n\n".join(textwrap.fill(p, width) for p in text.split("\n"))))
+    df = spark.createDataFrame([(i, t, n) for i, (n, t) in enumerate(rows)], "doc_id long, text string, want string")
+    got = {r.doc_id: r.licence for r in licences.scan_licences(df).collect()}
+    assert got == {i: n for i, (n, _) in enumerate(rows)}

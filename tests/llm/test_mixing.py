@@ -97,3 +97,16 @@ def test_a_source_of_weight_zero_comes_last(spark):
     first = Counter(r.source for r in got if r.slot < 100)
     assert first["a"] == first["c"] == 50
     assert [s for s, *_ in mixing.phases({"a": 2, "b": 2}, {"a": 0.0, "b": 0.0})] == ["a", "b", "a", "b"]
+
+
+def test_blocks_grow_with_the_corpus(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_BLOCKS", 50)
+    df = spark.createDataFrame([(i, "z" * 1000, f"s{i % 7}") for i in range(700)], "doc_id long, text string, source string")
+    got = mixing.mix_sources(df, block_bytes=10).collect()
+    assert len(got) == 700 and max(r.slot for r in got) < 50 + 7
+    assert all(r.block == r.start // 14_000 for r in got)
+
+
+def test_many_sources(spark):
+    df = spark.createDataFrame([(i, "t", f"s{i}") for i in range(5000)], "doc_id long, text string, source string")
+    assert sorted(r.slot for r in mixing.mix_sources(df).collect()) == list(range(5000))
