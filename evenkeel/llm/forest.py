@@ -172,14 +172,93 @@ def grow(classes: DataFrame, threshold: float, trees: int, leaf: int, spill: flo
         forest.add([r for r in rows if r["paths"]])
 
 
+#: Most leaves (the largest) that get a core; the others are compared in blocks.
+CORES = 2048
+
+
+def with_cores(classes: DataFrame, forest: Forest, sizes: DataFrame, threshold: float, trees: int) -> DataFrame:
+    """``classes`` with ``core``: the number of the first crowded leaf whose rows' mean direction is within half the threshold's angle, else -1.
+
+    Angles obey the triangle inequality, so any two vectors of one core are
+    linked, whatever lies between them: a core's links are counted, not compared.
+    """
+    half = math.cos(math.acos(min(1.0, threshold)) / 2 - 1e-7) if threshold < 1 else 2.0
+    crowded = {(r["dim"], r["leaf"]) for r in sizes.orderBy(F.desc("n"), "dim", "leaf").limit(CORES).collect()}
+    if not crowded:
+        return classes.withColumn("core", F.lit(-1).cast("long"))
+    spark = classes.sparkSession
+    sent, wanted = spark.sparkContext.broadcast(forest), spark.sparkContext.broadcast(crowded)
+
+    def sums(batches):
+        total: dict = {}
+        for b in batches:
+            for _, v in _matrices(b.column(0)):
+                r, at = sent.value.leaves(v, trees)
+                for x in np.unique(at).tolist():
+                    if (v.shape[1], x) in wanted.value:
+                        total[v.shape[1], x] = total.get((v.shape[1], x), 0) + v[r[at == x]].sum(0)
+        for (dim, x), t in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([x], pa.int64()), pa.array([t.tolist()], pa.list_(pa.float64()))], ["dim", "leaf", "t"])
+
+    parts = classes.select("v").mapInArrow(sums, "dim int, leaf long, t array<double>").select("dim", "leaf", F.posexplode("t").alias("i", "x"))
+    means = parts.groupBy("dim", "leaf", "i").agg(F.sum("x").alias("x")).groupBy("dim", "leaf").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda y: y["x"]).alias("t")).collect()  # CORES vectors at most
+    pivots: dict = {}
+    for r in means:
+        t = np.array(r["t"])
+        if np.linalg.norm(t) > 0:
+            pivots.setdefault(r["dim"], {})[r["leaf"]] = t / np.linalg.norm(t)
+    centre = spark.sparkContext.broadcast(pivots)
+
+    def cores(batches):
+        for b in batches:
+            core = np.full(b.num_rows, -1, np.int64)
+            for rows, v in _matrices(b.column("v")):
+                r, at = sent.value.leaves(v, trees)
+                for x in sorted(centre.value.get(v.shape[1], {}), reverse=True):  # the least number is written last
+                    mine = r[at == x]
+                    core[rows[mine[v[mine] @ centre.value[v.shape[1]][x] >= half]]] = x
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(core)], [*b.schema.names, "core"])
+
+    d = classes.select("h1", "h2", "copies", "v")
+    return cut(d.mapInArrow(cores, f"h1 long, h2 long, copies long, v {d.schema['v'].dataType.simpleString()}, core long"), "cores")
+
+
+def core_links(cored: DataFrame) -> DataFrame:
+    """``h1, h2, far, r1, r2`` of the vectors of each core: all of the others, and the least of them."""
+    dim = F.size("v")
+    total = cored.where("core >= 0").groupBy(dim.alias("dim"), "core").agg(F.sum("copies").alias("all"), F.min(F.struct("h1", "h2")).alias("top"))
+    d = cored.where("core >= 0").select("h1", "h2", "copies", dim.alias("dim"), "core").join(total, ["dim", "core"])
+    return d.where("all > copies").select("h1", "h2", (F.col("all") - F.col("copies")).alias("far"), F.col("top.h1").alias("r1"), F.col("top.h2").alias("r2"))
+
+
+def dealt(placed: DataFrame, crowded: DataFrame, block: int) -> DataFrame:
+    """``placed`` once for each pair of blocks, ``lo`` and ``hi``, that needs the row.
+
+    In a crowded leaf the largest core's rows are linked already, so only rows
+    outside it are compared, with each other and with those inside: r (r + 2 l)
+    / block + r + l rows at most for r outside and l inside.
+    """
+    cores = placed.join(crowded.select("dim", "leaf"), ["dim", "leaf"], "left_semi").groupBy("dim", "leaf", "core").agg(F.count(F.lit(1)).alias("c"))
+    inside = F.when(F.col("core") >= 0, F.struct("c", "core"))
+    plan = cores.groupBy("dim", "leaf").agg(F.sum("c").alias("n"), F.max(inside).alias("top"))
+    held = F.coalesce(F.col("top.c"), F.lit(0))
+    plan = cut(plan.select("dim", "leaf", F.coalesce("top.core", F.lit(-2).cast("long")).alias("top"), F.ceil((F.col("n") - held) / block).cast("int").alias("nr"), F.ceil(held / block).cast("int").alias("nl")), "plan")  # few; Spark broadcasts it if it is small
+    every = placed.join(plan, ["dim", "leaf"], "left").withColumns({"nr": F.coalesce("nr", F.lit(1)), "nl": F.coalesce("nl", F.lit(0)), "out": F.coalesce(F.col("core") != F.col("top"), F.lit(True))})
+    deal = lambda n: F.pmod(F.xxhash64("h2", "h1"), F.greatest(F.col(n), F.lit(1))).cast("int")
+    every = every.withColumn("mine", F.when(F.col("out"), deal("nr")).otherwise(F.col("nr") + deal("nl")))
+    last = F.when(F.col("out"), F.col("nr") + F.col("nl") - 1).otherwise(F.col("nr") - 1)
+    every = every.withColumn("other", F.explode(F.when(last >= 0, F.sequence(F.lit(0), last))))
+    return every.withColumn("lo", F.least("mine", "other")).withColumn("hi", F.greatest("mine", "other")).drop("nr", "nl", "top", "out", "other")
+
+
 def _placed(classes: DataFrame, forest: Forest, trees: int) -> DataFrame:
-    """One row for each vector and leaf: ``dim, leaf, h1, h2, copies, v`` and ``before``, the vector's leaves of lower number."""
+    """One row for each vector and leaf: ``dim, leaf, h1, h2, copies, core, v`` and ``before``, the vector's leaves of lower number."""
     sent = classes.sparkSession.sparkContext.broadcast(forest)
-    names = ["dim", "leaf", "h1", "h2", "copies", "before", "v"]
+    names = ["dim", "leaf", "h1", "h2", "copies", "core", "before", "v"]
 
     def run(batches):
         for b in batches:
-            for rows, v in _matrices(b.column(3)):
+            for rows, v in _matrices(b.column(4)):
                 for a in range(0, len(rows), 512):
                     r, at = sent.value.leaves(v[a : a + 512], trees)
                     order = np.lexsort((at, r))
@@ -189,9 +268,9 @@ def _placed(classes: DataFrame, forest: Forest, trees: int) -> DataFrame:
                     first = np.repeat(np.arange(len(r)) - nth, nth)
                     before = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(at[first + np.arange(len(first)) - np.repeat(ends[:-1], nth)]))
                     mine = rows[a + r]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(r), v.shape[1], np.int32)), pa.array(at), *(b.column(i).take(pa.array(mine)) for i in range(3)), before, b.column(3).take(pa.array(mine))], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(r), v.shape[1], np.int32)), pa.array(at), *(b.column(i).take(pa.array(mine)) for i in range(4)), before, b.column(4).take(pa.array(mine))], names)
 
-    return classes.select("h1", "h2", "copies", "v").mapInArrow(run, f"dim int, leaf long, h1 long, h2 long, copies long, before array<long>, v {classes.schema['v'].dataType.simpleString()}")
+    return classes.select("h1", "h2", "copies", "core", "v").mapInArrow(run, f"dim int, leaf long, h1 long, h2 long, copies long, core long, before array<long>, v {classes.schema['v'].dataType.simpleString()}")
 
 
 def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -221,6 +300,8 @@ def compare(threshold: float):
         i, j = left[i], right[j]
         if lo == hi:
             i, j = i[i < j], j[i < j]
+        core = table.column("core").to_numpy()
+        i, j = (x[(core[i] < 0) | (core[i] != core[j])] for x in (i, j))  # those of one core are counted there
         same = np.concatenate([np.einsum("ij,ij->i", v[i[a : a + 65_536]], v[j[a : a + 65_536]]) >= threshold for a in range(0, len(i), 65_536)]) if len(i) else np.zeros(0, bool)
         i, j = i[same], j[same]
         if len(i):  # a pair counts in the first of the leaves that it shares
@@ -248,14 +329,16 @@ def leaf_links(classes: DataFrame, threshold: float, trees: int = TREES, leaf: i
     ``classes(h1, h2, copies, v)`` holds different vectors. ``spill`` is the
     half-width of the overlap in units of the typical projected distance of a
     pair at the threshold. A leaf that could not be split, as its rows are too
-    alike, is compared in pairs of blocks.
+    alike, counts the links of its core (``with_cores``) and compares what lies
+    outside in pairs of blocks.
     """
     forest, sizes = grow(classes, threshold, trees, leaf, spill)
-    large = sizes.select("dim", "leaf", F.ceil(F.col("n") / block).cast("int").alias("nb")).where("nb > 1")  # few; Spark broadcasts it if it is small
-    every = _placed(classes, forest, trees).join(large, ["dim", "leaf"], "left").withColumn("nb", F.coalesce("nb", F.lit(1)))
-    every = every.withColumn("mine", F.pmod(F.xxhash64("h2", "h1"), "nb").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    every = every.withColumn("lo", F.least("mine", "other")).withColumn("hi", F.greatest("mine", "other")).drop("nb", "other")
-    return every.groupBy("dim", "leaf", "lo", "hi").applyInArrow(compare(threshold), "h1 long, h2 long, far long, r1 long, r2 long")
+    crowded = sizes.where(F.col("n") > block)
+    cored = with_cores(classes, forest, crowded, threshold, trees)
+    every = _placed(cored, forest, trees)
+    every = every.withColumns({c: F.lit(0) for c in ("mine", "lo", "hi")}) if crowded.isEmpty() else dealt(every, crowded, block)
+    found = every.groupBy("dim", "leaf", "lo", "hi").applyInArrow(compare(threshold), "h1 long, h2 long, far long, r1 long, r2 long")
+    return found.unionByName(core_links(cored))
 
 
 def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.95, trees: int = TREES, leaf: int = LEAF, block: int = BLOCK) -> DataFrame:

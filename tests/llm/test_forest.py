@@ -71,3 +71,40 @@ def test_recall_on_given_vectors_with_planted_neighbours(spark):
     got = {r.id: r.n_links for r in forest.near_vectors(df).collect()}
     counts = np.array([got[i] for i in range(len(vecs))])
     assert links.sum() > 200 and (counts <= links).all() and counts.sum() >= 0.99 * links.sum()
+
+
+def test_near_alike_vectors_are_dealt_in_proportion(spark):
+    """20,000 vectors around one direction, most within half the angle of 0.95: no copies for blocks of the core, whole counts."""
+    rng = np.random.default_rng(12)
+    n, dim = 20_000, 16
+    axis = rng.standard_normal(dim)
+    vecs = axis / np.linalg.norm(axis) + 0.025 * rng.standard_normal((n, dim)) * np.where(np.arange(n)[:, None] % 50 == 0, 3, 1)
+    vecs = np.concatenate([vecs, rng.standard_normal((500, dim))]).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)], "vec_id long, embedding array<float>")
+    unit = vecs.astype(float) / np.linalg.norm(vecs.astype(float), axis=1)[:, None]
+    links = np.concatenate([(unit[a:a + 2000] @ unit.T >= 0.95).sum(1) for a in range(0, len(unit), 2000)]) - 1
+    classes = forest.unit_vectors(df, "vec_id", "embedding").withColumn("copies", forest.F.lit(1).cast("long")).cache()
+    grown, sizes = forest.grow(classes, 0.95, 4, forest.LEAF, 0.5)
+    crowded = sizes.where(f"n > {forest.BLOCK}")
+    assert crowded.count() >= 4
+    cored = forest.with_cores(classes, grown, crowded, 0.95, 4)
+    placed = forest._placed(cored, grown, 4)
+    assert cored.where("core >= 0").count() > 0.9 * n
+    assert forest.dealt(placed, crowded, forest.BLOCK).count() < 2 * placed.count()
+    got = {r.id: r for r in forest.near_vectors(df, trees=4).collect()}
+    counts = np.array([got[i].n_links for i in range(len(vecs))])
+    assert (counts <= links).all() and counts.sum() >= 0.999 * links.sum()
+    assert len({got[i].component_id for i in range(n) if links[i] > 0}) == 1
+
+
+def test_cores_and_copies_count_each_link_once(spark):
+    rng = np.random.default_rng(13)
+    hot = rng.standard_normal(12) + 0.05 * rng.standard_normal((900, 12))
+    edge = hot[0] + 0.3 * rng.standard_normal((300, 12))
+    vecs = np.concatenate([hot, edge, np.repeat(hot[:5], 30, 0), rng.standard_normal((100, 12))]).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)], "vec_id long, embedding array<float>")
+    unit = vecs.astype(float) / np.linalg.norm(vecs.astype(float), axis=1)[:, None]
+    links = (unit @ unit.T >= 0.95).sum(1) - 1
+    got = {r.id: r.n_links for r in forest.near_vectors(df, leaf=40, block=128).collect()}
+    counts = np.array([got[i] for i in range(len(vecs))])
+    assert (counts <= links).all() and counts.sum() >= 0.99 * links.sum()
