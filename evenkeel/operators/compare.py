@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from evenkeel.operators.numbering import numbered_rows
 from evenkeel.operators.resample import bootstrap_ci, holm, sign_flip, t_interval
 
 
@@ -15,11 +16,12 @@ def profile_distance(models: DataFrame, reference: DataFrame, by: list[str], met
     out = j.groupBy(*[F.col(f"m.{k}") for k in by]).agg(
         F.sqrt(F.avg((a - b) * (a - b))).alias("rms"), (F.sum(a * b) / F.sqrt(F.sum(a * a) * F.sum(b * b))).alias("cosine"),
         F.sqrt(F.sum(a * a) / F.sum(b * b)).alias("magnitude"), F.avg((F.signum(a) == F.signum(b)).cast("double")).alias("sign_agreement"))
-    return out.withColumn("rank", F.row_number().over(Window.orderBy(F.round("rms", 9), *by)))  # one row per model
+    ranked = numbered_rows(out.withColumn("_r", F.round("rms", 9)), [], ["_r", *by], "_i")
+    return ranked.withColumn("rank", (F.col("_i") + 1).cast("int")).drop("_r", "_i")
 
 
 def leave_one_out(df: DataFrame, reference: DataFrame, held: str, by: list[str], metric: str = "metric", value: str = "value") -> DataFrame:
-    """Distance for each group left out, from the mean of the others, every group with one weight."""
+    """``rms``, ``cosine`` (null without length) and ``sign_agreement`` for each group left out, against the mean of the others, every group with one weight."""
     part = reference.groupBy(held, metric).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
     every = part.groupBy(metric).agg(F.collect_list(F.struct(F.col(held).alias("g"), "s", "n")).alias("_parts"))  # one for each group
     groups = reference.agg(F.collect_set(held).alias("_groups"))  # one row
@@ -27,7 +29,8 @@ def leave_one_out(df: DataFrame, reference: DataFrame, held: str, by: list[str],
     total = lambda f: F.aggregate(F.filter("_parts", lambda p: p["g"] != F.col("held_out")), F.lit(0.0), lambda acc, p: acc + F.coalesce(f(p).cast("double"), F.lit(0.0)))
     rest = rest.select("held_out", metric, total(lambda p: p["n"]).alias("_n"), total(lambda p: p["s"]).alias("_s")).where("_n > 0").select("held_out", metric, F.try_divide("_s", "_n").alias("r"))
     j = df.join(rest, metric)
-    return j.groupBy("held_out", *by).agg(F.sqrt(F.avg((F.col(value) - F.col("r")) ** 2)).alias("rms"), F.try_divide(F.sum(F.col(value) * F.col("r")), F.sqrt(F.sum(F.col(value) ** 2) * F.sum(F.col("r") ** 2))).alias("cosine"))
+    return j.groupBy("held_out", *by).agg(F.sqrt(F.avg((F.col(value) - F.col("r")) ** 2)).alias("rms"), F.try_divide(F.sum(F.col(value) * F.col("r")), F.sqrt(F.sum(F.col(value) ** 2) * F.sum(F.col("r") ** 2))).alias("cosine"),
+                                              F.avg((F.signum(value) == F.signum("r")).cast("double")).alias("sign_agreement"))
 
 
 def equivalence(df: DataFrame, by: list[str], metric: str, value: str, scale: DataFrame, margin: float = 0.2) -> DataFrame:

@@ -101,3 +101,29 @@ def manifest_diff(expected: DataFrame, found: DataFrame) -> DataFrame:
 
 def included_by_level(df: DataFrame, level: str, included: Column) -> DataFrame:
     return df.groupBy(level).agg(F.max(included.cast("int")).cast("boolean").alias("covered"))
+
+
+def partition_faults(splits: DataFrame, keys: DataFrame, key: str, by: list[str]) -> DataFrame:
+    """``by, key, problem``: where each ``by`` group of ``splits`` is no partition of ``keys``: ``repeated`` (in two parts or twice), ``missing`` or ``unexpected``.
+
+    Null-safe; an empty result says that parts are disjoint and cover all keys. Groups come from ``splits``.
+    """
+    seen = splits.groupBy(*by, key).agg(F.count(F.lit(1)).alias("_n"))
+    every = splits.select(*by).distinct().crossJoin(keys.select(F.col(key)).distinct()) if by else keys.select(key).distinct()
+    e = every.select(*[F.col(c).alias(f"_{c}") for c in [*by, key]], F.lit(True).alias("_want"))
+    same = F.lit(True)
+    for c in [*by, key]:
+        same = same & seen[c].eqNullSafe(e[f"_{c}"])
+    j = seen.join(e, same, "full")
+    problem = F.when(F.col("_n").isNull(), "missing").when(F.col("_want").isNull(), "unexpected").when(F.col("_n") > 1, "repeated")
+    there = F.col("_n").isNotNull()
+    return j.select(*[F.when(there, seen[c]).otherwise(F.col(f"_{c}")).alias(c) for c in [*by, key]], problem.alias("problem")).where("problem is not null")
+
+
+def require_bins(perf: DataFrame, keys: list[str], bin_: str, bins: list) -> DataFrame:
+    """``perf``, where every group has rows in all of ``bins``; a group without one, or with samples in none, is an error."""
+    have = perf.groupBy(*keys).agg(F.collect_set(F.col(bin_)).alias("_b"))  # a few bins
+    lacking = have.select(*keys, F.array_except(F.array(*map(F.lit, bins)), "_b").alias("_l")).where(F.size("_l") > 0).limit(3).collect()
+    if lacking:
+        raise ContractError(f"groups without rows in some bins: {[tuple(r) for r in lacking]}")
+    return perf

@@ -6,11 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evenkeel.functions.levels import level_key
+from evenkeel.operators.contracts import ContractError
 
 
-def in_window(df: DataFrame, start: float, stop: float, time: str = "t") -> DataFrame:
-    """Both ends count."""
-    return df.where(F.col(time).between(start, stop))
+def in_window(df: DataFrame, start: float, stop: float, time: str = "t", required: bool = False) -> DataFrame:
+    """Both ends count. With ``required`` a window that selects no row is an error."""
+    found = df.where(F.col(time).between(start, stop))
+    if required and found.isEmpty():
+        raise ContractError(f"no row between {start} and {stop}")
+    return found
 
 
 def primary_contrast(df: DataFrame, positive: str, negative: str, window: tuple[float, float], metric: str = "value", group: tuple[str, ...] = ("dataset",), unit: str = "unit", trial: str = "trial", level: str = "level", time: str = "t") -> DataFrame:

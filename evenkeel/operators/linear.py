@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evenkeel.operators.numbering import numbered_rows
+
 
 def moments(df: DataFrame, by: list[str], vector: str) -> DataFrame:
     """Long sums ``i, j, s`` of x_i x_j per group with x_0 = 1 (so j, 0 are sums), for j <= i.
@@ -276,11 +278,10 @@ def alignment_distance(a: DataFrame, b: DataFrame, weight: float = 1.0) -> DataF
 
 def joint_permutation(df: DataFrame, i: str, j: str, value: str, seed: int = 1) -> DataFrame:
     """A matrix in long form with rows and columns under one hash-ordered permutation of labels."""
-    from pyspark.sql import Window
-
     names = df.select(F.col(i).alias("n")).unionByName(df.select(F.col(j).alias("n"))).distinct()
-    place = names.withColumn("k", F.row_number().over(Window.orderBy("n")))  # labels of one matrix
-    mixed = names.select(F.col("n").alias("m")).withColumn("k", F.row_number().over(Window.orderBy(F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col("m").cast("string")), 256), "m")))
+    place = numbered_rows(names, [], ["n"], "k")
+    hashed = names.select(F.col("n").alias("m"), F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col("n").cast("string")), 256).alias("_h"))
+    mixed = numbered_rows(hashed, [], ["_h", "m"], "k").drop("_h")
     perm = place.join(mixed, "k").select("n", "m")
     return df.join(perm.select(F.col("n").alias(i), F.col("m").alias("_i")), i).join(perm.select(F.col("n").alias(j), F.col("m").alias("_j")), j).select(F.col("_i").alias(i), F.col("_j").alias(j), value)
 

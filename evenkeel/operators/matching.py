@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evenkeel.operators.numbering import beside
+
 
 def performance_by_bin(df: DataFrame, keys: list[str], bin_: str, correct: Column) -> DataFrame:
     return df.groupBy(*keys, bin_).agg(F.sum(correct.cast("bigint")).alias("correct_count"), F.count(F.lit(1)).alias("sample_count")).withColumn("rate", F.col("correct_count") / F.col("sample_count"))
@@ -42,5 +44,6 @@ def weighted_contrast(df: DataFrame, by: list[str], correct: Column, value: str,
 
 
 def group_zscore(df: DataFrame, by: list[str], value: str, floor: float = 1e-4) -> DataFrame:
-    w = Window.partitionBy(*by)
-    return df.withColumn("z", (F.col(value) - F.avg(value).over(w)) / F.greatest(F.stddev_samp(value).over(w), F.lit(floor)))
+    """``z``: distance to the group's mean in deviations (at least ``floor``). Rows meet one row per group; none is sorted or sent to its group."""
+    stats = df.groupBy(*by).agg(F.avg(value).alias("_mean"), F.greatest(F.stddev_samp(value), F.lit(floor)).alias("_sd"))
+    return beside(df, stats, by).withColumn("z", (F.col(value) - F.col("_mean")) / F.col("_sd")).drop("_mean", "_sd")

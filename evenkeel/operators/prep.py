@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evenkeel.operators.contracts import ContractError
+from evenkeel.operators.numbering import beside
 from evenkeel.operators.quantiles import exact_quantiles
 
 
@@ -71,6 +72,20 @@ def nearest(left: DataFrame, right: DataFrame, by: list[str], time: str, other:
     return u.where("_side = 1").withColumn("_p", pick).select(*by, F.col("_t").alias(time), *extra, F.col("_p._k").alias(keep), F.abs(F.col("_p._o") - F.col("_t")).alias("gap"))
 
 
+def nearest_grid(df: DataFrame, by: list[str], time: str, requested: list[float]) -> DataFrame:
+    """``by, step, requested`` and the nearest ``time`` of each requested one (the earlier on ties); two requests that get one time are an error when the row is read.
+
+    The grid is a short declared list: one pass keeps the nearest row of each entry.
+    """
+    near = [F.min(F.struct(F.abs(F.col(time) - r).alias("d"), F.col(time).alias("t"))).alias(f"_{i}") for i, r in enumerate(requested)]
+    g = df.where(F.col(time).isNotNull()).groupBy(*by).agg(*near)
+    picks = F.array(*[F.struct(F.lit(i).alias("step"), F.lit(float(r)).alias("requested"), F.col(f"_{i}.t").alias(time)) for i, r in enumerate(requested)])
+    g = g.withColumn("_p", picks)
+    distinct = F.size(F.array_distinct(F.transform("_p", lambda p: p[time]))) == len(requested)
+    stop = F.raise_error(F.concat_ws(" ", F.lit("no distinct times for the grid"), *[F.col(k).cast("string") for k in by])).cast("boolean")
+    return g.where(F.when(distinct, F.lit(True)).otherwise(stop)).select(*by, F.explode("_p").alias("_p")).select(*by, "_p.*")
+
+
 def nearest_in_order(y: np.ndarray, goal: np.ndarray) -> np.ndarray | None:
     """Places in the sorted ``y`` nearest to the sorted goals (the earlier on ties), each behind the one before; None where one finds no place."""
     at = np.searchsorted(y, goal)
@@ -216,13 +231,9 @@ def filled_channels(df: DataFrame, by: list[str], channel: str, value: str) -> D
     miss = F.col(value).isNull() | F.isnan(value)
     keys = [*by, channel]
     state = df.groupBy(*keys).agg(F.bool_and(miss).alias("_all"), F.bool_or(miss).alias("_some"))
-    state = state.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_all", "_some")
-    on = F.lit(True)
-    for i, k in enumerate(keys):
-        on = on & df[k].eqNullSafe(state[f"_k{i}"])
     stop = F.raise_error(F.concat_ws(" ", F.lit("partly missing channel"), *[F.col(k).cast("string") for k in keys])).cast(df.schema[value].dataType)
     fill = F.when(F.col("_all"), F.lit(0).cast(df.schema[value].dataType)).when(F.col("_some"), stop).otherwise(F.col(value))
-    return df.join(state, on).withColumn(value, fill).select(*df.columns)
+    return beside(df, state, keys).withColumn(value, fill).select(*df.columns)
 
 
 def region_of(df: DataFrame, y: str, x: str) -> DataFrame:

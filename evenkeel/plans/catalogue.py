@@ -241,7 +241,7 @@ SELECT held_out, model, round(sqrt(avg((value - r) ** 2)), 6) rms, round(sum(val
 def leave_one_dataset_out(spark, sf_dir):
     p = profiles(spark, sf_dir)
     ref = p.groupBy(F.col("model").alias("src"), "metric").agg(F.avg("value").alias("value"))
-    return rounded(compare.leave_one_out(p, ref, "src", ["model"]), "rms", "cosine")
+    return rounded(compare.leave_one_out(p, ref, "src", ["model"]), "rms", "cosine").drop("sign_agreement")
 
 
 @query()

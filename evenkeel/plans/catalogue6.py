@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evenkeel.functions.levels import dot
-from evenkeel.operators import compare, decisions, features, linear, prep, resample
-from evenkeel.plans.catalogue import PROFILE, SAMPLES, STAGE, facts, profiles, query, rounded, samples, stages, table
+from evenkeel.operators import compare, contracts, decisions, features, folds, linear, matching, prep, resample
+from evenkeel.plans.catalogue import MATCH, PROFILE, SAMPLES, SQL, STAGE, facts, performance, profiles, query, rounded, samples, stages, table
 from evenkeel.plans.catalogue4 import _tested, _tests_sql
 from evenkeel.plans.tables import FACTS
 from evenkeel.sources import files
@@ -236,3 +236,65 @@ def artefact_rejection(spark, sf_dir):
     moving = s.groupBy("unit", "trial", "channel").agg(F.var_pop("v").alias("p"), F.count("v").alias("n")).groupBy("unit", "trial").agg((F.sum(F.col("p") * F.col("n")) / F.sum("n")).alias("va")).where("va > 1e-6")
     t = prep.artefact_scores(s.join(moving.select("unit", "trial"), ["unit", "trial"], "left_semi"), ["unit"], "trial", "channel", "v", 45.0, 2.5)
     return t.select("unit", "trial", F.round("kurtosis", 5).alias("kurtosis"), "rejected")
+
+
+@query("""WITH l AS (SELECT n_regionkey AS region, string_agg(n_nationkey::VARCHAR || ',' || n_name || chr(10), '' ORDER BY n_nationkey) t FROM nation GROUP BY ALL)
+SELECT region::VARCHAR AS region, strlen(t)::BIGINT size_bytes, sha256(t) sha256 FROM l""")
+def file_digests(spark, sf_dir):
+    """One text file a region: its size and digest as they lie in the store."""
+    path = files.scratch(spark, "texts")
+    lines = table(spark, sf_dir, "nation").select("n_regionkey", "n_nationkey", F.concat_ws(",", F.col("n_nationkey").cast("string"), "n_name").alias("line"))
+    lines.repartition("n_regionkey").sortWithinPartitions("n_regionkey", "n_nationkey").drop("n_nationkey").write.partitionBy("n_regionkey").text(path)
+    found = files.inventory(spark, path).where(F.col("path").endswith(".txt"))
+    return found.select(F.regexp_extract("path", "n_regionkey=([^/]+)", 1).alias("region"), "size_bytes", "sha256")
+
+
+@query("SELECT user_id, event_type, count(*) n_rows FROM events GROUP BY ALL HAVING count(*) > 1")
+def repeated_keys(spark, sf_dir):
+    return contracts.duplicate_keys(table(spark, sf_dir, "events").select("user_id", "event_type"), ["user_id", "event_type"])
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity <= 25")
+def open_values(spark, sf_dir):
+    """Rows whose logarithm is infinite, no number or null."""
+    x = F.when(F.col("l_quantity") > 25, F.log(F.col("l_quantity") - 25)).when(F.col("l_quantity") == 25, F.lit(float("-inf"))).when(F.col("l_quantity") > 10, F.lit(float("nan")))
+    return contracts.non_finite(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", x.alias("x")), ["x"]).select("l_orderkey", "l_linenumber")
+
+
+@query(f"WITH {MATCH} SELECT bin, round(spread, 6) spread, spread <= 0.02 + 1e-12 AS eligible FROM mt")
+def accuracy_match_tight(spark, sf_dir):
+    """A tolerance that some bins miss."""
+    return rounded(matching.matching_table(performance(spark, sf_dir), "model", "bin", 0.5, 0.02).select("bin", "spread", "eligible"), "spread")
+
+
+@query(SQL["leave_one_dataset_out"].replace(" cosine FROM prof", " cosine, round(avg((sign(value) = sign(r))::INT), 6) sign_agreement FROM prof"))
+def leave_one_out_signs(spark, sf_dir):
+    p = profiles(spark, sf_dir)
+    ref = p.groupBy(F.col("model").alias("src"), "metric").agg(F.avg("value").alias("value"))
+    return rounded(compare.leave_one_out(p, ref, "src", ["model"]), "rms", "cosine", "sign_agreement")
+
+
+@query(f"""WITH {FACTS}, g AS (SELECT * FROM (VALUES (0, 21600.0), (1, 43200.0), (2, 64800.0)) v(step, requested)), r AS (SELECT dataset, step, requested, t, row_number() OVER (PARTITION BY dataset, step ORDER BY abs(t - requested), t) rn FROM facts, g)
+SELECT dataset, step, requested::DOUBLE AS requested, t FROM r WHERE rn = 1""")
+def nearest_grid(spark, sf_dir):
+    """The sampled times nearest to six, twelve and eighteen o'clock."""
+    return prep.nearest_grid(facts(spark, sf_dir), ["dataset"], "t", [21600.0, 43200.0, 64800.0])
+
+
+@query(f"""WITH s AS ({SQL['group_splits']}), b AS (SELECT fold, source FROM s WHERE NOT (fold = 0 AND split = 'test') UNION ALL SELECT fold, source FROM s WHERE fold = 1 AND split = 'test'), n AS (SELECT fold, source, count(*) n FROM b GROUP BY ALL), e AS (SELECT f.fold, k.source FROM (SELECT DISTINCT fold FROM b) f, (SELECT DISTINCT source FROM s) k)
+SELECT * FROM (SELECT fold, source, CASE WHEN n IS NULL THEN 'missing' WHEN n > 1 THEN 'repeated' END AS problem FROM e LEFT JOIN n USING (fold, source)) WHERE problem IS NOT NULL""")
+def split_faults(spark, sf_dir):
+    """Splits that were broken in two ways: one fold lacks its test groups, another has them twice."""
+    d = table(spark, sf_dir, "documents").where("source is not null")
+    s = folds.group_splits(d, "source")
+    broken = s.where("not (fold = 0 and split = 'test')").unionByName(s.where("fold = 1 and split = 'test'"))
+    return contracts.partition_faults(broken.select("fold", "source"), d.select("source"), "source", ["fold"])
+
+
+@query("SELECT o_orderpriority, o_orderstatus AS tests__status, count(*) tests__n FROM orders GROUP BY ALL")
+def nested_reports(spark, sf_dir):
+    """Counts as one JSON document for each priority, written, read and flattened again."""
+    counts = table(spark, sf_dir, "orders").groupBy("o_orderpriority", F.col("o_orderstatus").alias("status")).agg(F.count(F.lit(1)).alias("n"))
+    documents = files.documents_of(counts, ["o_orderpriority"], "tests")
+    back = documents.select("o_orderpriority", F.from_json("document", "tests array<struct<status: string, n: bigint>>")["tests"].alias("tests"))
+    return files.flattened(back, "tests")

@@ -55,6 +55,13 @@ def flattened(df: DataFrame, column: str, sep: str = "__") -> DataFrame:
     return df.select(*[c for c in df.columns if c != column], *[F.col(column)[f].alias(f"{column}{sep}{f}") for f in kind.fieldNames()])
 
 
+def documents_of(df: DataFrame, key: list[str], name: str) -> DataFrame:
+    """``key, document``: each group's other columns as one JSON document with an array ``name`` of objects, in order of their values. A group is one report's rows."""
+    rest = [c for c in df.columns if c not in key]
+    rows = F.array_sort(F.collect_list(F.struct(*rest)))
+    return df.groupBy(*key).agg(F.to_json(F.struct(rows.alias(name))).alias("document"))
+
+
 def inventory(spark: SparkSession, root: str) -> DataFrame:
     """``path, size_bytes, sha256`` of every file."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)

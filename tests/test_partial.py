@@ -186,3 +186,25 @@ def test_retention_scenarios(spark):
                 assert (x.sd is None) == (len(values) < 2) and 0 < x.p_value <= x.p_holm <= 1
     fails = {(x.m, x.condition): x.failed_runs for x in compare.retention_failures(df, "m", {"human": "hp", "sham": "sp"}).collect()}
     assert fails["a", "sham"] == sum(x[0] == "a" and x[6] is not True for x in rows)
+
+
+def test_small_contracts(spark, tmp_path):
+    from evenkeel.operators import contrast
+    from evenkeel.sources import files
+
+    keys = spark.createDataFrame([("a",), ("b",), (None,)], "k string")
+    splits = spark.createDataFrame([(0, "a"), (0, "b"), (0, None), (1, "a"), (1, "a"), (1, "x"), (1, None)], "fold int, k string")
+    assert sorted((r.fold, str(r.k), r.problem) for r in contracts.partition_faults(splits, keys, "k", ["fold"]).collect()) == [(1, "a", "repeated"), (1, "b", "missing"), (1, "x", "unexpected")]
+    assert contracts.partition_faults(splits.where("fold = 0").drop("fold"), keys, "k", []).isEmpty()
+    perf = spark.createDataFrame([("m", 0), ("m", 1), ("n", 0)], "m string, bin int")
+    assert contracts.require_bins(perf.where("m = 'm'"), ["m"], "bin", [0, 1]).count() == 2
+    with pytest.raises(contracts.ContractError, match="'n'"):
+        contracts.require_bins(perf, ["m"], "bin", [0, 1])
+    t = spark.createDataFrame([("u", 0.0), ("u", 1.0), ("u", 2.0), ("u", None)], "u string, t double")
+    assert sorted((r.step, r.t) for r in prep.nearest_grid(t, ["u"], "t", [0.2, 1.5]).collect()) == [(0, 0.0), (1, 1.0)]
+    with pytest.raises(Exception, match="no distinct times"):
+        prep.nearest_grid(t, ["u"], "t", [0.1, 0.2]).collect()
+    with pytest.raises(contracts.ContractError, match="no row"):
+        contrast.in_window(t, 5, 6, required=True)
+    (tmp_path / "bom.tsv").write_bytes("\ufeffid\tname\n1\té\n\t\n".encode())
+    assert files.delimited(spark, str(tmp_path / "bom.tsv"), "id int, name string").collect() == [(1, "é")]
