@@ -4,7 +4,8 @@ Equal shingle sets collapse into one class first. In every bucket one member
 is the centre and the others are candidates with it alone, confirmed on full
 sets. Only buckets whose members then belong to several components go on: they
 are compared block by block inside tasks, which emit a link only where it joins
-two components. So no linked pair that shares a bucket is left apart, and no
+two components; where thousands stay apart they are first parted by the rare
+shingles that linked sets must share. So no linked pair that shares a bucket is left apart, and no
 bucket emits its pairs.
 """
 
@@ -143,16 +144,20 @@ def dealt(members: DataFrame, block: int = 256) -> DataFrame:
     """``bucket, lo, hi, mine, node, comp``: members of the buckets that hold several components, once for each task that needs them.
 
     A bucket's largest component is joined already, so only the members outside
-    it are compared, with each other and with those inside. Both kinds are
+    it are compared, with each other and with those inside. Where ``index`` says
+    which members are to be compared, with each other and with the rest, that holds. Both kinds are
     dealt to blocks by hash. With r members outside and l inside that makes
-    ``r (r + 2 l) / block + r + l`` rows at most: in proportion to the bucket
-    where what the stars left apart fits a block.
+    ``r (r + 2 l) / block + r + l`` rows at most: in proportion to the bucket,
+    as ``parted`` leaves buckets of no more than ``WIDE`` outside but for shared rare shingles.
     """
-    comps = members.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("c"))
-    parted = comps.groupBy("bucket").agg(F.sum("c").alias("size"), F.max(F.struct("c", "comp")).alias("top"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    parted = parted.select("bucket", F.col("top.comp").alias("top"), F.ceil((F.col("size") - F.col("top.c")) / block).cast("int").alias("nr"), F.ceil(F.col("top.c") / block).cast("int").alias("nl"))
-    m = members.join(parted, "bucket").withColumn("out", F.col("comp") != F.col("top"))
-    deal = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    if "index" not in members.columns:
+        members = members.withColumn("index", F.lit(None).cast("boolean"))
+    comps = members.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("c"), F.count_if("index").alias("i"), F.count("index").alias("given"))
+    per = comps.groupBy("bucket").agg(F.sum("c").alias("size"), F.max(F.struct("c", "comp")).alias("top"), F.count(F.lit(1)).alias("k"), F.sum("i").alias("i"), F.sum("given").alias("given")).where("k > 1")
+    r = F.when(F.col("given") > 0, F.col("i")).otherwise(F.col("size") - F.col("top.c"))
+    per = per.where(r > 0).select("bucket", F.col("top.comp").alias("top"), F.ceil(r / block).cast("int").alias("nr"), F.ceil((F.col("size") - r) / block).cast("int").alias("nl"))
+    m = members.join(per, "bucket").withColumn("out", F.coalesce("index", F.col("comp") != F.col("top")))
+    deal = lambda n: F.pmod(F.xxhash64("node"), F.greatest(F.col(n), F.lit(1))).cast("int")
     m = m.withColumn("mine", F.when(F.col("out"), deal("nr")).otherwise(F.col("nr") + deal("nl")))
     m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("out"), F.col("nr") + F.col("nl") - 1).otherwise(F.col("nr") - 1))))
     return m.select("bucket", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "node", "comp")
@@ -190,6 +195,51 @@ def inside(members: DataFrame, texts: DataFrame, num: int, den: int, k: int, blo
     return m.mapInArrow(run, f"a {out}, b {out}")
 
 
+#: Members that the stars may leave apart in a bucket before it is parted by rare shingles.
+WIDE = 1024
+
+
+def rare_buckets(members: DataFrame, texts: DataFrame, num: int, den: int, k: int) -> DataFrame:
+    """``bucket, node, comp, index``: the members of crowded buckets by the rare shingles that they share.
+
+    Order all shingles in one way; here by how many of these sets hold them. Of
+    two sets that link, the larger has among its first ``n - ceil(n t) + 1``
+    one of the smaller's first ``n - ceil(2 n t / (1 + t)) + 1`` (``index``), t
+    the similarity. So pages of one template whose own parts differ, which meet in
+    buckets by the thousand, don't meet here, and no link is lost. Shingles that
+    only one component holds or that index none give no bucket, and those of
+    the same sets one. Work and rows are in proportion to the texts.
+    """
+    node = "struct<f1:bigint,f2:bigint>"
+
+    def run(batches):
+        hashes = WordHashes()
+        for b in batches:
+            sets = [shingles(hashes.of(words_of(t.as_py())), k).view(np.int64) for t in b.column(2)]
+            ends = np.concatenate([[0], np.cumsum([len(u) for u in sets])]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))], ["node", "comp", "tokens"])
+
+    held = cut(members.select("node", "comp").distinct().join(texts, "node").select("node", "comp", "text").mapInArrow(run, f"node {node}, comp {node}, tokens array<long>"), "tokens")
+    each = held.select("node", F.explode("tokens").alias("t"))
+    common = each.groupBy("t").agg(F.count(F.lit(1)).alias("c"))
+    ranked = each.join(common, "t").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("c", "t"))).alias("ts"))  # one text's shingles
+    first = lambda a, b: F.size("ts") - F.expr(f"(size(ts) * {a} + {b - 1}) div {b}") + 1
+    ranked = ranked.select("node", F.posexplode(F.slice("ts", F.lit(1), first(num, den).cast("int"))).alias("at", "x"), first(2 * num, den + num).alias("few"))
+    posts = cut(ranked.where("x.c > 1").select("node", F.col("x.t").alias("t"), (F.col("at") < F.col("few")).alias("index")).join(held.select("node", "comp"), "node"), "posts")
+    h = F.xxhash64("node", "index")
+    same = posts.groupBy("t").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count(F.lit(1)).alias("n"), F.sum(h.cast("decimal(38,0)")).alias("s"), F.bit_xor(h).alias("x"), F.bool_or("index").alias("some")).where("a <> b and some")
+    return posts.join(same.groupBy("n", "s", "x").agg(F.min("t").alias("t")).select("t"), "t").select(F.col("t").alias("bucket"), "node", "comp", "index")
+
+
+def parted(members: DataFrame, texts: DataFrame, num: int, den: int, k: int) -> DataFrame:
+    """``members`` with those buckets that the stars left in more than ``WIDE`` pieces outside the largest component replaced by ``rare_buckets``."""
+    comps = members.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("c"))
+    wide = cut(comps.groupBy("bucket").agg((F.sum("c") - F.max("c")).alias("r")).where(F.col("r") > WIDE).select("bucket"), "wide")
+    if wide.isEmpty():
+        return members
+    return members.join(wide, "bucket", "left_anti").withColumn("index", F.lit(None).cast("boolean")).unionByName(rare_buckets(members.join(wide, "bucket", "left_semi"), texts, num, den, k))
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 4, den: int = 5, bands: int = BANDS, rows: int = ROWS, k: int = 5) -> DataFrame:
     """Per row: ``id, k1, k2, n_shingles, root, component_id, kept``.
 
@@ -218,7 +268,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     links = cut(confirm(star.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct(), texts, num, den, k), "links")
     root = components(links)
     members = cut(members.where(F.col("node") != F.col("centre.node")).select("bucket", "node").join(root, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("comp")), "members")
-    rest = cut(inside(members, texts, num, den, k), "links")
+    rest = cut(inside(parted(members, texts, num, den, k), texts, num, den, k), "links")
     if not rest.isEmpty():
         root = components(links.unionByName(rest))
 

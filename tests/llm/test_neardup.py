@@ -60,3 +60,52 @@ def test_hot_bucket_deals_rows_in_proportion(spark):
         a, b = [n for x, n in m if x == lo], [n for x, n in m if x == hi]
         met |= {(min(x, y), max(x, y)) for x in a for y in b}
     assert all((min(x, y), max(x, y)) in met for x in range(100) for y in range(5000) if x != y)
+
+
+def templates(rng, n, pairs):
+    """Pages of one template, 416 of whose shingles all share; similarity 0.84 to each other, and some pairs of 0.95."""
+    head = [f"t{i}" for i in range(420)]
+    rows = []
+    for i in range(n):
+        own = [f"u{rng.randrange(10**9)}" for _ in range(40)]
+        rows.append(" ".join(head + own))
+        if i < pairs:
+            rows.append(" ".join(head + own[:-6] + [f"v{rng.randrange(10**9)}" for _ in range(6)]))
+    return rows
+
+
+def test_pages_of_one_template_are_dealt_in_proportion(spark, monkeypatch):
+    """5,000 texts that meet in many buckets and don't link: few rows are dealt, and the planted pairs among them are found."""
+    rows = templates(random.Random(8), 5000, 25)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id long, text string").repartition(8)
+    seen = []
+
+    def counted(members, block=256, dealt=neardup.dealt):
+        out = dealt(members, block)
+        seen.append((members.select("node").distinct().count(), out.count()))
+        return out
+
+    monkeypatch.setattr(neardup, "dealt", counted)
+    got = neardup.near_duplicates(df, num=85, den=100).collect()
+    assert len(seen) == 1 and seen[0][1] < 5000
+    groups = {}
+    for r in got:
+        groups.setdefault(r["component_id"], []).append(rows[r["id"]])
+    assert len(got) == 5025 and sorted(map(len, groups.values())) == [1] * 4975 + [2] * 25
+    want = near(list(enumerate(rows[:120])), 85, 100)
+    first = {r["id"]: r["component_id"] for r in got}
+    assert all(first[i] == c for i, (_, c) in want.items())
+
+
+def test_crowded_buckets_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "WIDE", 2)
+    rng = random.Random(9)
+    rows = templates(rng, 40, 10)
+    for i in range(60):  # a chain: each is like the one before
+        w = rows[-1 if i else 0].split()
+        for _ in range(3):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+        rows.append(" ".join(w))
+    want = near(list(enumerate(rows)), 85, 100)
+    got = {r["id"]: (r["n_shingles"], r["component_id"]) for r in run(spark, [(i, t, 1, "x") for i, t in enumerate(rows)])}
+    assert got == want
