@@ -348,7 +348,14 @@ def matrix_gain(spark, sf_dir):
     return linear.geometry(_matrices(spark, sf_dir), ["trial", "t"], "m").select("trial", "t", F.round("gain", 6).alias("gain"))
 
 
-@query()
+@query("""WITH e AS (SELECT vec_id % 50 AS trial, vec_id // 50 AS t, embedding::DOUBLE[] x FROM embeddings),
+r AS (SELECT trial, t, x[1]**2 + x[2]**2 + x[3]**2 r0, x[4]**2 + x[5]**2 + x[6]**2 r1, x[7]**2 + x[8]**2 + x[9]**2 r2, x[1]**2 + x[4]**2 + x[7]**2 a, x[2]**2 + x[5]**2 + x[8]**2 b, x[3]**2 + x[6]**2 + x[9]**2 c,
+ x[1]*x[2] + x[4]*x[5] + x[7]*x[8] ab, x[1]*x[3] + x[4]*x[6] + x[7]*x[9] ac, x[2]*x[3] + x[5]*x[6] + x[8]*x[9] bc FROM e),
+q AS (SELECT *, (a + b + c) / 3 q FROM r), p AS (SELECT *, sqrt(((a - q)**2 + (b - q)**2 + (c - q)**2 + 2 * (ab**2 + ac**2 + bc**2)) / 6) p FROM q),
+f AS (SELECT *, acos(greatest(-1.0, least(1.0, ((a - q) * ((b - q) * (c - q) - bc**2) - ab * (ab * (c - q) - bc * ac) + ac * (ab * bc - (b - q) * ac)) / (2 * p**3)))) / 3 f FROM p),
+v AS (SELECT *, q + 2 * p * cos(f) e1, q + 2 * p * cos(f + 2 * pi() / 3) e3 FROM f), w AS (SELECT *, 3 * q - e1 - e3 e2 FROM v),
+n AS (SELECT trial, t, 3 * q AS total, list_filter([e1, e2, e3], lambda y: y > 0) es, list_filter([r0, r1, r2], lambda y: y > 0) rs FROM w)
+SELECT trial, t, round(total / 3, 6) gain, round(list_max(es) / total, 6) concentration, round(exp(-list_sum(list_transform(es, lambda y: y / total * ln(y / total)))), 6) effective_rank, round(-list_sum(list_transform(rs, lambda y: y / total * ln(y / total))) / ln(3), 6) broadcast FROM n""")
 def matrix_geometry(spark, sf_dir):
     return rounded(linear.geometry(_matrices(spark, sf_dir), ["trial", "t"], "m"), "gain", "concentration", "effective_rank", "broadcast")
 
