@@ -130,7 +130,22 @@ def holm(spark, sf_dir):
     return rounded(resample.holm(p, ["dataset"], key="bin"), "p_value", "p_holm")
 
 
-@query()
+# The 0.95 quantiles of Student's t for 1 to 64 degrees of freedom, for the SQL of up to 65 units.
+T95 = [
+    6.313751514675, 2.919985580354, 2.353363434802, 2.131846786327, 2.015048373333, 1.943180280515, 1.89457860509, 1.859548037531,
+    1.833112932656, 1.812461122812, 1.795884818704, 1.782287555649, 1.770933395987, 1.761310135775, 1.753050355693, 1.745883676276,
+    1.739606726075, 1.734063606618, 1.729132811521, 1.724718242921, 1.720742902812, 1.71714437438, 1.713871527747, 1.710882079909,
+    1.708140761252, 1.705617919759, 1.703288445722, 1.701130934266, 1.699127026533, 1.697260886594, 1.695518782546, 1.693888748384,
+    1.69236030903, 1.690924255187, 1.68957245778, 1.688297714117, 1.687093619596, 1.685954460167, 1.684875121711, 1.683851013336,
+    1.682878002133, 1.681952357468, 1.681070703203, 1.680229976572, 1.679427392652, 1.678660413557, 1.677926721642, 1.677224196124,
+    1.676550892617, 1.675905025163, 1.675284950425, 1.674689153726, 1.674116236703, 1.673564906352, 1.67303396529, 1.672522303076,
+    1.672028888461, 1.671552762455, 1.671093032104, 1.670648864905, 1.670219483774, 1.669804162512, 1.669402221707, 1.669013025024,
+]
+HALF = f"coalesce(({T95})[n - 1], CASE WHEN n > 1 THEN NULL ELSE 0.0 END) * sem"
+
+
+@query(f"""WITH {PRIMARY}, g AS (SELECT dataset, avg(contrast) mean, count(contrast) n, coalesce(stddev_samp(contrast) / sqrt(count(contrast)), 0.0) sem FROM pc GROUP BY dataset)
+SELECT dataset, round(mean, 6) mean, n, round(sem, 6) sem, round(mean - {HALF}, 6) low, round(mean + {HALF}, 6) high FROM g""")
 def t_interval(spark, sf_dir):
     return rounded(resample.t_interval(contrasts(spark, sf_dir), ["dataset"]), "mean", "sem", "low", "high")
 
@@ -244,7 +259,9 @@ def leave_one_dataset_out(spark, sf_dir):
     return rounded(compare.leave_one_out(p, ref, "src", ["model"]), "rms", "cosine").drop("sign_agreement")
 
 
-@query()
+@query(f"""WITH {PROFILE}, sc AS (SELECT metric, stddev_samp(value) scale FROM prof WHERE model = 'A' GROUP BY ALL), z AS (SELECT p.model, p.metric, (p.value - b.value) / scale z FROM prof p JOIN prof b ON b.model = 'A' AND b.replicate = p.replicate AND b.metric = p.metric JOIN sc ON sc.metric = p.metric WHERE p.model <> 'A'),
+g AS (SELECT model, metric, avg(z) mean, count(z) n, coalesce(stddev_samp(z) / sqrt(count(z)), 0.0) sem FROM z GROUP BY ALL), i AS (SELECT *, mean - {HALF} low, mean + {HALF} high FROM g), e AS (SELECT *, coalesce(low > -0.2 AND high < 0.2, false) equivalent FROM i)
+SELECT model, metric, round(mean, 6) mean, n, round(sem, 6) sem, round(low, 6) low, round(high, 6) high, equivalent, bool_and(equivalent) OVER (PARTITION BY model) all_equivalent FROM e""")
 def equivalence(spark, sf_dir):
     p = profiles(spark, sf_dir)
     base = p.where("model = 'A'").select("replicate", "metric", F.col("value").alias("base"))
