@@ -63,7 +63,7 @@ def grid_gaps(observed: DataFrame, dims: list[DataFrame]) -> DataFrame:
     """Expected cells without a row (``missing``) and cells that are not expected (``unexpected``)."""
     grid = dims[0]
     for d in dims[1:]:
-        grid = grid.crossJoin(F.broadcast(d))  # dimensions are lists of levels
+        grid = grid.crossJoin(d)  # lists of levels; the grid itself is the result asked for
     keys, seen = grid.columns, observed.select(*grid.columns).distinct()
     return grid.join(seen, keys, "left_anti").withColumn("problem", F.lit("missing")).unionByName(
         seen.join(grid, keys, "left_anti").withColumn("problem", F.lit("unexpected")))

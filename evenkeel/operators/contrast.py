@@ -50,6 +50,6 @@ def long_contrasts(df: DataFrame, positive: str, negative: str, metrics: list[st
 def spec_contrasts(df: DataFrame, specs: DataFrame, keys: list[str], metric: str = "value", time: str = "t", level: str = "level") -> DataFrame:
     """All contrasts of ``specs(contrast_id, dataset, positive, negative, start, stop)`` in one scan: a row serves every spec that wants it."""
     hit = (F.col("s.dataset") == F.col("d.dataset")) & F.col(f"d.{time}").between(F.col("s.start"), F.col("s.stop"))
-    rows = df.withColumn("_level", level_key(F.col(level))).alias("d").join(F.broadcast(specs).alias("s"), hit)  # specs: a declared list
+    rows = df.withColumn("_level", level_key(F.col(level))).alias("d").join(specs.alias("s"), hit)  # by data set; Spark broadcasts the specs where it finds them small
     mean = lambda side: F.avg(F.when(F.col("d._level") == F.col(f"s.{side}"), F.col(f"d.{metric}")))
     return rows.groupBy("s.contrast_id", *[f"d.{k}" for k in keys]).agg((mean("positive") - mean("negative")).alias("contrast")).where("contrast is not null")
