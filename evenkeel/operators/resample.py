@@ -19,6 +19,11 @@ from pyspark.sql import functions as F
 from evenkeel.operators.numbering import numbered_rows
 
 
+def _tasks(df: DataFrame) -> int:
+    spark = df.sparkSession
+    return max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def hash_sign(seed: int, draw: Column, unit: Column) -> Column:
     """+1 or -1 from the first hex digit of the hash."""
     return F.when(F.substring(F.sha2(F.concat_ws("|", F.lit(str(seed)), draw.cast("string"), unit.cast("string")), 256), 1, 1) < "8", 1.0).otherwise(-1.0)
@@ -95,7 +100,7 @@ def resampled_sums(df: DataFrame, by: list[str], value: str, unit: str, n: int,
     part = d.groupBy(*by, F.floor(F.col("_i") / HELD).alias("_from"), "_size").agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_x"))), lambda r: r["_x"]).alias("_xs"))
     blocks = F.ceil(F.col("_size") / SLOTS) * math.ceil(n / DRAWS)
     part = part.withColumn("_shares", F.least(F.lit(SHARES), blocks).cast("int")).withColumn("_share", F.explode(F.sequence(F.lit(0), F.col("_shares") - 1)))
-    part = part.repartition(*[F.col(k) for k in by], "_from", "_share")
+    part = part.repartition(_tasks(df), *[F.col(k) for k in by], "_from", "_share")  # a number, as small rows with much work would be put together
 
     def run(batches):
         for pdf in batches:
@@ -167,6 +172,7 @@ def signed_sums(df: DataFrame, by: list[str], cell: str, value: str, unit: str,
 
     kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in [*by, cell])
     d = d.withColumn("_b", F.pmod(F.xxhash64("_u"), F.lit(blocks))).withColumn("_d", F.explode(F.sequence(F.lit(0), F.lit(math.ceil(n / block) - 1))))
+    d = d.repartition(_tasks(df), *[F.col(k) for k in by], "_b", "_d")
     parts = d.groupBy(*by, "_b", "_d").applyInPandas(run, f"{kinds}, draw int, total double")
     return parts.groupBy(*by, cell, "draw").agg(F.sum("total").alias("total"))
 
