@@ -16,10 +16,14 @@ windows of one minimizer, and pieces meet by that hash:
 4. windows found in both ways become spans of their texts.
 
 In step 3 a piece goes on only if another piece of its minimizer has the same
-bytes on one side of it, half of what a window holds besides: without that no
-window can repeat. Within a piece none does, as its windows have the minimizer
+bytes around it, nearly as many as a window holds: without that no window can
+repeat. Only the places where its windows begin take part in the merge. Within a piece none does, as its windows have the minimizer
 at different places.
 
+Windows of two lengths go one way together: the minimizer of a longer window is
+that of a shorter one, so one piece holds both kinds, and one merge answers for
+both, after the rounds of each.
+
 A minimizer with more than ``hot`` distinct pieces is no single task: its pieces
 are cut again, now at the rarest substring of each window instead of the one
 with the least hash, so that texts that differ somewhere part there; what they
@@ -29,10 +33,12 @@ than ``hot`` pieces once more is dealt by a digest of the window.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,7 +46,8 @@ from evenkeel.llm.common import cut
 from evenkeel.llm.neardup import with_text_key
 from evenkeel.llm.words import M1, mix, utf8
 
-LENGTH, GRAM, STEP, SHARD, HOT = 400, 32, 16, 65_536, 4000  # STEP: most bytes a refinement round takes
+LENGTH, GRAM, STEP, SHARD, HOT, PARTS = 400, 32, 16, 65_536, 4000, 8  # STEP: most bytes a refinement round takes; PARTS: cuts of _may_repeat
+PASSAGES = 240, 51  # bytes that 99 % of all runs of 51 words have, and these words: passages of over 50 words
 SLOTS = 20  # bits of the table that counts substrings of hot pieces, 8 MB
 CHUNK = 1 << 19
 
@@ -55,30 +62,46 @@ def _gram_hashes(a: np.ndarray) -> np.ndarray:
     return mix(h)
 
 
-def pieces(raw: bytes, length: int, often: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _least(m: np.ndarray, span: int) -> np.ndarray:
+    """Least of each ``span`` consecutive numbers (by doubling)."""
+    width = 1
+    while 2 * width <= span:
+        m = np.minimum(m[:-width], m[width:])
+        width *= 2
+    return np.minimum(m[: len(m) - (span - width)], m[span - width :]) if width < span else m
+
+
+def pieces(raw: bytes, length: int, often: np.ndarray | None = None, longest: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """First window, number of windows, minimizer hash and its place (from the first window) of each piece, in order; together all windows.
 
     With ``often``, counts by the leading bits of a hash, the least is the rarest, and the least hash among these.
+    With ``longest`` a piece also holds the windows of that length that have its minimizer: these minimizers are some
+    of the shorter windows', and the piece grows on both sides, by bytes in which its minimizer stays the least.
     """
+    longest = max(length, longest)
     starts, counts, keys, places = [], [], [], []
-    for at in range(0, len(raw) - length + 1, CHUNK):  # positions fit in 20 bits
-        h = _gram_hashes(np.frombuffer(raw, np.uint8, min(len(raw) - at, CHUNK + length - 1), at))
+    for at in range(0, len(raw) - GRAM + 1 if len(raw) >= length else 0, CHUNK):  # positions fit in 20 bits; a chunk gives the pieces whose minimizers begin in it
+        low = max(0, at - longest)
+        h = _gram_hashes(np.frombuffer(raw, np.uint8, min(len(raw) - low, at - low + CHUNK + longest), low))
         m = (h >> np.uint64(20)) << np.uint64(20)
         if often is not None:
             m = (often[(h >> np.uint64(64 - SLOTS)).astype(np.int64)] << np.uint64(48)) | ((h >> np.uint64(36)) << np.uint64(20))
         m |= np.arange(len(h), dtype=np.uint64)
-        span, width = length - GRAM + 1, 1
-        while 2 * width <= span:
-            m = np.minimum(m[:-width], m[width:])
-            width *= 2
-        if width < span:
-            m = np.minimum(m[: len(m) - (span - width)], m[span - width :])
+        m = _least(m, length - GRAM + 1)
         first = np.flatnonzero(np.concatenate([[True], m[1:] != m[:-1]]))
-        starts.append(first + at)
-        counts.append(np.diff(np.append(first, len(m))))
-        at = (m[first] & np.uint64((1 << 20) - 1)).astype(np.int64)
-        keys.append(h[at])
-        places.append(at - first)
+        place = (m[first] & np.uint64((1 << 20) - 1)).astype(np.int64)
+        n = np.diff(np.append(first, len(m)))
+        if longest > length and len(m) > longest - length:
+            m = _least(m, longest - length + 1)
+            wide = np.flatnonzero(np.concatenate([[True], m[1:] != m[:-1]]))
+            i = np.searchsorted(place, (m[wide] & np.uint64((1 << 20) - 1)).astype(np.int64))
+            first[i], n[i] = wide, np.diff(np.append(wide, len(m))) + longest - length
+        mine = (place + low >= at) & (place + low < at + CHUNK)
+        first, n, place = first[mine], n[mine], place[mine]
+        starts.append(first + low)
+        counts.append(n)
+        keys.append(h[place])
+        places.append(place - first)
     if not starts:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
     return np.concatenate(starts), np.concatenate(counts), np.concatenate(keys), np.concatenate(places)
@@ -145,7 +168,7 @@ class Transform:
     """One shard: its rotations in order (``string``, ``place``), the words of ``step`` symbols before each and the row that begins there."""
 
     def __init__(self, strings: list[bytes], first: int, step: int):
-        m = len(strings)
+        m, self.step = len(strings), step
         size = np.array([len(s) + 1 for s in strings])
         begin = np.concatenate([[0], np.cumsum(size)[:-1]])
         g = np.repeat(np.arange(m), size)
@@ -179,56 +202,73 @@ def _codes(shards: list[Transform], strings: int) -> np.ndarray:
     return (pair << int(strings + 1).bit_length()) | mark
 
 
-def merge(shards: list[Transform], strings: int, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Interleave the shards: string, place and block of the rotations that share their first symbols with others, in merged order.
+def merge(shards: list[Transform], strings: int, rounds: list[int], wanted: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Interleave the shards: string, place and block of the rotations that share their first symbols with others, in merged order, after each of ``rounds``.
 
     Each round puts every entry behind the ``step`` symbols before it, keeping
     the order so far: the interleave of the shards after h rounds is right for
     h * step symbols, and entries of one block share them. An entry alone in
-    its block can't come to share more, so it leaves.
+    its block can't come to share more, so it leaves; and only entries take part that get, by one of ``rounds``, to a
+    place from the first to the last that ``wanted`` has for it and their string.
     """
-    n = sum(len(t.string) for t in shards)
+    n, step = sum(len(t.string) for t in shards), shards[0].step
     flat, bits = _codes(shards, strings), int(n).bit_length()
     base = np.cumsum([0, *[len(t.string) for t in shards]])
     back = np.concatenate([t.back + b for t, b in zip(shards, base)])
-    row, block = np.arange(n), np.zeros(n, np.int64)  # shard after shard: an interleave for no symbols
-    for _ in range(rounds):
+    string, place = np.concatenate([t.string for t in shards]), np.concatenate([t.place for t in shards])
+    some = np.zeros(n, bool)
+    for k, (low, last) in zip(rounds, wanted):
+        some |= (place - k * step >= low[string]) & (place - k * step <= last[string])
+    row = np.flatnonzero(some)  # shard after shard: an interleave for no symbols
+    block = np.zeros(len(row), np.int64)
+    for k in range(1, max(rounds) + 1 if len(row) else 0):
         order, c = _sorted(flat[row], bits)
         row, b = back[row[order]], block[order]
         head = np.concatenate([[True], (c[1:] != c[:-1]) | (b[1:] != b[:-1])])
         shared = ~(head & np.append(head[1:], True))
         row, block = row[shared], np.cumsum(head)[shared]
+        if k in rounds:
+            yield string[row], place[row], block
         if not len(row):
             break
-    return np.concatenate([t.string for t in shards])[row], np.concatenate([t.place for t in shards])[row], block
 
 
 def repeated_windows(strings: list[bytes], length: int, shard: int = SHARD) -> list[np.ndarray]:
     """For each string the flags of its windows of ``length`` bytes that start elsewhere too, in any of the strings."""
-    step = max(d for d in range(1, STEP + 1) if length % d == 0)
-    long = [i for i, s in enumerate(strings) if len(s) >= length]
+    return _repeated(strings, [length], shard)[0]
+
+
+def _bounds(length: int, p, size) -> tuple:
+    """First and last window of ``length`` bytes that holds the minimizer at ``p`` in a piece of ``size`` bytes; none if the last is before the first."""
+    return np.maximum(0, p - (length - GRAM)), np.minimum(p, size - length)
+
+
+def _repeated(strings: list[bytes], lengths: list[int], shard: int, places: list[int] | None = None) -> list[list[np.ndarray]]:
+    """The same for each of the ascending ``lengths``; with ``places`` of minimizers only their windows are counted and flagged."""
+    step = max(d for d in range(1, STEP + 1) if all(x % d == 0 for x in lengths))
+    long = [i for i, s in enumerate(strings) if len(s) >= lengths[0]]
     parts, at, room = [], 0, 0
     for k, i in enumerate(long):
         room += len(strings[i])
         if room >= shard or k == len(long) - 1:
             parts.append(Transform([strings[j] for j in long[at : k + 1]], at, step))
             at, room = k + 1, 0
-    out = [np.zeros(0, bool)] * len(strings)
-    if not parts:
-        return out
-    string, place, block = merge(parts, len(long), length // step)
-    last = np.array([len(strings[i]) - length for i in long])
-    fits = place <= last[string]
-    many = fits & (np.bincount(block[fits], minlength=int(block.max(initial=0)) + 1)[block] > 1)
-    begin = np.concatenate([[0], np.cumsum(last + 1)])
-    every = np.zeros(begin[-1], bool)
-    every[begin[string[many]] + place[many]] = True
-    for k, i in enumerate(long):
-        out[i] = every[begin[k] : begin[k + 1]]
+    size = np.array([len(strings[i]) for i in long], np.int64)
+    out = [[np.zeros(max(0, len(s) - x + 1), bool) for s in strings] for x in lengths]
+    bounds = [(0 * size, size - x) if places is None else _bounds(x, np.array(places, np.int64)[long], size) for x in lengths]
+    merged = merge(parts, len(long), [x // step for x in lengths], bounds) if parts else ()
+    for flags, length, (low, last), (string, place, block) in zip(out, lengths, bounds, merged):
+        fits = (place >= low[string]) & (place <= last[string])
+        many = fits & (np.bincount(block[fits], minlength=int(block.max(initial=0)) + 1)[block] > 1)
+        begin = np.concatenate([[0], np.cumsum(np.maximum(0, size - length + 1))])
+        every = np.zeros(begin[-1], bool)
+        every[begin[string[many]] + place[many]] = True
+        for k, i in enumerate(long):
+            flags[i] = every[begin[k] : begin[k + 1]]
     return out
 
 
-def _pieces_of(docs: DataFrame, length: int) -> DataFrame:
+def _pieces_of(docs: DataFrame, length: int, longest: int = 0) -> DataFrame:
     """``k1, k2, starts, n, p, key, d1, d2`` for each different piece of each row's text (``k1, k2, text``).
 
     Texts that repeat a word over and over have the same piece at very many places: these come in one row.
@@ -243,7 +283,7 @@ def _pieces_of(docs: DataFrame, length: int) -> DataFrame:
                 if len(raw) < length:
                     continue
                 same: dict = {}
-                for a, c, k, p in zip(*(x.tolist() for x in pieces(raw, length))):
+                for a, c, k, p in zip(*(x.tolist() for x in pieces(raw, length, longest=longest))):
                     same.setdefault((k, xxhash.xxh3_128_digest(raw[a : a + c + length - 1])), [c, p]).append(a)
                 for (k, d), (c, p, *at) in same.items():
                     rows.append(i)
@@ -280,36 +320,39 @@ def _with_bytes(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
 
 
 def _may_repeat(rows: list[tuple], length: int) -> list[tuple]:
-    """The rows ``(key, d1, d2, p, piece)`` that share their key and the bytes on one side of it with another row.
+    """The rows ``(key, d1, d2, p, piece)`` that share the bytes around their minimizer with another row of their key.
 
-    A window holds ``length - GRAM`` bytes besides the minimizer, so half of them, rounded down, on one side at least.
+    A window holds ``length - GRAM`` bytes besides the minimizer. Of these some multiple of ``part`` lies before it, with
+    what is over that, under ``part``, left out, and the rest behind it: one of these cuts at least must be shared.
     """
-    half, sides, seen = (length - GRAM) // 2, [], {}
+    both = length - GRAM
+    part, sides, seen = max(1, -(-both // PARTS)), [], {}
     for key, _, _, p, piece in rows:
         mine = []
-        if p >= half:
-            mine.append((key, 0, piece[p - half : p]))
-        if len(piece) >= p + GRAM + half:
-            mine.append((key, 1, piece[p + GRAM : p + GRAM + half]))
+        for left in range(0, min(p, both) + 1, part):
+            right = max(0, both - left - part + 1)
+            if len(piece) >= p + GRAM + right:
+                mine.append((key, left, piece[p - left : p + GRAM + right]))
         for x in mine:
             seen[x] = seen.get(x, 0) + 1
         sides.append(mine)
     return [r for r, mine in zip(rows, sides) if any(seen[x] > 1 for x in mine)]
 
 
-def _merged(piece_rows: DataFrame, length: int, shard: int) -> DataFrame:
-    """Runs ``key, d1, d2, a, b`` of repeated windows; tasks take whole minimizers, several shards at a time."""
+def _merged(piece_rows: DataFrame, lengths: list[int], shard: int) -> DataFrame:
+    """Runs ``key, d1, d2, m, a, b`` of repeated windows of ``m`` bytes; tasks take whole minimizers, several shards at a time."""
 
     def run(batches):
         held, size = [], 0
 
         def flush(rows):
-            out, rows = [], _may_repeat(rows, length)
-            for (k, d1, d2, *_), f in zip(rows, repeated_windows([r[4] for r in rows], length, shard)):
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], f.view(np.int8), [0]])))
-                out += [(k, d1, d2, int(a), int(b) - 1) for a, b in zip(edge[::2], edge[1::2])]
-            c = list(zip(*out)) or [[]] * 5
-            return pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in c], ["key", "d1", "d2", "a", "b"])
+            out, rows = [], _may_repeat(rows, lengths[0])
+            for m, flags in zip(lengths, _repeated([r[4] for r in rows], lengths, shard, [r[3] for r in rows])):
+                for (k, d1, d2, *_), f in zip(rows, flags):
+                    edge = np.flatnonzero(np.diff(np.concatenate([[0], f.view(np.int8), [0]])))
+                    out += [(k, d1, d2, m, int(a), int(b) - 1) for a, b in zip(edge[::2], edge[1::2])]
+            c = list(zip(*out)) or [[]] * 6
+            return pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in c], ["key", "d1", "d2", "m", "a", "b"])
 
         for b in batches:
             for row in zip(*(b.column(i).to_pylist() for i in range(5))):
@@ -321,7 +364,7 @@ def _merged(piece_rows: DataFrame, length: int, shard: int) -> DataFrame:
         if held:
             yield flush(held)
 
-    return piece_rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, d1 long, d2 long, a long, b long")
+    return piece_rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, d1 long, d2 long, m long, a long, b long")
 
 
 def _by_digest(piece_rows: DataFrame, length: int) -> DataFrame:
@@ -336,7 +379,7 @@ def _by_digest(piece_rows: DataFrame, length: int) -> DataFrame:
 
     w = piece_rows.mapInArrow(run, "key long, d1 long, d2 long, a long, w1 long, w2 long")
     many = w.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    return w.join(many, ["w1", "w2"]).select("key", "d1", "d2", "a", F.col("a").alias("b"))
+    return w.join(many, ["w1", "w2"]).select("key", "d1", "d2", F.lit(length).cast("long").alias("m"), "a", F.col("a").alias("b"))
 
 
 def _often(piece_rows: DataFrame) -> np.ndarray:
@@ -379,40 +422,75 @@ def _cut_again(piece_rows: DataFrame, length: int) -> DataFrame:
     return piece_rows.mapInArrow(run, ", ".join(f"{n} long" for n in names[:-1]) + ", part binary")
 
 
-def _runs(piece_rows: DataFrame, length: int, shard: int, hot: int, again: bool = True) -> DataFrame:
-    """Runs ``key, d1, d2, a, b`` of repeated windows in the different pieces ``key, d1, d2, p, piece``."""
+def _held(length: int, p: Column, size: Column) -> tuple[Column, Column]:
+    """``_bounds`` of columns."""
+    return F.greatest(F.lit(0), p - (length - GRAM)), F.least(p, size - length)
+
+
+def _runs(piece_rows: DataFrame, lengths: list[int], shard: int, hot: int, again: bool = True) -> DataFrame:
+    """Runs ``key, d1, d2, m, a, b`` of repeated windows of ``m`` bytes in the different pieces ``key, d1, d2, p, piece``."""
     big = cut(piece_rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > hot).select("key"), "big")
     if big.isEmpty():
-        return _merged(piece_rows, length, shard)
-    runs, rest = _merged(piece_rows.join(big, "key", "left_anti"), length, shard), piece_rows.join(big, "key", "left_semi")
+        return _merged(piece_rows, lengths, shard)
+    runs, rest = _merged(piece_rows.join(big, "key", "left_anti"), lengths, shard), piece_rows.join(big, "key", "left_semi")
     if not again:
-        return runs.unionByName(_by_digest(rest, length))
-    parts = cut(_cut_again(cut(rest, "hot"), length), "parts")
+        return runs.unionByName(_by_digest(rest, lengths[0]))
+    rest = cut(rest, "hot")
+    for m in lengths:  # each by itself, in the bytes of its windows
+        low, last = _held(m, F.col("p"), F.length("piece"))
+        own = rest.where(last >= low).select("key", "d1", "d2", low.alias("low"), (F.col("p") - low).alias("p"), F.substring("piece", (low + 1).cast("int"), (last - low + m).cast("int")).alias("piece"))
+        runs = runs.unionByName(_runs_again(own, m, shard, hot))
+    return runs
+
+
+def _runs_again(rest: DataFrame, length: int, shard: int, hot: int) -> DataFrame:
+    """The runs of hot pieces; ``low`` is where they begin in the piece that ``d1, d2`` mean."""
+    parts = cut(_cut_again(rest.select("key", "d1", "d2", "p", "piece"), length), "parts")
     same = ["key2", "e1", "e2"]
     some = cut(parts.groupBy(same).agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"), F.first("q").alias("p"), F.first("part").alias("piece")), "some")
-    deeper = _runs(some.select(F.col("key2").alias("key"), F.col("e1").alias("d1"), F.col("e2").alias("d2"), "p", "piece"), length, shard, hot, again=False)
-    whole = some.where("c > 1").select(*same, F.lit(0).cast("long").alias("a"), (F.col("n") - 1).alias("b"))
-    found = cut(deeper.toDF(*same, "a", "b").unionByName(whole), "found")
-    back = parts.drop("part").join(found, same).select("key", "d1", "d2", (F.col("off") + F.col("a")).alias("a"), (F.col("off") + F.col("b")).alias("b"))
-    return runs.unionByName(back)
-
-
-def repeated_spans(docs: DataFrame, length: int = LENGTH, shard: int = SHARD, hot: int = HOT) -> DataFrame:
-    """``k1, k2, spans``: byte ranges of each text (as ``array<struct<s, e>>``, may overlap) covered by repeated windows."""
-    found = cut(_pieces_of(docs, length), "pieces")
+    deeper = _runs(some.select(F.col("key2").alias("key"), F.col("e1").alias("d1"), F.col("e2").alias("d2"), "p", "piece"), [length], shard, hot, again=False)
+    whole = some.where("c > 1").select(*same, F.lit(length).cast("long").alias("m"), F.lit(0).cast("long").alias("a"), (F.col("n") - 1).alias("b"))
+    found = cut(deeper.toDF(*same, "m", "a", "b").unionByName(whole), "found")
+    back = parts.drop("part").join(found, same).join(rest.select("key", "d1", "d2", "low"), ["key", "d1", "d2"])
+    return back.select("key", "d1", "d2", "m", (F.col("low") + F.col("off") + F.col("a")).alias("a"), (F.col("low") + F.col("off") + F.col("b")).alias("b"))
+
+
+def repeated_spans(docs: DataFrame, lengths: list[int], shard: int = SHARD, hot: int = HOT) -> DataFrame:
+    """``k1, k2, spans``: byte ranges of each text (as ``array<struct<s, e, m>>``, may overlap) covered by repeated windows
+    of ``m`` bytes, for the one or two ``lengths``."""
+    lengths = sorted(set(lengths))
+    length = lengths[0]
+    found = cut(_pieces_of(docs, length, lengths[-1]), "pieces")
     keys = found.groupBy("key").agg(F.sum(F.size("starts")).alias("c"), (F.min("d1") != F.max("d1")).alias("mixed")).where("c > 1").drop("c")
     again = cut(found.join(keys, "key"), "again")
     one = cut(again.groupBy("key", "d1", "d2").agg(F.sum(F.size("starts")).alias("c"), F.first("mixed").alias("mixed"), F.min(F.struct("k1", "k2", F.col("starts")[0].alias("start"), "n", "p")).alias("at")), "one")
     mixed = one.where("mixed").select("key", "d1", "d2", "at.*")
-    runs = _runs(cut(_with_bytes(docs, mixed, length), "bytes"), length, shard, hot)
-    whole = one.where("c > 1").select("key", "d1", "d2", F.lit(0).cast("long").alias("a"), (F.col("at.n") - 1).alias("b"))
+    runs = _runs(cut(_with_bytes(docs, mixed, length), "bytes"), lengths, shard, hot)
+    held = [_held(m, F.col("at.p"), F.col("at.n") + (length - 1)) for m in lengths]
+    ranges = F.array(*[F.struct(F.lit(m).cast("long").alias("m"), low.cast("long").alias("a"), last.cast("long").alias("b")) for m, (low, last) in zip(lengths, held)])
+    whole = one.where("c > 1").select("key", "d1", "d2", F.inline(ranges)).where("a <= b")
     runs = cut(runs.unionByName(whole), "runs")
-    spans = again.join(runs, ["key", "d1", "d2"]).select("k1", "k2", F.explode("starts").alias("start"), "a", "b")
-    spans = spans.select("k1", "k2", (F.col("start") + F.col("a")).alias("s"), (F.col("start") + F.col("b") + length).alias("e")).distinct()
-    return spans.groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("spans"))
+    spans = again.join(runs, ["key", "d1", "d2"]).select("k1", "k2", F.explode("starts").alias("start"), "m", "a", "b")
+    spans = spans.select("k1", "k2", (F.col("start") + F.col("a")).alias("s"), (F.col("start") + F.col("b") + F.col("m")).alias("e"), "m").distinct()
+    return spans.groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.struct("s", "e", "m"))).alias("spans"))
+
+
+def _joined(spans: pa.ListArray, length: int) -> list[list[tuple[int, int]]]:
+    """For each row its ranges of ``length``, which come in order; those that overlap or touch as one."""
+    flat = spans.flatten()
+    row = np.repeat(np.arange(len(spans)), spans.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    s, e, m = (flat.field(x).to_numpy(zero_copy_only=False) for x in ("s", "e", "m"))
+    row, s, e = row[m == length], s[m == length], e[m == length]
+    out: list[list[tuple[int, int]]] = [[] for _ in range(len(spans))]
+    if len(row):
+        far = np.maximum.accumulate(e + (row << 40))  # rows lie apart
+        head = np.flatnonzero(np.concatenate([[True], (s + (row << 40))[1:] > far[:-1]]))
+        for r, a, b in zip(row[head].tolist(), s[head].tolist(), (far[np.append(head[1:], len(far)) - 1] - (row[head] << 40)).tolist()):
+            out[r].append((a, b))
+    return out
 
 
-def remove_repeats(df: DataFrame, text_col: str = "text", length: int = LENGTH, as_text: bool = False, nested: bool = False, shard: int = SHARD, hot: int = HOT, words: int = 0) -> DataFrame:
+def remove_repeats(df: DataFrame, text_col: str = "text", length: int = LENGTH, as_text: bool = False, nested: bool = False, shard: int = SHARD, hot: int = HOT, words: int = 0, passages: tuple[int, int] | None = None) -> DataFrame:
     """All rows and columns of ``df`` with ``n_bytes, n_removed, n_spans`` and ``kept`` (the bytes that stay; with
     ``as_text`` a string without the characters that were cut in two).
 
@@ -420,33 +498,36 @@ def remove_repeats(df: DataFrame, text_col: str = "text", length: int = LENGTH,
     another place of any text, the same text included; texts are UTF-8 and
     matches never cross them. Null, empty and short texts stay as they are
     (null: empty bytes). Spans of fewer than ``words`` words stay. Repeated rows are places of their own, so their texts
-    repeat. Columns of ``df`` with the names added here give way to them; with
+    repeat. With ``passages``, a number of bytes and one of words, ``n_passages`` and ``passage_bytes`` count the runs that
+    repeated strings of so many bytes cover and that hold so many words, and their bytes; what is removed stays the same,
+    and both lengths are found in one merge. Columns of ``df`` with the names added here give way to them; with
     ``nested`` the row of ``df`` comes whole, as a struct ``row``.
     """
-    names = ["n_bytes", "n_removed", "n_spans", "kept"]
+    names = ["n_bytes", "n_removed", "n_spans", "kept"] + ["n_passages", "passage_bytes"] * (passages is not None)
+    also = passages or (length, 0)
     keyed = with_text_key(df.select(F.struct("*").alias("row"), F.col(text_col).alias("text")))
-    spans = cut(repeated_spans(keyed.select("k1", "k2", "text"), length, shard, hot), "spans")
+    spans = cut(repeated_spans(keyed.select("k1", "k2", "text"), [length, also[0]], shard, hot), "spans")
     joined = keyed.join(spans, ["k1", "k2"], "left").select("row", "text", "spans")
 
     def run(batches):
         for b in batches:
             rows = []
-            for t, spans in zip(b.column(1), b.column(2)):
-                raw, runs = utf8(t.as_py()), []
-                for x in spans.as_py() or []:
-                    if runs and x["s"] <= runs[-1][1]:
-                        runs[-1][1] = max(runs[-1][1], x["e"])
-                    else:
-                        runs.append([x["s"], x["e"]])
+            removed = _joined(b.column(2), length)
+            shared = _joined(b.column(2), also[0]) if passages else removed
+            for t, runs, both in zip(b.column(1), removed, shared):
+                raw = utf8(t.as_py())
                 if words:
                     runs = [(s, e) for s, e in runs if len(raw[s:e].split()) >= words]
                 gone, count = sum(e - s for s, e in runs), len(runs)
                 kept = b"".join(raw[a:b] for a, b in zip([0, *(e for _, e in runs)], [*(s for s, _ in runs), len(raw)]))
                 rows.append((len(raw), gone, count, kept.decode("utf-8", "ignore") if as_text else kept))
-            c = list(zip(*rows)) or [[]] * 4
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string() if as_text else pa.binary())
+                if passages:
+                    held = [e - s for s, e in both if len(raw[s:e].split()) >= also[1]]
+                    rows[-1] += len(held), sum(held)
+            c = list(zip(*rows)) or [[]] * len(names)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string() if as_text else pa.binary(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(list(x), k) for x, k in zip(c, kinds))], ["row", *names])
 
-    shape = T.StructType([keyed.schema["row"], *(T.StructField(n, T.LongType()) for n in names[:3]), T.StructField("kept", T.StringType() if as_text else T.BinaryType())])
+    shape = T.StructType([keyed.schema["row"], *(T.StructField(n, T.LongType() if n != "kept" else T.StringType() if as_text else T.BinaryType()) for n in names)])
     out = joined.mapInArrow(run, shape)
     return out if nested else out.select(*[F.col("row")[c].alias(c) for c in df.columns if c not in names], *names)

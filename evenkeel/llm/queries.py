@@ -24,8 +24,8 @@ def op8_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = bwt.remove_repeats(documents(spark, sf_dir).select("doc_id", "text"))
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    found = bwt.remove_repeats(documents(spark, sf_dir).select("doc_id", "text"), passages=bwt.PASSAGES)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_passages", "passage_bytes")
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,3 +86,61 @@ def test_hot_pieces_make_few_rows(spark):
     # what is left of the common text starts or ends at the difference: as many pieces as places, however many copies
     hottest = lambda d, k, *x: d.groupBy(k).agg(bwt.F.countDistinct(*x).alias("c")).agg(bwt.F.max("c")).first()[0]
     assert hottest(parts, "key2", "e1", "e2") < 2 * 369 < hottest(df, "key", "d1", "d2")
+
+
+def passages(texts, m, words):
+    """For each text the number of runs that repeated m-byte strings cover and that hold so many words, and their bytes."""
+    out = []
+    for r, flags in zip(*repeats(texts, m)):
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], np.array(flags, np.int8), [0]])))
+        held = [int(b - a) for a, b in zip(edge[::2], edge[1::2]) if len(r[a:b].split()) >= words]
+        out.append((len(held), sum(held)))
+    return out
+
+
+def check_both(spark, texts, length, also, **options):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in bwt.remove_repeats(df, length=length, passages=also, **options).collect()}
+    assert [(got[i].n_passages, got[i].passage_bytes) for i in range(len(texts))] == passages(texts, *also)
+    raw, flags = repeats(texts, length)
+    assert [bytes(got[i].kept) for i in range(len(texts))] == [bytes(b for b, x in zip(r, f) if not x) for r, f in zip(raw, flags)]
+
+
+def test_passages_of_over_50_words_under_400_bytes(spark):
+    """Passages that are too short to be removed are counted beside what is removed, from the same merge, hot or not."""
+    rng = random.Random(10)
+    word = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(3, 7))) for _ in range(n))
+    planted, lone = [word(n) for n in (50, 51, 55, 60, 70, 90)], [word(150) for _ in range(20)]
+    texts = [None, "", *lone] + [f"{word(rng.randrange(1, 80))} {p} {word(rng.randrange(1, 80))}" for p in planted for _ in range(3)]
+    texts += [lone[0], "tick " * 300, planted[1], "q" * 900]
+    base = word(160)
+    for i in range(30):
+        a = rng.randrange(len(base) - 6)
+        texts.append(base[:a] + f"<{i:04d}>" + base[a + 6 :])
+    short = [i for i, (n, _) in enumerate(passages(texts, 240, 51)) if n and not any(repeats(texts, 400)[1][i])]
+    assert len(short) >= 6  # passages that 400 bytes leave in
+    check_both(spark, texts, 400, (240, 51))
+    check_both(spark, texts, 400, (240, 51), hot=1, shard=500)
+    check_both(spark, texts, 400, (240, 51), hot=8)
+    check_both(spark, texts, 240, (400, 51), hot=8)
+    check_both(spark, texts, 300, (300, 40))
+
+
+def test_pieces_of_two_lengths_hold_the_windows_of_both(monkeypatch):
+    raw = bytes(np.random.default_rng(3).integers(97, 100, 9000, dtype=np.uint8)) + b"z" * 900
+    for chunk in (bwt.CHUNK, 1000, 9870):
+        monkeypatch.setattr(bwt, "CHUNK", chunk)
+        s, n, k, p = bwt.pieces(raw, 240, longest=400)
+        assert len(set((s + p).tolist())) == len(s)  # a piece for each minimizer
+        for m in (240, 400):
+            low, last = bwt._bounds(m, p, n + 239)
+            assert sorted(x for a, b, c in zip(s, low, last) for x in range(a + b, a + c + 1)) == list(range(len(raw) - m + 1))
+
+
+def test_query_counts_passages(spark):
+    from evenkeel.llm.queries import op9_bwt_dedup
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    got = {r.doc_id: r for r in op9_bwt_dedup(spark, "/root/testdata/sf0.001").collect()}
+    assert [(got[i].n_passages, got[i].passage_bytes) for i in texts] == passages(list(texts.values()), 240, 51)
+    assert any(r.n_passages and not r.n_removed for r in got.values())
