@@ -7,7 +7,8 @@ symbol). A symbol unknown to a context costs its escape (method D); the
 symbols seen there are excluded at the next order, down to a uniform choice.
 All that depends on ``order + 1`` symbols alone, so the trie gives one code
 length per gram of the corpus, by joins, and a text's score is a sum over its
-grams. The most frequent grams and words are broadcast, up to a fixed number;
+grams. Tasks take texts in runs of about a megabyte, whole arrays at a time,
+as most texts are short. The most frequent grams and words are broadcast, up to a fixed number;
 the others, which a text holds few of, are looked up by a join.
 """
 
@@ -15,34 +16,82 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evenkeel.llm.common import cut
 from evenkeel.llm.neardup import with_text_key
-from evenkeel.llm.words import WordHashes, utf8
+from evenkeel.llm.words import M1, WordHashes, mix, utf8
 
 ORDER, SYMBOLS, BITS = 5, 257, 9
-END_WORD = np.uint64(xxhash.xxh3_64_intdigest(b" end"))
+SPACES = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+RUN = 1 << 20  # bytes of texts taken at once
 MOST_WORDS, MOST_GRAMS = 1_000_000, 3_000_000  # rows of a broadcast table (a key and a number each)
 
 
-def grams(raw: bytes, order: int) -> np.ndarray:
-    """Each symbol with the ``order`` before it as one number; starts are padded with 0, byte b is b + 1, 257 ends."""
-    a = np.zeros(order + len(raw) + 1, np.uint64)
-    a[order:-1] = np.frombuffer(raw, np.uint8)
-    a[order:-1] += np.uint64(1)
-    a[-1] = SYMBOLS
-    key = a[: len(raw) + 1].copy()
+def _mixed(low: np.ndarray, high: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return mix(low + mix(high + mix(size)))
+
+
+END_WORD = _mixed(*np.zeros((3, 1), np.uint64))[0]
+
+
+def runs(texts: pa.Array, most: int = RUN):
+    """The texts' bytes, A-Z lower-cased, in lists of about ``most`` bytes, each with its first row and the next list's."""
+    first, raws, held = 0, [], 0
+    for i, t in enumerate(texts):
+        raws.append(utf8(t.as_py()).lower())
+        held += len(raws[-1]) + 1
+        if held >= most or i + 1 == len(texts):
+            yield first, i + 1, raws
+            first, raws, held = i + 1, [], 0
+
+
+def grams(raws: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each symbol with the ``order`` before it as one number, text after text, and how many a text has.
+
+    Starts are padded with 0, byte b is b + 1, 257 ends.
+    """
+    sizes = np.fromiter(map(len, raws), np.int64, len(raws)) + 1
+    last = np.cumsum(sizes + order) - 1
+    pad = bytes(order)
+    a = np.frombuffer(b"".join([x for r in raws for x in (pad, r, b"\0")]), np.uint8).astype(np.uint64)
+    a += np.uint64(1)
+    a[last] = SYMBOLS
+    inside = np.ones(len(a), bool)
+    for i in range(order):
+        a[last - sizes - i] = 0
+        inside[last - i] = False  # a gram from here would run into the next text
+    n = len(a) - order
+    key = a[:n].copy()
     for i in range(1, order + 1):
         key <<= np.uint64(BITS)
-        key |= a[i : i + len(raw) + 1]
-    return key
+        key |= a[i : i + n]
+    return key[inside[:n]], sizes
 
 
-def word_hashes(raw: bytes, hashes: WordHashes) -> np.ndarray:
-    return np.append(hashes.of(raw.split()), END_WORD)
+def word_hashes(raws: list[bytes], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of each text's words and its end, text after text, and how many a text has.
+
+    Words of up to 16 bytes are mixed as two numbers and their length, all at
+    once; only longer ones are hashed one by one. An end has length 0.
+    """
+    joined = b" ".join([*raws, bytes(16)])
+    text_end = np.cumsum(np.fromiter(map(len, raws), np.int64, len(raws)) + 1)
+    space = SPACES[np.frombuffer(joined, np.uint8)[: text_end[-1]]]
+    edge = np.flatnonzero(np.diff(space, prepend=True))
+    start, size = edge[::2], edge[1::2] - edge[::2]
+    eight = np.ndarray(len(joined) - 7, "<u8", joined, strides=(1,))  # the 8 bytes from each place
+    key = _mixed(eight[start] & FIRST_BYTES[np.minimum(size, 8)], eight[start + 8] & FIRST_BYTES[np.clip(size - 8, 0, 8)], size.astype(np.uint64))
+    long = np.flatnonzero(size > 16)
+    key[long] = hashes.of([joined[a : a + n] for a, n in zip(start[long].tolist(), size[long].tolist())])
+    sizes = np.diff(np.searchsorted(start, text_end), prepend=0) + 1
+    out = np.full(len(key) + len(raws), END_WORD)
+    word = np.ones(len(out), bool)
+    word[np.cumsum(sizes) - 1] = False
+    out[word] = key
+    return out, sizes
 
 
 class Counts:
@@ -93,13 +142,16 @@ def gather(docs: DataFrame, order: int, most: int = 3_000_000) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys[a : a + 100_000]), k, np.int32)), pa.array(keys[a : a + 100_000]), pa.array(n[a : a + 100_000])], ["kind", "item", "c"])
 
         for b in batches:
-            for train, t in zip(b.column(0).to_pylist(), b.column(1)):
-                raw = utf8(t.as_py()).lower()
-                both[0].add(grams(raw, order), bool(train))
-                both[1].add(word_hashes(raw, hashes), bool(train))
-            for k in (0, 1):
-                if len(both[k].keys) > most:
-                    yield from out(k)
+            train = b.column(0).to_pylist()
+            for first, end, raws in runs(b.column(1)):
+                for flag in (True, False):
+                    some = [r for r, t in zip(raws, train[first:end]) if bool(t) is flag]
+                    if some:
+                        both[0].add(grams(some, order)[0], flag)
+                        both[1].add(word_hashes(some, hashes)[0], flag)
+                for k in (0, 1):
+                    if len(both[k].keys) > most:
+                        yield from out(k)
         for k in (0, 1):
             yield from out(k)
 
@@ -132,37 +184,53 @@ def code_lengths(corpus: DataFrame, order: int) -> DataFrame:
     return d.select("item", F.coalesce("value", rest).alias("value"), F.col("seen").alias("c"))
 
 
+def hashed(keys: np.ndarray) -> np.ndarray:
+    return keys.view(np.uint64) * M1
+
+
+def by_hash(keys: np.ndarray) -> np.ndarray:
+    return np.argsort(hashed(keys), kind="stable")
+
+
 class Lookup:
-    """Values by key in a hash table of numpy arrays (open addressing, whole arrays at a time)."""
+    """Values by key in a hash table of numpy arrays (linear probing, whole arrays at a time).
+
+    Key and value lie side by side, so a probe reads one place. Keys take their
+    slots in the order of their hash, each the first one from its home that the
+    keys before it left free; past the last home the table just goes on.
+    """
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         self.bits = max(4, int(2 * max(1, len(keys))).bit_length())
-        self.keys, self.slot = np.zeros(1 << self.bits, np.int64), np.full(1 << self.bits, -1, np.int32)
-        self.values = np.append(values, np.nan)
-        todo, at, self.probes = np.arange(len(keys)), self._home(keys), 0
-        while len(todo):
-            self.probes += 1
-            free = self.slot[at] < 0
-            first = np.unique(at[free], return_index=True)[1]
-            won = np.flatnonzero(free)[first]
-            self.slot[at[won]], self.keys[at[won]] = todo[won], keys[todo[won]]
-            left = np.ones(len(todo), bool)
-            left[won] = False
-            todo, at = todo[left], (at[left] + 1) & ((1 << self.bits) - 1)
+        order = by_hash(keys)
+        i = np.arange(len(keys))
+        at = np.maximum.accumulate(self._home(keys[order]) - i) + i
+        self.table = np.zeros((max(1 << self.bits, int(at.max(initial=0)) + 1) + 1, 2), np.int64)
+        self.of = self.table.view(np.float64)
+        self.of[:, 1] = np.nan  # free
+        self.table[at, 0], self.of[at, 1] = keys[order], values[order]
 
     def _home(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+        return (hashed(keys) >> np.uint64(64 - self.bits)).view(np.int64)
 
-    def __call__(self, keys: np.ndarray) -> np.ndarray:
+    def __call__(self, keys: np.ndarray, block: int = 1 << 15) -> np.ndarray:
         """The values, NaN for unknown keys."""
-        at = self._home(keys)
-        slot = self.slot[at]
-        miss = np.flatnonzero((self.keys[at] != keys) & (slot >= 0))
-        while len(miss):
-            at[miss] = (at[miss] + 1) & ((1 << self.bits) - 1)
-            slot[miss] = self.slot[at[miss]]
-            miss = miss[(self.keys[at[miss]] != keys[miss]) & (slot[miss] >= 0)]
-        return self.values[slot]
+        found = np.empty(len(keys))
+        for a in range(0, len(keys), block):
+            want, out = keys[a : a + block], found[a : a + block]
+            at = self._home(want)
+            slot = self.table.take(at, axis=0)
+            out[:] = slot.view(np.float64)[:, 1]
+            miss = np.flatnonzero((slot[:, 0] != want) & ~np.isnan(out))
+            at = at[miss]
+            while len(miss):
+                at += 1
+                slot = self.table.take(at, axis=0)
+                value = slot.view(np.float64)[:, 1]
+                out[miss] = value
+                more = (slot[:, 0] != want[miss]) & ~np.isnan(value)
+                miss, at = miss[more], at[more]
+        return found
 
 
 def _frequent(table: DataFrame, most: int):
@@ -174,7 +242,38 @@ def _frequent(table: DataFrame, most: int):
             break
         held, floor = held + r["n"], (1 << r["b"]) - 1
     got = table.where(F.col("c") >= floor).select("item", "value").toArrow()
-    return table.sparkSession.sparkContext.broadcast((got.column("item").to_numpy().astype(np.int64), got.column("value").to_numpy().astype(np.float64))), floor
+    keys, values = got.column("item").to_numpy().astype(np.int64), got.column("value").to_numpy().astype(np.float64)
+    order = by_hash(keys)  # sorted once, not again in every task
+    return table.sparkSession.sparkContext.broadcast((keys[order], values[order])), floor
+
+
+def _summed(keys: np.ndarray, sizes: np.ndarray, values: np.ndarray):
+    """Per text (it has ``sizes`` of the keys, one at least), the sum of the values, and the keys without one, each once with its number there."""
+    unknown = np.isnan(values)
+    at = np.flatnonzero(unknown)
+    sums = np.add.reduceat(np.where(unknown, 0.0, values), np.cumsum(sizes) - sizes)
+    text, key = np.searchsorted(np.cumsum(sizes), at, "right"), keys[at]
+    order = np.lexsort((key, text))
+    text, key = text[order], key[order]
+    first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (text[1:] != text[:-1])])) if len(at) else at
+    pairs = pa.StructArray.from_arrays([pa.array(key[first]), pa.array(np.diff(np.append(first, len(at))))], ["item", "m"])
+    starts = np.searchsorted(text[first], np.arange(len(sizes) + 1)).astype(np.int32)
+    return sums, pa.ListArray.from_arrays(pa.array(starts), pairs)
+
+
+def score_batches(batches, common: Lookup, code: Lookup, order: int):
+    """Sums over the frequent items of each text, and its other items with their numbers; ``batches`` hold id, two keys and text."""
+    hashes = WordHashes()
+    for b in batches:
+        for first, end, raws in runs(b.column(3)):
+            w, n_tokens = word_hashes(raws, hashes)
+            value = common(w.view(np.int64))
+            known = np.add.reduceat((value > 0).astype(np.int64), np.cumsum(n_tokens) - n_tokens)
+            logs, words = _summed(w.view(np.int64), n_tokens, value)
+            g, sizes = grams(raws, order)
+            score, rare = _summed(g.view(np.int64), sizes, code(g.view(np.int64)))
+            ids = [b.column(i).slice(first, end - first) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([*ids, *map(pa.array, (n_tokens, known, logs)), words, pa.array(score), rare], ["id", "k1", "k2", "n_tokens", "known", "logs", "words", "score", "grams"])
 
 
 def score_texts(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, most: tuple[int, int] = (MOST_WORDS, MOST_GRAMS)) -> DataFrame:
@@ -196,23 +295,7 @@ def score_texts(df: DataFrame, train: Column, id_col: str = "doc_id", text_col:
     (common_words, word_floor), (common_grams, gram_floor) = _frequent(of_word, most[0]), _frequent(of_gram, most[1])
 
     def run(batches):
-        common, code, hashes = Lookup(*common_words.value), Lookup(*common_grams.value), WordHashes()
-
-        def rare(keys):
-            k, n = np.unique(keys, return_counts=True)
-            return [{"item": int(a), "m": int(b)} for a, b in zip(k.view(np.int64), n)]
-
-        for b in batches:
-            rows = []
-            for t in b.column(3):
-                raw = utf8(t.as_py()).lower()
-                w, g = word_hashes(raw, hashes), grams(raw, order)
-                v, x = common(w.view(np.int64)), code(g.view(np.int64))
-                rows.append((len(w), int((v > 0).sum()), float(np.nansum(v)), rare(w[np.isnan(v)]), float(np.nansum(x)), rare(g[np.isnan(x)])))
-            c = list(zip(*rows)) or [[]] * 6
-            pairs = pa.list_(pa.struct([("item", pa.int64()), ("m", pa.int64())]))
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pairs, pa.float64(), pairs)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *(pa.array(list(x), k) for x, k in zip(c, kinds))], ["id", "k1", "k2", "n_tokens", "known", "logs", "words", "score", "grams"])
+        yield from score_batches(batches, Lookup(*common_words.value), Lookup(*common_grams.value), order)
 
     kind = df.schema[id_col].dataType.simpleString()
     pairs = "array<struct<item:bigint,m:bigint>>"
