@@ -51,6 +51,12 @@ def append_new(spark: SparkSession, source: str, schema, target: str, keys: list
     return sum(int(store.read_text(spark, f"{target}.batches/{n}")) for n in store.names(spark, f"{target}.batches"))
 
 
+def _watermarked(events: DataFrame, at: Column, delay: str, *columns: Column) -> DataFrame:
+    """``columns`` beside a watermark on ``at``. Spark's watermark begins at 1970 and drops what is not after it, so earlier rows count there as the first microsecond's."""
+    at = at.cast("timestamp")
+    return events.select(*columns, F.when(F.unix_micros(at) <= 0, F.timestamp_micros(F.lit(1))).otherwise(at).alias("_mark")).withWatermark("_mark", delay)
+
+
 def trigger_windows_stream(events: DataFrame, key: str, at: str, opening: Column, code: Column, outcome: Column, delay: str = "1 hour") -> DataFrame:
     """Windows of ``operators.prep.trigger_windows`` on a stream whose batches arrive in time order per key.
 
@@ -61,7 +67,7 @@ def trigger_windows_stream(events: DataFrame, key: str, at: str, opening: Column
     """
     wait = int(pd.Timedelta(delay).total_seconds() * 1000)
     kind = events.schema[key].dataType.simpleString()
-    d = events.select(F.col(key), F.col(at).alias("at"), opening.alias("opens"), F.when(outcome, code).alias("code")).withWatermark("at", delay)
+    d = _watermarked(events, F.col(at), delay, F.col(key), F.col(at).alias("at"), opening.alias("opens"), F.when(outcome, code).alias("code"))
 
     def step(k, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         number, start, n, out_at, first = state.get[:5] if state.exists else (0, None, 0, None, None)
