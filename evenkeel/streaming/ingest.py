@@ -115,7 +115,7 @@ def window_decisions_stream(events: DataFrame, key: str, at: str, opening: Colum
     wait = int(pd.Timedelta(delay).total_seconds() * 1_000_000)
     kind = events.schema[key].dataType.simpleString()
     holds = lambda c: F.coalesce(c, F.lit(False)) if c is not None else F.lit(False)
-    d = events.select(F.col(key), F.col(at).alias("at"), F.unix_micros(F.col(at).cast("timestamp")).alias("us"), holds(opening).alias("opens"), F.when(holds(outcome), code).alias("code"), holds(outcome).alias("hit"), holds(invalid).alias("bad"), holds(interruption).alias("cut")).withWatermark("at", delay)
+    d = _watermarked(events, F.col(at), delay, F.col(key), F.unix_micros(F.col(at).cast("timestamp")).alias("us"), holds(opening).alias("opens"), F.when(holds(outcome), code).alias("code"), holds(outcome).alias("hit"), holds(invalid).alias("bad"), holds(interruption).alias("cut"))
 
     def step(k, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         number, window, waiting = pickle.loads(state.get[0]) if state.exists else (0, None, [])
@@ -124,7 +124,7 @@ def window_decisions_stream(events: DataFrame, key: str, at: str, opening: Colum
             for pdf in batches:
                 waiting += pdf[["us", "opens", "code", "hit", "bad", "cut"]].itertuples(index=False, name=None)
         waiting.sort(key=lambda r: (r[0], not r[1]))
-        ready = [r for r in waiting if r[0] <= seen]
+        ready = [r for r in waiting if r[0] <= seen] if seen > 0 else []  # at 0 the watermark has passed nothing, also not what is before 1970
         waiting = waiting[len(ready):]
         done = []
 
@@ -144,7 +144,7 @@ def window_decisions_stream(events: DataFrame, key: str, at: str, opening: Colum
             if window:
                 start, n, _, out, b, x = window
                 window = (start, n + 1, us, out or ((us, c) if hit else None), b or bool(bad), x or bool(cut))
-        if window and not waiting and window[2] + wait <= seen:
+        if window and not waiting and window[2] + wait <= seen and seen > 0:
             close()
             window = None
         state.update((pickle.dumps((number, window, waiting)),))

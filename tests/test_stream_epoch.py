@@ -13,7 +13,7 @@ from evenkeel.streaming import ingest
 KINDS = ["signup", "view", "purchase", "error", "click"]
 
 
-@pytest.mark.parametrize("name", ["streamed_windows"])
+@pytest.mark.parametrize("name", ["streamed_late_windows", "streamed_windows"])
 def test_first_event_opens_a_window(spark, tmp_path, name):
     rows = [(i, i % 3, KINDS[(i * i + i // 7) % 5]) for i in range(200)]
     assert rows[0][2] == "signup"
@@ -27,7 +27,7 @@ def test_first_event_opens_a_window(spark, tmp_path, name):
     assert Counter(tuple(r) for r in catalogue.QUERIES[name](spark, str(tmp_path)).select(*names).collect()) == want
 
 
-@pytest.mark.parametrize("late", [False])
+@pytest.mark.parametrize("late", [False, True])
 def test_rows_before_1970(spark, tmp_path, late):
     """Two batches around 1970; late rows of the first come with the second."""
     rows = [(i, i % 3, KINDS[(i * i + i // 7) % 5]) for i in range(-100, 100)]
